@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, quality_rules, toxicity
+from . import exact_dedup, language_id, licenses, mixing, packing, pii, quality_rules, toxicity
 from .common import documents
 
 
@@ -34,11 +34,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op8_toxicity": op8_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
+    "op6_pii": op6_pii,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
