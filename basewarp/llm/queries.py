@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, licenses, mixing, packing, pii, quality_rules, toxicity
+from . import exact_dedup, language_id, licenses, mixing, packing, pii, quality_rules, repair, toxicity
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(documents(spark, sf_dir))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_ids(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op8_toxicity": op8_toxicity,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
+    "op7_token_ids": op7_token_ids,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

@@ -7,7 +7,8 @@ encoded by the library once per worker and then looked up:
   (a run keeps its leading blank);
 * ``word_bpe``: at ASCII white space (which that tokenizer drops).
 
-A text in which such a place is not safe (white space beside a blank or at an end, or
+Of a run of letters and then punctuation, and of lines, the parts are looked up one by one,
+as pre-tokenizers part them.  A text in which such a place is not safe (white space beside a blank or at an end, or
 white space outside ASCII) is encoded as a whole.  Special-token strings in a text are
 ordinary text.
 """
@@ -20,10 +21,13 @@ import re
 import numpy as np
 
 #: Runs kept per worker; then the table starts anew (a bound of memory, not of what is encoded).
-KEEP = 400_000
+KEEP = 700_000
 
-_UNSAFE_BYTE = re.compile("  |[\t-\r\x1c-\x1f] | [\t-\r\x1c-\x1f]|[\x85\xa0  -​    　]|^\\s|\\s\\Z")
-_UNSAFE_WORD = re.compile("[\x1c-\x1f\x85\xa0  -​    　]")
+#: After letters, these begin a new piece in either pre-tokenizer.
+_MARKS = ".,!?;:#$%&*|\"()"
+_BEYOND_LATIN = re.compile("[^\0-\u024f]")
+_UNSAFE_BYTE = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+_UNSAFE_WORD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 _loaded: dict[str, Encoder] = {}
 
@@ -39,37 +43,106 @@ class Encoder:
         self.words = self.tokenizer.normalizer is not None  # drops white space
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.closes, self.opens = np.zeros(len(names) + 1, dtype=bool), np.zeros(len(names) + 1, dtype=bool)
+        for name, at in names.items():
+            self.closes[at], self.opens[at] = name.endswith("</w>"), name.startswith("\u0120")
+        self.line = names.get("\u010a", -1)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _runs(self, text: str) -> list[str] | None:
-        """The runs of a text, or None if it can't be cut."""
+        """The runs of a text, or None if it can't be cut.  A first run has a NUL for the leading blank it lacks."""
         if self.words:
-            return None if _UNSAFE_WORD.search(text) else text.split()
-        if not text or _UNSAFE_BYTE.search(text):
+            if _UNSAFE_WORD.search(text):
+                return None
+            # The tokenizer lower-cases too; in these scripts that changes nothing else.
+            return (text if _BEYOND_LATIN.search(text) else text.lower()).split()
+        if not text or text[0].isspace() or text[-1].isspace() or "  " in text or "\n " in text or " \n" in text or _UNSAFE_BYTE.search(text):
             return None
         first, *more = text.split(" ")
-        return ["\0" + first, *more]  # a first run has no leading blank
+        return ["\0" + first, *more]
+
+    def _parts(self, run: str) -> list[str] | None:
+        """Runs whose ids, one after another, are this run's; None if it is to be encoded itself."""
+        if not self.words and "\n" in run and "\0" not in run[1:]:
+            lines = run.split("\n")
+            if all(lines) and lines[0] != "\0":
+                return [lines[0], *(x for line in lines[1:] for x in ("\0\n", "\0" + line))]
+        stem = run.rstrip(_MARKS)
+        if stem != run and stem[stem.startswith("\0") :].isalpha():
+            return [stem, run[len(stem) :] if self.words else "\0" + run[len(stem) :]]
+        return None
+
+    def _encode_runs(self, runs) -> None:
+        """Encodes distinct runs.  Runs of letters go many in one call, a blank (or a line end) apart, and are told
+        apart again by tokens that only begin (or end) such a run; other runs go one by one."""
+        groups: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for r in runs:
+            groups[1 + r.startswith("\0") if r.lstrip("\0").isalpha() else 0].append(r)
+        single, plain, bare = groups
+        for kind, some in ((0, plain), (1, bare)):
+            for lo in range(0, len(some), 1_000):
+                part = some[lo : lo + 1_000]
+                words = [r.lstrip("\0") for r in part]
+                text = " ".join(words) if self.words else ("\n" if kind else " ") + ("\n" if kind else " ").join(words)
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
+                if self.words:
+                    ends = np.flatnonzero(self.closes[ids]) + 1
+                    starts = np.append(0, ends[:-1])
+                else:
+                    starts = np.flatnonzero(ids == self.line if kind else self.opens[ids])
+                    ends = np.append(starts[1:], len(ids))
+                    starts = starts + kind  # the line end itself is no part of the run
+                if len(starts) != len(part):
+                    single += part
+                    continue
+                raw, n = ids.tobytes(), ids.itemsize
+                self.known.update((r, raw[a:z]) for r, a, z in zip(part, (starts * n).tolist(), (ends * n).tolist()))
+        said = [r if self.words else r[1:] if r.startswith("\0") else " " + r for r in single]
+        for lo in range(0, len(single), 10_000):
+            self.known.update(zip(single[lo : lo + 10_000], self._pack(said[lo : lo + 10_000])))
+
+    def _learn(self, missing: set[str]) -> None:
+        made: list[tuple[str, list[str]]] = []
+        new: dict[str, None] = {}
+        stack = list(missing)
+        seen = set(stack)
+        while stack:
+            run = stack.pop()
+            parts = self._parts(run)
+            if parts is None:
+                new[run] = None
+                continue
+            made.append((run, parts))
+            for x in parts:
+                if x not in seen and x not in self.known:
+                    seen.add(x)
+                    stack.append(x)
+        self._encode_runs(new)
+        while made:  # parts may be made of parts themselves
+            later = []
+            for run, parts in reversed(made):
+                got = [self.known.get(x) for x in parts]
+                if None in got:
+                    later.append((run, parts))
+                else:
+                    self.known[run] = b"".join(got)
+            made = later[::-1]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self._runs(t) for t in texts]
-        missing: dict[str, None] = {}
-        for runs in cut:
-            if runs is not None:
-                missing.update((r, None) for r in runs if r not in self.known)
+        known = self.known
+        missing = set().union(*(runs for runs in cut if runs is not None)).difference(known)
         if missing:
-            if len(self.known) + len(missing) > KEEP:
-                self.known.clear()
-                missing = dict.fromkeys(r for runs in cut if runs is not None for r in runs)
-            new = list(missing)
-            said = new if self.words else [r[1:] if r.startswith("\0") else " " + r for r in new]
-            for lo in range(0, len(new), 10_000):
-                self.known.update(zip(new[lo : lo + 10_000], self._pack(said[lo : lo + 10_000])))
-        whole = [t for t, runs in zip(texts, cut) if runs is None]
-        packed = iter(self._pack(whole))
-        get = self.known.__getitem__
+            if len(known) + len(missing) > KEEP:
+                known.clear()
+                missing = set().union(*(runs for runs in cut if runs is not None))
+            self._learn(missing)
+        packed = iter(self._pack([t for t, runs in zip(texts, cut) if runs is None]))
+        get = known.__getitem__
         return [np.frombuffer(next(packed) if runs is None else b"".join(map(get, runs)), dtype=self.width) for runs in cut]
 
 
