@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, licenses, mixing, packing, pii, quality_rules, repair, toxicity
+from . import exact_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_rules, repair, toxicity
 from .common import documents
 
 
@@ -46,8 +46,13 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_ids(documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_join": op2_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
