@@ -1,6 +1,556 @@
-"""Registered queries of the engine and their DuckDB SQL."""
+"""Registered queries of the engine, each with DuckDB SQL over the same tables.
+
+Documents are the sequences: any text is a sequence once everything but the letters is
+dropped.  ``SEQ`` keeps acgt, ``IUPAC_SEQ`` all fifteen letters.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codons as cod
+from .functions import sequence as sq
+from .operators import derive, match, orfs, proximity, windows
+from .plans import patterns as pt
+from .plans.rules import parse_rule
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+DEMO = pt.DEMO
+NAMED = {p.name: p for p in DEMO}
+SOME = [NAMED[n] for n in ("HinfI", "TaqI", "RsaI", "MboI", "EcoRI", "BsmAI")]
+FEW = [NAMED[n] for n in ("HinfI", "TaqI", "RsaI")]
+
+
+def sequences(spark: SparkSession, sf_dir: str, degenerate: bool = False) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("seq_id"), sq.normalise("text", degenerate).alias("seq"))
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+# ------------------------------------------------------------------ SQL parts
+
+SEQ = "seqs AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, 'ACGTUu', 'acgttt'), '[^acgt]', '', 'g') AS seq FROM documents)"
+_UPPER = "".join(x.upper() for x in sq.LETTERS) + "Uu"
+IUPAC_SEQ = f"seqs AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, '{_UPPER}', '{sq.LETTERS}tt'), '[^{sq.LETTERS}]', '', 'g') AS seq FROM documents)"
+COMPLEMENT = f"translate({{}}, '{sq.COMPLEMENT_FROM}', '{sq.COMPLEMENT_TO}')"
+REVCOMP = f"reverse({COMPLEMENT})"
+
+
+def hits_sql(patterns: list[pt.Pattern], mode: str = "plain", circular: bool = False) -> str:
+    """CTE hits: seq_id, seq_len, pat, strand, start, site; every position is tried."""
+    parts = []
+    for p in patterns:
+        for strand, site, shift in p.strands():
+            n, rx = p.length, pt.site_regex(site, p.errors, mode)
+            text = f"seq || substr(seq, 1, {n - 1})" if circular else "seq"
+            count = "length(seq)" if circular else f"length(seq) - {n} + 1"
+            at = f"((p + {shift} - 1) % length(seq) + length(seq)) % length(seq) + 1" if circular else f"p + {shift}"
+            ok = "true" if circular else f"p + {shift} BETWEEN 1 AND length(seq)"
+            parts.append(f"SELECT seq_id, length(seq) AS seq_len, '{p.name}' AS pat, {strand} AS strand, p AS start, {at} AS site FROM seqs, unnest(range(1, {count} + 1)) AS t(p) WHERE length(seq) > 0 AND {ok} AND regexp_full_match(substr({text}, p, {n}), '{rx}')")
+    return "hits AS (" + " UNION ALL ".join(parts) + "), sites AS (SELECT seq_id, seq_len, pat, site, max(strand) AS strand FROM hits GROUP BY ALL)"
+
+
+def with_hits(patterns: list[pt.Pattern], body: str, mode: str = "plain", seq: str = SEQ, circular: bool = False) -> str:
+    return f"WITH {seq}, {hits_sql(patterns, mode, circular)} {body}"
+
+
+def hits(spark: SparkSession, sf_dir: str, patterns: list[pt.Pattern], **more) -> DataFrame:
+    return match.find_sites(sequences(spark, sf_dir), patterns, **more)
+
+
+def sites(spark: SparkSession, sf_dir: str, patterns: list[pt.Pattern], **more) -> DataFrame:
+    return derive.distinct_sites(hits(spark, sf_dir, patterns, **more))
+
+
+# ------------------------------------------------------- sequence functions
+
+
+@query(
+    "base_composition",
+    f"WITH {SEQ}, n AS (SELECT seq_id, length(seq) AS seq_len, "
+    + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS n_{b}" for b in "acgt")
+    + " FROM seqs) SELECT *, CASE WHEN seq_len > 0 THEN (n_g + n_c) * 1000000 // seq_len ELSE 0 END AS gc_ppm FROM n",
+)
+def base_composition(spark, sf_dir):
+    s = sequences(spark, sf_dir).select("seq_id", F.length("seq").cast("long").alias("seq_len"), *[sq.count_of("seq", b).alias(f"n_{b}") for b in "acgt"])
+    return s.withColumn("gc_ppm", F.when(F.col("seq_len") > 0, F.expr("(n_g + n_c) * 1000000 div seq_len")).otherwise(F.lit(0).cast("long")))
+
+
+@query("degenerate_composition", f"WITH {IUPAC_SEQ} SELECT seq_id, " + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS n_{b}" for b in sq.LETTERS) + " FROM seqs")
+def degenerate_composition(spark, sf_dir):
+    return sequences(spark, sf_dir, True).select("seq_id", *[sq.count_of("seq", b).alias(f"n_{b}") for b in sq.LETTERS])
+
+
+for _name, _f, _sql in (("revcomp", sq.reverse_complement, REVCOMP), ("complement", sq.complement, COMPLEMENT), ("reverse", sq.reverse, "reverse({})")):
+
+    def _turn(spark, sf_dir, f=_f):
+        return sequences(spark, sf_dir, True).select("seq_id", f("seq").alias("seq"))
+
+    query(_name, f"WITH {IUPAC_SEQ} SELECT seq_id, {_sql.format('seq')} AS seq FROM seqs")(_turn)
+
+
+@query("triplet_reverse", f"WITH {SEQ} SELECT seq_id, coalesce(array_to_string(list_reverse(regexp_extract_all(seq, '(...)', 1)), ''), '') AS seq FROM seqs")
+def triplet_reverse(spark, sf_dir):
+    return sequences(spark, sf_dir).select("seq_id", sq.triplet_reverse("seq").alias("seq"))
+
+
+_FOLD = {"acgt": (1.0, 1), "rywskm": (0.5, 2), "bdhv": (0.25, 3), "n": (0.0, 4)}
+_count = lambda letters: f"length(regexp_replace(w, '[^{letters}]', '', 'g'))"
+
+
+@query(
+    "nmer_properties",
+    f"WITH {IUPAC_SEQ}, w AS (SELECT DISTINCT substr(seq, p, 4) AS w FROM seqs, unnest(range(1, length(seq) - 2)) AS t(p)) SELECT w AS nmer, w = {REVCOMP.format('w')} AS palindrome, "
+    + " + ".join(f"{_count(x)} * {m}" for x, (m, _) in _FOLD.items())
+    + " AS magnitude, CAST("
+    + " * ".join(f"power({d}, {_count(x)})" for x, (_, d) in _FOLD.items())
+    + " AS BIGINT) AS degeneracy, CASE WHEN regexp_full_match(w, '[acgt]+') THEN "
+    + " + ".join(f"(strpos('acgt', substr(w, {i + 1}, 1)) - 1) * {4**i}" for i in range(4))
+    + " ELSE 0 END AS key FROM w",
+)
+def nmer_properties(spark, sf_dir):
+    s = sequences(spark, sf_dir, True)
+    w = s.where(F.length("seq") >= 4).select(F.explode(F.sequence(F.lit(1), F.length("seq") - 3)).alias("p"), "seq").select(F.substring("seq", F.col("p"), F.lit(4)).alias("w")).distinct()
+    return w.select(F.col("w").alias("nmer"), sq.is_palindrome("w").alias("palindrome"), sq.magnitude("w").alias("magnitude"), sq.degeneracy("w").alias("degeneracy"), sq.nmer_key("w").alias("key"))
+
+
+@query(
+    "degen_runs",
+    f"""WITH {IUPAC_SEQ}, c AS (SELECT seq_id, p FROM seqs, unnest(range(1, length(seq) + 1)) AS t(p) WHERE NOT regexp_matches(substr(seq, p, 1), '[acgt]')),
+g AS (SELECT seq_id, p, p - row_number() OVER (PARTITION BY seq_id ORDER BY p) AS k FROM c)
+SELECT seq_id, min(p) AS start, max(p) AS "end" FROM g GROUP BY seq_id, k""",
+)
+def degen_runs(spark, sf_dir):
+    return derive.degenerate_runs(sequences(spark, sf_dir, True))
+
+
+@query("subsequence", f"WITH {SEQ.replace('translate(text', 'translate(substr(text, 101, 400)')} SELECT seq_id, seq FROM seqs")
+def subsequence(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("seq_id"), sq.normalise(sq.subsequence("text", 101, 500)).alias("seq"))
+
+
+@query("kmer_counts", f"WITH {SEQ} SELECT substr(seq, p, 5) AS nmer, count(*) AS n FROM seqs, unnest(range(1, length(seq) - 3)) AS t(p) GROUP BY 1")
+def kmer_counts(spark, sf_dir):
+    return match.nmers(sequences(spark, sf_dir), 5).groupBy("nmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chance_sql(p: str) -> str:
+    return " * ".join("(" + " + ".join(f"f_{b}" for b in sq.IUPAC[x]) + ")" for x in p)
+
+
+@query(
+    "expected_hits",
+    f"WITH {SEQ}, f AS (SELECT seq_id, length(seq) AS n, "
+    + ", ".join(f"(length(seq) - length(replace(seq, '{b}', ''))) / CAST(length(seq) AS DOUBLE) AS f_{b}" for b in "acgt")
+    + " FROM seqs WHERE length(seq) > 0) "
+    + " UNION ALL ".join(f"SELECT seq_id, '{p.name}' AS pat, round(({_chance_sql(p.site)} + {_chance_sql(p.twin)}) * n, 6) AS expected FROM f" for p in FEW),
+)
+def expected_hits(spark, sf_dir):
+    s = sequences(spark, sf_dir).where("seq <> ''").select("seq_id", F.length("seq").alias("n"), *[(sq.count_of("seq", b) / F.length("seq")).alias(f"f_{b}") for b in "acgt"])
+    each = F.array(*[F.struct(F.lit(p.name).alias("pat"), F.round(sq.expected_sites(p.site, [F.col(f"f_{b}") for b in "acgt"], F.col("n")), 6).alias("expected")) for p in FEW])
+    return s.select("seq_id", F.explode(each).alias("e")).select("seq_id", "e.pat", "e.expected")
+
+
+# ------------------------------------------------------------------ patterns
+
+_KEYS = [p for p in DEMO]
+
+
+@query(
+    "pattern_table",
+    " UNION ALL ".join(f"SELECT '{p.name}' AS pat, '{p.site}' AS site, '{p.twin}' AS twin, {p.length} AS length, {p.top_cut} AS top_cut, {p.overhang} AS overhang, {str(p.is_palindrome).lower()} AS palindrome, {p.magnitude} + 0.0 AS magnitude, {p.cost} AS cost, '{pt.best_seed(p.site)[1]}' AS seed" for p in DEMO).replace("+ 0.0", "::DOUBLE"),
+)
+def pattern_table(spark, sf_dir):
+    rows = [(p.name, p.site, p.length, p.top_cut, p.overhang, p.units, p.price, pt.best_seed(p.site)[1]) for p in DEMO]
+    df = spark.createDataFrame(rows, "pat string, site string, length int, top_cut int, overhang int, units int, price int, seed string")
+    cost = F.when(F.col("price") > 0, F.floor(F.col("units") / F.col("price"))).otherwise(0).cast("int")
+    return df.select("pat", "site", sq.reverse_complement("site").alias("twin"), "length", "top_cut", "overhang", sq.is_palindrome("site").alias("palindrome"), sq.magnitude("site").alias("magnitude"), cost.alias("cost"), "seed")
+
+
+def _filtered(name: str, **how):
+    chosen = [p for p in DEMO if pt.passes(p, **how)]
+
+    def run(spark, sf_dir):
+        return derive.pattern_summary(sites(spark, sf_dir, chosen)).select("pat", "n_hits")
+
+    query(name, with_hits(chosen, "SELECT pat, count(*) AS n_hits FROM sites GROUP BY pat"))(run)
+
+
+_filtered("magnitude_filter", magnitude=5)
+_filtered("overhang_filter", overhang="5", overhang_length=4)
+_filtered("blunt_filter", overhang="0")
+_filtered("cost_filter", cost=40)
+
+
+@query("name_selection", with_hits(pt.select(DEMO, ["taqi", "RSAI"]), "SELECT pat, count(*) AS n_hits FROM sites GROUP BY pat"))
+def name_selection(spark, sf_dir):
+    return derive.pattern_summary(sites(spark, sf_dir, pt.select(DEMO, ["taqi", "RSAI"]))).select("pat", "n_hits")
+
+
+# ------------------------------------------------------------------- matching
+
+
+@query("iupac_sites", with_hits([pt.Pattern("rgcy", "rgcy"), pt.Pattern("gantc", "gantc"), pt.Pattern("ccwgg", "ccwgg")], "SELECT seq_id, pat, start FROM hits"))
+def iupac_sites(spark, sf_dir):
+    return hits(spark, sf_dir, [pt.Pattern("rgcy", "rgcy"), pt.Pattern("gantc", "gantc"), pt.Pattern("ccwgg", "ccwgg")]).select("seq_id", "pat", "start")
+
+
+@query("both_strand_sites", with_hits(SOME, "SELECT seq_id, pat, strand, start, site FROM hits"))
+def both_strand_sites(spark, sf_dir):
+    return hits(spark, sf_dir, SOME).select("seq_id", "pat", "strand", "start", "site")
+
+
+@query("seed_join_sites", with_hits(SOME, "SELECT seq_id, pat, strand, start, site FROM hits"))
+def seed_join_sites(spark, sf_dir):
+    return hits(spark, sf_dir, SOME, seeds=True).select("seq_id", "pat", "strand", "start", "site")
+
+
+for _n in (1, 2):
+    _p = [pt.Pattern("test", "gaattc", errors=_n), pt.Pattern("odd", "gtctcga", errors=_n)]
+
+    def _errors(spark, sf_dir, p=_p):
+        return hits(spark, sf_dir, p).select("seq_id", "pat", "strand", "start")
+
+    # Counted differing positions, not variants.
+    _parts = []
+    for _x in _p:
+        for _strand, _site, _ in _x.strands():
+            _differ = " + ".join(f"CAST(substr(seq, p + {i}, 1) <> '{b}' AS INT)" for i, b in enumerate(_site))
+            _parts.append(f"SELECT seq_id, '{_x.name}' AS pat, {_strand} AS strand, p AS start FROM seqs, unnest(range(1, length(seq) - {_x.length} + 2)) AS t(p) WHERE {_differ} <= {_n} AND p + {dict((s, k) for s, _, k in _x.strands())[_strand]} <= length(seq)")
+    query(f"mismatch_sites_{_n}", f"WITH {SEQ} " + " UNION ALL ".join(_parts))(_errors)
+
+
+for _mode in ("subset", "overlap"):
+
+    def _degenerate(spark, sf_dir, mode=_mode):
+        return match.find_sites(sequences(spark, sf_dir, True), [NAMED["HinfI"], NAMED["BsmAI"], pt.Pattern("rgcy", "rgcy")], mode=mode).select("seq_id", "pat", "strand", "start", "site")
+
+    query(f"degenerate_{_mode}", with_hits([NAMED["HinfI"], NAMED["BsmAI"], pt.Pattern("rgcy", "rgcy")], "SELECT seq_id, pat, strand, start, site FROM hits", _mode, IUPAC_SEQ))(_degenerate)
+
+
+EXPRESSIONS = [("rx1", "ga(tt|ac)n{1,3}y"), ("rx2", "wt{2,4}ar")]
+
+
+def _regex_sql(strand: int) -> str:
+    text = "seq" if strand == 1 else REVCOMP.format("seq")
+    at = "p" if strand == 1 else "length(seq) - p + 1"
+    return " UNION ALL ".join(f"SELECT seq_id, '{n}' AS pat, {strand} AS strand, {at} AS site FROM (SELECT seq_id, seq, {text} AS t FROM seqs), unnest(range(1, length(seq) + 1)) AS u(p) WHERE regexp_matches(substr(t, p, 64), '^(?:{sq.iupac_regex(rx)})')" for n, rx in EXPRESSIONS)
+
+
+@query("regex_sites", f"WITH {SEQ} {_regex_sql(1)} UNION ALL {_regex_sql(-1)}")
+def regex_sites(spark, sf_dir):
+    return match.find_regex(sequences(spark, sf_dir), EXPRESSIONS, 64).select("seq_id", "pat", "strand", "site")
+
+
+MATRIX = [(12, 1, 1, 2), (1, 1, 13, 1), (2, 2, 2, 10), (1, 12, 2, 1), (8, 2, 2, 4), (1, 1, 1, 13)]
+
+
+def _matrix_sql(strand: int) -> str:
+    top = max(int(100 * sum(r)) for r in MATRIX)
+    rows = [[int(100 * x) * 1000 // top for x in r] for r in MATRIX]
+    need = sum(max(r) for r in rows) * 80 // 100
+    rows = rows if strand == 1 else [r[::-1] for r in rows[::-1]]
+    score = " + ".join("CASE substr(seq, p + {}, 1) {} END".format(i, " ".join(f"WHEN '{b}' THEN {r[j]}" for j, b in enumerate("acgt"))) for i, r in enumerate(rows))
+    return f"SELECT * FROM (SELECT seq_id, {strand} AS strand, p AS start, p + {len(rows) // 2} AS site, {score} AS score FROM seqs, unnest(range(1, length(seq) - {len(rows)} + 2)) AS t(p)) WHERE score >= {need}"
+
+
+@query("matrix_hits", f"WITH {SEQ} {_matrix_sql(1)} UNION ALL {_matrix_sql(-1)}")
+def matrix_hits(spark, sf_dir):
+    return match.find_matrix(sequences(spark, sf_dir), "demo", MATRIX, 80).select("seq_id", "strand", "start", "site", "score")
+
+
+# ------------------------------------------------------------- derived tables
+
+
+@query("hit_summary", with_hits(DEMO, "SELECT pat, count(DISTINCT seq_id) AS n_seqs, count(*) AS n_hits, CAST(sum(site) AS BIGINT) AS site_sum FROM sites GROUP BY pat"))
+def hit_summary(spark, sf_dir):
+    return derive.pattern_summary(sites(spark, sf_dir, DEMO))
+
+
+@query("zero_cutters", with_hits(DEMO, "SELECT * FROM (VALUES " + ", ".join(f"('{p.name}')" for p in DEMO) + ") v(pat) WHERE pat NOT IN (SELECT pat FROM sites)"))
+def zero_cutters(spark, sf_dir):
+    return derive.zero_cutters(sites(spark, sf_dir, DEMO), DEMO)
+
+
+@query("idonly_semi", with_hits(FEW, "SELECT seq_id, length(seq) AS seq_len FROM seqs WHERE seq_id IN (SELECT seq_id FROM hits)"))
+def idonly_semi(spark, sf_dir):
+    return derive.with_hits(sequences(spark, sf_dir), hits(spark, sf_dir, FEW)).select("seq_id", F.length("seq").cast("long").alias("seq_len"))
+
+
+@query("min_max_hits", with_hits(SOME, "SELECT seq_id, pat, count(*) AS n_hits FROM sites GROUP BY ALL HAVING count(*) BETWEEN 2 AND 5"))
+def min_max_hits(spark, sf_dir):
+    return derive.between_hits(sites(spark, sf_dir, SOME), 2, 5)
+
+
+@query("strider_order", with_hits(SOME, "SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY n_hits, pat) AS place FROM (SELECT seq_id, pat, count(*) AS n_hits FROM sites GROUP BY ALL)"))
+def strider_order(spark, sf_dir):
+    return derive.strider_order(sites(spark, sf_dir, SOME))
+
+
+@query("sites_table", with_hits(FEW, "SELECT seq_id, pat, count(*) AS n_sites, string_agg(site, ' ' ORDER BY site) AS sites FROM sites GROUP BY ALL"))
+def sites_table(spark, sf_dir):
+    return derive.sites_table(hits(spark, sf_dir, FEW))
+
+
+@query("signed_sites_table", with_hits([NAMED["BsmAI"]], "SELECT seq_id, pat, count(*) AS n_sites, string_agg(site * strand, ' ' ORDER BY site, strand) AS sites FROM (SELECT DISTINCT seq_id, pat, site, strand FROM hits) GROUP BY ALL"))
+def signed_sites_table(spark, sf_dir):
+    return derive.sites_table(hits(spark, sf_dir, [NAMED["BsmAI"]]), True)
+
+
+LINEAR = """f AS (SELECT seq_id, pat, row_number() OVER w AS frag_no, coalesce(lag(site) OVER w, 0) AS begin_site, site AS end_site FROM {0} WINDOW w AS (PARTITION BY seq_id, pat ORDER BY site)
+UNION ALL SELECT seq_id, pat, count(*) + 1, max(site), any_value(seq_len) FROM {0} GROUP BY seq_id, pat)"""
+FRAGMENT = "SELECT seq_id, pat, frag_no, begin_site, end_site, end_site - begin_site AS frag_len FROM f"
+
+
+@query("fragments_linear", with_hits(FEW, ", " + LINEAR.format("sites") + " " + FRAGMENT))
+def fragments_linear(spark, sf_dir):
+    return derive.fragments(sites(spark, sf_dir, FEW))
+
+
+@query(
+    "fragments_circular",
+    with_hits(FEW, "SELECT seq_id, pat, row_number() OVER w AS frag_no, coalesce(lag(site) OVER w, max(site) OVER p) AS begin_site, site AS end_site, CASE WHEN lag(site) OVER w IS NULL THEN site + seq_len - max(site) OVER p ELSE site - lag(site) OVER w END AS frag_len FROM sites WINDOW w AS (PARTITION BY seq_id, pat ORDER BY site), p AS (PARTITION BY seq_id, pat)", circular=True),
+)
+def fragments_circular(spark, sf_dir):
+    return derive.fragments(sites(spark, sf_dir, FEW, circular=True), circular=True)
+
+
+COMBINED = "comb AS (SELECT DISTINCT seq_id, seq_len, 'Combined' AS pat, site FROM sites)"
+
+
+@query("combined_digest", with_hits(FEW, f", {COMBINED}, " + LINEAR.format("comb") + " " + FRAGMENT))
+def combined_digest(spark, sf_dir):
+    return derive.fragments(derive.combined(sites(spark, sf_dir, FEW)))
+
+
+@query("tagged_digest", with_hits(FEW, f", {COMBINED}, " + LINEAR.format("comb") + " " + FRAGMENT + " WHERE (seq_id, begin_site) IN (SELECT (seq_id, site) FROM sites WHERE pat = 'RsaI') OR (seq_id, end_site) IN (SELECT (seq_id, site) FROM sites WHERE pat = 'RsaI')"))
+def tagged_digest(spark, sf_dir):
+    return derive.tagged_digest(sites(spark, sf_dir, FEW), "RsaI")
+
+
+@query("sorted_fragments", with_hits(FEW, ", " + LINEAR.format("sites") + " SELECT seq_id, pat, row_number() OVER (PARTITION BY seq_id, pat ORDER BY end_site - begin_site, frag_no) AS place, end_site - begin_site AS frag_len FROM f"))
+def sorted_fragments(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    f = derive.fragments(sites(spark, sf_dir, FEW))
+    return f.select("seq_id", "pat", F.row_number().over(Window.partitionBy("seq_id", "pat").orderBy("frag_len", "frag_no")).cast("long").alias("place"), "frag_len")
+
+
+@query("binned_hits", with_hits(SOME, "SELECT seq_id, pat, (site // 500 + 1) * 500 AS bin, count(*) AS n_hits FROM sites GROUP BY ALL"))
+def binned_hits(spark, sf_dir):
+    return derive.binned(sites(spark, sf_dir, SOME), 500)
+
+
+@query(
+    "binned_pivot",
+    with_hits(
+        FEW,
+        ", b AS (SELECT DISTINCT seq_id, unnest(range(1, seq_len // 500 + 2)) * 500 AS bin FROM sites) SELECT seq_id, bin, " + ", ".join(f"(SELECT count(*) FROM sites s WHERE s.seq_id = b.seq_id AND (s.site // 500 + 1) * 500 = b.bin AND s.pat = '{p.name}') AS {p.name}" for p in FEW) + " FROM b",
+    ),
+)
+def binned_pivot(spark, sf_dir):
+    return derive.binned_wide(sites(spark, sf_dir, FEW), 500, [p.name for p in FEW])
+
+
+SENSITIVE = {"dam": ([NAMED["TaqI"], NAMED["MboI"], pt.pattern("BsmAI2", "GTCTC", 6, 4, dam=1, dcm=1)], pt.DAM, 4), "dcm": ([NAMED["HaeIII"], NAMED["HinfI"], pt.pattern("ccg", "CCG", 1, 0, dcm=0)], pt.DCM, 5)}
+for _kind, (_ps, _m, _back) in SENSITIVE.items():
+
+    def _masked(spark, sf_dir, kind=_kind, ps=_ps, m=_m):
+        return derive.masked(hits(spark, sf_dir, ps), hits(spark, sf_dir, [m]), ps, kind).select("seq_id", "pat", "strand", "site")
+
+    _off = "CASE pat " + " ".join(f"WHEN '{p.name}' THEN CASE strand WHEN 1 THEN site + {getattr(p, _kind)} ELSE site - {getattr(p, _kind)} + {p.overhang} - {_back} END" for p in _ps if getattr(p, _kind) != 100) + " END"
+    query(
+        f"{_kind}_masked",
+        with_hits([*_ps, _m], f", k AS (SELECT *, {_off} AS blocked FROM hits WHERE pat <> '{_kind}') SELECT seq_id, pat, strand, site FROM k WHERE NOT EXISTS (SELECT 1 FROM hits m WHERE m.pat = '{_kind}' AND m.seq_id = k.seq_id AND m.site = k.blocked)"),
+    )(_masked)
+
+
+PROXIMITY = {0: "MboI,300,TaqI", 1: "MboI,g1500,TaqI", 2: "MboI,200-700,TaqI", 3: "MboI,-l500,TaqI", 4: "MboI,-g1500,TaqI", 5: "MboI,-200-700,TaqI", 6: "MboI,+l500,TaqI", 7: "MboI,+g1500,TaqI", 8: "MboI,+200-500,TaqI"}
+_HOLDS = {
+    0: "abs(b - a) < 300", 1: "abs(b - a) > 1500", 2: "abs(b - a) BETWEEN 200 AND 700", 3: "b > a AND b < a + 500", 4: "b - a > 1500", 5: "b - a BETWEEN 200 AND 700",
+    6: "a > b AND a < b + 500", 7: "a - b > 1500", 8: "a - b BETWEEN 200 AND 500",
+}
+for _k, _spec in PROXIMITY.items():
+
+    def _near(spark, sf_dir, spec=_spec):
+        return proximity.near(sites(spark, sf_dir, [NAMED["MboI"], NAMED["TaqI"]]), spec)
+
+    query(f"prox_{_k}", with_hits([NAMED["MboI"], NAMED["TaqI"]], f"SELECT seq_id, a AS site_a, b AS site_b, b - a AS distance FROM (SELECT seq_id, site AS a FROM sites WHERE pat = 'MboI') JOIN (SELECT seq_id, site AS b FROM sites WHERE pat = 'TaqI') USING (seq_id) WHERE {_HOLDS[_k]}"))(_near)
+
+
+@query("prox_same", with_hits([NAMED["TaqI"]], "SELECT x.seq_id, x.site AS site_a, y.site AS site_b, y.site - x.site AS distance FROM sites x JOIN sites y ON x.seq_id = y.seq_id AND x.site <> y.site AND abs(x.site - y.site) < 200"))
+def prox_same(spark, sf_dir):
+    return proximity.near(sites(spark, sf_dir, [NAMED["TaqI"]]), "TaqI,200,taqi")
+
+
+RANGES = [(100, 400, True), (401, 600, False), (900, 1500, True)]
+
+
+@query(
+    "clone_ranges",
+    with_hits(SOME, ", m AS (SELECT seq_id, pat, max(CAST(site BETWEEN 100 AND 400 AS INT)) AS rule_1, 1 - max(CAST(site > 401 AND site < 600 AS INT)) AS rule_2, max(CAST(site BETWEEN 900 AND 1500 AS INT)) AS rule_3 FROM sites GROUP BY ALL) SELECT *, rule_1 + rule_2 + rule_3 AS n_met, rule_1 + rule_2 + rule_3 = 3 AS all_met FROM m"),
+)
+def clone_ranges(spark, sf_dir):
+    return derive.clone_ranges(sites(spark, sf_dir, SOME), RANGES)
+
+
+RULES = {
+    "rule_and": "R1,(MboI:1:8&TaqI:1:2),200",
+    "rule_or": "R2,(HinfI:2|RsaI:2:9),400",
+    "rule_xor": "R3,((HinfI:1:3^RsaI:1)&TaqI:1:20),600",
+    "rule_nested": "R4,(TaqI:1|(RsaI:1&(HinfI:0:0^MboI:2))),300",
+}
+for _name, _text in RULES.items():
+    _rule = parse_rule(_text)
+    _names = [t.name for t in _rule.terms]
+
+    def _windows(spark, sf_dir, rule=_rule, names=_names):
+        return windows.rule_windows(sites(spark, sf_dir, pt.select(DEMO, names)), rule)
+
+    _counts = ", ".join(f"CAST(sum(CAST(pat = '{n}' AS INT)) OVER w AS BIGINT) AS n_{n}" for n in _names)
+    query(
+        _name,
+        with_hits(
+            pt.select(DEMO, _names),
+            f", w AS (SELECT DISTINCT seq_id, site AS lo, max(site) OVER w AS hi, {_counts} FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY site RANGE BETWEEN CURRENT ROW AND {_rule.window} FOLLOWING)) SELECT '{_rule.name}' AS rule_name, seq_id, lo, hi, hi - lo AS width, {', '.join(f'n_{n}' for n in _names)} FROM w WHERE {_rule.sql()}",
+        ),
+    )(_windows)
+
+
+@query("extract_context", with_hits(FEW + [NAMED["BsmAI"]], f"SELECT h.seq_id, pat, strand, site, greatest(1, site - 10) AS lo, least(length(seq), site + 12) AS hi, CASE WHEN strand = -1 THEN {REVCOMP.format('x')} ELSE x END AS bases FROM (SELECT h.*, seq, substr(seq, greatest(1, site - 10), least(length(seq), site + 12) - greatest(1, site - 10) + 1) AS x FROM hits h JOIN seqs USING (seq_id)) h"))
+def extract_context(spark, sf_dir):
+    return derive.extract(sequences(spark, sf_dir), hits(spark, sf_dir, FEW + [NAMED["BsmAI"]]), 10, 12, True)
+
+
+@query("ladder_cells", with_hits(SOME, "SELECT seq_id, pat, greatest(0, CAST(floor(0.5 + site * 60.0::DOUBLE / seq_len) AS BIGINT) - 1) AS cell, count(*) AS n, CASE WHEN count(*) = 1 THEN '|' WHEN count(*) <= 9 THEN CAST(count(*) AS VARCHAR) ELSE '*' END AS mark FROM sites GROUP BY 1, 2, 3"))
+def ladder_cells(spark, sf_dir):
+    return derive.ladder_cells(sites(spark, sf_dir, SOME), 60)
+
+
+@query("few_cutters", with_hits(SOME, "SELECT seq_id, pat, count(*) AS n_hits, min(site) AS first_site FROM sites GROUP BY seq_id, seq_len, pat HAVING count(*) <= CASE WHEN seq_len > 10000 THEN floor(log10(seq_len)) - 2 ELSE 1 END"))
+def few_cutters(spark, sf_dir):
+    return derive.few_cutters(sites(spark, sf_dir, SOME))
+
+
+@query("gel_cells", with_hits(FEW, ", " + LINEAR.format("sites") + ", g AS (SELECT seq_id, pat, end_site - begin_site AS n FROM f) SELECT seq_id, pat, CASE WHEN n < 100 THEN 0 ELSE least(70, CAST(floor(0.5 + 70.0::DOUBLE * (log10(n) - log10(100.0::DOUBLE)) / (log10(5000.0::DOUBLE) - log10(100.0::DOUBLE))) AS BIGINT)) END AS cell, count(*) AS n FROM g GROUP BY 1, 2, 3"))
+def gel_cells(spark, sf_dir):
+    return derive.gel_cells(derive.fragments(sites(spark, sf_dir, FEW)), 70, 100, 5000)
+
+
+@query("plasmid_angles", with_hits(FEW, "SELECT seq_id, pat, site, CAST(floor(site * 360000 / CAST(seq_len AS DOUBLE)) AS BIGINT) AS angle FROM sites"))
+def plasmid_angles(spark, sf_dir):
+    return derive.plasmid_angles(sites(spark, sf_dir, FEW))
+
+
+@query(
+    "linear_map_rows",
+    with_hits(FEW, f", b AS (SELECT seq_id, k AS block_no, k * 60 + 1 AS begin, substr(seq, k * 60 + 1, 60) AS bases FROM seqs, unnest(range(0, (length(seq) + 59) // 60)) AS t(k)), l AS (SELECT seq_id, (site - 1) // 60 AS block_no, string_agg(pat || ':' || site, ' ' ORDER BY site, pat) AS labels FROM sites GROUP BY 1, 2) SELECT seq_id, block_no, begin, bases, {COMPLEMENT.format('bases')} AS other, coalesce(labels, '') AS labels FROM b LEFT JOIN l USING (seq_id, block_no)"),
+)
+def linear_map_rows(spark, sf_dir):
+    return derive.linear_map(sequences(spark, sf_dir), sites(spark, sf_dir, FEW), 60)
+
+
+# ------------------------------------------------------- translation, frames
+
+
+def _codon_map_sql(table: int = 0) -> str:
+    t = cod.codon_table(table)
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(t.items())) + "}"
+
+
+def _protein_sql(frame: int, table: int = 0, seq: str = "seq") -> str:
+    s = f"substr({seq}, {(frame - 1) % 3 + 1})" if frame <= 3 else f"substr({REVCOMP.format(seq)}, {(frame - 1) % 3 + 1})"
+    return f"coalesce(array_to_string(list_transform(regexp_extract_all({s}, '(...)', 1), lambda c: coalesce({_codon_map_sql(table)}[c], 'X')), ''), '')"
+
+
+for _f in orfs.FRAMES:
+
+    def _frame(spark, sf_dir, frame=_f):
+        return orfs.frames(sequences(spark, sf_dir), [frame]).select("seq_id", "frame", "protein")
+
+    query(f"translate_frame{_f}", f"WITH {SEQ} SELECT seq_id, {_f} AS frame, {_protein_sql(_f)} AS protein FROM seqs")(_frame)
+
+
+@query("translate_mito", f"WITH {SEQ} SELECT seq_id, {_protein_sql(1, 1)} AS protein FROM seqs")
+def translate_mito(spark, sf_dir):
+    return sequences(spark, sf_dir).select("seq_id", cod.translate("seq", 1, 1).alias("protein"))
+
+
+@query("translate_three", f"WITH {SEQ} SELECT seq_id, coalesce(array_to_string(list_transform(regexp_extract_all({_protein_sql(1)}, '(.)', 1), lambda a: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in cod.THREE.items())}}}[a]), ''), '') AS protein FROM seqs")
+def translate_three(spark, sf_dir):
+    return sequences(spark, sf_dir).select("seq_id", cod.translate("seq", 1, 0, 3).alias("protein"))
+
+
+_BACK = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(cod.reverse_codons().items())) + "}"
+_SILENT = f"coalesce(array_to_string(list_transform(regexp_extract_all({_protein_sql(1)}, '(.)', 1), lambda a: {_BACK}[a]), ''), '')"
+
+
+@query("reverse_translate", f"WITH {SEQ} SELECT seq_id, {_SILENT} AS seq FROM seqs")
+def reverse_translate(spark, sf_dir):
+    return orfs.silent(sequences(spark, sf_dir))
+
+
+@query("silent_sites", with_hits([NAMED["HinfI"], NAMED["BsmAI"]], "SELECT seq_id, pat, strand, start FROM hits", "overlap", f"base AS (SELECT * FROM ({SEQ.removeprefix('seqs AS (').removesuffix(')')})), seqs AS (SELECT seq_id, {_SILENT} AS seq FROM base)"))
+def silent_sites(spark, sf_dir):
+    return match.find_sites(orfs.silent(sequences(spark, sf_dir)), [NAMED["HinfI"], NAMED["BsmAI"]], mode="overlap").select("seq_id", "pat", "strand", "start")
+
+
+@query("codon_usage", f"WITH {SEQ} SELECT codon, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '(...)', 1)) AS codon FROM seqs) GROUP BY 1")
+def codon_usage(spark, sf_dir):
+    return orfs.codon_usage(sequences(spark, sf_dir))
+
+
+_ORFS = f"""{SEQ}, pr AS ({" UNION ALL ".join(f"SELECT seq_id, {f} AS frame, {_protein_sql(f)} AS protein FROM seqs" for f in orfs.FRAMES)}),
+pieces AS (SELECT seq_id, frame, unnest(string_split(protein, '*')) AS piece, generate_subscripts(string_split(protein, '*'), 1) AS k FROM pr),
+placed AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY seq_id, frame ORDER BY k) - length(piece) - 1 AS before FROM pieces),
+begun AS (SELECT *, CASE WHEN k = 1 THEN 0 ELSE strpos(piece, 'M') - 1 END AS skip FROM placed),
+o AS (SELECT seq_id, frame, CAST(before + skip + 1 AS BIGINT) AS aa_begin, substr(piece, skip + 1) AS peptide FROM begun WHERE skip >= 0 AND length(piece) - skip >= 20),
+orfs AS (SELECT seq_id, frame, aa_begin, aa_begin + length(peptide) - 1 AS aa_end, length(peptide) AS aa_len, (frame - 1) % 3 + (aa_begin - 1) * 3 + 1 AS bp_begin, (frame - 1) % 3 + (aa_begin + length(peptide) - 1) * 3 AS bp_end, peptide, row_number() OVER (PARTITION BY seq_id, frame ORDER BY aa_begin) AS orf_no FROM o)"""
+
+
+@query("orf_table", f"WITH {_ORFS} SELECT * FROM orfs")
+def orf_table(spark, sf_dir):
+    return orfs.orfs(sequences(spark, sf_dir), 20)
+
+
+@query("orf_composition", f"WITH {_ORFS} SELECT seq_id, frame, orf_no, aa, count(*) AS n, round(100.0::DOUBLE * count(*) / aa_len, 4) AS percent FROM (SELECT seq_id, frame, orf_no, aa_len, unnest(string_split(peptide, '')) AS aa FROM orfs) GROUP BY seq_id, frame, orf_no, aa_len, aa")
+def orf_composition(spark, sf_dir):
+    return orfs.composition(orfs.orfs(sequences(spark, sf_dir), 20))
+
+
+_MASS = " + ".join([str(cod.WATER_MASS), *(f"(length(peptide) - length(replace(peptide, '{aa}', ''))) * {m}" for aa, m in cod.RESIDUE_MASS.items())])
+
+
+@query("orf_weights", f"WITH {_ORFS} SELECT seq_id, frame, orf_no, round(({_MASS})::DOUBLE / 1000, 4) AS mol_wt_kd FROM orfs")
+def orf_weights(spark, sf_dir):
+    return orfs.orfs(sequences(spark, sf_dir), 20).select("seq_id", "frame", "orf_no", F.round(cod.molecular_weight("peptide"), 4).alias("mol_wt_kd"))
+
+
+@query("orf_isoelectric")
+def orf_isoelectric(spark, sf_dir):
+    return orfs.orfs(sequences(spark, sf_dir), 20).select("seq_id", "frame", "orf_no", F.round(cod.isoelectric_point("peptide"), 3).alias("pi"))
+
+
+@query("orf_fasta", f"WITH {_ORFS} SELECT seq_id, frame, orf_no, '>' || seq_id || ' frame ' || frame || ' orf ' || orf_no || ' bases ' || bp_begin || '-' || bp_end || chr(10) || peptide AS record FROM orfs")
+def orf_fasta(spark, sf_dir):
+    return orfs.fasta(orfs.orfs(sequences(spark, sf_dir), 20))
+
+
+@query("metstop", f"WITH {SEQ}, p AS (SELECT seq_id, 1 AS frame, {_protein_sql(1)} AS protein FROM seqs), c AS (SELECT seq_id, frame, k, substr(protein, k, 1) AS aa FROM p, unnest(range(1, length(protein) + 1)) AS t(k)) SELECT seq_id, frame, CASE aa WHEN 'M' THEN k ELSE -k END AS place FROM c WHERE aa IN ('M', '*')")
+def metstop(spark, sf_dir):
+    return orfs.starts_and_stops(sequences(spark, sf_dir), [1])
