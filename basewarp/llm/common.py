@@ -94,7 +94,7 @@ def _power(base: int, n: int) -> np.ndarray:
         got = np.full(max(n, 1 << 20), base, dtype=np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
-        if n <= 1 << 24:
+        if n <= 1 << 22:  # else a very long text's, not kept
             _powers[base] = got
     return got[:n]
 
@@ -109,7 +109,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of a text column of about ``limit`` bytes, null as empty: first row, bytes, offsets from 0 (one more than rows)."""
     if len(column) == 0:
         return

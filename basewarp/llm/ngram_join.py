@@ -45,8 +45,8 @@ from .components import Forest, components
 WORDS, PERCENT = 4, 85
 #: Shingles kept as frequent (a bound of what is broadcast; it only shapes the order) and how often one is in a batch to be reported.
 FREQUENT, REPORTED = 1 << 17, 4
-#: Lists up to this length give pairs, longer ones stars.
-SHORT = 24
+#: Lists up to this length give pairs, longer ones (and those of shingles counted more often than HOT) stars.
+SHORT, HOT = 64, 256
 #: K, the shared short lists that make a candidate.
 EXTRA = 4
 #: Sets and set items of a block that one task takes.
@@ -97,12 +97,12 @@ class Order:
         rank = np.empty(len(hashes), dtype=np.int64)
         rank[np.lexsort((hashes, -counts))] = np.arange(len(hashes))
         by = np.argsort(hashes)
-        self.hashes, self.rank = hashes[by], rank[by]
+        self.hashes, self.rank, self.hot = hashes[by], rank[by], int((counts > HOT).sum())
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(hashes >> _U(42)).astype(np.int64)] = True
 
     def first(self, u: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-        """The first n items of a sorted set in this order, and how many of them are not frequent."""
+        """The first n items of a sorted set in this order, and how many of them are not hot."""
         at = np.flatnonzero(self.maybe[(u >> _U(42)).astype(np.int64)])
         if len(at):
             where = np.minimum(np.searchsorted(self.hashes, u[at]), len(self.hashes) - 1)
@@ -115,8 +115,8 @@ class Order:
         plain = u[rare][:n]
         if len(plain) == n:
             return plain, n
-        common = u[at[np.argsort(-self.rank[where])]][: n - len(plain)]
-        return np.concatenate([plain, common]), len(plain)
+        late = np.argsort(-self.rank[where])[: n - len(plain)]
+        return np.concatenate([plain, u[at[late]]]), n - int((self.rank[where[late]] < self.hot).sum())
 
 
 _SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
@@ -129,18 +129,22 @@ def _sets(batches, k: int):
     """Rows of kind 0: a document's class and set size; kind 1: a shingle frequent in the batch and its count."""
     for b in batches:
         ids = b.column("doc_id")
-        for at, data, offsets in chunks(b.column("text"), 16 << 20):
+        once: dict[int, np.ndarray] = {}  # copies count once
+        for at, data, offsets in chunks(b.column("text")):
             sets = shingle_sets(data, offsets, k)
             n = np.array([len(u) for u in sets], dtype=np.int64)
             keys = np.array([class_of(u) if len(u) else 0 for u in sets], dtype=np.int64)
             yield batch_of(_SETS, kind=np.zeros(len(sets), dtype=np.int8), doc_id=ids.slice(at, len(sets)), key=pa.array(keys, mask=n == 0), n=n)
-            _, once = np.unique(keys, return_index=True)  # copies count once
-            every = np.sort(np.concatenate([sets[i] for i in once])) if len(once) else np.zeros(0, dtype=np.uint64)
-            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
-            count = np.diff(np.append(edge, len(every)))
-            often = count >= REPORTED
-            m = int(often.sum())
-            yield batch_of(_SETS, kind=np.ones(m, dtype=np.int8), doc_id=pa.nulls(m, pa.int64()), key=every[edge[often]].view(np.int64), n=count[often])
+            once.update(zip(keys.tolist(), sets))
+        every = np.concatenate(list(once.values())) if once else np.zeros(0, dtype=np.uint64)
+        once.clear()
+        every.sort()
+        # An item that is there REPORTED times equals the one REPORTED - 1 places on.
+        ahead = every[REPORTED - 1 :]
+        often = np.unique(ahead[every[: len(ahead)] == ahead])
+        count = np.searchsorted(every, often, side="right") - np.searchsorted(every, often, side="left")
+        m = len(often)
+        yield batch_of(_SETS, kind=np.ones(m, dtype=np.int8), doc_id=pa.nulls(m, pa.int64()), key=often.view(np.int64), n=count)
 
 
 def _crowded(crowds: dict[int, int], key: int, doc) -> bool:
@@ -151,7 +155,7 @@ def _crowded(crowds: dict[int, int], key: int, doc) -> bool:
 def _postings(batches, k: int, percent: int, order: Order, crowds: dict[int, int]):
     for b in batches:
         ids = b.column("doc_id").to_pylist()
-        for at, data, offsets in chunks(b.column("text"), 8 << 20):
+        for at, data, offsets in chunks(b.column("text")):
             tokens, keys, sizes, lens, hot = [], [], [], [], []
             done: set[int] = set()
             for doc, u in zip(ids[at:], shingle_sets(data, offsets, k)):
@@ -241,7 +245,7 @@ def _arrays(batches, k: int, bits: np.ndarray, crowds: dict[int, int]):
     """Whole sets of the classes that some block has (the bitmap lets a few others through)."""
     for b in batches:
         ids = b.column("doc_id").to_pylist()
-        for at, data, offsets in chunks(b.column("text"), 8 << 20):
+        for at, data, offsets in chunks(b.column("text")):
             keys, items = [], []
             for doc, u in zip(ids[at:], shingle_sets(data, offsets, k)):
                 if len(u):
