@@ -90,21 +90,12 @@ def find_by_seeds(seqs: DataFrame, patterns: list[Pattern], circular: bool = Fal
     rows = [(word, p.name, strand, iupac_regex(site), at, len(site), shift) for p in patterns for word, strand, site, at, shift in seed_keys(p, width)]
     keys = spark.createDataFrame(rows, "word string, pat string, strand int, regex string, at int, len int, shift int")
     keys = F.broadcast(keys) if len(rows) <= 500_000 else keys
-    longest = max(max(p.length for p in patterns), width)
-    pieces = chunked(seqs, longest - 1 + width, circular)
-    # A word may hang over the sequence's end only as padding of a shorter site.
-    padded = pieces.withColumn("piece", F.concat("piece", F.lit("-" * width)))
-    words = padded.select("*", F.explode(F.sequence(F.lit(1), F.length("piece") - width + 1)).alias("i")).withColumn("word", F.substring("piece", F.col("i"), F.lit(width)))
-    tails = words.where(F.contains("word", F.lit("-")) & ~F.startswith("word", F.lit("-")))
-    # Words that end in padding stand for all words with that beginning.
-    short = [n for n in range(1, width)]
-    whole = words.where(~F.contains("word", F.lit("-"))).join(keys, "word")
-    cut = tails.withColumn("head", F.rtrim(F.translate("word", "-", " ")))
-    heads = keys.withColumn("h", F.explode(F.array(*[F.struct(F.substring("word", 1, n).alias("head"), F.lit(n).alias("n")) for n in short])))
-    heads = heads.where("h.n >= len - at").select(F.col("h.head").alias("head"), "pat", "strand", "regex", "at", "len", "shift").distinct()
-    columns = ["seq_id", "seq_len", "base", "own", "piece", "i", "pat", "strand", "regex", "at", "len", "shift"]
-    both = whole.select(columns).unionByName(cut.join(F.broadcast(heads), "head").select(columns))
-    hits = both.withColumn("s", F.col("i") - F.col("at")).where("s >= 1 AND s <= own").where(F.expr("substring(piece, s, len) RLIKE concat('^', regex, '$')"))
+    pieces = chunked(seqs, max(p.length for p in patterns) - 1, circular)
+    # Sites shorter than a seed are looked up by words of their own length.
+    widths = sorted({len(r[0]) for r in rows})
+    at = pieces.select("*", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("i"))
+    words = at.select("*", F.explode(F.array(*[F.substring("piece", F.col("i"), F.lit(w)) for w in widths])).alias("word"))
+    hits = words.join(keys, "word").withColumn("s", F.col("i") - F.col("at")).where("s >= 1 AND s <= own").where(F.expr("substring(piece, s, len) RLIKE concat('^', regex, '$')"))
     start = (F.col("base") + F.col("s")).cast("long")
     return hits.select("seq_id", "seq_len", "pat", "strand", start.alias("start"), (start + F.col("shift")).cast("long").alias("site")).distinct()
 

@@ -119,7 +119,7 @@ def seed_keys(p: Pattern, width: int = 6) -> Iterable[tuple[str, int, str, int,
     """(plain word, strand, site as read on top, offset of the word, offset of the coordinate) of every variant and strand."""
     for strand, site, shift in p.strands():
         for v in variants(site, p.errors):
-            at, word = best_seed(v, width)
+            at, word = best_seed(v, min(width, len(v)))
             for plain in expand(word):
                 yield plain, strand, v, at, shift
 
