@@ -2,7 +2,7 @@
 
 A shard is a run of documents by doc_id.  Its ids, each document closed by an end symbol of
 its own that no rule may have on the left, are compressed in rounds: all pairs are counted
-by sorting, the frequent ones (an eighth of the most frequent pair's count or more) become
+by sorting, the frequent ones (a 32nd of the most frequent pair's count or more) become
 nonterminals, and their occurrences are replaced from left to right, until no pair occurs
 ``LEAST`` times or the nonterminals fill 16 bits.  A record keeps the rules, every
 nonterminal's expansion length, the symbols, and per document where its symbols and ids
@@ -33,7 +33,10 @@ from .tokens import encoder, tokenizer_path
 END_ID = 1
 #: Pairs rarer than this are not worth a rule.
 LEAST = 12
+#: Pairs as frequent as the most frequent one divided by this are replaced in one round.
+DROP = 32
 _TOP = 1 << 16
+_SPREAD = np.uint32(0x9E3779B1)
 
 RECORD = "shard long, n_docs long, n_ids long, n_terminals int, doc_ids binary, doc_null binary, doc_symbols binary, doc_starts binary, rules binary, lengths binary, symbols binary"
 
@@ -56,17 +59,21 @@ def compress(symbols: np.ndarray, first_rule: int, end: int, least: int = LEAST,
         best = int(n.max())
         if best < least:
             break
-        often = np.flatnonzero(n >= max(least, best // 8))
+        often = np.flatnonzero(n >= max(least, best // DROP))
         often = often[np.argsort(-n[often], kind="stable")[: room - n_rules]]
         chosen = ordered[np.append(edge, len(ordered) - 1)[often]]
-        chosen.sort()
-        # Places that a small hashed set lets through, then exactly those of the chosen pairs.
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[(chosen * np.uint32(0x9E3779B1)) >> np.uint32(12)] = True
-        place = np.flatnonzero(maybe[(pair * np.uint32(0x9E3779B1)) >> np.uint32(12)])
-        own = pair[place]
-        at = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
-        same = chosen[at] == own
+        # One pair per slot of a hashed table; a pair that finds its slot taken waits for the next round.
+        slot = (chosen * _SPREAD) >> np.uint32(12)
+        table = np.full(1 << 20, -1, dtype=np.int32)
+        table[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        chosen = chosen[table[slot] == np.arange(len(chosen))]
+        slot = (chosen * _SPREAD) >> np.uint32(12)
+        table[slot] = np.arange(len(chosen), dtype=np.int32)
+        maybe = table >= 0
+        slot = (pair * _SPREAD) >> np.uint32(12)
+        place = np.flatnonzero(maybe[slot])
+        at = table[slot[place]]
+        same = chosen[at] == pair[place]
         place, at = place[same], at[same]
         # In a run of overlapping hits every other one is replaced, from its start.
         count = np.arange(len(place))
@@ -83,12 +90,28 @@ def compress(symbols: np.ndarray, first_rule: int, end: int, least: int = LEAST,
     return np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64), seq
 
 
+def _rounds(rules: np.ndarray, first_rule: int):
+    """Runs of rules that only use rules before the run."""
+    newest, lo = rules.max(axis=1) - first_rule if len(rules) else np.zeros(0, dtype=np.int64), 0
+    while lo < len(rules):
+        later = newest[lo:] >= lo
+        hi = lo + int(later.argmax()) if later.any() else len(rules)
+        yield lo, hi
+        lo = hi
+
+
 def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """Expansion length of each nonterminal; rules only use earlier ones."""
-    out = np.zeros(len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first_rule] if a >= first_rule else 1) + (out[b - first_rule] if b >= first_rule else 1)
-    return out
+    size = np.ones(first_rule + len(rules), dtype=np.int64)
+    for lo, hi in _rounds(rules, first_rule):
+        size[first_rule + lo : first_rule + hi] = size[rules[lo:hi]].sum(axis=1)
+    return size[first_rule:]
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of flat that begin at ``at``, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class Record:
@@ -105,18 +128,19 @@ class Record:
         self.doc_symbols = np.frombuffer(row["doc_symbols"], dtype="<u8").astype(np.int64)
         self.doc_starts = np.frombuffer(row["doc_starts"], dtype="<u8").astype(np.int64)
         # All expansions, one after another.
-        spread = [np.zeros(0, dtype=np.int64)] * len(self.rules)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            spread[k] = np.concatenate([spread[x - self.first_rule] if x >= self.first_rule else np.array([x]) for x in (a, b)])
-        self._flat = np.concatenate([np.arange(self.first_rule), *spread])
         size = np.concatenate([np.ones(self.first_rule, dtype=np.int64), self.lengths])
         self._size, self._at = size, np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), dtype=np.uint16)
+        flat[: self.first_rule] = np.arange(self.first_rule)
+        for lo, hi in _rounds(self.rules, self.first_rule):
+            parts = self.rules[lo:hi].reshape(-1)
+            grown = _gather(flat, self._at[parts], size[parts])
+            begin = self._at[self.first_rule + lo]
+            flat[begin : begin + len(grown)] = grown
+        self._flat = flat
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self._size[symbols]
-        ends = np.cumsum(size)
-        at = np.repeat(self._at[symbols] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        out = self._flat[at]
+        out = _gather(self._flat, self._at[symbols], self._size[symbols])
         return np.where(out == self.end, END_ID, out).astype("<u4")
 
     def document(self, k: int) -> np.ndarray:
@@ -209,6 +233,8 @@ def read_file(file: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(starts, starts[1:])]
                 yield batch_of(_READ, doc_id=pa.array(rec.doc_ids, mask=rec.doc_null), start=starts[:-1] + row["base"], n_tokens=np.diff(starts), ids_crc32=crc)
 
+    # 16 bytes a shard: sent to every task up to a million shards, joined beyond.
+    base = F.broadcast(base) if file.select("shard").count() <= 1_000_000 else base
     return file.join(base, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
