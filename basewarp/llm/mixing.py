@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, slots_for, written
+from .common import slots_for, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -79,17 +79,33 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """One block: in the permutation's order, documents that still fit in the room, and at last the one that comes nearest."""
+    """One block: in the permutation's order, documents that still fit in the room; then exchanges that bring the sum nearer."""
     block = block.sort_values(["perm", "doc_id", "size"], ignore_index=True)
     room, more = float(block["room"].iloc[0]), np.zeros(len(block), dtype=bool)
     for i, size in enumerate(block["size"]):
         if 0 < size <= room:
             room -= size
             more[i] = True
-    left = np.where(more | (block["size"].to_numpy() <= 0), np.inf, np.abs(block["size"].to_numpy() - room))
-    if len(left) and left.min() < room:
-        more[int(left.argmin())] = True
-    return block.assign(more=more)
+    size = block["size"].to_numpy(np.int64)
+    words = size > 0
+    while True:  # then the one addition or exchange that comes nearest, while it comes nearer
+        best, change = abs(room), None
+        out = np.flatnonzero(words & ~more)
+        if len(out):
+            out = out[np.argsort(size[out], kind="stable")]
+            for a in (-1, *np.flatnonzero(more)):  # -1: only add
+                want = room + (size[a] if a >= 0 else 0)
+                k = int(np.searchsorted(size[out], want))
+                for b in out[max(0, k - 1) : k + 1]:
+                    if abs(want - size[b]) < best:
+                        best, change = abs(want - size[b]), (a, b)
+        if change is None:
+            return block.assign(more=more)
+        a, b = change
+        room += (size[a] if a >= 0 else 0) - size[b]
+        more[b] = True
+        if a >= 0:
+            more[a] = False
 
 
 def mix(docs: DataFrame, out_shards: int = 64, block_rows: int = 2_000, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
@@ -147,13 +163,9 @@ def mix(docs: DataFrame, out_shards: int = 64, block_rows: int = 2_000, weights:
     )
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
+def mixed_rows(docs: DataFrame, out_shards: int = 64) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, shard by shard and shuffled within."""
-    plan = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards", "place").dropDuplicates(["_id"])
+    plan = mix(docs, out_shards).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards", "place").dropDuplicates(["_id"])
     taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
     again = taken.select("*", F.posexplode("shards").alias("_copy", "_shard"))
-    return again.sortWithinPartitions("_shard", "place", "_copy").select(*[docs[c] for c in docs.columns])
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return again.repartition(out_shards, "_shard").sortWithinPartitions("_shard", "place", "_copy").select(*[docs[c] for c in docs.columns])
