@@ -76,3 +76,52 @@ SELECT doc_id,
        sha256(norm) AS text_sha256
 FROM t
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES["op2_ngram_join"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(_LOW)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i : i + 3] END AS k
+  FROM t, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS u(i)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+edges AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = t.doc_id), t.doc_id)) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id
+"""
+
+
+def _quality_sql() -> str:
+    rules = []
+    for measure, low, high, least in quality_rules.THRESHOLDS:
+        parts = [f"{measure} >= {low}"] * (low is not None) + [f"{measure} <= {high}"] * (high is not None)
+        rules.append(f"({' AND '.join(parts)} OR n_words < {least})")
+    stop = ", ".join(f"'{w}'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+win AS (SELECT doc_id, i, w[i : i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words,
+    len(lines) AS n_lines, len(list_filter(w, lambda x: length(x) <= 12 AND regexp_replace(lower(x), '[.,;:!?]+$', '') IN ({stop}))) AS stops,
+    length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS upper_n, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS letters
+  FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id
+),
+r AS (
+  SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
+    CASE WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_word_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+    CASE WHEN letters > 0 THEN upper_n / letters ELSE 0 END AS upper_ratio, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(rules)} AS kept FROM r
+"""
+
+
+ORACLES["op4_quality_rules"] = _quality_sql()
