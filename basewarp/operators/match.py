@@ -140,8 +140,8 @@ def find_matrix(seqs: DataFrame, name: str, counts: list[tuple[float, float, flo
         # Every column of the matrix is one table lookup by the base's place in "acgt".
         total = F.lit(0)
         for i, r in enumerate(matrix):
-            at = F.instr(F.lit("acgt"), F.substring("piece", F.col("s") + i, F.lit(1)))
-            total = total + F.when(at == 1, r[0]).when(at == 2, r[1]).when(at == 3, r[2]).when(at == 4, r[3]).otherwise(-(10**6))
+            at = F.instr(F.lit("acgt"), F.substring("piece", F.col("s") + i, F.lit(1)))  # 0: no base
+            total = total + F.get(F.array(*map(F.lit, (-(10**6), *r))), at)
         return total
 
     both = rows.select("seq_id", "seq_len", (F.col("base") + F.col("s")).cast("long").alias("start"), F.explode(F.array(F.struct(F.lit(1).alias("strand"), score(scaled).alias("score")), F.struct(F.lit(-1).alias("strand"), score(twin).alias("score")))).alias("m"))

@@ -72,3 +72,21 @@ def silent(seqs: DataFrame, table: int = 0) -> DataFrame:
 def fasta(found: DataFrame) -> DataFrame:
     """Two-line records of open reading frames."""
     return found.select("seq_id", "frame", "orf_no", F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit(" frame "), F.col("frame").cast("string"), F.lit(" orf "), F.col("orf_no").cast("string"), F.lit(" bases "), F.col("bp_begin").cast("string"), F.lit("-"), F.col("bp_end").cast("string"), F.lit("\n"), F.col("peptide")).alias("record"))
+
+
+def orf_map(found: DataFrame, seqs: DataFrame, width: int) -> DataFrame:
+    """First and last column of each open reading frame on a map of ``width`` columns, on the top strand's coordinates."""
+    long = found.join(seqs.select("seq_id", F.length("seq").cast("long").alias("seq_len")), "seq_id")
+    down = F.col("frame") > 3
+    lo = F.when(down, F.col("seq_len") - F.col("bp_end") + 1).otherwise(F.col("bp_begin"))
+    hi = F.when(down, F.col("seq_len") - F.col("bp_begin") + 1).otherwise(F.col("bp_end"))
+    cell = lambda c: F.floor((c - 1) * F.lit(width) / F.col("seq_len")).cast("long")
+    return long.select("seq_id", "frame", "orf_no", cell(lo).alias("first_cell"), cell(hi).alias("last_cell"))
+
+
+def cotranslation(seqs: DataFrame, which: Sequence[int] = (1, 2, 3), width: int = 60, letters: int = 1, table: int = 0) -> DataFrame:
+    """Residues under each line of a linear map: codons that begin in the line, per frame 1 to 3."""
+    n = F.length("seq").cast("int")
+    lines = seqs.where(n > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).alias("k"))
+    parts = [F.struct(F.lit(f).alias("frame"), translate(F.substring("seq", F.col("k") * width + f, F.lit(width)), 1, table, letters).alias("protein")) for f in which]
+    return lines.select("seq_id", F.col("k").cast("long").alias("block_no"), F.explode(F.array(*parts)).alias("x")).select("seq_id", "block_no", "x.frame", "x.protein")

@@ -554,3 +554,22 @@ def orf_fasta(spark, sf_dir):
 @query("metstop", f"WITH {SEQ}, p AS (SELECT seq_id, 1 AS frame, {_protein_sql(1)} AS protein FROM seqs), c AS (SELECT seq_id, frame, k, substr(protein, k, 1) AS aa FROM p, unnest(range(1, length(protein) + 1)) AS t(k)) SELECT seq_id, frame, CASE aa WHEN 'M' THEN k ELSE -k END AS place FROM c WHERE aa IN ('M', '*')")
 def metstop(spark, sf_dir):
     return orfs.starts_and_stops(sequences(spark, sf_dir), [1])
+
+
+_TOP = "CASE WHEN frame > 3 THEN seq_len - {} + 1 ELSE {} END"
+
+
+@query("orf_map_cells", f"WITH {_ORFS}, m AS (SELECT o.*, length(seq) AS seq_len FROM orfs o JOIN seqs USING (seq_id)) SELECT seq_id, frame, orf_no, ({_TOP.format('bp_end', 'bp_begin')} - 1) * 80 // seq_len AS first_cell, ({_TOP.format('bp_begin', 'bp_end')} - 1) * 80 // seq_len AS last_cell FROM m")
+def orf_map_cells(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    return orfs.orf_map(orfs.orfs(s, 20), s, 80)
+
+
+@query(
+    "cotranslation",
+    f"WITH {SEQ}, b AS (SELECT seq_id, k AS block_no, seq FROM seqs, unnest(range(0, (length(seq) + 59) // 60)) AS t(k)), x AS ("
+    + " UNION ALL ".join(f"SELECT seq_id, block_no, {f} AS frame, substr(seq, block_no * 60 + {f}, 60) AS part FROM b" for f in (1, 2, 3))
+    + f") SELECT seq_id, block_no, frame, {_protein_sql(1, 0, 'part')} AS protein FROM x",
+)
+def cotranslation(spark, sf_dir):
+    return orfs.cotranslation(sequences(spark, sf_dir))
