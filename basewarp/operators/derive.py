@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sequence import complement
 from ..plans.patterns import Pattern
+from .match import CHUNK, chunked
 
 
 def distinct_sites(hits: DataFrame) -> DataFrame:
@@ -136,13 +137,18 @@ def clone_ranges(sites: DataFrame, ranges: list[tuple[int, int, bool]]) -> DataF
     return out.withColumn("n_met", n).withColumn("all_met", F.col("n_met") == len(ranges))
 
 
-def extract(seqs: DataFrame, hits: DataFrame, before: int, after: int, turn: bool = False) -> DataFrame:
-    """Bases from site - before to site + after (clamped) around each hit; turn: bottom-strand hits reverse-complemented."""
-    lo, hi = F.greatest(F.lit(1).cast("long"), F.col("site") - before), F.least(F.length("seq").cast("long"), F.col("site") + after)
-    part = F.substring("seq", lo.cast("int"), (hi - lo + 1).cast("int"))
+def extract(seqs: DataFrame, hits: DataFrame, before: int, after: int, turn: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Bases from site - before to site + after (clamped) around each hit; turn: bottom-strand hits reverse-complemented.
+
+    Hits meet the chunk of sequence that holds their context, not the whole sequence.
+    """
+    lo, hi = F.greatest(F.lit(1).cast("long"), F.col("site") - before), F.least(F.col("seq_len"), F.col("site") + after)
+    at = hits.withColumn("lo", lo).withColumn("hi", hi).withColumn("base", (F.floor((F.col("lo") - 1) / chunk) * chunk).cast("int"))
+    pieces = chunked(seqs, before + after, chunk=chunk).select("seq_id", "base", "piece")
+    part = F.substring("piece", (F.col("lo") - F.col("base")).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int"))
     if turn:
         part = F.when(F.col("strand") == -1, F.reverse(complement(part))).otherwise(part)
-    return hits.join(seqs.select("seq_id", "seq"), "seq_id").select("seq_id", "pat", "strand", "site", lo.alias("lo"), hi.alias("hi"), part.alias("bases"))
+    return at.join(pieces, ["seq_id", "base"]).select("seq_id", "pat", "strand", "site", "lo", "hi", part.alias("bases"))
 
 
 def ladder_cells(sites: DataFrame, width: int) -> DataFrame:
@@ -174,9 +180,7 @@ def plasmid_angles(sites: DataFrame) -> DataFrame:
 
 def linear_map(seqs: DataFrame, sites: DataFrame, width: int = 60) -> DataFrame:
     """Lines of a map: block_no, begin, the bases, the other strand, and the patterns that cut there."""
-    n = F.length("seq").cast("int")
-    lines = seqs.where(n > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).alias("k"))
-    lines = lines.select("seq_id", F.col("k").cast("long").alias("block_no"), (F.col("k") * width + 1).cast("long").alias("begin"), F.substring("seq", F.col("k") * width + 1, F.lit(width)).alias("bases"))
+    lines = chunked(seqs, 0, chunk=width).select("seq_id", F.floor(F.col("base") / width).cast("long").alias("block_no"), (F.col("base") + 1).cast("long").alias("begin"), F.col("piece").alias("bases"))
     label = sites.select("seq_id", F.floor((F.col("site") - 1) / width).cast("long").alias("block_no"), F.struct("site", "pat").alias("x"))
     labels = label.groupBy("seq_id", "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_set("x")), lambda x: F.concat_ws(":", x["pat"], x["site"].cast("string"))), " ").alias("labels"))
     return lines.join(labels, ["seq_id", "block_no"], "left").select("seq_id", "block_no", "begin", "bases", complement("bases").alias("other"), F.coalesce("labels", F.lit("")).alias("labels"))

@@ -21,13 +21,18 @@ MANY = 64
 
 
 def chunked(seqs: DataFrame, overlap: int, circular: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """seq_id, seq_len, base (bases before the chunk), own (starts that belong to it), piece."""
+    """seq_id, seq_len, base (bases before the chunk), own (starts that belong to it), piece.
+
+    Pieces are sliced from bytes: a slice of a string would count characters from its start each time,
+    which grows with the square of a chromosome's length.
+    """
     s = F.col("seq")
     text = F.concat(s, F.substring(s, 1, overlap)) if circular else s
-    df = seqs.select("seq_id", F.length("seq").cast("long").alias("seq_len"), text.alias("_text")).where("seq_len > 0")
+    df = seqs.select("seq_id", F.length("seq").cast("long").alias("seq_len"), text.cast("binary").alias("_bytes")).where("seq_len > 0")
     starts = F.sequence(F.lit(0), F.col("seq_len").cast("int") - 1, F.lit(chunk))
-    df = df.select("seq_id", "seq_len", "_text", F.explode(starts).alias("base"))
-    return df.select("seq_id", "seq_len", "base", F.least(F.lit(chunk), F.col("seq_len").cast("int") - F.col("base")).alias("own"), F.substring("_text", F.col("base") + 1, F.lit(chunk + overlap)).alias("piece"))
+    df = df.select("seq_id", "seq_len", "_bytes", F.explode(starts).alias("base"))
+    piece = F.substring("_bytes", F.col("base") + 1, F.lit(chunk + overlap)).cast("string")
+    return df.select("seq_id", "seq_len", "base", F.least(F.lit(chunk), F.col("seq_len").cast("int") - F.col("base")).alias("own"), piece.alias("piece"))
 
 
 def starts_of(piece: Column, regex: str) -> Column:
@@ -37,12 +42,15 @@ def starts_of(piece: Column, regex: str) -> Column:
     match's start.
     """
     parts = F.split(F.concat(F.lit("#"), piece), f"(?={regex})")
-    ends = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all")),
-    )
-    return ends["all"]
+
+    def ends(parts: Column) -> Column:
+        return F.aggregate(
+            F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all")),
+        )["all"]
+
+    return F.get(F.transform(F.array(parts), ends), F.lit(0))  # bound once, so the text is split once
 
 
 def _scan(seqs: DataFrame, jobs: list[tuple], longest: int, circular: bool) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.codons import isoelectric_point, molecular_weight, reverse_translate, translate
 from ..functions.sequence import reverse_complement
+from .match import chunked
 
 FRAMES = (1, 2, 3, 4, 5, 6)
 
@@ -86,7 +87,6 @@ def orf_map(found: DataFrame, seqs: DataFrame, width: int) -> DataFrame:
 
 def cotranslation(seqs: DataFrame, which: Sequence[int] = (1, 2, 3), width: int = 60, letters: int = 1, table: int = 0) -> DataFrame:
     """Residues under each line of a linear map: codons that begin in the line, per frame 1 to 3."""
-    n = F.length("seq").cast("int")
-    lines = seqs.where(n > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).alias("k"))
-    parts = [F.struct(F.lit(f).alias("frame"), translate(F.substring("seq", F.col("k") * width + f, F.lit(width)), 1, table, letters).alias("protein")) for f in which]
+    lines = chunked(seqs, 2, chunk=width).withColumn("k", F.floor(F.col("base") / width))
+    parts = [F.struct(F.lit(f).alias("frame"), translate(F.substring("piece", f, width), 1, table, letters).alias("protein")) for f in which]
     return lines.select("seq_id", F.col("k").cast("long").alias("block_no"), F.explode(F.array(*parts)).alias("x")).select("seq_id", "block_no", "x.frame", "x.protein")

@@ -16,6 +16,7 @@ from .functions import sequence as sq
 from .operators import derive, match, orfs, proximity, windows
 from .plans import patterns as pt
 from .plans.rules import parse_rule
+from .sources.sequences import from_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +28,7 @@ FEW = [NAMED[n] for n in ("HinfI", "TaqI", "RsaI")]
 
 
 def sequences(spark: SparkSession, sf_dir: str, degenerate: bool = False) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("seq_id"), sq.normalise("text", degenerate).alias("seq"))
+    return from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), degenerate)
 
 
 def query(name: str, sql: str | None = None):
@@ -140,8 +140,7 @@ def degen_runs(spark, sf_dir):
 
 @query("subsequence", f"WITH {SEQ.replace('translate(text', 'translate(substr(text, 101, 400)')} SELECT seq_id, seq FROM seqs")
 def subsequence(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("seq_id"), sq.normalise(sq.subsequence("text", 101, 500)).alias("seq"))
+    return from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), False, 101, 500)
 
 
 @query("kmer_counts", f"WITH {SEQ} SELECT substr(seq, p, 5) AS nmer, count(*) AS n FROM seqs, unnest(range(1, length(seq) - 3)) AS t(p) GROUP BY 1")

@@ -172,8 +172,11 @@ def _fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_text(docs: DataFrame, degenerate: bool = False, begin: int = 1, end: int = 0) -> DataFrame:
-    """Any table with doc_id and text as sequences (the raw reader's rule)."""
+    """Any table with doc_id and text as sequences (the raw reader's rule).
+
+    The one-element explode keeps later filters above the normalising, which then runs once a text.
+    """
     from ..functions.sequence import subsequence
 
     text = F.col("text") if begin <= 1 and not end else subsequence("text", begin, end)
-    return docs.select(F.col("doc_id").alias("seq_id"), normalise(text, degenerate).alias("seq"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.explode(F.array(normalise(text, degenerate))).alias("seq"))
