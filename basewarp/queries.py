@@ -114,9 +114,9 @@ _count = lambda letters: f"length(regexp_replace(w, '[^{letters}]', '', 'g'))"
 
 @query(
     "nmer_properties",
-    f"WITH {IUPAC_SEQ}, w AS (SELECT DISTINCT substr(seq, p, 4) AS w FROM seqs, unnest(range(1, length(seq) - 2)) AS t(p)) SELECT w AS nmer, w = {REVCOMP.format('w')} AS palindrome, "
+    f"WITH {IUPAC_SEQ}, w AS (SELECT DISTINCT substr(seq, p, 4) AS w FROM seqs, unnest(range(1, length(seq) - 2)) AS t(p)) SELECT w AS nmer, w = {REVCOMP.format('w')} AS palindrome, ("
     + " + ".join(f"{_count(x)} * {m}" for x, (m, _) in _FOLD.items())
-    + " AS magnitude, CAST("
+    + ")::DOUBLE AS magnitude, CAST("
     + " * ".join(f"power({d}, {_count(x)})" for x, (_, d) in _FOLD.items())
     + " AS BIGINT) AS degeneracy, CASE WHEN regexp_full_match(w, '[acgt]+') THEN "
     + " + ".join(f"(strpos('acgt', substr(w, {i + 1}, 1)) - 1) * {4**i}" for i in range(4))
@@ -265,7 +265,7 @@ def _matrix_sql(strand: int) -> str:
     need = sum(max(r) for r in rows) * 80 // 100
     rows = rows if strand == 1 else [r[::-1] for r in rows[::-1]]
     score = " + ".join("CASE substr(seq, p + {}, 1) {} END".format(i, " ".join(f"WHEN '{b}' THEN {r[j]}" for j, b in enumerate("acgt"))) for i, r in enumerate(rows))
-    return f"SELECT * FROM (SELECT seq_id, {strand} AS strand, p AS start, p + {len(rows) // 2} AS site, {score} AS score FROM seqs, unnest(range(1, length(seq) - {len(rows)} + 2)) AS t(p)) WHERE score >= {need}"
+    return f"SELECT * FROM (SELECT seq_id, {strand} AS strand, p AS start, p + {len(rows) // 2} AS site, CAST({score} AS BIGINT) AS score FROM seqs, unnest(range(1, length(seq) - {len(rows)} + 2)) AS t(p)) WHERE score >= {need}"
 
 
 @query("matrix_hits", f"WITH {SEQ} {_matrix_sql(1)} UNION ALL {_matrix_sql(-1)}")
@@ -402,7 +402,7 @@ RANGES = [(100, 400, True), (401, 600, False), (900, 1500, True)]
 
 @query(
     "clone_ranges",
-    with_hits(SOME, ", m AS (SELECT seq_id, pat, max(CAST(site BETWEEN 100 AND 400 AS INT)) AS rule_1, 1 - max(CAST(site > 401 AND site < 600 AS INT)) AS rule_2, max(CAST(site BETWEEN 900 AND 1500 AS INT)) AS rule_3 FROM sites GROUP BY ALL) SELECT *, rule_1 + rule_2 + rule_3 AS n_met, rule_1 + rule_2 + rule_3 = 3 AS all_met FROM m"),
+    with_hits(SOME, ", m AS (SELECT seq_id, pat, max(CAST(site BETWEEN 100 AND 400 AS BIGINT)) AS rule_1, 1 - max(CAST(site > 401 AND site < 600 AS BIGINT)) AS rule_2, max(CAST(site BETWEEN 900 AND 1500 AS BIGINT)) AS rule_3 FROM sites GROUP BY ALL) SELECT *, rule_1 + rule_2 + rule_3 AS n_met, rule_1 + rule_2 + rule_3 = 3 AS all_met FROM m"),
 )
 def clone_ranges(spark, sf_dir):
     return derive.clone_ranges(sites(spark, sf_dir, SOME), RANGES)
