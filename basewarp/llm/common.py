@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -58,6 +61,42 @@ def slots_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / each))
 
 
+# --------------------------------------------------------------------------
+# What a Python worker keeps between tasks
+
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """This worker's table for ``owner``, there for its next task of the same kind.  Spark hands workers from one
+    operator to the next, so a worker that starts on other work drops what it had kept."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
+def trimmed() -> None:
+    """Gives memory that Python and Arrow have freed back to the system: idle workers share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def task(owner: str, f):
+    """f (batches to batches) as a worker's task of that owner."""
+
+    def run(batches):
+        kept(owner)
+        try:
+            yield from f(batches)
+        finally:
+            trimmed()
+
+    return run
+
+
 # --------------------------------------------------------------------------
 # Texts as bytes
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_texts, id_and_text, slots_for, written
+from .common import batch_of, byte_texts, id_and_text, slots_for, task, written
 from .perfect_hash import PerfectHash
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
@@ -36,7 +36,7 @@ def digests(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield batch_of(_DIGESTS, doc_id=b.column("doc_id"), digest=[hashlib.sha256(t.lower()).digest() for t in byte_texts(b.column("text"))])  # bytes.lower() is A-Z only
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, digest binary")
+    return id_and_text(docs).mapInArrow(task("exact-dedup", run), "doc_id long, digest binary")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import Grams, segment_sums, split_texts
-from .common import batch_of
+from .common import batch_of, task
 
 ORDERS, BITS, SMOOTHING = (2, 3), 15, 0.5
 #: The matrix is refused beyond this many languages (it would be broadcast: 16 MB for each 32).
@@ -63,7 +63,7 @@ def _count(batches):
 def train(docs: DataFrame, is_training: Column) -> Model:
     """Learns from the rows of docs for which is_training holds and lang is not null."""
     rows = docs.where(is_training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    total = rows.mapInArrow(task("language-id", _count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     width = (1 << BITS) + 1
     got = total.limit(MAX_LANGS * (len(ORDERS) * width + 1) + 1).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
@@ -107,7 +107,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield batch_of(_PREDICTED, doc_id=b.column("doc_id"), held_out=b.column("held_out"), lang_pred=langs, score=best)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(task("language-id", run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -126,4 +126,4 @@ def accepted_rows(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
             langs, best = scores(sent.value, [t or "" for t in b.column(at).cast(pa.string()).to_pylist()])
             yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, best)], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task("language-id", run), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IN_TOKEN, batch_of, chunks, id_and_text, word_hashes, word_spans
+from .common import IN_TOKEN, batch_of, chunks, id_and_text, task, word_hashes, word_spans
 
 #: Phrases and labels of the contract.
 PHRASES = (
@@ -104,7 +104,7 @@ def count_words(docs: DataFrame, index: Index) -> np.ndarray:
         yield batch_of(_COUNTS, word=np.arange(size, dtype=np.int32), n=held)
 
     out = np.zeros(size, dtype=np.int64)
-    for r in id_and_text(docs).select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in id_and_text(docs).select("text").mapInArrow(task("licenses", run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r["word"]] = r["n"]
     return out
 
@@ -196,4 +196,4 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshol
     index = Index(phrases, templates, threshold)
     index.order(count_words(docs, index))
     sent = docs.sparkSession.sparkContext.broadcast(index)
-    return id_and_text(docs).mapInArrow(lambda batches: _scan(sent.value, batches), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return id_and_text(docs).mapInArrow(task("licenses", lambda batches: _scan(sent.value, batches)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

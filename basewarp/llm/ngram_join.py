@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, id_and_text, mixed, word_hashes, word_spans, written
+from .common import batch_of, chunks, id_and_text, mixed, task, word_hashes, word_spans, written
 from .components import Forest, components
 
 WORDS, PERCENT = 4, 85
@@ -344,17 +344,17 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     """(sets: doc_id, class, n; component roots of linked classes: class, root)."""
     spark = docs.sparkSession
     slim = id_and_text(docs)
-    both = written(slim.mapInArrow(lambda bs: _sets(bs, words), "kind tinyint, doc_id long, key long, n long"), "sets")
+    both = written(slim.mapInArrow(task("ngram-join", lambda bs: _sets(bs, words)), "kind tinyint, doc_id long, key long, n long"), "sets")
     sets = both.where("kind = 0").select("doc_id", F.col("key").alias("class"), "n")
     top = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     crowd = sets.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where("c >= 8").orderBy(F.desc("c"), "class").limit(CROWDS).toArrow()
     crowds = spark.sparkContext.broadcast(dict(zip(crowd.column("class").to_pylist(), crowd.column("d").to_pylist())))
 
-    postings = slim.mapInArrow(lambda bs: _postings(bs, words, percent, order.value, crowds.value), "token long, class long, n int, hot boolean")
+    postings = slim.mapInArrow(task("ngram-join", lambda bs: _postings(bs, words, percent, order.value, crowds.value)), "token long, class long, n int, hot boolean")
     # A frequent shingle's postings need not meet, so they are dealt by class.
     lists = postings.repartition("token", F.when(F.col("hot"), F.col("class"))).sortWithinPartitions("token", "class")
-    pairs = lists.mapInArrow(lambda bs: _list_pairs(bs, percent), "a long, b long, n int, need int")
+    pairs = lists.mapInArrow(task("ngram-join", lambda bs: _list_pairs(bs, percent)), "a long, b long, n int, need int")
     candidates = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
     blocks = written(components(candidates), "blocks")
 
@@ -365,7 +365,7 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     within = within.join(parts, "root").select(F.col("class").alias("node"), "root", "parts")
 
     bits = spark.sparkContext.broadcast(_bitmap(blocks))
-    arrays = slim.mapInArrow(lambda bs: _arrays(bs, words, bits.value, crowds.value), "class long, items binary")
+    arrays = slim.mapInArrow(task("ngram-join", lambda bs: _arrays(bs, words, bits.value, crowds.value)), "class long, items binary")
     dealt = arrays.join(within, F.col("class") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "items")
     found = dealt.groupBy("root", "i", "j").applyInPandas(lambda f: _link_block(f, percent), "a long, b long")

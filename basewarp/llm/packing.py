@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, id_and_text, slots_for, written
+from .common import batch_of, id_and_text, slots_for, task, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     out += [(doc, k, a, z - a, zlib.crc32(tokens[a:z].tobytes()), salt) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
             yield batch_of(_PIECES, **{f.name: list(c) for f, c in zip(_PIECES, zip(*out))}) if out else batch_of(_PIECES, **{f.name: [] for f in _PIECES})
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long, salt long")
+    return id_and_text(docs).mapInArrow(task("tokens", run), "doc_id long, piece int, start long, length int, ids_crc32 long, salt long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 {"doc_id": f["doc_id"], "piece": f["piece"], "start": f["start"], "length": length, "ids_crc32": f["ids_crc32"], "sequence_id": run[:, 4] + k // run[:, 3], "offset": run[:, 5] + length * (k % run[:, 3])}
             )
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(task("packing", place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _spans(sorted_values: np.ndarray):

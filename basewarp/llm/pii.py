@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_and_text, written
+from .common import batch_of, id_and_text, task, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, ROUNDS, LEAST_SCORE = 3, 2, 0.75
@@ -178,7 +178,7 @@ def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, leas
 
 def pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans (base and learned)."""
-    found = written(id_and_text(docs).mapInArrow(_find, _FOUND_SQL), "spans")
+    found = written(id_and_text(docs).mapInArrow(task("pii", _find), _FOUND_SQL), "spans")
     good = written(learned(found), "learned")
     more = found.select("uid", F.explode("seen").alias("s")).where("s.kind < 0").select("uid", "s.start", "s.end", F.col("s.instance").alias("instance"))
     more = more.join(good, "instance").groupBy("uid").agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("more"))

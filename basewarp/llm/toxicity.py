@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import Grams, split_texts
-from .common import batch_of, id_and_text, written
+from .common import batch_of, id_and_text, task, written
 
 ORDERS, BITS = (3, 4, 5), 18
 #: Labelled rows a class that training uses at most.
@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             at = np.flatnonzero(held[toxic])
             yield batch_of(_COUNTS, feature=np.append(at, -1).astype(np.int32), toxic=np.full(len(at) + 1, toxic, dtype=np.int32), n=np.append(held[toxic][at], n[toxic]))
 
-    got = sample.mapInArrow(count, "feature int, toxic int, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.mapInArrow(task("toxicity", count), "feature int, toxic int, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n")).toArrow()
     feature, toxic, n = (got.column(c).to_numpy() for c in ("feature", "toxic", "n"))
     size = [int(n[(feature == -1) & (toxic == k)].sum()) for k in (0, 1)]
     if not all(size):
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield batch_of(_ROWS, toxic=b.column("toxic"), features=[f[sent.value[f]].astype(np.int32).tobytes() for f in text_features(texts)])
 
-    data = sample.mapInArrow(featured, "toxic int, features binary").toArrow()
+    data = sample.mapInArrow(task("toxicity", featured), "toxic int, features binary").toArrow()
     y = data.column("toxic").to_numpy().astype(np.float64)
     lists = [np.frombuffer(x, dtype=np.int32) for x in data.column("features").to_pylist()]
     number = np.zeros(_FEATURES, dtype=np.int32)
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = _scores(sent.value, [t or "" for t in b.column("text").to_pylist()])
             yield batch_of(_SCORED, doc_id=b.column("doc_id"), held_out=b.column("held_out"), score=s, predicted=(s >= 0.5).astype(np.int32))
 
-    return id_and_text(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return id_and_text(docs).withColumn("held_out", held_out()).mapInArrow(task("toxicity", run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
