@@ -8,7 +8,7 @@ a hit belongs to the chunk in which it starts, so none is lost or doubled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import iupac_regex
@@ -121,39 +121,43 @@ def find_regex(seqs: DataFrame, expressions: list[tuple[str, str]], longest: int
     return top.unionByName(below.withColumn("site", F.col("seq_len") - F.col("start") + 1).withColumn("start", F.col("site")))
 
 
-def matrix_cells(spark: SparkSession, name: str, counts: list[tuple[float, float, float, float]], cutoff_percent: int) -> tuple[DataFrame, int]:
-    """(strand, pos, base, score) of a count matrix, normalised in integer steps, and the score that a match needs."""
-    sites = max(int(100 * sum(r)) for r in counts)
-    scaled = [[int(100 * x) * 1000 // sites for x in r] for r in counts]
-    best = sum(max(r) for r in scaled)
-    rows = []
-    for i, r in enumerate(scaled):
-        for j, base in enumerate("acgt"):
-            rows.append((1, i + 1, base, r[j]))
-            rows.append((-1, len(scaled) - i, "tgca"[j], r[j]))
-    return spark.createDataFrame(rows, "strand int, pos int, base string, score int"), best * cutoff_percent // 100
+def matrix_scores(counts: list[tuple[float, float, float, float]], cutoff_percent: int) -> tuple[list[list[int]], int]:
+    """A count matrix normalised in integer steps (the largest row sum is 1000), and the score that a match needs."""
+    top = max(int(100 * sum(r)) for r in counts)
+    scaled = [[int(100 * x) * 1000 // top for x in r] for r in counts]
+    return scaled, sum(max(r) for r in scaled) * cutoff_percent // 100
 
 
 def find_matrix(seqs: DataFrame, name: str, counts: list[tuple[float, float, float, float]], cutoff_percent: int = 85) -> DataFrame:
-    """Windows whose summed cell scores reach cutoff_percent of the best possible score: seq_id, pat, strand, start, site, score."""
-    sites = max(int(100 * sum(r)) for r in counts)
-    scaled = [[int(100 * x) * 1000 // sites for x in r] for r in counts]
-    need = sum(max(r) for r in scaled) * cutoff_percent // 100
+    """Windows whose summed cell scores reach cutoff_percent of the best possible score: seq_id, pat, strand, start, site, score.
+
+    Scoring every window as rows would make a row per base and strand; chunks go to numpy in Arrow
+    batches instead and only hits come back.
+    """
+    scaled, need = matrix_scores(counts, cutoff_percent)
     n = len(scaled)
-    twin = [[r[3 - j] for j in range(4)] for r in scaled[::-1]]  # turned by half a circle
-    pieces = chunked(seqs, n - 1)
-    rows = pieces.select("seq_id", "seq_len", "base", "piece", F.explode(F.sequence(F.lit(1), F.least(F.col("own"), F.length("piece") - n + 1))).alias("s")).where(f"s >= 1 AND s + {n} - 1 <= length(piece)")
-
-    def score(matrix: list[list[int]]) -> Column:
-        # Every column of the matrix is one table lookup by the base's place in "acgt".
-        total = F.lit(0)
-        for i, r in enumerate(matrix):
-            at = F.instr(F.lit("acgt"), F.substring("piece", F.col("s") + i, F.lit(1)))  # 0: no base
-            total = total + F.get(F.array(*map(F.lit, (-(10**6), *r))), at)
-        return total
-
-    both = rows.select("seq_id", "seq_len", (F.col("base") + F.col("s")).cast("long").alias("start"), F.explode(F.array(F.struct(F.lit(1).alias("strand"), score(scaled).alias("score")), F.struct(F.lit(-1).alias("strand"), score(twin).alias("score")))).alias("m"))
-    return both.where(F.col("m.score") >= need).select("seq_id", "seq_len", F.lit(name).alias("pat"), "m.strand", "start", (F.col("start") + n // 2).alias("site"), F.col("m.score").cast("long").alias("score"))
+    strands = [(1, scaled), (-1, [r[::-1] for r in scaled[::-1]])]  # turned by half a circle
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        place = np.full(256, 4, dtype=np.int64)
+        place[np.frombuffer(b"acgt", dtype=np.uint8)] = np.arange(4)
+        tables = [(strand, np.array([[*r, -(10**6)] for r in m], dtype=np.int64)) for strand, m in strands]
+        for b in batches:
+            out = []
+            for seq_id, seq_len, base, own, piece in zip(*(b.column(k).to_pylist() for k in range(5))):
+                at = place[np.frombuffer(piece.encode(), dtype=np.uint8)]
+                m = min(own, len(at) - n + 1)
+                for strand, table in tables if m > 0 else ():
+                    score = sum(table[i][at[i : i + m]] for i in range(n))
+                    out += [(seq_id, seq_len, name, strand, base + k + 1, base + k + 1 + n // 2, score[k]) for k in np.flatnonzero(score >= need)]
+            columns = list(zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["seq_id", "seq_len", "pat", "strand", "start", "site", "score"])
+
+    pieces = chunked(seqs, n - 1).select(F.col("seq_id").cast("long"), "seq_len", "base", "own", "piece")
+    return pieces.mapInArrow(run, "seq_id long, seq_len long, pat string, strand int, start long, site long, score long")
 
 
 def consensus(counts: list[tuple[float, float, float, float]], cutoff_percent: int = 75) -> str:

@@ -260,9 +260,7 @@ MATRIX = [(12, 1, 1, 2), (1, 1, 13, 1), (2, 2, 2, 10), (1, 12, 2, 1), (8, 2, 2,
 
 
 def _matrix_sql(strand: int) -> str:
-    top = max(int(100 * sum(r)) for r in MATRIX)
-    rows = [[int(100 * x) * 1000 // top for x in r] for r in MATRIX]
-    need = sum(max(r) for r in rows) * 80 // 100
+    rows, need = match.matrix_scores(MATRIX, 80)
     rows = rows if strand == 1 else [r[::-1] for r in rows[::-1]]
     score = " + ".join("CASE substr(seq, p + {}, 1) {} END".format(i, " ".join(f"WHEN '{b}' THEN {r[j]}" for j, b in enumerate("acgt"))) for i, r in enumerate(rows))
     return f"SELECT * FROM (SELECT seq_id, {strand} AS strand, p AS start, p + {len(rows) // 2} AS site, CAST({score} AS BIGINT) AS score FROM seqs, unnest(range(1, length(seq) - {len(rows)} + 2)) AS t(p)) WHERE score >= {need}"
