@@ -24,7 +24,7 @@ import numpy as np
 from .common import kept
 
 #: Runs kept per worker; then the table starts anew (a bound of memory, not of what is encoded).
-KEEP = 700_000
+KEEP = 1_200_000
 
 #: After letters, these begin a new piece in either pre-tokenizer.
 _MARKS = ".,!?;:#$%&*|\"()"
@@ -111,7 +111,7 @@ class Encoder:
         seen = set(stack)
         while stack:
             run = stack.pop()
-            parts = self._parts(run)
+            parts = None if run.isalpha() else self._parts(run)
             if parts is None:
                 new[run] = None
                 continue
