@@ -102,5 +102,5 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, rows: int | N
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_bw_kept_id")).distinct()
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_bw_kept_id")), "left_semi")

@@ -165,7 +165,7 @@ def mix(docs: DataFrame, out_shards: int = 64, block_rows: int = 2_000, weights:
 
 def mixed_rows(docs: DataFrame, out_shards: int = 64) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, shard by shard and shuffled within."""
-    plan = mix(docs, out_shards).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards", "place").dropDuplicates(["_id"])
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
-    again = taken.select("*", F.posexplode("shards").alias("_copy", "_shard"))
-    return again.repartition(out_shards, "_shard").sortWithinPartitions("_shard", "place", "_copy").select(*[docs[c] for c in docs.columns])
+    plan = mix(docs, out_shards).where("copies > 0").select(F.col("doc_id").alias("_bw_id"), F.col("shards").alias("_bw_shards"), F.col("place").alias("_bw_place")).dropDuplicates(["_bw_id"])
+    taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_bw_id")))
+    again = taken.select("*", F.posexplode("_bw_shards").alias("_bw_copy", "_bw_shard"))
+    return again.repartition(out_shards, "_bw_shard").sortWithinPartitions("_bw_shard", "_bw_place", "_bw_copy").select(*[docs[c] for c in docs.columns])

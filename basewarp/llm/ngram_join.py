@@ -385,5 +385,5 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bloc
 
 def kept_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """One row of each group of near copies, that of the least doc_id, with all columns."""
-    kept = ngram_join(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = ngram_join(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_bw_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_bw_kept_id")), "left_semi")

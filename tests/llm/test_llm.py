@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from basewarp.llm import components as cc
 from basewarp.llm import exact_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_rules, repair, toxicity
@@ -352,6 +353,16 @@ def test_encoder_equals_the_library(plain, name):
     assert [x.tolist() for x in enc.encode(texts[::-1])] == want[::-1]
 
 
+def test_encoder_with_small_tables(plain, monkeypatch):
+    from basewarp.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEEP", 2000)
+    enc = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = [r["text"] for r in plain.values()]
+    got = [x.tolist() for k in range(0, len(texts), 7) for x in enc.encode(texts[k : k + 7])]
+    assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_ids(docs, plain, odd, empty):
     tok = Encoder(tokenizer_path("word_bpe_49k.json")).tokenizer
     got = {r["doc_id"]: r for r in repair.read_file(repair.write_file(docs, shard_docs=60)).collect()}
@@ -440,6 +451,13 @@ def test_mixing(docs, plain, odd, empty):
     assert collections.Counter(r["doc_id"] for r in out.collect()) == taken
 
 
+def test_row_filters_keep_clashing_columns(odd, empty):
+    for df in (odd.withColumns({"place": F.lit(1), "shards": F.lit(2), "copies": F.lit(3), "source_size": F.lit(4), "component_id": F.lit(5), "keep_id": F.lit(6)}), empty):
+        for f in (exact_dedup.kept_rows, mixing.mixed_rows, lambda d: ngram_join.kept_rows(d, 5, 80), language_id.accepted_rows):
+            out = f(df)
+            assert out.columns == df.columns and out.count() <= 3 * df.count()
+
+
 def test_mixing_small_blocks(docs):
     rows = mixing.mix(docs, out_shards=5, block_rows=3).collect()
     assert {s for r in rows for s in r["shards"] or []} <= set(range(5))
