@@ -2,7 +2,7 @@
 
 A shard is a run of documents by doc_id.  Its ids, each document closed by an end symbol of
 its own that no rule may have on the left, are compressed in rounds: all pairs are counted
-by sorting, the frequent ones (a 32nd of the most frequent pair's count or more) become
+by sorting, the frequent ones (a 256th of the most frequent pair's count or more) become
 nonterminals, and their occurrences are replaced from left to right, until no pair occurs
 ``LEAST`` times or the nonterminals fill 16 bits.  A record keeps the rules, every
 nonterminal's expansion length, the symbols, and per document where its symbols and ids
@@ -21,21 +21,25 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, id_and_text, slots_for, written
+from .common import batch_of, id_and_text, slots_for, task, written
 from .tokens import encoder, tokenizer_path
 
 END_ID = 1
 #: Pairs rarer than this are not worth a rule.
 LEAST = 12
 #: Pairs as frequent as the most frequent one divided by this are replaced in one round.
-DROP = 32
+DROP = 256
 _TOP = 1 << 16
+#: Runs that a worker keeps here: little else needs memory beside them.
+KEEP = 1_200_000
+#: A record is full at so many documents or ids.
+SHARD_DOCS, SHARD_IDS = 2_000, 8_000_000
 _SPREAD = np.uint32(0x9E3779B1)
 
 RECORD = "shard long, n_docs long, n_ids long, n_terminals int, doc_ids binary, doc_null binary, doc_symbols binary, doc_starts binary, rules binary, lengths binary, symbols binary"
@@ -192,29 +196,43 @@ def record(shard: int, doc_ids: list, ids: list[np.ndarray], vocabulary: int) ->
     }
 
 
-def write_file(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = 2_000) -> DataFrame:
-    """The file's table: one record per shard, shards in doc_id order."""
+_RECORD = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_terminals", pa.int32()), *((c, pa.binary()) for c in ("doc_ids", "doc_null", "doc_symbols", "doc_starts", "rules", "lengths", "symbols"))])
+
+
+def write_file(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """The file's table: one record per shard, shards in doc_id order.
+
+    Spark deals documents to ranges of doc_id and sorts each; a task then streams its range and closes a
+    record whenever a shard is full, so it never holds more than one.
+    """
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
-    slim = id_and_text(docs)
-    # Shards are cut at quantiles of doc_id: only that column is read for them.
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    shards = slots_for(docs.select("doc_id").count(), shard_docs)
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [(k + 1) / shards for k in range(shards)], 100 * shards).alias("q")).first()["q"] or []))
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(cuts[:-1], dtype=np.int64))
-
-    @F.pandas_udf("long")
-    def shard_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.where(doc_id.isna(), 0, np.searchsorted(sent.value, doc_id.fillna(0).to_numpy(np.int64), side="left")))
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        enc = encoder(tokenizer)
-        rows = sorted((-1 if pd.isna(d) else 1, 0 if pd.isna(d) else int(d), t or "") for d, t in zip(frame["doc_id"], frame["text"]))
+    ranges = slots_for(docs.select("doc_id").count(), 4 * shard_docs)
+
+    def build(batches):
+        enc, part, number = encoder(tokenizer, KEEP), TaskContext.get().partitionId(), 0
+        ids: list = []
         found: list[np.ndarray] = []
-        for lo in range(0, len(rows), 256):
-            found += enc.encode([t for _, _, t in rows[lo : lo + 256]])
-        return pd.DataFrame([record(int(frame["shard"].iloc[0]), [d if known > 0 else None for known, d, _ in rows], found, enc.tokenizer.get_vocab_size())])
+        size = 0
+
+        def close():
+            row = record((part << 32) + number, ids, found, enc.tokenizer.get_vocab_size())
+            return batch_of(_RECORD, **{k: [v] for k, v in row.items()})
 
-    return written(slim.withColumn("shard", shard_of("doc_id")).groupBy("shard").applyInPandas(build, RECORD), "token-ids")
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):  # few texts at a time stay in the processor's caches
+                rows = b.slice(lo, 256)
+                for doc, got in zip(rows.column("doc_id").to_pylist(), enc.encode([t or "" for t in rows.column("text").to_pylist()])):
+                    ids.append(doc)
+                    found.append(got)
+                    size += len(got) + 1
+                    if len(ids) >= shard_docs or size >= shard_ids:
+                        yield close()
+                        ids, found, size, number = [], [], 0, number + 1
+        if ids:
+            yield close()
+
+    ordered = id_and_text(docs).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    return written(ordered.mapInArrow(task("tokens", build), RECORD), "token-ids")
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -235,7 +253,7 @@ def read_file(file: DataFrame) -> DataFrame:
 
     # 16 bytes a shard: sent to every task up to a million shards, joined beyond.
     base = F.broadcast(base) if file.select("shard").count() <= 1_000_000 else base
-    return file.join(base, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return file.join(base, "shard").mapInArrow(task("token-reader", run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from .common import kept
 
 #: Runs kept per worker; then the table starts anew (a bound of memory, not of what is encoded).
-KEEP = 1_200_000
+KEEP = 700_000
 
 #: After letters, these begin a new piece in either pre-tokenizer.
 _MARKS = ".,!?;:#$%&*|\"()"
@@ -33,7 +33,7 @@ _UNSAFE_BYTE = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028
 _UNSAFE_WORD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -43,6 +43,7 @@ class Encoder:
         self.words = self.tokenizer.normalizer is not None  # drops white space
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.keep = keep or KEEP
         names = self.tokenizer.get_vocab()
         self.closes, self.opens = np.zeros(len(names) + 1, dtype=bool), np.zeros(len(names) + 1, dtype=bool)
         for name, at in names.items():
@@ -146,7 +147,7 @@ class Encoder:
         known = self.known
         missing = set().union(*(runs for runs in cut if runs is not None)).difference(known)
         if missing:
-            if len(known) + len(missing) > KEEP:
+            if len(known) + len(missing) > self.keep:
                 known.clear()
                 missing = set().union(*(runs for runs in cut if runs is not None))
             self._learn(missing)
@@ -155,12 +156,12 @@ class Encoder:
         return [np.frombuffer(next(packed) if runs is None else b"".join(map(get, runs)), dtype=self.width) for runs in cut]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int | None = None) -> Encoder:
     """One encoder per worker and file."""
     held = kept("tokens")
     if path not in held:
         held.clear()
-        held[path] = Encoder(path)
+        held[path] = Encoder(path, keep)
     return held[path]
 
 
