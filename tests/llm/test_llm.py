@@ -174,7 +174,7 @@ def test_long_lists_over_batches():
 
     def edges(size):
         out = collections.Counter()
-        for b in ngram_join._list_pairs(iter(table.to_batches(max_chunksize=size)), 85):
+        for b in ngram_join._list_pairs(iter(table.to_batches(max_chunksize=size)), 85, short=24):
             out.update((r["a"], r["b"], r["n"]) for r in b.to_pylist())
         return out
 
