@@ -1,14 +1,20 @@
 """PII: base expressions, and bootstrapped contextual extraction on top of them.
 
-1. One pass finds the base spans of every text, and candidates: white-space runs with a
-   digit or an at sign, six characters or more, outside base spans.  Base spans are seed
-   instances; each seed and candidate yields lexical patterns (the two words before it;
-   the word before and the word after it; both lower-cased, punctuation stripped).
+1. One pass finds the base spans of every text, and candidates outside base spans:
+   white-space runs with a digit or an at sign, six characters or more; and numbers of
+   several groups of digits joined by blanks, brackets, dots, hyphens or slashes on one line
+   (0800 7711 22, (555) 123-4567), six digits or more.  More than ``MOST_DIGITS`` digits,
+   the most that a kind has, are cut into numbers of at most that many.  A number's first
+   groups, last groups and single runs are its parts: they are candidates too, but do
+   not count against a pattern.  Base spans are seed instances; each seed and candidate
+   yields lexical patterns (the two words before it; the word before and the word after it;
+   both lower-cased, punctuation stripped), from outside the whole number and its brackets.
 2. Spark scores the pattern-instance graph: a pattern's confidence for a kind is the mean
    score of its distinct instances, counted only if it has ``SUPPORT`` seeds or more; an
    instance's score for a kind is 1 minus the product of (1 - confidence) over its
    patterns (seeds stay 1).  ``ROUNDS`` rounds let found instances support more patterns.
-3. Candidates whose best score reaches ``LEAST_SCORE`` become spans of that kind.
+3. Candidates whose best score reaches ``LEAST_SCORE`` become spans of that kind; of a
+   number and its parts the longest of these stay that don't overlap.
 
 Texts are read once; the graph has only identifiers and their contexts, grouped by
 pattern and by instance with map-side sums.  Defined results: null text is empty; equal
@@ -43,6 +49,12 @@ _RUN = re.compile(r"[0-9@]+")
 _WORD = re.compile(r"\S+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
+#: Numbers in groups: a group, and what may lie between the digits of two groups.
+_GROUP = re.compile(r"\+?[(\[]*[0-9][0-9().\[\]/\u2010-\u2013-]*")
+_JOIN = re.compile(r"[\x20\t\xa0\u2009\u202f().\[\]/\u2010-\u2013-]*")
+LEAST_DIGITS, MOST_DIGITS = 6, 19
+_OPENING, _CLOSING = " \t\r\n+([{<\"'", " \t\r\n)]}>\"'"
+
 
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of ``[A-Za-z0-9._%+-]+@`` and a domain, found from the at signs."""
@@ -89,11 +101,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Contexts of the span: two words before it, and one word on either side."""
-    before = [_EDGE.sub("", w).lower() for w in text[max(0, start - 80) : start].split()]
+    """Contexts of the span: two words before it, and one word on either side; brackets and quotes around it are its own."""
+    before = [_EDGE.sub("", w).lower() for w in text[max(0, start - 80) : start].rstrip(_OPENING).split()]
     if start > 80 and before:
         before = before[1:]  # maybe cut
-    after = [_EDGE.sub("", w).lower() for w in text[end : end + 60].split()[:1]]
+    after = [_EDGE.sub("", w).lower() for w in text[end : end + 60].lstrip(_CLOSING).split()[:1]]
     out = []
     if len(before) >= 2 and before[-1] and before[-2]:
         out.append(f"{before[-2]} {before[-1]} _")
@@ -102,9 +114,9 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """White-space runs with a digit or at sign, stripped of punctuation, six characters or more, outside all spans."""
-    out, done, k = [], 0, 0
+def _runs(text: str, spans: list[tuple[int, int, int]]):
+    """White-space runs with a digit or at sign outside all spans: (start, end) stripped of punctuation, and (start, end) whole."""
+    done, k = 0, 0
     inner = sorted((a, z) for a, _, z in spans)
     for m in _RUN.finditer(text):
         if m.start() < done:
@@ -115,14 +127,66 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         while hi < len(text) and not text[hi].isspace():
             hi += 1
         done = hi
+        whole = lo, hi
         while lo < hi and not text[lo].isalnum():
             lo += 1
         while hi > lo and not text[hi - 1].isalnum():
             hi -= 1
         while k < len(inner) and inner[k][1] <= lo:
             k += 1
-        if hi - lo >= 6 and not any(a < hi and lo < z for a, z in inner[k : k + 4]):
-            out.append((lo, hi))
+        if not any(a < hi and lo < z for a, z in inner[k : k + 4]):
+            yield lo, hi, *whole
+
+
+def _opened(text: str, lo: int, hi: int, least: int) -> int:
+    """Start of the number lo to hi with its plus sign and the brackets that close within it."""
+    open_, unpaired = 0, 0
+    for c in text[lo:hi]:
+        if c in "([":
+            open_ += 1
+        elif c in ")]":
+            open_, unpaired = max(0, open_ - 1), unpaired + (not open_)
+    while lo > least and unpaired > 0 and text[lo - 1] in "([":
+        lo, unpaired = lo - 1, unpaired - 1
+    return lo - 1 if lo > least and text[lo - 1] == "+" else lo
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, start of the number it is of, whether it is only a part of that): single runs of six characters or more and numbers of several groups, outside all spans."""
+    out: list[tuple[int, int, int, bool]] = []
+    number: list[tuple[int, int, int, int]] = []  # groups: start, end, start of the run, digits
+    held = 0  # digits of number
+
+    def close() -> None:
+        if len(number) == 1:
+            lo, hi, _, _ = number[0]
+            if hi - lo >= 6:
+                out.append((lo, hi, lo, False))
+        elif number:
+            n = len(number)
+            # the whole number first, then its first groups, its last groups, and single runs
+            parts = [(0, n), *((0, j) for j in range(n - 1, 1, -1)), *((i, n) for i in range(1, n - 1))]
+            at = number[0][0]
+            whole = held >= LEAST_DIGITS
+            for i, j in parts:
+                if sum(g[3] for g in number[i:j]) >= LEAST_DIGITS:
+                    out.append((_opened(text, number[i][0], number[j - 1][1], number[i][2]), number[j - 1][1], at, (i, j) != (0, n)))
+            out.extend((lo, hi, at, whole) for lo, hi, _, _ in number if hi - lo >= 6)
+        number.clear()
+
+    for lo, hi, left, right in _runs(text, spans):
+        g = _GROUP.match(text, _opened(text, lo, hi, left)) if lo < hi else None
+        digits = sum(c in "0123456789" for c in text[lo:hi]) if g and g.end() >= hi else 0
+        joined = number and digits and held + digits <= MOST_DIGITS and _JOIN.match(text, number[-1][1], lo).end() == lo
+        if not joined:
+            close()
+            held = 0
+        if digits:
+            number.append((lo, hi, left, digits))
+            held += digits
+        elif hi - lo >= 6:
+            out.append((lo, hi, lo, False))
+    close()
     return out
 
 
@@ -133,10 +197,10 @@ _FOUND = pa.schema(
         *((f"n_{k}", pa.int64()) for k in KINDS),
         ("base_sha256", pa.string()),
         ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
-        ("seen", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
+        ("seen", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("number", pa.int64()), ("part", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
     ]
 )
-_FOUND_SQL = "uid long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,kind:int,end:long,instance:string,patterns:array<string>>>"
+_FOUND_SQL = "uid long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,kind:int,end:long,number:long,part:boolean,instance:string,patterns:array<string>>>"
 
 
 def _find(batches):
@@ -146,9 +210,9 @@ def _find(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             text = text or ""
             spans = base_spans(text)
-            seen = [{"start": a, "kind": k, "end": z, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, k, z in spans]
+            seen = [{"start": a, "kind": k, "end": z, "number": a, "part": False, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, k, z in spans]
             if _SIGN.search(text):
-                seen += [{"start": a, "kind": -1, "end": z, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, z in candidates(text, spans)]
+                seen += [{"start": a, "kind": -1, "end": z, "number": at, "part": part, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, z, at, part in candidates(text, spans)]
             said = ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
             rows.append((uid, doc, *(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), [{"start": a, "kind": k, "end": z} for a, k, z in spans], [s for s in seen if s["patterns"]]))
             uid += 1
@@ -158,17 +222,18 @@ def _find(batches):
 
 def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = LEAST_SCORE) -> DataFrame:
     """(instance, kind, score) of the candidates that the scored graph accepts."""
-    occ = found.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", F.explode("s.patterns").alias("pattern"))
-    edges = written(occ.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "contexts")
+    occ = found.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", "s.part", F.explode("s.patterns").alias("pattern"))
+    edges = written(occ.groupBy("pattern", "instance", "kind").agg(F.min("part").alias("part")), "contexts")
     seeds = edges.where("kind >= 0").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     # Only patterns that some seed has can gain a score.
     live = edges.join(edges.where("kind >= 0").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= support).select("pattern"), "pattern", "left_semi")
-    links = live.select("pattern", "instance").distinct()
+    links = live.groupBy("pattern", "instance").agg(F.min("part").alias("part"))
+    whole = links.where("NOT part").drop("part")
     known = seeds
     for _ in range(rounds):
-        n = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+        n = whole.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         # A kind counts with its SUPPORT seeds; unknown instances count as 0.
-        got = links.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum((F.col("score") >= 1).cast("int")).alias("seeds")).where(F.col("seeds") >= support)
+        got = whole.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum((F.col("score") >= 1).cast("int")).alias("seeds")).where(F.col("seeds") >= support)
         confidence = got.join(n, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("s") / F.col("n")).alias("confidence"))
         scored = links.join(confidence, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         known = seeds.unionByName(scored.join(seeds.select("instance").distinct(), "instance", "left_anti"))
@@ -180,8 +245,11 @@ def pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans (base and learned)."""
     found = written(id_and_text(docs).mapInArrow(task("pii", _find), _FOUND_SQL), "spans")
     good = written(learned(found), "learned")
-    more = found.select("uid", F.explode("seen").alias("s")).where("s.kind < 0").select("uid", "s.start", "s.end", F.col("s.instance").alias("instance"))
-    more = more.join(good, "instance").groupBy("uid").agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("more"))
+    more = found.select("uid", F.explode("seen").alias("s")).where("s.kind < 0").select("uid", "s.start", "s.end", "s.number", F.col("s.instance").alias("instance"))
+    # Of a number and its parts: the longest first, then those that don't overlap it.
+    more = more.join(good, "instance").groupBy("uid", "number").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("size"), "start", F.col("kind").cast("int").alias("kind"), "end"))).alias("accepted"))
+    apart = F.aggregate("accepted", F.slice("accepted", 1, 0), lambda had, x: F.when(F.exists(had, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), had).otherwise(F.array_append(had, x)))
+    more = more.select("uid", F.explode(apart).alias("x")).groupBy("uid").agg(F.collect_list(F.struct("x.start", "x.kind", "x.end")).alias("more"))
     joined = found.drop("seen").join(more, "uid", "left")
     all_spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     said = F.concat_ws(",", F.transform(all_spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))))

@@ -341,6 +341,31 @@ def test_pii_learns_contexts(spark):
     assert got[11] == got[12] == ""
 
 
+def test_pii_learns_numbers_in_groups(spark):
+    seeds = [(i, f"Filler {i} text. Please call hotline +1 (300) 555-{1000 + i} for help number {i}.") for i in range(30)]
+    numbers = ["0800 7711 22", "(555) 123-4567", "4111 1111 1111 1112", "0800.7711 - 22", "[030] 1234 56", "0800-7711-23"]
+    texts = [(100 + i, f"Another text. Please call hotline {n} for help.") for i, n in enumerate(numbers)]
+    texts += [(200, "Another text. Please call hotline (0800 7711 24) for help."), (201, "In room 12 34 56 and room 4321 8765."), (202, "Please call hotline 12 34 for help.")]
+    texts += [(203, "Please call hotline 1234 5678, 99 times. Please call hotline " + "12 " * 5000)]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii(spark.createDataFrame(seeds + texts, "doc_id long, text string")).collect()}
+    for (i, t), n in zip(texts, [*numbers, "0800 7711 24"]):
+        assert got[i] == f"phone:{t.index(n)}:{t.index(n) + len(n)}"
+    assert got[201] == got[202] == ""
+    at = texts[-1][1].index("12 12")
+    assert got[203].startswith(f"phone:20:29,phone:{at}:{at + 26},")  # at most 19 digits: nine groups
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="017 ab.-()[]+@,\n", max_size=40))
+def test_pii_numbers_keep_single_runs(text):
+    spans = pii.base_spans(text)
+    got = pii.candidates(text, spans)
+    runs = [(m.start() + len(m.group()) - len(m.group().lstrip(".-()[]+@,")), m.start() + len(m.group().rstrip(".-()[]+@,"))) for m in re.finditer(r"\S*[0-9@]\S*", text)]
+    runs = [(a, z) for a, z in runs if z - a >= 6 and not any(s < z and a < e for s, _, e in spans)]
+    assert all(any(a <= lo and hi <= z for a, z, _, _ in got) for lo, hi in runs)
+    assert all("\n" not in text[a:z] and not any(s < z and a < e for s, _, e in spans) for a, z, _, _ in got)
+
+
 # 7 token ids
 
 
