@@ -10,9 +10,10 @@
    yields lexical patterns (the two words before it; the word before and the word after it;
    both lower-cased, punctuation stripped), from outside the whole number and its brackets.
 2. Spark scores the pattern-instance graph: a pattern's confidence for a kind is the mean
-   score of its distinct instances, counted only if it has ``SUPPORT`` seeds or more; an
-   instance's score for a kind is 1 minus the product of (1 - confidence) over its
-   patterns (seeds stay 1).  ``ROUNDS`` rounds let found instances support more patterns.
+   score of its distinct instances, counted only if ``SUPPORT`` or more of them are seeds or,
+   from the second round on, found with ``LEAST_SCORE`` or more; an instance's score for a
+   kind is 1 minus the product of (1 - confidence) over its patterns (seeds stay 1).  So
+   in each of the ``ROUNDS`` rounds found instances support patterns that no seed has.
 3. Candidates whose best score reaches ``LEAST_SCORE`` become spans of that kind; of a
    number and its parts the longest of these stay that don't overlap.
 
@@ -225,15 +226,13 @@ def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, leas
     occ = found.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", "s.part", F.explode("s.patterns").alias("pattern"))
     edges = written(occ.groupBy("pattern", "instance", "kind").agg(F.min("part").alias("part")), "contexts")
     seeds = edges.where("kind >= 0").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    # Only patterns that some seed has can gain a score.
-    live = edges.join(edges.where("kind >= 0").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= support).select("pattern"), "pattern", "left_semi")
-    links = live.groupBy("pattern", "instance").agg(F.min("part").alias("part"))
+    links = edges.groupBy("pattern", "instance").agg(F.min("part").alias("part"))
     whole = links.where("NOT part").drop("part")
     known = seeds
     for _ in range(rounds):
         n = whole.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-        # A kind counts with its SUPPORT seeds; unknown instances count as 0.
-        got = whole.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum((F.col("score") >= 1).cast("int")).alias("seeds")).where(F.col("seeds") >= support)
+        # A kind counts with SUPPORT seeds or found instances; unknown instances count as 0.
+        got = whole.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum((F.col("score") >= least).cast("int")).alias("found")).where(F.col("found") >= support)
         confidence = got.join(n, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("s") / F.col("n")).alias("confidence"))
         scored = links.join(confidence, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         known = seeds.unionByName(scored.join(seeds.select("instance").distinct(), "instance", "left_anti"))

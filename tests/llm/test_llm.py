@@ -355,6 +355,16 @@ def test_pii_learns_numbers_in_groups(spark):
     assert got[203].startswith(f"phone:20:29,phone:{at}:{at + 26},")  # at most 19 digits: nine groups
 
 
+def test_pii_found_instances_support_patterns(spark):
+    seeds = [(i, f"Please call hotline +1 (300) 555-{1000 + i} for help.") for i in range(60)]
+    found = [(100 + i, f"Please call hotline 0800-77{10 + i} for help. Or reach desk under 0800-77{10 + i} at night.") for i in range(15)]
+    second = [(200, "Or reach desk under 0900-8822 at night."), (201, "The invoice number 0900-8833 was paid.")]
+    docs = spark.createDataFrame(seeds + found + second, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii(docs).collect()}
+    assert got[100].count("phone") == 2
+    assert got[200] == "phone:20:29" and got[201] == ""
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="017 ab.-()[]+@,\n", max_size=40))
 def test_pii_numbers_keep_single_runs(text):
