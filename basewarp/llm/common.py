@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
@@ -201,6 +201,13 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """_bw_id and _bw_key, never null: doc_id, and a hash of these columns and of which of them or doc_id is null.  Rows
+    without doc_id, or with one doc_id and different texts, are told apart by them."""
+    told = [x for c in ("doc_id", *columns) for x in ((F.col(c).isNull(),) if c == "doc_id" else (F.col(c).isNull(), F.col(c).cast("string")))]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_bw_id"), F.xxhash64(*told).alias("_bw_key")]
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only these two columns go to Python, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,7 +9,8 @@ digest whose slot holds the same 32 bytes is a repeat of a historical text; the
 form groups of their own.
 
 Defined results: a row without doc_id takes part and stays only if no row of its group
-has an id; rows that repeat doc_id and text share one verdict; an empty table gives an
+has an id; rows that repeat doc_id and text share one verdict, but rows that share only
+doc_id, or have none, are judged each by its own text; an empty table gives an
 empty result; columns besides doc_id and text are not read.
 """
 
@@ -23,20 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_texts, id_and_text, slots_for, task, written
+from .common import batch_of, byte_texts, row_keys, slots_for, task, written
 from .perfect_hash import PerfectHash
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary())])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of each whole normalised text."""
+    """doc_id, the row's key and the SHA-256 of each whole normalised text."""
 
     def run(batches):
         for b in batches:
-            yield batch_of(_DIGESTS, doc_id=b.column("doc_id"), digest=[hashlib.sha256(t.lower()).digest() for t in byte_texts(b.column("text"))])  # bytes.lower() is A-Z only
+            yield batch_of(_DIGESTS, doc_id=b.column("doc_id"), key=b.column("_bw_key"), digest=[hashlib.sha256(t.lower()).digest() for t in byte_texts(b.column("text"))])  # bytes.lower() is A-Z only
 
-    return id_and_text(docs).mapInArrow(task("exact-dedup", run), "doc_id long, digest binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_keys("text")[1]).mapInArrow(task("exact-dedup", run), "doc_id long, key long, digest binary")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -86,21 +87,26 @@ def groups(found: DataFrame, is_history: Column, rows: int, shard_rows: int = 20
     return each.groupBy("shard").applyInPandas(_merge, "digest binary, keep_id long, group_size long, known boolean")
 
 
-def exact_dedup(docs: DataFrame, is_history: Column | None = None, rows: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row.
-
-    is_history: which rows (by doc_id) form the historical set; by default the ids of even CRC-32.
-    """
+def _judged(docs: DataFrame, is_history: Column | None, rows: int | None) -> DataFrame:
+    """exact_dedup's columns and the row's key."""
     if is_history is None:
         is_history = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     found = written(digests(docs), "digests")
     rows = found.count() if rows is None else rows
     verdict = groups(found, F.coalesce(is_history, F.lit(False)), rows)
     joined = found.join(verdict.hint("merge"), "digest")  # AQE splits the hot digest's rows
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("key", "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, is_history: Column | None = None, rows: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row.
+
+    is_history: which rows (by doc_id) form the historical set; by default the ids of even CRC-32.
+    """
+    return _judged(docs, is_history, rows).drop("key")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_bw_kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_bw_kept_id")), "left_semi")
+    verdict = _judged(docs, None, None).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_bw_id"), F.col("key").alias("_bw_key")).distinct()
+    return docs.select("*", *row_keys("text")).join(verdict, ["_bw_id", "_bw_key"], "left_semi").drop("_bw_id", "_bw_key")

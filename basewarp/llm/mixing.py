@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slots_for, written
+from .common import row_keys, slots_for, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -108,10 +108,10 @@ def _fill(block: pd.DataFrame) -> pd.DataFrame:
             more[a] = False
 
 
-def mix(docs: DataFrame, out_shards: int = 64, block_rows: int = 2_000, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and copies, shards (of each copy), place (the order in a shard)."""
+def _planned(docs: DataFrame, out_shards: int, block_rows: int, weights: tuple[float, ...], most: float, seed: int, keys: list[Column]) -> DataFrame:
+    """mix's columns and the row's keys."""
     spark: SparkSession = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keys)
     slim = written(slim.withColumn("perm", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sizes")
 
     per_source = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
@@ -159,13 +159,22 @@ def mix(docs: DataFrame, out_shards: int = 64, block_rows: int = 2_000, weights:
     out = joined.where(~cut).unionByName(filled).withColumn("copies", F.col("whole") + F.col("more").cast("int"))
     shards = F.slice(F.transform("places", lambda x: x["shard"]), F.lit(1), F.greatest(F.col("copies"), F.lit(0)))
     return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int"), F.when(F.col("copies") > 0, shards).alias("shards"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("place")
+        *(c for c in ("_bw_id", "_bw_key") if keys), "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int"), F.when(F.col("copies") > 0, shards).alias("shards"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("place")
     )
 
 
+def mix(docs: DataFrame, out_shards: int = 64, block_rows: int = 2_000, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and copies, shards (of each copy), place (the order in a shard)."""
+    return _planned(docs, out_shards, block_rows, weights, most, seed, [])
+
+
 def mixed_rows(docs: DataFrame, out_shards: int = 64) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, shard by shard and shuffled within."""
-    plan = mix(docs, out_shards).where("copies > 0").select(F.col("doc_id").alias("_bw_id"), F.col("shards").alias("_bw_shards"), F.col("place").alias("_bw_place")).dropDuplicates(["_bw_id"])
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_bw_id")))
-    again = taken.select("*", F.posexplode("_bw_shards").alias("_bw_copy", "_bw_shard"))
-    return again.repartition(out_shards, "_bw_shard").sortWithinPartitions("_bw_shard", "_bw_place", "_bw_copy").select(*[docs[c] for c in docs.columns])
+    keys = row_keys("text", "source")
+    plan = _planned(docs, out_shards, 2_000, WEIGHTS, MOST, SEED, keys).where("copies > 0")
+    # Rows that repeat doc_id, text and source have a plan each; which row gets which is all the same.
+    plans = plan.groupBy("_bw_id", "_bw_key").agg(F.collect_list(F.struct("shards", "place")).alias("_bw_plans"))
+    numbered = docs.select("*", *keys).withColumn("_bw_no", F.row_number().over(Window.partitionBy("_bw_id", "_bw_key").orderBy(F.lit(0))) - 1)
+    taken = numbered.join(plans, ["_bw_id", "_bw_key"]).withColumn("_bw_plan", F.get("_bw_plans", F.col("_bw_no"))).withColumn("_bw_place", F.col("_bw_plan.place"))
+    again = taken.select("*", F.posexplode("_bw_plan.shards").alias("_bw_copy", "_bw_shard"))
+    return again.repartition(out_shards, "_bw_shard").sortWithinPartitions("_bw_shard", "_bw_place", "_bw_copy").drop("_bw_id", "_bw_key", "_bw_no", "_bw_plans", "_bw_plan", "_bw_place", "_bw_copy", "_bw_shard")

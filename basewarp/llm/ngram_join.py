@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, id_and_text, mixed, task, word_hashes, word_spans, written
+from .common import batch_of, chunks, id_and_text, mixed, row_keys, task, word_hashes, word_spans, written
 from .components import Forest, components
 
 WORDS, PERCENT = 4, 85
@@ -119,7 +119,7 @@ class Order:
         return np.concatenate([plain, u[at[late]]]), n - int((self.rank[where[late]] < self.hot).sum())
 
 
-_SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32())])
 _ARRAYS = pa.schema([("class", pa.int64()), ("items", pa.binary())])
@@ -128,13 +128,13 @@ _ARRAYS = pa.schema([("class", pa.int64()), ("items", pa.binary())])
 def _sets(batches, k: int):
     """Rows of kind 0: a document's class and set size; kind 1: a shingle frequent in the batch and its count."""
     for b in batches:
-        ids = b.column("doc_id")
+        ids, row_keys_ = b.column("doc_id"), b.column("_bw_key")
         once: dict[int, np.ndarray] = {}  # copies count once
         for at, data, offsets in chunks(b.column("text")):
             sets = shingle_sets(data, offsets, k)
             n = np.array([len(u) for u in sets], dtype=np.int64)
             keys = np.array([class_of(u) if len(u) else 0 for u in sets], dtype=np.int64)
-            yield batch_of(_SETS, kind=np.zeros(len(sets), dtype=np.int8), doc_id=ids.slice(at, len(sets)), key=pa.array(keys, mask=n == 0), n=n)
+            yield batch_of(_SETS, kind=np.zeros(len(sets), dtype=np.int8), doc_id=ids.slice(at, len(sets)), row_key=row_keys_.slice(at, len(sets)), key=pa.array(keys, mask=n == 0), n=n)
             once.update(zip(keys.tolist(), sets))
         every = np.concatenate(list(once.values())) if once else np.zeros(0, dtype=np.uint64)
         once.clear()
@@ -144,7 +144,7 @@ def _sets(batches, k: int):
         often = np.unique(ahead[every[: len(ahead)] == ahead])
         count = np.searchsorted(every, often, side="right") - np.searchsorted(every, often, side="left")
         m = len(often)
-        yield batch_of(_SETS, kind=np.ones(m, dtype=np.int8), doc_id=pa.nulls(m, pa.int64()), key=often.view(np.int64), n=count)
+        yield batch_of(_SETS, kind=np.ones(m, dtype=np.int8), doc_id=pa.nulls(m, pa.int64()), row_key=pa.nulls(m, pa.int64()), key=often.view(np.int64), n=count)
 
 
 def _crowded(crowds: dict[int, int], key: int, doc) -> bool:
@@ -341,11 +341,12 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
 
 
 def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_items: int) -> tuple[DataFrame, DataFrame]:
-    """(sets: doc_id, class, n; component roots of linked classes: class, root)."""
+    """(sets: doc_id, row_key, class, n; component roots of linked classes: class, root)."""
     spark = docs.sparkSession
     slim = id_and_text(docs)
-    both = written(slim.mapInArrow(task("ngram-join", lambda bs: _sets(bs, words)), "kind tinyint, doc_id long, key long, n long"), "sets")
-    sets = both.where("kind = 0").select("doc_id", F.col("key").alias("class"), "n")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_keys("text")[1])
+    both = written(keyed.mapInArrow(task("ngram-join", lambda bs: _sets(bs, words)), "kind tinyint, doc_id long, row_key long, key long, n long"), "sets")
+    sets = both.where("kind = 0").select("doc_id", "row_key", F.col("key").alias("class"), "n")
     top = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     crowd = sets.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where("c >= 8").orderBy(F.desc("c"), "class").limit(CROWDS).toArrow()
@@ -372,18 +373,28 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     return sets, components(found).withColumnRenamed("node", "class")
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _labelled(docs: DataFrame, words: int, percent: int, block_sets: int, block_items: int) -> DataFrame:
+    """ngram_join's columns, the row's key and the root of its group (null without shingles)."""
     sets, roots = links(docs, words, percent, block_sets, block_items)
     least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("d"))
     labelled = least.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     best = labelled.groupBy("root").agg(F.min("d").alias("component_id"))
-    by_class = labelled.join(best, "root").select("class", "component_id")
+    by_class = labelled.join(best, "root").select("class", "root", "component_id")
     out = sets.join(by_class.hint("merge"), "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("row_key", "root", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _labelled(docs, words, percent, block_sets, block_items).drop("row_key", "root")
 
 
 def kept_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row of each group of near copies, that of the least doc_id, with all columns."""
-    kept = ngram_join(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_bw_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_bw_kept_id")), "left_semi")
+    """One row of each group of near copies, that of the least doc_id, with all columns.  If texts of one group share that
+    doc_id (or none has one), those of one text stay."""
+    labelled = _labelled(docs, words, percent, BLOCK_SETS, BLOCK_ITEMS)
+    first = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # All rows of a group here have the same doc_id or none; texts without shingles are groups of their own.
+    one = first.groupBy("root", F.when(F.col("root").isNull(), F.col("row_key")).alias("own"), "doc_id").agg(F.min("row_key").alias("_bw_key"))
+    kept = one.select(F.coalesce("doc_id", F.lit(0)).alias("_bw_id"), "_bw_key").distinct()
+    return docs.select("*", *row_keys("text")).join(kept, ["_bw_id", "_bw_key"], "left_semi").drop("_bw_id", "_bw_key")

@@ -493,6 +493,22 @@ def test_row_filters_keep_clashing_columns(odd, empty):
             assert out.columns == df.columns and out.count() <= 3 * df.count()
 
 
+def test_row_filters_judge_rows_and_not_ids(spark):
+    story = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, "one text", "a"), (None, "One text", "a"), (None, "a text of its own", "a"), (None, None, "a"), (2, "first of two", "a"), (2, "one TEXT", "a"), (3, "one text", "b")]
+    got = exact_dedup.kept_rows(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([rows[2], rows[3], rows[4], rows[6]], key=str)
+    rows = [(1, story, "a"), (None, story + " end", "a"), (None, "a text of its own and nothing else", "a"), (None, "", "a"), (2, story + " End.", "a"), (2, "some other words are in this one", "a"), (7, story.replace("word", "x"), "a"), (7, story.replace("word", "x") + " end", "a")]
+    got = ngram_join.kept_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), 5, 80).collect()
+    assert set(map(tuple, got)) - set(rows[6:]) == {rows[0], rows[2], rows[3], rows[5]} and len(got) == 5
+    rows = [(k % 7 or None, f"text {k % 20} " * (1 + k % 9), "abc"[k % 3]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(df).collect()
+    out = collections.Counter(map(tuple, mixing.mixed_rows(df).collect()))
+    assert set(out) <= set(rows) and sum(out.values()) == sum(r["copies"] for r in plan)
+    assert sum(len(words(t)) * n for (_, t, _), n in out.items()) == sum(r["taken"] for r in plan)
+
+
 def test_mixing_small_blocks(docs):
     rows = mixing.mix(docs, out_shards=5, block_rows=3).collect()
     assert {s for r in rows for s in r["shards"] or []} <= set(range(5))
