@@ -8,6 +8,9 @@ a hit belongs to the chunk in which it starts, so none is lost or doubled.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +56,9 @@ def starts_of(piece: Column, regex: str) -> Column:
     return F.get(F.transform(F.array(parts), ends), F.lit(0))  # bound once, so the text is split once
 
 
-def _scan(seqs: DataFrame, jobs: list[tuple], longest: int, circular: bool) -> DataFrame:
+def _scan(seqs: DataFrame, jobs: list[tuple], longest: int, circular: bool, chunk: int = CHUNK) -> DataFrame:
     """jobs: (name, strand, regex, length, shift).  seq_id, seq_len, pat, strand, start, site; not yet filtered to the sequence."""
-    pieces = chunked(seqs, longest - 1, circular)
+    pieces = chunked(seqs, longest - 1, circular, chunk)
     # One row per chunk and pattern that has hits; starts stay an array until then.
     found = pieces.select(
         "seq_id",
@@ -108,16 +111,35 @@ def find_by_seeds(seqs: DataFrame, patterns: list[Pattern], circular: bool = Fal
     return hits.select("seq_id", "seq_len", "pat", "strand", start.alias("start"), (start + F.col("shift")).cast("long").alias("site")).distinct()
 
 
+def greatest_length(regex: str) -> int | None:
+    """Most bases that a match can take or look at; None where that has no bound or is not known."""
+    if re.search(r"[\^$]|\(\?[=!<]|\\[^acgtnds]", re.sub(r"\[\^", "[", regex)):  # anchors, looks around, references
+        return None
+    try:
+        width = int(re._parser.parse(regex).getwidth()[1])
+    except (re.error, OverflowError, RecursionError):
+        return None
+    return width if width <= CHUNK else None
+
+
 def find_regex(seqs: DataFrame, expressions: list[tuple[str, str]], longest: int = 256) -> DataFrame:
     """Starts of all matches of (name, regular expression with IUPAC letters) on both strands.
 
-    Bottom-strand coordinates are the top-strand place of the match's 5' end.  longest bounds what a
-    match may reach over a chunk's end.
+    Bottom-strand coordinates are the top-strand place of the match's 5' end.  Chunks overlap by longest or,
+    if that is more, by the greatest length of an expression; expressions without one, or with one beyond
+    a chunk, see the whole sequence at once.
     """
-    jobs = [(name, 1, iupac_regex(rx), longest, 0) for name, rx in expressions]
-    top = _scan(seqs, jobs, longest, False)
+    jobs = [(name, 1, iupac_regex(rx), greatest_length(iupac_regex(rx)), 0) for name, rx in expressions]
+    bounded, whole = [j for j in jobs if j[3] is not None], [j for j in jobs if j[3] is None]
+
+    def scanned(df: DataFrame, strand: int) -> DataFrame:
+        ways = [(bounded, max([longest, *(j[3] for j in bounded)]), CHUNK), (whole, 1, 2**31 - 1)]
+        parts = [_scan(df, [(n, strand, rx, m, k) for n, _, rx, m, k in some], most, False, chunk) for some, most, chunk in ways if some]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    top = scanned(seqs, 1)
     twin = seqs.select("seq_id", F.reverse(F.translate("seq", "acgt", "tgca")).alias("seq"))
-    below = _scan(twin, [(n, -1, rx, m, k) for n, _, rx, m, k in jobs], longest, False)
+    below = scanned(twin, -1)
     return top.unionByName(below.withColumn("site", F.col("seq_len") - F.col("start") + 1).withColumn("start", F.col("site")))
 
 

@@ -147,6 +147,14 @@ def test_regex_overlaps_and_strands(spark):
     assert got == want
 
 
+def test_regex_longer_than_the_overlap(spark):
+    text = "c" * 8100 + "ggatcc" + "c" * 400 + "gaattc" + "c" * 9000 + "ttt"
+    df = spark.createDataFrame([(1, text)], "seq_id long, seq string")
+    got = found(match.find_regex(df, [("x", "ggatcc.{300,500}gaattc"), ("y", "ggatcc.*ttt"), ("z", "gga")]))
+    assert {h[:4] for h in got if h[2] == 1} == {(1, "x", 1, 8101), (1, "y", 1, 8101), (1, "z", 1, 8101)}
+    assert [match.greatest_length(rx) for rx in ("ac(g|t)a?", "a{2,5}", "ac+", "a(?=ccc)", "^ac")] == [4, 5, None, None, None]
+
+
 def test_matrix(spark):
     counts = [(10, 0, 0, 0), (0, 0, 10, 0), (0, 0, 0, 10)]
     df = spark.createDataFrame([(1, "ccagtcc"), (2, "ccactcc"), (3, "ag")], "seq_id long, seq string")
