@@ -8,7 +8,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a report takes to the driver; it says so when there are more.
+#: Rows that table() takes to the driver; it says so when there are more.  Maps, ladders and gels are whole: their rows are
+#: streamed, partition by partition.
 ROWS = 10_000
 
 
@@ -28,9 +29,8 @@ def table(df: DataFrame, title: str) -> str:
 
 def linear_map(lines: DataFrame, strands: int = 2, tics: bool = True, number_from: int = 1) -> str:
     """Rows of operators.derive.linear_map as text, block by block."""
-    rows, _ = _rows(lines.orderBy("seq_id", "block_no"))
     out = []
-    for r in rows:
+    for r in lines.orderBy("seq_id", "block_no").toLocalIterator():
         at = r["begin"] + number_from - 1
         marks = [" "] * len(r["bases"])
         for label in r["labels"].split():
@@ -49,7 +49,7 @@ def linear_map(lines: DataFrame, strands: int = 2, tics: bool = True, number_fro
 def ladder(cells: DataFrame, width: int) -> str:
     """Rows of operators.derive.ladder_cells (one sequence) as lanes."""
     lanes: dict[str, list[str]] = {}
-    for r in _rows(cells.orderBy("pat", "cell"))[0]:
+    for r in cells.orderBy("pat", "cell").toLocalIterator():
         lane = lanes.setdefault(r["pat"], ["-"] * width)
         lane[min(width - 1, r["cell"])] = r["mark"]
     return "\n".join(f"{name:>12} {''.join(lane)}" for name, lane in lanes.items())
@@ -58,7 +58,7 @@ def ladder(cells: DataFrame, width: int) -> str:
 def gel(cells: DataFrame, width: int) -> str:
     """Rows of operators.derive.gel_cells (one sequence) as lanes."""
     lanes: dict[str, list[str]] = {}
-    for r in _rows(cells.orderBy("pat", "cell"))[0]:
+    for r in cells.orderBy("pat", "cell").toLocalIterator():
         lane = lanes.setdefault(r["pat"], [" "] * (width + 1))
         lane[r["cell"]] = "|" if r["n"] == 1 else str(r["n"]) if r["n"] <= 9 else "*"
     return "\n".join(f"{name:>12} {''.join(lane)}" for name, lane in lanes.items())
@@ -83,21 +83,22 @@ def page(parts: list[tuple[str, str]], title: str = "Report") -> str:
 
 
 def plasmid(angles: DataFrame, name: str, length: int, labels: int = 180) -> str:
-    """Rows of operators.derive.plasmid_angles (one sequence) as a PostScript circle with a label per site."""
-    rows = _rows(angles.orderBy("angle", "pat"), labels)[0]
+    """Rows of operators.derive.plasmid_angles (one sequence) as a PostScript circle with a label per site; it says so when there are more."""
+    rows, more = _rows(angles.orderBy("angle", "pat"), labels)
     out = ["%!PS-Adobe-3.0", "%%BoundingBox: 0 0 612 792", "/Helvetica findfont 8 scalefont setfont", "306 396 180 0 360 arc stroke", f"270 392 moveto ({name} {length} bp) show"]
     for r in rows:
         turn = math.radians(90 - r["angle"] / 1000)
         x, y = math.cos(turn), math.sin(turn)
         out.append(f"{306 + 180 * x:.1f} {396 + 180 * y:.1f} moveto {306 + 195 * x:.1f} {396 + 195 * y:.1f} lineto stroke")
         out.append(f"{306 + 200 * x:.1f} {396 + 200 * y:.1f} moveto ({r['pat']} {r['site']}) show")
+    out += ["36 36 moveto (... more sites follow) show"] if more else []
     return "\n".join([*out, "showpage", ""])
 
 
 def postscript_ladder(cells: DataFrame, width: int) -> str:
     """Rows of operators.derive.ladder_cells (one sequence) as PostScript lanes."""
     lanes: dict[str, list] = {}
-    for r in _rows(cells.orderBy("pat", "cell"))[0]:
+    for r in cells.orderBy("pat", "cell").toLocalIterator():
         lanes.setdefault(r["pat"], []).append(r)
     out = ["%!PS-Adobe-3.0", "/Courier findfont 8 scalefont setfont"]
     for k, (name, own) in enumerate(lanes.items()):

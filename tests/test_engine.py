@@ -324,6 +324,17 @@ def test_pattern_files(spark, tmp_path):
     assert len(files.parse_patterns("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()))) == 3
 
 
+def test_reports_are_whole(spark):
+    n = render.ROWS + 5
+    cells = spark.range(n).selectExpr("printf('p%06d', id) AS pat", "1 AS cell", "'x' AS mark", "1L AS n")
+    for text in (render.ladder(cells, 3), render.gel(cells, 3), render.postscript_ladder(cells, 3)):
+        assert f"p{n - 1:06d}" in text
+    lines = spark.range(n).selectExpr("1L AS seq_id", "id AS block_no", "id * 2 + 1 AS begin", "'ac' AS bases", "'tg' AS other", "'' AS labels")
+    assert f"ac  {2 * n}" in render.linear_map(lines)
+    angles = spark.range(3).selectExpr("id * 1000 AS angle", "'p' AS pat", "id AS site")
+    assert "more sites follow" in render.plasmid(angles, "p", 9, 2) and "more sites follow" not in render.plasmid(angles, "p", 9)
+
+
 def test_reports(spark, seqs):
     own = seqs.where("seq_id = 2")
     s = derive.distinct_sites(match.find_sites(own, SITES))
