@@ -14,7 +14,8 @@ a class (digest of the sorted set); the join is over classes.
    block once.  In a block DivideSkip runs as published: of a set's T-occurrence lists the L
    longest are set aside, the others heap-merged, and what occurs T - L times is probed
    by binary search for the long ones; exact counts decide links.  Classes already
-   connected are not compared again.  A block beyond ``BLOCK_SETS`` or ``BLOCK_ITEMS`` is dealt
+   connected are not compared again, so ngram_join has only components; ``links`` with
+   ``every_link`` and ``link_counts`` skip nothing and have all links.  A block beyond ``BLOCK_SETS`` or ``BLOCK_ITEMS`` is dealt
    to all pairs of its sub-blocks, so a task's memory is bounded and no pair is lost.
 4. Components of the links give the result.
 
@@ -257,10 +258,10 @@ def _arrays(batches, k: int, bits: np.ndarray, crowds: dict[int, int]):
             yield batch_of(_ARRAYS, **{"class": keys}, items=items)
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, every_link: bool = False) -> list[tuple[int, int]]:
     """Links that span the components of the sets (sorted distinct items): T-occurrence search for each set in turn.
 
-    sides: if given, only sets of different sides are compared.
+    sides: if given, only sets of different sides are compared.  every_link: all links, also of sets already connected.
     """
     size = np.array([len(s) for s in sets], dtype=np.int64)
     by = np.argsort(size, kind="stable")  # partners of a set are those after it, up to 100 / percent times its size
@@ -278,6 +279,8 @@ def divide_skip(sets: list[np.ndarray], percent: int, sides: np.ndarray | None =
 
     def join(r: int, s: int) -> None:
         links.append((int(by[r]), int(by[s])))
+        if every_link:
+            return  # each set stays a component of its own, so nothing is skipped
         x, y = int(group[r]), int(group[s])
         if len(members[x]) < len(members[y]):
             x, y = y, x
@@ -321,12 +324,12 @@ def divide_skip(sets: list[np.ndarray], percent: int, sides: np.ndarray | None =
     return links
 
 
-def _link_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _link_block(frame: pd.DataFrame, percent: int, every_link: bool) -> pd.DataFrame:
     frame = frame.drop_duplicates("class")
     keys = frame["class"].to_numpy(np.int64)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["items"]]
     two = frame["i"].iloc[0] != frame["j"].iloc[0]
-    links = divide_skip(sets, percent, frame["own"].to_numpy() if two else None) if len(sets) > 1 else []
+    links = divide_skip(sets, percent, frame["own"].to_numpy() if two else None, every_link) if len(sets) > 1 else []
     return pd.DataFrame({"a": keys[[x for x, _ in links]], "b": keys[[y for _, y in links]]}, dtype=np.int64)
 
 
@@ -340,8 +343,8 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_items: int) -> tuple[DataFrame, DataFrame]:
-    """(sets: doc_id, row_key, class, n; component roots of linked classes: class, root)."""
+def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_items: int, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sets: doc_id, row_key, class, n; component roots of linked classes: class, root; with every_link all links of classes instead: a, b)."""
     spark = docs.sparkSession
     slim = id_and_text(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_keys("text")[1])
@@ -369,7 +372,9 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     arrays = slim.mapInArrow(task("ngram-join", lambda bs: _arrays(bs, words, bits.value, crowds.value)), "class long, items binary")
     dealt = arrays.join(within, F.col("class") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "items")
-    found = dealt.groupBy("root", "i", "j").applyInPandas(lambda f: _link_block(f, percent), "a long, b long")
+    found = dealt.groupBy("root", "i", "j").applyInPandas(lambda f: _link_block(f, percent, every_link), "a long, b long")
+    if every_link:
+        return sets, found
     return sets, components(found).withColumnRenamed("node", "class")
 
 
@@ -389,6 +394,13 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bloc
     return _labelled(docs, words, percent, block_sets, block_items).drop("row_key", "root")
 
 
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id and n_links of every row: the classes (texts of other shingle sets) that its own class is linked with."""
+    sets, found = links(docs, words, percent, block_sets, block_items, every_link=True)
+    n = found.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    return sets.join(n.hint("merge"), "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def kept_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """One row of each group of near copies, that of the least doc_id, with all columns.  If texts of one group share that
     doc_id (or none has one), those of one text stay."""

@@ -493,6 +493,17 @@ def test_row_filters_keep_clashing_columns(odd, empty):
             assert out.columns == df.columns and out.count() <= 3 * df.count()
 
 
+def test_ngram_links_are_all_there(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[: 60 - k % 3] + [f"end{k}"]) for k in range(12)] + ["alone in the world of texts", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    want = {i: sum(100 * len(x & y) >= 85 * len(x | y) for y in sets if x and y and x != y) for i, x in enumerate(sets)}
+    assert min(want[i] for i in range(12)) == 11  # a spanning tree has 11 links in all, these are 66
+    for block_sets in (4096, 5):
+        assert {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(df, block_sets=block_sets).collect()} == want
+
+
 def test_row_filters_judge_rows_and_not_ids(spark):
     story = " ".join(f"word{k}" for k in range(40))
     rows = [(1, "one text", "a"), (None, "One text", "a"), (None, "a text of its own", "a"), (None, None, "a"), (2, "first of two", "a"), (2, "one TEXT", "a"), (3, "one text", "b")]
