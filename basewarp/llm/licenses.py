@@ -2,7 +2,9 @@
 
 A template's set is its distinct words; a text's blocks for it are runs of twice its words,
 one starting at every multiple of its words, so every run no longer than the template
-lies in a block.  A block meets the template if it holds at least ``ceil(threshold *
+lies in a block.  A notice longer than its template (with foreign words put in) lies whole in
+a block only at some places in its text, up to twice the template's words; elsewhere its
+block has only a part of it and may miss the threshold.  A block meets the template if it holds at least ``ceil(threshold *
 size)`` of the template's words.  The join:
 
 * one pass counts the words of all templates over all texts; rarest first is the global order;
@@ -17,7 +19,8 @@ Base phrases go through the same prefix lookup with threshold 1 and must then st
 by word in order.  Words are compared as 64-bit hashes of their bytes.
 
 Defined results: null text is empty: no words, no labels, null places, score 0; an empty
-table gives an empty result; repeated rows are scanned each; columns besides doc_id and
+table gives an empty result; repeated rows are scanned each; license_scan has a row per
+document, license_blocks one per phrase and block found, with its place; columns besides doc_id and
 text are not read.
 """
 
@@ -109,8 +112,11 @@ def count_words(docs: DataFrame, index: Index) -> np.ndarray:
     return out
 
 
-def _blocks(index: Index, words: np.ndarray, first: np.ndarray, hits: np.ndarray, entry: np.ndarray) -> list[tuple[int, float]]:
-    """(text, containment) of blocks that meet the template.  words: vocabulary place of every word; hits: where it is not -1."""
+_MATCHED = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("is_phrase", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("containment", pa.float64())])
+
+
+def _blocks(index: Index, words: np.ndarray, first: np.ndarray, hits: np.ndarray, entry: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(text, first word, last word, containment) of blocks that meet the template.  words: vocabulary place of every word; hits: where it is not -1."""
     length, terms = len(entry), np.unique(entry)
     size = len(terms)
     least = max(1, math.ceil(index.threshold * size - 1e-9))
@@ -137,7 +143,7 @@ def _blocks(index: Index, words: np.ndarray, first: np.ndarray, hits: np.ndarray
             continue
         held = len(np.unique(own))
         if held >= least:
-            out.append((int(t), held / size))
+            out.append((int(t), int(a - first[t]), int(z - first[t]) - 1, held / size))
     return out
 
 
@@ -176,7 +182,7 @@ def _scan(index: Index, batches):
                     for t in np.unique(text):
                         base[t].add(label)
                 else:
-                    for t, c in _blocks(index, words, first, hits, entry):
+                    for t, _, _, c in _blocks(index, words, first, hits, entry):
                         more[t].add(label)
                         score[t] = max(score[t], c)
             yield batch_of(
@@ -192,6 +198,31 @@ def _scan(index: Index, batches):
             )
 
 
+def _scan_blocks(index: Index, batches):
+    for b in batches:
+        ids = b.column("doc_id").to_pylist()
+        for at, data, offsets in chunks(b.column("text")):
+            starts, ends, first = word_spans(data, offsets, IN_TOKEN)
+            words = index.found(word_hashes(data, starts, ends))
+            hits = np.flatnonzero(words >= 0)
+            for label, entry, is_phrase in index.entries:
+                if is_phrase:
+                    found = [(int(t), int(s), int(s) + len(entry) - 1, 1.0) for t, s in zip(*_places(index, words, first, hits, entry))]
+                else:
+                    found = _blocks(index, words, first, hits, entry)
+                if found:
+                    texts, lo, hi, held = zip(*found)
+                    yield batch_of(_MATCHED, doc_id=[ids[at + t] for t in texts], label=[label] * len(texts), is_phrase=[is_phrase] * len(texts), first_word=lo, last_word=hi, containment=held)
+
+
+def license_blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Every phrase and every block that meets a template: doc_id, label, is_phrase, first_word, last_word (from 0), containment."""
+    index = Index(phrases, templates, threshold)
+    index.order(count_words(docs, index))
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    return id_and_text(docs).mapInArrow(task("licenses", lambda batches: _scan_blocks(sent.value, batches)), "doc_id long, label string, is_phrase boolean, first_word long, last_word long, containment double")
+
+
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     index = Index(phrases, templates, threshold)
     index.order(count_words(docs, index))

@@ -294,6 +294,19 @@ def test_license_scan(spark, docs, plain, odd, empty):
         assert label in by_id[i][6].split(",")
 
 
+def test_license_blocks_have_places(spark, docs):
+    i, (label, text) = next((i, x) for i, x in enumerate(licenses.TEMPLATES))
+    df = spark.createDataFrame([(1, "filler words here. " * 30 + text + " and more"), (2, "an MIT license"), (3, None)], "doc_id long, text string")
+    got = licenses.license_blocks(df).collect()
+    n = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text)))
+    assert any(r["doc_id"] == 1 and r["label"] == label and not r["is_phrase"] and r["first_word"] <= 90 and 90 + n - 1 <= r["last_word"] and r["containment"] == 1 for r in got)
+    assert [tuple(r) for r in got if r["doc_id"] == 2] == [(2, "mit", True, 1, 2, 1.0)]
+    blocks = collections.defaultdict(set)
+    for r in licenses.license_blocks(docs).collect():
+        blocks[r["doc_id"]].add(r["label"])
+    assert all(set(filter(None, r["labels"].split(","))) == blocks[r["doc_id"]] for r in licenses.license_scan(docs).collect())
+
+
 # 6 PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
