@@ -42,16 +42,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         enc = encoder(tokenizer)
         salt = 0
         for b in batches:
-            out: list[tuple] = []
-            for lo in range(0, b.num_rows, 256):  # few texts at a time stay in the processor's caches
-                rows = b.slice(lo, 256)
-                for doc, got in zip(rows.column("doc_id").to_pylist(), enc.encode([t or "" for t in rows.column("text").to_pylist()])):
-                    tokens = np.append(got, end_id).astype("<u4")
-                    cut = len(tokens) % capacity or capacity
-                    edges = [0, *range(min(cut, len(tokens)), len(tokens) + 1, capacity)]
-                    salt += 1  # tells repeated rows apart; ranks stay exact whatever it is
-                    out += [(doc, k, a, z - a, zlib.crc32(tokens[a:z].tobytes()), salt) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
-            yield batch_of(_PIECES, **{f.name: list(c) for f, c in zip(_PIECES, zip(*out))}) if out else batch_of(_PIECES, **{f.name: [] for f in _PIECES})
+            names = b.column("doc_id").to_pylist()
+            for at, ids, begins in enc.encoded(b.column("text")):
+                size = np.diff(begins) + 1
+                tokens = np.full(int(size.sum()), end_id, dtype="<u4")
+                ends = np.cumsum(size)
+                body = np.ones(len(tokens), dtype=bool)
+                body[ends - 1] = False
+                tokens[body] = ids
+                raw = memoryview(tokens).cast("B")
+                out: list[tuple] = []
+                for k, (lo, hi) in enumerate(zip((ends - size).tolist(), ends.tolist())):
+                    salt += 1  # tells repeated rows apart
+                    cut = lo + ((hi - lo - 1) % capacity) + 1
+                    for piece, (a, z) in enumerate(zip((lo, *range(cut, hi, capacity)), range(cut, hi + 1, capacity))):
+                        out.append((names[at + k], piece, a - lo, z - a, zlib.crc32(raw[4 * a : 4 * z]), salt))
+                yield batch_of(_PIECES, **{f.name: list(c) for f, c in zip(_PIECES, zip(*out))})
 
     return id_and_text(docs).mapInArrow(task("tokens", run), "doc_id long, piece int, start long, length int, ids_crc32 long, salt long")
 

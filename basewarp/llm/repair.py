@@ -2,17 +2,17 @@
 
 A shard is a run of documents by doc_id.  Its ids, each document closed by an end symbol of
 its own that no rule may have on the left, are compressed in rounds: all pairs are counted
-by sorting, the frequent ones (a 256th of the most frequent pair's count or more) become
+by sorting, the frequent ones (``1 / drop`` of the most frequent pair's count or more) become
 nonterminals, and their occurrences are replaced from left to right, until no pair occurs
-``LEAST`` times or the nonterminals fill 16 bits.  A record keeps the rules, every
-nonterminal's expansion length, the symbols, and per document where its symbols and ids
+``least`` = 2 times.  A record keeps the rules, every nonterminal's expansion length, the
+symbols (each in as many bytes as the largest needs), and per document where its symbols and ids
 begin, so any document or range of ids is decoded alone.
 
 Records are rows of a Parquet table in the shared folder, written by Spark's writer: a
 lost task is run again, and only committed shards are read.
 
 Defined results: null text is empty and has the end id alone; rows without doc_id come
-first, equal doc_ids are ordered by their texts; an empty table gives an empty file;
+first, equal doc_ids are ordered by a hash of their texts and then by these; an empty table gives an empty file;
 columns besides doc_id and text are not read.
 """
 
@@ -31,65 +31,113 @@ from .common import batch_of, id_and_text, slots_for, task, written
 from .tokens import encoder, tokenizer_path
 
 END_ID = 1
-#: Pairs rarer than this are not worth a rule.
-LEAST = 12
+#: Pairs rarer than this get no rule.
+LEAST = 2
 #: Pairs as frequent as the most frequent one divided by this are replaced in one round.
-DROP = 256
-_TOP = 1 << 16
+DROP = 64
 #: Runs that a worker keeps here: little else needs memory beside them.
 KEEP = 1_200_000
 #: A record is full at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2_000, 8_000_000
-_SPREAD = np.uint32(0x9E3779B1)
+_U = np.uint64
+_SLOTS, _LOW = 21, _U(0xFFFFFFFF)
 
-RECORD = "shard long, n_docs long, n_ids long, n_terminals int, doc_ids binary, doc_null binary, doc_symbols binary, doc_starts binary, rules binary, lengths binary, symbols binary"
+RECORD = "shard long, n_docs long, n_ids long, n_terminals int, doc_ids binary, doc_null binary, doc_symbols binary, doc_starts binary, rules binary, lengths binary, symbols binary, n_symbols long, n_rules long"
 
 
-def compress(symbols: np.ndarray, first_rule: int, end: int, least: int = LEAST, top: int = _TOP) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows of left and right, symbols).  Nonterminals count from first_rule; end never stands left in a rule."""
-    seq = symbols.astype(np.uint16)  # so a pair is one 32-bit number
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes (1 to 8, the least first) as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        width = len(raw) // n
+        out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(n, width)
+    return out.reshape(-1).view("<i8")
+
+
+def _every_other(place: np.ndarray) -> np.ndarray:
+    """Of sorted places, in each run of neighbours every other one from its start."""
+    count = np.arange(len(place))
+    run = np.maximum.accumulate(np.where(np.diff(place, prepend=-2) != 1, count, 0))
+    return (count - run) % 2 == 0
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * _U(0x9E3779B97F4A7C15)) >> _U(64 - _SLOTS)
+
+
+def compress(symbols: np.ndarray, first_rule: int, end: int, least: int = LEAST, drop: int = DROP) -> tuple[np.ndarray, np.ndarray]:
+    """(rules as rows of left and right, symbols).  Nonterminals count from first_rule; end never stands left in a rule.
+
+    drop: 1 is one count at a time as published; more replaces pairs down to that share of the top count in one round.
+    """
+    seq = symbols.astype(np.uint32)
     rules: list[np.ndarray] = []
-    n_rules, room = 0, top - first_rule
-    closing = np.zeros(top, dtype=bool)  # symbols whose expansion ends a document never stand left
+    n_rules = 0
+    closing = np.zeros(first_rule, dtype=bool)  # symbols whose expansion ends a document never stand left
     closing[end] = True
-    while room > n_rules and len(seq) > 1:
-        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        ordered = pair[~closing[seq[:-1]]]
-        ordered.sort()
+    live = ~closing[seq]  # places at which a pair that may occur again begins
+    live[-1:] = False
+    while True:
+        place = np.flatnonzero(live)
+        left, right = seq[place], seq[place + 1]
+        same = np.flatnonzero(left == right)
+        if len(same):  # aaa is one pair, not two
+            fine = np.ones(len(place), dtype=bool)
+            fine[same[~_every_other(place[same])]] = False
+            place, left, right = place[fine], left[fine], right[fine]
+        pair = (left.astype(_U) << _U(32)) | right
+        ordered = np.sort(pair)
         if not len(ordered):
             break
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1])
-        n = np.diff(edge, prepend=-1, append=len(ordered) - 1)
+        last = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1)
+        n = np.diff(last, prepend=-1)
         best = int(n.max())
         if best < least:
             break
-        often = np.flatnonzero(n >= max(least, best // DROP))
-        often = often[np.argsort(-n[often], kind="stable")[: room - n_rules]]
-        chosen = ordered[np.append(edge, len(ordered) - 1)[often]]
+        many = np.flatnonzero(n >= least)
+        slot = _slot(pair)
+        again = np.zeros(1 << _SLOTS, dtype=bool)
+        again[_slot(ordered[last[many]])] = True
+        live[place] = again[slot]  # the others occur once from now on
+        often = many[n[many] >= best // drop]
+        often = often[np.argsort(-n[often], kind="stable")]
+        chosen = ordered[last[often]]
         # One pair per slot of a hashed table; a pair that finds its slot taken waits for the next round.
-        slot = (chosen * _SPREAD) >> np.uint32(12)
-        table = np.full(1 << 20, -1, dtype=np.int32)
-        table[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        chosen = chosen[table[slot] == np.arange(len(chosen))]
-        slot = (chosen * _SPREAD) >> np.uint32(12)
-        table[slot] = np.arange(len(chosen), dtype=np.int32)
-        maybe = table >= 0
-        slot = (pair * _SPREAD) >> np.uint32(12)
-        place = np.flatnonzero(maybe[slot])
-        at = table[slot[place]]
-        same = chosen[at] == pair[place]
-        place, at = place[same], at[same]
-        # In a run of overlapping hits every other one is replaced, from its start.
-        count = np.arange(len(place))
-        run = np.maximum.accumulate(np.where(np.diff(place, prepend=-2) != 1, count, 0))
-        take = (count - run) % 2 == 0
-        place = place[take]
-        seq[place] = first_rule + n_rules + at[take]
+        wanted = _slot(chosen)
+        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        table[wanted[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        chosen = chosen[table[wanted] == np.arange(len(chosen))]
+        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        at = table[slot]
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[chosen[at[hit]] == pair[hit]]
+        place, at = place[hit], at[hit]
+        # Of overlapping pairs the more frequent one is replaced; the other waits.
+        touch = np.diff(place) == 1
+        take = np.ones(len(place), dtype=bool)
+        take[1:] &= ~touch | (at[1:] < at[:-1])
+        take[:-1] &= ~touch | (at[:-1] < at[1:])
+        place, at = place[take], at[take]
+        good = np.bincount(at, minlength=len(chosen)) >= least  # always so for the most frequent one
+        mine = good[at]
+        place, at, chosen = place[mine], (np.cumsum(good) - 1)[at[mine]], chosen[good]
+        seq[place] = first_rule + n_rules + at
+        closing = np.append(closing, closing[(chosen & _LOW).astype(np.int64)])
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
-        seq = seq[keep]
-        closing[first_rule + n_rules : first_rule + n_rules + len(chosen)] = closing[chosen & np.uint32(0xFFFF)]
-        rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1).astype(np.int64))
+        now = place - np.arange(len(place))
+        seq, live = seq[keep], live[keep]
+        live[now] = True
+        live[np.maximum(now - 1, 0)] = True
+        near = np.concatenate([now, np.maximum(now - 1, 0)])
+        live[near[closing[seq[near]]]] = False
+        live[-1:] = False
+        rules.append(np.stack([(chosen >> _U(32)).astype(np.int64), (chosen & _LOW).astype(np.int64)], axis=1))
         n_rules += len(chosen)
     return np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64), seq
 
@@ -124,9 +172,9 @@ class Record:
     def __init__(self, row):
         self.first_rule = int(row["n_terminals"])
         self.end = self.first_rule - 1
-        self.rules = np.frombuffer(row["rules"], dtype="<u2").reshape(-1, 2).astype(np.int64)
-        self.lengths = np.frombuffer(row["lengths"], dtype="<u4").astype(np.int64)
-        self.symbols = np.frombuffer(row["symbols"], dtype="<u2")
+        self.rules = _unpacked(row["rules"], 2 * row["n_rules"]).reshape(-1, 2)
+        self.lengths = _unpacked(row["lengths"], row["n_rules"])
+        self.symbols = _unpacked(row["symbols"], row["n_symbols"])
         self.doc_ids = np.frombuffer(row["doc_ids"], dtype="<i8")
         self.doc_null = np.frombuffer(row["doc_null"], dtype="u1").astype(bool)
         self.doc_symbols = np.frombuffer(row["doc_symbols"], dtype="<u8").astype(np.int64)
@@ -134,7 +182,7 @@ class Record:
         # All expansions, one after another.
         size = np.concatenate([np.ones(self.first_rule, dtype=np.int64), self.lengths])
         self._size, self._at = size, np.cumsum(size) - size
-        flat = np.empty(int(size.sum()), dtype=np.uint16)
+        flat = np.empty(int(size.sum()), dtype=np.uint32)
         flat[: self.first_rule] = np.arange(self.first_rule)
         for lo, hi in _rounds(self.rules, self.first_rule):
             parts = self.rules[lo:hi].reshape(-1)
@@ -190,13 +238,15 @@ def record(shard: int, doc_ids: list, ids: list[np.ndarray], vocabulary: int) ->
         "doc_null": np.array([d is None for d in doc_ids], dtype="u1").tobytes(),
         "doc_symbols": doc_symbols.astype("<u8").tobytes(),
         "doc_starts": starts.astype("<u8").tobytes(),
-        "rules": rules.astype("<u2").tobytes(),
-        "lengths": lengths.astype("<u4").tobytes(),
-        "symbols": symbols.astype("<u2").tobytes(),
+        "rules": _packed(rules.reshape(-1)),
+        "lengths": _packed(lengths),
+        "symbols": _packed(symbols),
+        "n_symbols": len(symbols),
+        "n_rules": len(rules),
     }
 
 
-_RECORD = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_terminals", pa.int32()), *((c, pa.binary()) for c in ("doc_ids", "doc_null", "doc_symbols", "doc_starts", "rules", "lengths", "symbols"))])
+_RECORD = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_terminals", pa.int32()), *((c, pa.binary()) for c in ("doc_ids", "doc_null", "doc_symbols", "doc_starts", "rules", "lengths", "symbols")), ("n_symbols", pa.int64()), ("n_rules", pa.int64())])
 
 
 def write_file(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -219,19 +269,20 @@ def write_file(docs: DataFrame, tokenizer: str | None = None, shard_docs: int =
             return batch_of(_RECORD, **{k: [v] for k, v in row.items()})
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):  # few texts at a time stay in the processor's caches
-                rows = b.slice(lo, 256)
-                for doc, got in zip(rows.column("doc_id").to_pylist(), enc.encode([t or "" for t in rows.column("text").to_pylist()])):
-                    ids.append(doc)
-                    found.append(got)
-                    size += len(got) + 1
+            names = b.column("doc_id").to_pylist()
+            for at, got, begins in enc.encoded(b.column("text")):
+                edges = begins.tolist()
+                for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                    ids.append(names[at + k])
+                    found.append(got[lo:hi])
+                    size += hi - lo + 1
                     if len(ids) >= shard_docs or size >= shard_ids:
                         yield close()
                         ids, found, size, number = [], [], 0, number + 1
         if ids:
             yield close()
 
-    ordered = id_and_text(docs).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(task("tokens", build), RECORD), "token-ids")
 
 
@@ -240,8 +291,12 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def read_file(file: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the records alone."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one small row per shard
-    base = file.select("shard", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).select("shard", "base")
+    # Sums of many shards, then of these: neither window has one task for all shards.
+    many = F.shiftright(F.shiftright("shard", 32), 11).alias("many")
+    sums = file.groupBy(many).agg(F.sum("n_ids").alias("n")).withColumn("before_many", F.coalesce(F.sum("n").over(Window.orderBy("many").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = Window.partitionBy("many").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = file.select("shard", "n_ids", many).withColumn("inside", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    base = base.join(sums.drop("n"), "many").select("shard", (F.col("before_many") + F.col("inside")).cast("long").alias("base"))
 
     def run(batches):
         for b in batches:

@@ -1,159 +1,352 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct run of a text encoded once.
+"""Token ids of whole texts by the tokenizers library, with each distinct piece of a text encoded once.
 
-Pre-tokenizers never look across certain places, so a text is cut there and every run is
-encoded by the library once per worker and then looked up:
+A pre-tokenizer cuts a text into pieces that are encoded without regard to each other.  Here
+the cuts of two kinds of tokenizer file are found in arrays of bytes:
 
-* ``byte_bpe``: before a single blank between two characters that are not white space
-  (a run keeps its leading blank);
-* ``word_bpe``: at ASCII white space (which that tokenizer drops).
+* byte level: runs of letters, of numbers, of other characters, each with one blank before
+  it; of white space before such a run all but the last character are a piece;
+* words: runs of letters, single numbers, runs of other characters; white space is dropped.
 
-Of a run of letters and then punctuation, and of lines, the parts are looked up one by one,
-as pre-tokenizers part them.  A text in which such a place is not safe (white space beside a blank or at an end, or
-white space outside ASCII) is encoded as a whole.  Special-token strings in a text are
-ordinary text.
+Which class a character has is asked of the library itself, once per character.  Where a cut
+depends on more than classes (apostrophes; for words also characters that normalisation
+joins, reorders or turns into several) the run between white space is one piece.  Strings of
+added tokens are pieces too.  The distinct pieces of a slice come from Arrow; those not yet known
+to this worker are encoded by the library (single-class pieces by its model, others by the
+whole tokenizer), and the ids of all texts are gathered from flat arrays.
+
+A file of any other kind has its texts encoded whole.  A text beyond the size of a slice goes
+in windows that end before a blank between ASCII letters.  Bytes that aren't UTF-8 count as
+U+FFFD.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
-import re
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import chunks, kept
+
+#: Pieces, and bytes of them, kept per worker; beyond, only those of the last slice stay (a bound of memory, not of what is encoded).
+KEEP, KEEP_BYTES = 1_200_000, 48_000_000
+#: Bytes of text that are cut at once.
+SLICE = 8 << 20
+_WHITE, _LETTER, _NUMBER, _OTHER, _JOINED, _UNKNOWN = range(6)
+
+#: Fixed pattern of the word kind.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-from .common import kept
 
-#: Runs kept per worker; then the table starts anew (a bound of memory, not of what is encoded).
-KEEP = 700_000
+def _kind(spec: dict) -> str | None:
+    """byte, word, or None: a file that is not known to cut where this module does."""
+    model, pre, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    plain_tokens = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", ()))
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or spec.get("truncation") or spec.get("padding") or not plain_tokens:
+        return None
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None and not model.get("end_of_word_suffix"):
+        return "byte"
+    if pre.get("type") != "Sequence" or not norm or norm.get("type") != "Sequence" or [n["type"] for n in norm["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+        return None
+    replace, parts = norm["normalizers"][1], pre["pretokenizers"]
+    split = len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["pattern"] == {"Regex": _WORD_PATTERN} and parts[0]["invert"] and parts[0]["behavior"] == "Removed"
+    level = len(parts) == 2 and parts[1]["type"] == "ByteLevel" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+    return "word" if split and level and replace == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} else None
+
+
+def _byte_letters() -> np.ndarray:
+    """The character that byte-level vocabularies write for each byte, as UTF-16 units."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = np.zeros(256, dtype="<u2")
+    table[shown] = shown
+    hidden = np.setdiff1d(np.arange(256), shown)
+    table[hidden] = 256 + np.arange(len(hidden))
+    return table
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of flat that begin at ``at``, one after another."""
+    ends = np.cumsum(size, dtype=np.int32)
+    index = np.repeat(at - (ends - size), size)
+    index += np.arange(len(index), dtype=np.int32)
+    return flat[index]
 
-#: After letters, these begin a new piece in either pre-tokenizer.
-_MARKS = ".,!?;:#$%&*|\"()"
-_BEYOND_LATIN = re.compile("[^\0-\u024f]")
-_UNSAFE_BYTE = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-_UNSAFE_WORD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 class Encoder:
-    def __init__(self, path: str, keep: int | None = None):
+    def __init__(self, path: str, keep: int | None = None, slice_bytes: int = SLICE):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = self.tokenizer.normalizer is not None  # drops white space
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.keep = keep or KEEP
+        self.kind = _kind(spec)
+        self.words = self.kind == "word"
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", ())]
         names = self.tokenizer.get_vocab()
-        self.closes, self.opens = np.zeros(len(names) + 1, dtype=bool), np.zeros(len(names) + 1, dtype=bool)
+        self.width = "<u2" if max(names.values()) < 1 << 16 else "<u4"
+        self.keep, self.slice_bytes = keep or KEEP, slice_bytes
+        # The model alone, for pieces that are already cut and written in byte letters, a line end apart.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.model.encode_special_tokens = True
+        self.letters = _byte_letters()
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.letters_of = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, at in names.items():
-            self.closes[at], self.opens[at] = name.endswith("</w>"), name.startswith("\u0120")
-        self.line = names.get("\u010a", -1)
+            self.letters_of[at] = len(name) - len(suffix) * (suffix != "" and name.endswith(suffix))
+        self.classes = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
+        self._forget()
 
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    # ---------------------------------------------------------------- classes of characters
 
-    def _runs(self, text: str) -> list[str] | None:
-        """The runs of a text, or None if it can't be cut.  A first run has a NUL for the leading blank it lacks."""
+    def _class(self, char: str) -> int:
+        if char == "'":
+            return _JOINED
         if self.words:
-            if _UNSAFE_WORD.search(text):
-                return None
-            # The tokenizer lower-cases too; in these scripts that changes nothing else.
-            return (text if _BEYOND_LATIN.search(text) else text.lower()).split()
-        if not text or text[0].isspace() or text[-1].isspace() or "  " in text or "\n " in text or " \n" in text or _UNSAFE_BYTE.search(text):
-            return None
-        first, *more = text.split(" ")
-        return ["\0" + first, *more]
-
-    def _parts(self, run: str) -> list[str] | None:
-        """Runs whose ids, one after another, are this run's; None if it is to be encoded itself."""
-        if not self.words and "\n" in run and "\0" not in run[1:]:
-            lines = run.split("\n")
-            if all(lines) and lines[0] != "\0":
-                return [lines[0], *(x for line in lines[1:] for x in ("\0\n", "\0" + line))]
-        stem = run.rstrip(_MARKS)
-        if stem != run and stem[stem.startswith("\0") :].isalpha():
-            return [stem, run[len(stem) :] if self.words else "\0" + run[len(stem) :]]
-        return None
+            normal = self.tokenizer.normalizer.normalize_str(char)
+            jamo = 0x1160 <= ord(char) <= 0x11FF or 0xD7B0 <= ord(char) <= 0xD7FF
+            if len(normal) != 1 or jamo or unicodedata.combining(char) or unicodedata.category(char) in ("Mn", "Mc", "Me", "Cn", "Cs"):
+                return _JOINED
+            if normal == " ":
+                return _WHITE
+            char = normal
+        pieces = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s))
+        if pieces("a" + char) == 1:
+            return _LETTER
+        if pieces("!" + char) == 1:
+            return _OTHER
+        return _NUMBER if self.words or pieces("1" + char) == 1 else _WHITE
+
+    def _classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte's character."""
+        cls = self._known_classes(np.arange(128))[data & 0x7F]
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            first = data[lead].astype(np.int64)
+            width = 2 + (first >= 0xE0) + (first >= 0xF0)
+            code = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[width]
+            for k in (1, 2, 3):
+                more = width > k
+                code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+            got = self._known_classes(code)
+            cls[lead] = got
+            for k in (1, 2, 3):
+                more = width > k
+                cls[lead[more] + k] = got[more]
+        return cls
+
+    def _known_classes(self, code: np.ndarray) -> np.ndarray:
+        got = self.classes[code]
+        new = got == _UNKNOWN
+        if new.any():
+            for c in np.unique(code[new]).tolist():
+                self.classes[c] = self._class(chr(c))
+            got = self.classes[code]
+        return got
+
+    # ---------------------------------------------------------------- cuts
+
+    def _pieces(self, data: np.ndarray, edges: np.ndarray, whole: list[tuple[int, int]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All pieces, the index of each edge's first piece, and the pieces that the whole tokenizer must encode (repeats allowed).
+
+        edges: sorted, from 0 to len(data); whole: ranges between edges that are one piece each.
+        """
+        n = len(data)
+        cls = self._classes(data)
+        for lo, hi in whole:
+            cls[lo:hi] = _JOINED
+        white = cls == _WHITE
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[edges] = True
+        begin = edge.copy()
+        begin[1:n] |= cls[1:] != cls[:-1]
+        if self.words:
+            begin[:n] |= (cls == _NUMBER) & (data & 0xC0 != 0x80)
+        else:
+            after = np.flatnonzero(begin[1:n] & white[:-1] & ~white[1:]) + 1
+            after = after[~edge[after]]
+            last = after - 1  # the last white character before a run
+            for _ in range(3):
+                last = last - (data[last] & 0xC0 == 0x80)
+            begin[last] = True
+            begin[after[data[last] == 0x20]] = False  # a blank belongs to the run
+        joined = np.flatnonzero(cls == _JOINED)
+        if len(joined):
+            change = np.append(white, True)
+            run = np.flatnonzero(~change[:-1] & np.append(True, change[:-2] | edge[1:-1])) if n > 1 else np.flatnonzero(~white)
+            end = np.flatnonzero(~change[:-1] & (change[1:] | edge[1:]))
+            held = np.unique(np.searchsorted(run, joined, side="right") - 1)
+            depth = np.zeros(n + 1, dtype=np.int8)
+            depth[run[held] + 1] += 1
+            depth[end[held] + 1] -= 1
+            begin &= np.cumsum(depth, dtype=np.int8) == 0
+        starts = np.flatnonzero(begin[:n])
+        if self.words:
+            starts = starts[~white[starts]]
+            kept_bytes = ~white
+            data = data[kept_bytes]
+            offsets = np.flatnonzero(begin[:n][kept_bytes])
+        else:
+            offsets = starts
+        pieces = pa.Array.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(np.append(offsets, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        return pieces, np.searchsorted(starts, edges), np.searchsorted(starts, joined, side="right") - 1
+
+    def _windows(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Parts of a long text that end before a blank between two ASCII letters."""
+        size, lo = self.slice_bytes, 0
+        letter = np.zeros(256, dtype=bool)
+        letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+        while len(data) - lo > size:
+            hi, ahead = lo + size, size
+            while hi < len(data):
+                part = data[hi - 1 : hi + ahead]
+                here = np.flatnonzero((part[1:-1] == 0x20) & letter[part[:-2]] & letter[part[2:]])
+                if len(here):
+                    hi += int(here[0])
+                    break
+                hi += max(1, len(part) - 2)
+            hi = min(hi, len(data))
+            yield lo, hi
+            lo = hi
+        if lo < len(data):
+            yield lo, len(data)
+
+    # ---------------------------------------------------------------- ids
+
+    def _forget(self) -> None:
+        self.known = pa.array([], type=pa.binary())
+        self.flat = np.zeros(0, dtype=self.width)
+        self.at, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts by the whole tokenizer, and how many each has."""
+        got = [np.array(e.ids, dtype=self.width) for lo in range(0, len(texts), 1_000) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1_000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype=self.width), *got]), np.array([len(x) for x in got], dtype=np.int32)
+
+    def _modelled(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces of one class, by the library's model."""
+        ids, sizes = [np.zeros(0, dtype=self.width)], [np.zeros(0, dtype=np.int32)]
+        for lo in range(0, len(pieces), 1_000):
+            some = pieces.slice(lo, 1_000)
+            _, where, data = some.buffers()
+            offsets = np.frombuffer(where, dtype=np.int32)[some.offset : some.offset + len(some) + 1]
+            data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+            ends = offsets[1:] - offsets[0]
+            if self.words:
+                normal = self.tokenizer.normalizer.normalize_str(np.insert(data, ends, 0x0A).tobytes().decode())
+                line = np.frombuffer(normal.encode(), dtype=np.uint8)
+                ends = np.flatnonzero(line == 0x20)
+                units = self.letters[line]
+                units[ends] = 0x0A
+                ends = ends - np.arange(len(ends))
+            else:
+                units = np.insert(self.letters[data], ends, 0x0A)
+            got = np.array(self.model.encode_batch_fast([units.tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, dtype=self.width)
+            reached = np.cumsum(self.letters_of[got])
+            last = np.searchsorted(reached, ends)
+            if len(ends) != len(some) or not len(reached) or reached[-1] != ends[-1] or (reached[last] != ends).any():
+                got, n = self._whole([x.decode() for x in some.to_pylist()])
+            else:
+                n = np.diff(last, prepend=-1).astype(np.int32)
+            ids.append(got)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, pieces: pa.Array, joined: np.ndarray) -> np.ndarray:
+        """Adds pieces that aren't known and returns their places; joined: those for the whole tokenizer."""
+        order = np.concatenate([np.flatnonzero(~joined), np.flatnonzero(joined)])
+        single, single_n = self._modelled(pieces.take(pa.array(np.flatnonzero(~joined))))
+        other, other_n = self._whole([x.decode() for x in pieces.take(pa.array(np.flatnonzero(joined))).to_pylist()])
+        size = np.concatenate([single_n, other_n])
+        at = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
+        self.known = pa.concat_arrays([self.known, pieces.take(pa.array(order))])
+        self.flat = np.concatenate([self.flat, single, other])
+        self.at, self.size = np.append(self.at, at.astype(np.int32)), np.append(self.size, size)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(self.known) - len(order), len(self.known))
+        return place
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one text after another, and where each text's begin (one more than texts)."""
+        if not len(data):
+            return np.zeros(0, dtype=self.width), np.zeros(len(offsets), dtype=np.int64)
+        raw = data.tobytes()
+        if not raw.isascii():
+            try:
+                raw.decode()
+            except UnicodeDecodeError:
+                fixed = [raw[a:z].decode(errors="replace").encode() for a, z in zip(offsets.tolist(), offsets[1:].tolist())]
+                return self._ids(np.frombuffer(b"".join(fixed), dtype=np.uint8), np.cumsum([0, *map(len, fixed)]))
+        if self.kind is None:
+            ids, n = self._whole([raw[a:z].decode() for a, z in zip(offsets.tolist(), offsets[1:].tolist())])
+            return ids, np.append(0, np.cumsum(n))
+        whole = self._added(raw, offsets)
+        edges = np.unique(np.concatenate([offsets, np.array(whole, dtype=np.int64).reshape(-1)]))
+        pieces, first, joined = self._pieces(data, edges, whole)
+        first = first[np.searchsorted(edges, offsets)]
+        coded = pieces.dictionary_encode()
+        distinct, index = coded.dictionary, coded.indices.to_numpy()
+        by_whole = np.zeros(len(distinct), dtype=bool)
+        by_whole[index[joined]] = True
+        place = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn(distinct.take(pa.array(new)), by_whole[new])
+        at, size = self.at[place], self.size[place]
+        n = size[index]
+        begins = np.append(0, np.cumsum(n, dtype=np.int64))[first]
+        ids = _gather(self.flat, at[index], n)
+        if len(self.known) > self.keep or self.known.nbytes > KEEP_BYTES:
+            if len(distinct) <= self.keep // 2 and distinct.nbytes <= KEEP_BYTES // 2:
+                self.known, self.flat = distinct, _gather(self.flat, at, size)
+                self.size, self.at = size, np.cumsum(size, dtype=np.int32) - size
+            else:
+                self._forget()
+        return ids, begins
+
+    def _added(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Places of added tokens' strings inside single texts, leftmost first and the longest of those."""
+        found = []
+        for name in self.added:
+            at = raw.find(name)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(name) <= offsets[text + 1]:
+                    found.append((at, -len(name)))
+                at = raw.find(name, at + 1)
+        out, end = [], 0
+        for at, size in sorted(found):
+            if at >= end:
+                end = at - size
+                out.append((at, end))
+        return out
 
-    def _encode_runs(self, runs) -> None:
-        """Encodes distinct runs.  Runs of letters go many in one call, a blank (or a line end) apart, and are told
-        apart again by tokens that only begin (or end) such a run; other runs go one by one."""
-        groups: tuple[list[str], list[str], list[str]] = ([], [], [])
-        for r in runs:
-            groups[1 + r.startswith("\0") if r.lstrip("\0").isalpha() else 0].append(r)
-        single, plain, bare = groups
-        for kind, some in ((0, plain), (1, bare)):
-            for lo in range(0, len(some), 1_000):
-                part = some[lo : lo + 1_000]
-                words = [r.lstrip("\0") for r in part]
-                text = " ".join(words) if self.words else ("\n" if kind else " ") + ("\n" if kind else " ").join(words)
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
-                if self.words:
-                    ends = np.flatnonzero(self.closes[ids]) + 1
-                    starts = np.append(0, ends[:-1])
-                else:
-                    starts = np.flatnonzero(ids == self.line if kind else self.opens[ids])
-                    ends = np.append(starts[1:], len(ids))
-                    starts = starts + kind  # the line end itself is no part of the run
-                if len(starts) != len(part):
-                    single += part
-                    continue
-                raw, n = ids.tobytes(), ids.itemsize
-                self.known.update((r, raw[a:z]) for r, a, z in zip(part, (starts * n).tolist(), (ends * n).tolist()))
-        said = [r if self.words else r[1:] if r.startswith("\0") else " " + r for r in single]
-        for lo in range(0, len(single), 10_000):
-            self.known.update(zip(single[lo : lo + 10_000], self._pack(said[lo : lo + 10_000])))
-
-    def _learn(self, missing: set[str]) -> None:
-        made: list[tuple[str, list[str]]] = []
-        new: dict[str, None] = {}
-        stack = list(missing)
-        seen = set(stack)
-        while stack:
-            run = stack.pop()
-            parts = None if run.isalpha() else self._parts(run)
-            if parts is None:
-                new[run] = None
-                continue
-            made.append((run, parts))
-            for x in parts:
-                if x not in seen and x not in self.known:
-                    seen.add(x)
-                    stack.append(x)
-        self._encode_runs(new)
-        while made:  # parts may be made of parts themselves
-            later = []
-            for run, parts in reversed(made):
-                got = [self.known.get(x) for x in parts]
-                if None in got:
-                    later.append((run, parts))
-                else:
-                    self.known[run] = b"".join(got)
-            made = later[::-1]
+    def encoded(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Slices of a text column: first row, the ids of its texts, where each text's begin (one more than texts)."""
+        for at, data, offsets in chunks(column, self.slice_bytes):
+            if len(offsets) == 2 and len(data) > 2 * self.slice_bytes and self.kind:
+                held = [0]
+                for lo, hi in self._added(data.tobytes(), offsets):
+                    held += [lo, hi]
+                held.append(len(data))
+                parts = []
+                for lo, hi in zip(held, held[1:]):  # an added token's string is a part of its own
+                    parts += [self._ids(data[lo + a : lo + z], np.array([0, z - a]))[0] for a, z in self._windows(data[lo:hi])]
+                ids = np.concatenate(parts)
+                yield at, ids, np.array([0, len(ids)])
+            else:
+                yield at, *self._ids(data, offsets)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        collecting = gc.isenabled()
-        gc.disable()  # the runs are many small objects without cycles
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._runs(t) for t in texts]
-        known = self.known
-        missing = set().union(*(runs for runs in cut if runs is not None)).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.keep:
-                known.clear()
-                missing = set().union(*(runs for runs in cut if runs is not None))
-            self._learn(missing)
-        packed = iter(self._pack([t for t, runs in zip(texts, cut) if runs is None]))
-        get = known.__getitem__
-        return [np.frombuffer(next(packed) if runs is None else b"".join(map(get, runs)), dtype=self.width) for runs in cut]
+        return [ids[a:z] for _, ids, begins in self.encoded(pa.array(texts, type=pa.string())) for a, z in zip(begins.tolist(), begins[1:].tolist())]
 
 
 def encoder(path: str, keep: int | None = None) -> Encoder:

@@ -392,27 +392,54 @@ def test_pii_numbers_keep_single_runs(text):
 # 7 token ids
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_equals_the_library(plain, name):
-    enc = Encoder(tokenizer_path(name))
-    texts = [r["text"] for r in plain.values()] + ["", " ", "\n", "  a b", "a  b", "a\n\n b\tc ", "it's 3.5, don't.", "<|endoftext|> x", "é́ ok", "İ ΣΑΣ ς", "x y z", "a.\0b c", "foo.\nBar!!\n\nqux", "x_y. a_. 2a."]
-    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in enc.encode(texts)] == want
-    assert [x.tolist() for x in enc.encode(texts[::-1])] == want[::-1]
+TOKENIZERS = ["word_bpe_49k.json", "byte_bpe_50k.json"]
+PARTS = [*"abcXYZ éßİıſ'’.,!?#$ \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u200b\u0301\u0307\u093e中文한\u1112\u1161각ЖжΣςÅẞ１½²٣\0\U0001f600ﬁ", "<|endoftext|>", "<|startoftext|>", "<|", "it's", "l'école", "  ", "\n\n", " a"]
 
 
-def test_encoder_with_small_tables(plain, monkeypatch):
-    from basewarp.llm import tokens
+@pytest.fixture(scope="module")
+def encoders():
+    from tokenizers import Tokenizer
+
+    return {n: (Tokenizer.from_file(tokenizer_path(n)), Encoder(tokenizer_path(n)), Encoder(tokenizer_path(n), keep=20, slice_bytes=64)) for n in TOKENIZERS}
+
+
+def encoded_alike(encoders, name, texts):
+    library, *own = encoders[name]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    return all([x.tolist() for x in enc.encode(texts)] == want for enc in own)
+
+
+@pytest.mark.parametrize("name", TOKENIZERS)
+def test_encoder_equals_the_library(encoders, plain, name):
+    texts = [r["text"] for r in plain.values()] + ["", " ", "\n", "  a b", "a  b", "a\n\n b\tc ", "it's 3.5, don't.", "<|endoftext|> x", "é\u0301 ok", "İ ΣΑΣ ς", "中İ?", "x y z", "a.\0b c", "foo.\nBar!!\n\nqux", "x_y. a_. 2a."]
+    assert encoded_alike(encoders, name, texts) and encoded_alike(encoders, name, texts[::-1])
+    assert encoded_alike(encoders, name, ["one two three " * 900 + "<|endoftext|>" + " é four" * 700, "x" * 3000, " " * 500, "中" * 400])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), st.text(max_size=30)), max_size=6))
+def test_encoder_equals_the_library_on_any_text(encoders, texts):
+    texts = [t.encode(errors="replace").decode() for t in texts]
+    assert all(encoded_alike(encoders, n, texts) for n in TOKENIZERS)
+
+
+def test_encoder_of_an_unknown_kind(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
 
-    monkeypatch.setattr(tokens, "KEEP", 2000)
-    enc = Encoder(tokenizer_path("byte_bpe_50k.json"))
-    texts = [r["text"] for r in plain.values()]
-    got = [x.tolist() for k in range(0, len(texts), 7) for x in enc.encode(texts[k : k + 7])]
-    assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    spec = json.load(open(tokenizer_path(TOKENIZERS[1])))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    enc, library = Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    texts = ["", "one two", "it's\n <|endoftext|>x "]
+    assert enc.kind is None and [x.tolist() for x in enc.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_ids(docs, plain, odd, empty):
-    tok = Encoder(tokenizer_path("word_bpe_49k.json")).tokenizer
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     got = {r["doc_id"]: r for r in repair.read_file(repair.write_file(docs, shard_docs=60)).collect()}
     start = 0
     for d in sorted(plain):
@@ -445,6 +472,19 @@ def test_repair_compresses():
     assert len(out) + 2 * len(rules) < len(seq) / 20
 
 
+def test_repair_leaves_no_pair_twice_and_outgrows_16_bits():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 60_000, 6) for _ in range(9_000)]
+    seq = np.concatenate([words[i] for i in rng.integers(0, 9_000, 40_000)])
+    rules, out = repair.compress(seq, 60_001, 60_000)
+    assert 60_001 + len(rules) > 1 << 16
+    pairs = collections.Counter(zip(out[:-1].tolist(), out[1:].tolist()))
+    assert all(n == 1 or a == b for (a, b), n in pairs.items())
+    ids = [seq[:5000], seq[5000:]]
+    rec = repair.Record(repair.record(0, [1, 2], ids, 60_000))
+    assert rec.document(1).tolist() == [*ids[1].tolist(), repair.END_ID] and rec.document(0).tolist() == [*ids[0].tolist(), repair.END_ID]
+
+
 # 8 toxicity
 
 
@@ -544,7 +584,9 @@ def test_mixing_small_blocks(docs):
 
 
 def test_packing(docs, plain, odd, empty):
-    tok = Encoder(tokenizer_path("byte_bpe_50k.json")).tokenizer
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     rows = packing.pack(docs).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
