@@ -1,30 +1,36 @@
-"""Best-fit packing: bulk-synchronous matches of documents and gaps, both in order of size.
+"""Best-fit packing in bulk-synchronous supersteps: documents and gaps sorted together, matched by successor sweeps.
 
-A piece's place among the sorted pieces, and a gap's among the sorted gaps, depend on its
-size alone, and sizes are whole numbers up to the sequence length.  So the sorted sides
-are kept as runs: pieces of one length by rank, sequences of one gap as intervals of their
-numbers (at most ``capacity`` classes a side, whatever the corpus).  Supersteps go from the
-longest class down: its pieces, by rank, are matched with the successor sweep over gap
-classes (the smallest gap that fits first, the lowest sequence number first); two pieces
-never get one gap, as ranks pair with interval places; gaps are updated and the next
-superstep begins.  What no gap fits opens new sequences, as many pieces to each as go in.
+Sequences begin as gaps of the whole capacity, as many as all tokens need at least.  A superstep:
 
-Spark holds what grows with the corpus: it encodes and cuts texts, counts lengths, ranks
-pieces within (length, bucket of a hash), and looks up every piece's interval.
+1. Range sort: unplaced pieces and gaps are dealt to ranges of (size, kind, number) and sorted; a piece
+   stands before the gaps of its own size.
+2. Sweep: every task goes up its range.  Pieces wait on a stack; a gap takes the largest waiting
+   piece, which is thus a piece for which this gap is the successor, and the next ones as long as they fit.
+3. Over range edges: a task that ends with waiting pieces, or has met gaps while none waited, numbers them
+   by rank.  From one row of counts per range the driver deals ranks of waiting pieces to ranks of gaps in
+   later ranges, the same stack rule on ranges: a gap gets as many pieces as fit by the range's greatest
+   piece and the other range's least gap.  Ranks differ, so no gap is claimed twice; a join brings both together.
+4. Gaps are reduced, those that are full or below every piece go, and the next superstep
+   begins.  If none was placed, new sequences are opened for what is left.
+
+Once pieces and gaps are no more than one range holds, one task repeats the supersteps on them.
+Pieces as long as the capacity are sequences of their own.  Every superstep's results are a written
+table; the driver holds one row per range, of which there are at most ``RANGES``.
 
 Defined results: null text is empty, so it is the end token alone; equal lengths are
-ordered by a hash of doc_id and piece, then by these; repeated rows are packed each;
-an empty table gives an empty result; columns besides doc_id and text are not read.
+ordered by the piece's number; repeated rows are packed each; an empty table gives an
+empty result; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,7 +38,9 @@ from .common import batch_of, id_and_text, slots_for, task, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("salt", pa.int64())])
+#: Rows of a range, and the most ranges (at more rows than their product ranges grow).
+RANGE_ROWS, RANGES = 16_384, 65_536
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("number", pa.int64())])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -40,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches):
         enc = encoder(tokenizer)
-        salt = 0
+        number = TaskContext.get().partitionId() << 36
         for b in batches:
             names = b.column("doc_id").to_pylist()
             for at, ids, begins in enc.encoded(b.column("text")):
@@ -53,111 +61,185 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 raw = memoryview(tokens).cast("B")
                 out: list[tuple] = []
                 for k, (lo, hi) in enumerate(zip((ends - size).tolist(), ends.tolist())):
-                    salt += 1  # tells repeated rows apart
                     cut = lo + ((hi - lo - 1) % capacity) + 1
                     for piece, (a, z) in enumerate(zip((lo, *range(cut, hi, capacity)), range(cut, hi + 1, capacity))):
-                        out.append((names[at + k], piece, a - lo, z - a, zlib.crc32(raw[4 * a : 4 * z]), salt))
+                        out.append((names[at + k], piece, a - lo, z - a, zlib.crc32(raw[4 * a : 4 * z]), number))
+                        number += 1
                 yield batch_of(_PIECES, **{f.name: list(c) for f, c in zip(_PIECES, zip(*out))})
 
-    return id_and_text(docs).mapInArrow(task("tokens", run), "doc_id long, piece int, start long, length int, ids_crc32 long, salt long")
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, pieces a sequence, first sequence, offset) that pack counts[length] pieces of each length.
-
-    Rank first + k goes to sequence first sequence + k // per, at offset + length * (k % per).
+    return id_and_text(docs).mapInArrow(task("tokens", run), "doc_id long, piece int, start long, length int, ids_crc32 long, number long")
+
+
+#: What a sweep says of a row: a piece placed, a piece that waits, a gap that no piece has reached, a gap that was reduced.
+_PLACED, _WAITS, _FREE, _REDUCED = range(4)
+_SWEPT = pa.schema([("range", pa.int32()), ("said", pa.int8()), ("number", pa.int64()), ("size", pa.int32()), ("sequence", pa.int64()), ("offset", pa.int32()), ("rank", pa.int64())])
+_SWEPT_SQL = "range int, said tinyint, number long, size int, sequence long, offset int, rank long"
+_STATE = "number long, size int, gap boolean"
+
+
+class Sweep:
+    """Goes up sorted rows (number, size, gap) and says what becomes of each."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.waiting: list[tuple[int, int]] = []
+        self.free = 0
+
+    def rows(self, number: list[int], size: list[int], gap: list[bool]):
+        """(said, number, size, sequence, offset, rank) of the rows' pieces placed and gaps."""
+        waiting, capacity = self.waiting, self.capacity
+        for n, room, is_gap in zip(number, size, gap):
+            if not is_gap:
+                waiting.append((n, room))
+            elif waiting:
+                while waiting and waiting[-1][1] <= room:
+                    piece, length = waiting.pop()
+                    yield _PLACED, piece, length, n, capacity - room, 0
+                    room -= length
+                if room:
+                    yield _REDUCED, 0, room, n, 0, 0
+            else:
+                yield _FREE, 0, room, n, 0, self.free
+                self.free += 1
+
+    def rest(self):
+        """The waiting pieces, the largest first."""
+        for rank, (n, length) in enumerate(reversed(self.waiting)):
+            yield _WAITS, n, length, 0, 0, rank
+
+
+def _swept(rows, part: int) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 6
+    return batch_of(_SWEPT, range=np.full(len(columns[0]), part, dtype=np.int32), **{f.name: list(c) for f, c in zip(list(_SWEPT)[1:], columns)})
+
+
+def _sweep(batches, capacity: int):
+    part, sweep = TaskContext.get().partitionId(), Sweep(capacity)
+    for b in batches:
+        yield _swept(sweep.rows(*(b.column(c).to_pylist() for c in ("number", "size", "gap"))), part)
+    yield _swept(sweep.rest(), part)
+
+
+def _finish(batches, capacity: int, opened: int):
+    """All supersteps on the rows of one task."""
+    state: list[tuple[int, bool, int]] = []
+    for b in batches:
+        state += zip(b.column("size").to_pylist(), b.column("gap").to_pylist(), b.column("number").to_pylist())
+    while any(not gap for _, gap, _ in state):
+        state.sort()
+        sweep = Sweep(capacity)
+        out = list(sweep.rows([x[2] for x in state], [x[0] for x in state], [x[1] for x in state]))
+        placed = [x for x in out if x[0] == _PLACED]
+        yield _swept(placed, 0)
+        left = list(sweep.rest())
+        state = [(x[2], False, x[1]) for x in left] + [(x[2], True, x[3]) for x in out if x[0] in (_FREE, _REDUCED)]
+        if left and not placed:
+            more = -(-sum(x[2] for x in left) // capacity)
+            state += [(capacity, True, opened + k) for k in range(more)]
+            opened += more
+
+
+def deal(counts: np.ndarray) -> np.ndarray:
+    """Ranks of waiting pieces dealt to ranks of free gaps: rows (piece range, first rank, pieces, pieces a gap, gap range, first gap).
+
+    counts: rows (range, waiting pieces, greatest of them, free gaps, least of them), by range.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    opened, out = 0, []
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        for gap in sorted(g for g in gaps if g >= length):
-            per = gap // length
-            rest: list[tuple[int, int]] = []
-            for at, (lo, hi) in enumerate(gaps[gap]):
-                if not left:
-                    rest += gaps[gap][at:]
-                    break
-                filled = min(hi - lo, left // per)
-                if filled:
-                    out.append((length, rank, filled * per, per, lo, capacity - gap))
-                    gaps.setdefault(gap - per * length, []).append((lo, lo + filled))
-                    rank, left = rank + filled * per, left - filled * per
-                if left and lo + filled < hi:  # the last, partly filled one
-                    out.append((length, rank, left, left, lo + filled, capacity - gap))
-                    gaps.setdefault(gap - left * length, []).append((lo + filled, lo + filled + 1))
-                    rank, left, filled = rank + left, 0, filled + 1
-                if lo + filled < hi:
-                    rest.append((lo + filled, hi))
-            gaps[gap] = rest
-            if not rest:
-                del gaps[gap]
-            if not left:
-                break
-        if left:
-            per = capacity // length
-            full, odd = divmod(left, per)
-            if full:
-                out.append((length, rank, full * per, per, opened, 0))
-                gaps.setdefault(capacity - per * length, []).append((opened, opened + full))
-                opened, rank = opened + full, rank + full * per
-            if odd:
-                out.append((length, rank, odd, odd, opened, 0))
-                gaps.setdefault(capacity - odd * length, []).append((opened, opened + 1))
-                opened += 1
-        gaps.pop(0, None)
-        for gap, held in gaps.items():  # join neighbouring intervals again
-            if len(held) > 1:
-                held.sort()
-                merged = [held[0]]
-                for lo, hi in held[1:]:
-                    if merged[-1][1] == lo:
-                        merged[-1] = (merged[-1][0], hi)
-                    else:
-                        merged.append((lo, hi))
-                gaps[gap] = merged
-    return out
-
-
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, bucket_rows: int = 20_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    cut = written(pieces(docs, tokenizer, capacity), "pieces")
-    buckets = slots_for(cut.count(), bucket_rows)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(buckets)).cast("int"))
-
-    # At most capacity * buckets rows; each length's buckets in order give a rank to start from.
-    sizes = written(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("from_rank", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).drop("n")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = np.array(sorted(plan(counts, capacity)), dtype=np.int64).reshape(-1, 6)
-    sent = docs.sparkSession.sparkContext.broadcast((runs, np.searchsorted(runs[:, 0], np.arange(capacity + 2))))
-
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "salt")
-    ranked = cut.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("from_rank"))
-
-    def place(frames):
-        runs, first = sent.value
-        for f in frames:
-            length, rank = f["length"].to_numpy(np.int64), f["rank"].to_numpy(np.int64)
-            key = np.lexsort((rank, length))
-            at = np.empty(len(f), dtype=np.int64)
-            for n, lo, hi in _spans(length[key]):
-                own = runs[first[n] : first[n + 1]]
-                at[key[lo:hi]] = first[n] + np.searchsorted(own[:, 1], rank[key[lo:hi]], side="right") - 1
-            run = runs[at]
-            k = rank - run[:, 1]
-            yield pd.DataFrame(
-                {"doc_id": f["doc_id"], "piece": f["piece"], "start": f["start"], "length": length, "ids_crc32": f["ids_crc32"], "sequence_id": run[:, 4] + k // run[:, 3], "offset": run[:, 5] + length * (k % run[:, 3])}
-            )
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(task("packing", place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-
-
-def _spans(sorted_values: np.ndarray):
-    """(value, from, to) of each run of equal values."""
-    if len(sorted_values):
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(sorted_values)) + 1, [len(sorted_values)]])
-        for lo, hi in zip(edges, edges[1:]):
-            yield int(sorted_values[lo]), int(lo), int(hi)
+    out: list[tuple[int, ...]] = []
+    stack: list[list[int]] = []  # range, next rank, pieces left, greatest
+    for part, waits, greatest, free, least in counts.tolist():
+        gap = 0
+        while free - gap and stack:  # a range's free gaps come before its waiting pieces
+            top = stack[-1]
+            each = max(1, least // top[3])
+            taken = min(top[2], each * (free - gap))
+            out.append((top[0], top[1], taken, each, part, gap))
+            gap += -(-taken // each)
+            top[1] += taken
+            top[2] -= taken
+            if not top[2]:
+                stack.pop()
+        if waits:
+            stack.append([part, 0, waits, greatest])
+    return np.array(out, dtype=np.int64).reshape(-1, 6)
+
+
+_DEALT = pa.schema([("number", pa.int64()), ("size", pa.int32()), ("to_range", pa.int32()), ("to_rank", pa.int64()), ("turn", pa.int64())])
+
+
+def _claims(batches, runs: np.ndarray):
+    """Each waiting piece with the gap that its rank is dealt to (null if to none) and its turn there."""
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    for b in batches:
+        part, rank = b.column("range").to_numpy().astype(np.int64), b.column("rank").to_numpy()
+        at = np.full(len(part), -1)
+        first, last = np.searchsorted(runs[:, 0], part), np.searchsorted(runs[:, 0], part, side="right")
+        for own in np.unique(part):  # a task's rows are of few ranges
+            mine = np.flatnonzero(part == own)
+            lo, hi = first[mine[0]], last[mine[0]]
+            at[mine] = lo - 1 + np.searchsorted(runs[lo:hi, 1], rank[mine], side="right") if hi > lo else -1
+            at[mine[at[mine] < lo]] = -1
+        run = runs[at] if len(runs) else np.zeros((len(part), 6), dtype=np.int64)
+        k = rank - run[:, 1]
+        none = (at < 0) | (k >= run[:, 2])
+        each = np.maximum(run[:, 3], 1)
+        yield batch_of(_DEALT, number=b.column("number"), size=b.column("size"), to_range=pa.array(run[:, 4].astype(np.int32), mask=none), to_rank=pa.array(run[:, 5] + k // each, mask=none), turn=pa.array(k % each, mask=none))
+
+
+def _superstep(spark: SparkSession, state: DataFrame, rows: int, capacity: int, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(placed: number, sequence, offset; the next state)."""
+    parts = min(slots_for(rows, range_rows), RANGES)
+    ordered = state.repartitionByRange(parts, "size", "gap", "number").sortWithinPartitions("size", "gap", "number")
+    swept = written(ordered.mapInArrow(task("packing", lambda bs: _sweep(bs, capacity)), _SWEPT_SQL), "swept")
+    waits, free = F.col("said") == _WAITS, F.col("said") == _FREE
+    sums = swept.where(waits | free).groupBy("range").agg(F.count(F.when(waits, 1)).alias("w"), F.max(F.when(waits, F.col("size"))).alias("wm"), F.count(F.when(free, 1)).alias("f"), F.min(F.when(free, F.col("size"))).alias("fm"))
+    table = sums.orderBy("range").toArrow()  # one row per range
+    runs = spark.sparkContext.broadcast(deal(np.stack([c.fill_null(0).to_numpy().astype(np.int64) for c in (table.column(i).combine_chunks() for i in range(5))], axis=1)))
+
+    pieces = swept.where(waits).select("range", "number", "size", "rank").mapInArrow(task("packing", lambda bs: _claims(bs, runs.value)), "number long, size int, to_range int, to_rank long, turn long")
+    gaps = swept.where(free).select("range", "rank", "sequence", F.col("size").alias("room"))
+    met = pieces.join(gaps, (F.col("to_range") == F.col("range")) & (F.col("to_rank") == F.col("rank")), "full_outer")
+    so_far = Window.partitionBy("range", "rank", F.when(F.col("range").isNull(), F.col("number"))).orderBy("turn")
+    claimed = written(met.withColumn("used", F.sum("size").over(so_far)).withColumn("last", F.lead("turn").over(so_far).isNull()), "claimed")
+
+    to = F.col("sequence")
+    offset = (F.lit(capacity) - F.col("room") + F.col("used") - F.col("size")).cast("int").alias("offset")
+    placed = swept.where(F.col("said") == _PLACED).select("number", "sequence", "offset").unionByName(claimed.where("sequence IS NOT NULL AND number IS NOT NULL").select("number", "sequence", offset))
+    left = [
+        swept.where(F.col("said") == _REDUCED).select(to.alias("number"), "size", F.lit(True).alias("gap")),
+        claimed.where("sequence IS NULL").select("number", "size", F.lit(False).alias("gap")),
+        claimed.where("sequence IS NOT NULL AND last").select(to.alias("number"), (F.col("room") - F.coalesce("used", F.lit(0))).cast("int").alias("size"), F.lit(True).alias("gap")).where("size > 0"),
+    ]
+    return placed, functools.reduce(DataFrame.unionByName, left)
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Sequences of one whole piece have negative ids."""
+    spark = docs.sparkSession
+    cut = written(pieces(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), capacity), "pieces")
+    placed = place(spark, cut.where(F.col("length") < capacity).select("number", F.col("length").alias("size")), capacity, range_rows)
+    columns = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32"]
+    whole = cut.where(F.col("length") == capacity).select(*columns, (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return cut.join(placed, "number").select(*columns, F.col("sequence").alias("sequence_id"), F.col("offset").cast("long").alias("offset")).unionByName(whole)
+
+
+def place(spark: SparkSession, sizes: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """number, sequence, offset of every piece.  sizes: number, size (below the capacity)."""
+    state, opened, before = sizes.select("number", "size", F.lit(False).alias("gap")), 0, None
+    placed = [spark.createDataFrame([], "number long, sequence long, offset int")]
+    while True:
+        left = state.where("NOT gap").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.min("size").alias("least")).first()
+        if not left["n"]:
+            break
+        state = state.where(~F.col("gap") | (F.col("size") >= left["least"]))
+        if left["n"] == before or before is None:  # none was placed
+            more = -(-left["tokens"] // capacity)
+            state = state.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("number"), F.lit(capacity).cast("int").alias("size"), F.lit(True).alias("gap")))
+            opened += more
+        before, rows = left["n"], state.count()
+        if rows <= range_rows:
+            done = state.coalesce(1).mapInArrow(task("packing", lambda bs, opened=opened: _finish(bs, capacity, opened)), _SWEPT_SQL)
+            placed.append(written(done, "swept").select("number", "sequence", "offset"))
+            break
+        some, state = _superstep(spark, state, rows, capacity, range_rows)
+        placed.append(some)
+    return functools.reduce(DataFrame.unionByName, placed)

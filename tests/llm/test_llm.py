@@ -616,26 +616,115 @@ def test_packing(docs, plain, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(1, 16), st.integers(1, 30)))
-def test_plan_places_every_piece_once(counts):
-    used = collections.defaultdict(list)
-    placed = collections.Counter()
-    for length, first, n, per, seq, offset in packing.plan(counts, 16):
-        assert first == placed[length]
-        placed[length] += n
-        for k in range(n):
-            used[seq + k // per].append((offset + length * (k % per), length))
-    assert placed == collections.Counter(counts)
-    for own in used.values():
+def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (length, first rank, pieces, pieces a sequence, first sequence, offset) that pack counts[length] pieces of each length.
+
+    Rank first + k goes to sequence first sequence + k // per, at offset + length * (k % per).
+    """
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    opened, out = 0, []
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        for gap in sorted(g for g in gaps if g >= length):
+            per = gap // length
+            rest: list[tuple[int, int]] = []
+            for at, (lo, hi) in enumerate(gaps[gap]):
+                if not left:
+                    rest += gaps[gap][at:]
+                    break
+                filled = min(hi - lo, left // per)
+                if filled:
+                    out.append((length, rank, filled * per, per, lo, capacity - gap))
+                    gaps.setdefault(gap - per * length, []).append((lo, lo + filled))
+                    rank, left = rank + filled * per, left - filled * per
+                if left and lo + filled < hi:  # the last, partly filled one
+                    out.append((length, rank, left, left, lo + filled, capacity - gap))
+                    gaps.setdefault(gap - left * length, []).append((lo + filled, lo + filled + 1))
+                    rank, left, filled = rank + left, 0, filled + 1
+                if lo + filled < hi:
+                    rest.append((lo + filled, hi))
+            gaps[gap] = rest
+            if not rest:
+                del gaps[gap]
+            if not left:
+                break
+        if left:
+            per = capacity // length
+            full, odd = divmod(left, per)
+            if full:
+                out.append((length, rank, full * per, per, opened, 0))
+                gaps.setdefault(capacity - per * length, []).append((opened, opened + full))
+                opened, rank = opened + full, rank + full * per
+            if odd:
+                out.append((length, rank, odd, odd, opened, 0))
+                gaps.setdefault(capacity - odd * length, []).append((opened, opened + 1))
+                opened += 1
+        gaps.pop(0, None)
+        for gap, held in gaps.items():  # join neighbouring intervals again
+            if len(held) > 1:
+                held.sort()
+                merged = [held[0]]
+                for lo, hi in held[1:]:
+                    if merged[-1][1] == lo:
+                        merged[-1] = (merged[-1][0], hi)
+                    else:
+                        merged.append((lo, hi))
+                gaps[gap] = merged
+    return out
+
+
+def sequences_of(placed, sizes, capacity):
+    """Checks that all pieces lie gapless in sequences, each once; how many sequences there are."""
+    assert sorted(r["number"] for r in placed) == sorted(sizes)
+    by_seq = collections.defaultdict(list)
+    for r in placed:
+        by_seq[r["sequence"]].append((r["offset"], sizes[r["number"]]))
+    for own in by_seq.values():
         at = 0
         for offset, length in sorted(own):
             assert offset == at
             at += length
-        assert at <= 16
-    # Best fit decreasing never leaves two sequences that would fit in one.
-    fill = sorted(sum(x for _, x in own) for own in used.values())
-    assert len(fill) < 2 or fill[0] + fill[1] > 16
+        assert at <= capacity
+    return len(by_seq)
+
+
+@pytest.mark.parametrize("kind", ["spread", "equal", "small", "large"])
+def test_place_in_distributed_supersteps(spark, kind):
+    rng = np.random.default_rng(3)
+    n = 3_000
+    size = {"spread": rng.integers(1, 2048, n), "equal": np.full(n, 700), "small": rng.integers(1, 30, n), "large": rng.integers(1100, 2048, n)}[kind]
+    sizes = dict(enumerate(size.tolist()))
+    df = spark.createDataFrame(list(sizes.items()), "number long, size int")
+    best = {seq + k // per for _, _, m, per, seq, _ in plan(collections.Counter(sizes.values())) for k in range(m)}
+    for rows in (150, 10_000):
+        got = sequences_of(packing.place(spark, df, 2048, rows).collect(), sizes, 2048)
+        assert got <= 1.01 * len(best) + 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 15), min_size=1, max_size=60), st.integers(1, 8))
+def test_supersteps_over_ranges(sizes, parts):
+    """Sweeps of several ranges and the deal over their edges, without Spark: no gap is claimed twice and all fit."""
+    gaps = [(16, True, k) for k in range(-(-sum(sizes) // 16))]
+    state = sorted([(s, False, k) for k, s in enumerate(sizes)] + gaps)
+    cut = [state[len(state) * i // parts : len(state) * (i + 1) // parts] for i in range(parts)]
+    said, counts = {}, []
+    for i, own in enumerate(cut):
+        sweep = packing.Sweep(16)
+        said[i] = list(sweep.rows([x[2] for x in own], [x[0] for x in own], [x[1] for x in own])) + list(sweep.rest())
+        waits, free = ([x[2] for x in said[i] if x[0] == kind] for kind in (1, 2))
+        counts.append((i, len(waits), max(waits, default=0), len(free), min(free, default=0)))
+    runs = packing.deal(np.array(counts))
+    waits = {(i, x[5]): x for i in said for x in said[i] if x[0] == 1}
+    free = {(i, x[5]): x[2] for i in said for x in said[i] if x[0] == 2}
+    used = collections.Counter()
+    for part, first, n, each, to, gap in runs.tolist():
+        for k in range(n):
+            used[to, gap + k // each] += waits.pop((part, first + k))[2]
+    assert all(used[g] <= free[g] for g in used)
+    # No waiting piece is left below a free gap.
+    rest = [free[g] for g in free if not used[g]]
+    assert not waits or not rest or min(x[2] for x in waits.values()) > 0 and all(min(p for p, _ in waits) >= g[0] for g in free if not used[g])
 
 
 # pipeline
