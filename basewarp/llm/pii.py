@@ -7,8 +7,8 @@
    the most that a kind has, are cut into numbers of at most that many.  A number's first
    groups, last groups and single runs are its parts: they are candidates too, but do
    not count against a pattern.  Base spans are seed instances; each seed and candidate
-   yields lexical patterns (the two words before it; the word before and the word after it;
-   both lower-cased, punctuation stripped), from outside the whole number and its brackets.
+   yields lexical patterns (the two and the three tokens before it; the token before and the one after
+   it; a token is a word, lower-cased, or a punctuation mark), from outside the whole number, its brackets and quotes.
 2. Spark scores the pattern-instance graph: a pattern's confidence for a kind is the mean
    score of its distinct instances, counted only if ``SUPPORT`` or more of them are seeds or,
    from the second round on, found with ``LEAST_SCORE`` or more; an instance's score for a
@@ -17,6 +17,10 @@
 3. Candidates whose best score reaches ``LEAST_SCORE`` become spans of that kind; of a
    number and its parts the longest of these stay that don't overlap.
 
+Besides the four base kinds there is a fifth, secret (keys, tokens), whose seeds are values of
+24 characters or more after ``=`` or ``:`` that change between letters and digits six times
+or more, and keys with a published prefix.  Its contexts then find values that look otherwise.
+
 Texts are read once; the graph has only identifiers and their contexts, grouped by
 pattern and by instance with map-side sums.  Defined results: null text is empty; equal
 scores go to the kind listed first; repeated rows are marked each; an empty table gives an
@@ -35,20 +39,28 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, id_and_text, task, written
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the contract, and the method's own after them.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 SUPPORT, ROUNDS, LEAST_SCORE = 3, 2, 0.75
 
 #: Fixed patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: A value that is assigned, and keys whose prefix tells them.
+_VALUE = re.compile(r"[=:]\x20?[\"']?([A-Za-z0-9_+-]{24,}={0,2})")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20}|xox[abps]-[0-9A-Za-z-]{20,}|[rs]k_live_[0-9A-Za-z]{20,})(?![A-Za-z0-9])")
+_KEY_SIGN = re.compile(r"A[KS]IA|gh[opsu]_|github_pat_|glpat-|xox[abps]-|[rs]k_live_")
+_SWITCH = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+LEAST_SWITCHES = 6
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SIGN = re.compile(r"[0-9@]")
 _RUN = re.compile(r"[0-9@]+")
-_WORD = re.compile(r"\S+")
-_EDGE = re.compile(r"^\W+|\W+$")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 #: Numbers in groups: a group, and what may lie between the digits of two groups.
 _GROUP = re.compile(r"\+?[(\[]*[0-9][0-9().\[\]/\u2010-\u2013-]*")
@@ -101,16 +113,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """Seeds of the method's own kind, as base_spans has them."""
+    out = set()
+    if "=" in text or ":" in text:
+        out = {(m.start(1), 4, m.end(1)) for m in _VALUE.finditer(text) if len(_SWITCH.findall(m.group(1))) >= LEAST_SWITCHES}
+    if _KEY_SIGN.search(text):
+        held = [(a, z) for a, _, z in out]
+        out |= {(m.start(), 4, m.end()) for m in _KEY.finditer(text) if not any(a < m.end() and m.start() < z for a, z in held)}
+    return sorted(out)
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Contexts of the span: two words before it, and one word on either side; brackets and quotes around it are its own."""
-    before = [_EDGE.sub("", w).lower() for w in text[max(0, start - 80) : start].rstrip(_OPENING).split()]
-    if start > 80 and before:
+    """Contexts of the span: two and three tokens before it, and one token on either side; brackets and quotes around it are its own."""
+    lo = max(0, start - 80)
+    before = _TOKEN.findall(text[lo:start].rstrip(_OPENING).lower())
+    if lo and before:
         before = before[1:]  # maybe cut
-    after = [_EDGE.sub("", w).lower() for w in text[end : end + 60].lstrip(_CLOSING).split()[:1]]
-    out = []
-    if len(before) >= 2 and before[-1] and before[-2]:
-        out.append(f"{before[-2]} {before[-1]} _")
-    if before and after and before[-1] and after[0]:
+    after = _TOKEN.findall(text[end : end + 60].lstrip(_CLOSING).lower())[:1]
+    out = [" ".join([*before[-n:], "_"]) for n in (2, 3) if len(before) >= n]
+    if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
     return out
 
@@ -195,13 +217,13 @@ _FOUND = pa.schema(
     [
         ("uid", pa.int64()),
         ("doc_id", pa.int64()),
-        *((f"n_{k}", pa.int64()) for k in KINDS),
+        *((f"n_{k}", pa.int64()) for k in BASE),
         ("base_sha256", pa.string()),
         ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
         ("seen", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("number", pa.int64()), ("part", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
     ]
 )
-_FOUND_SQL = "uid long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,kind:int,end:long,number:long,part:boolean,instance:string,patterns:array<string>>>"
+_FOUND_SQL = "uid long, doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,kind:int,end:long,number:long,part:boolean,instance:string,patterns:array<string>>>"
 
 
 def _find(batches):
@@ -210,12 +232,13 @@ def _find(batches):
         rows = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             text = text or ""
-            spans = base_spans(text)
+            base = base_spans(text)
+            spans = sorted(base + secrets(text))
             seen = [{"start": a, "kind": k, "end": z, "number": a, "part": False, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, k, z in spans]
             if _SIGN.search(text):
                 seen += [{"start": a, "kind": -1, "end": z, "number": at, "part": part, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, z, at, part in candidates(text, spans)]
-            said = ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
-            rows.append((uid, doc, *(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), [{"start": a, "kind": k, "end": z} for a, k, z in spans], [s for s in seen if s["patterns"]]))
+            said = ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in base)
+            rows.append((uid, doc, *(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), [{"start": a, "kind": k, "end": z} for a, k, z in spans], [s for s in seen if s["patterns"]]))
             uid += 1
         columns = zip(*rows) if rows else [[]] * len(_FOUND)
         yield batch_of(_FOUND, **{f.name: list(c) for f, c in zip(_FOUND, columns)})
@@ -241,7 +264,7 @@ def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, leas
 
 
 def pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans (base and learned)."""
+    """doc_id, counts of the base kinds, base_sha256, spans (base, secrets and learned), n_spans."""
     found = written(id_and_text(docs).mapInArrow(task("pii", _find), _FOUND_SQL), "spans")
     good = written(learned(found), "learned")
     more = found.select("uid", F.explode("seen").alias("s")).where("s.kind < 0").select("uid", "s.start", "s.end", "s.number", F.col("s.instance").alias("instance"))
@@ -252,4 +275,4 @@ def pii(docs: DataFrame) -> DataFrame:
     joined = found.drop("seen").join(more, "uid", "left")
     all_spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     said = F.concat_ws(",", F.transform(all_spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))))
-    return joined.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", said.alias("spans"))
+    return joined.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", said.alias("spans"), F.size(all_spans).cast("long").alias("n_spans"))

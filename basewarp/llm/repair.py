@@ -40,7 +40,7 @@ KEEP = 1_200_000
 #: A record is full at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2_000, 8_000_000
 _U = np.uint64
-_SLOTS, _LOW = 21, _U(0xFFFFFFFF)
+_SLOTS, _LOW = 18, _U(0xFFFFFFFF)
 
 RECORD = "shard long, n_docs long, n_ids long, n_terminals int, doc_ids binary, doc_null binary, doc_symbols binary, doc_starts binary, rules binary, lengths binary, symbols binary, n_symbols long, n_rules long"
 

@@ -178,6 +178,7 @@ class Encoder:
             begin[last] = True
             begin[after[data[last] == 0x20]] = False  # a blank belongs to the run
         joined = np.flatnonzero(cls == _JOINED)
+        upper = (data >= 0x41) & (data <= 0x5A) if self.words else None  # lower-cased here already, so The and the are one piece
         if len(joined):
             change = np.append(white, True)
             run = np.flatnonzero(~change[:-1] & np.append(True, change[:-2] | edge[1:-1])) if n > 1 else np.flatnonzero(~white)
@@ -187,11 +188,15 @@ class Encoder:
             depth[run[held] + 1] += 1
             depth[end[held] + 1] -= 1
             begin &= np.cumsum(depth, dtype=np.int8) == 0
+            if self.words:
+                depth[run[held] + 1] -= 1
+                depth[run[held]] += 1
+                upper &= np.cumsum(depth[:n], dtype=np.int8) == 0
         starts = np.flatnonzero(begin[:n])
         if self.words:
             starts = starts[~white[starts]]
             kept_bytes = ~white
-            data = data[kept_bytes]
+            data = np.where(upper, data | 0x20, data)[kept_bytes]
             offsets = np.flatnonzero(begin[:n][kept_bytes])
         else:
             offsets = starts
