@@ -127,7 +127,7 @@ _LETTERS = _letters()
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
         got = np.full(max(n, 1 << 20), base, dtype=np.uint64)
@@ -183,8 +183,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LETTERS[data] * _power(_BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts])
+    np.cumsum(_LETTERS[data] * power(_BASE, len(data)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * power(_INVERSE, len(data))[starts])
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -34,13 +34,13 @@ END_ID = 1
 #: Pairs rarer than this get no rule.
 LEAST = 2
 #: Pairs as frequent as the most frequent one divided by this are replaced in one round.
-DROP = 64
+DROP = 256
 #: Runs that a worker keeps here: little else needs memory beside them.
 KEEP = 1_200_000
 #: A record is full at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2_000, 8_000_000
 _U = np.uint64
-_SLOTS, _LOW = 18, _U(0xFFFFFFFF)
+_SLOTS = 18
 
 RECORD = "shard long, n_docs long, n_ids long, n_terminals int, doc_ids binary, doc_null binary, doc_symbols binary, doc_starts binary, rules binary, lengths binary, symbols binary, n_symbols long, n_rules long"
 
@@ -67,6 +67,8 @@ def _every_other(place: np.ndarray) -> np.ndarray:
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
     return (pairs * _U(0x9E3779B97F4A7C15)) >> _U(64 - _SLOTS)
 
 
@@ -74,23 +76,31 @@ def compress(symbols: np.ndarray, first_rule: int, end: int, least: int = LEAST,
     """(rules as rows of left and right, symbols).  Nonterminals count from first_rule; end never stands left in a rule.
 
     drop: 1 is one count at a time as published; more replaces pairs down to that share of the top count in one round.
+    Inside, the terminals that occur are numbered anew without holes, so a symbol has 16 bits, and 32 once these are full.
     """
-    seq = symbols.astype(np.uint32)
+    there = np.bincount(symbols, minlength=first_rule) > 0
+    terminal = np.flatnonzero(there)
+    base = len(terminal)
+    number = np.cumsum(there) - 1
     rules: list[np.ndarray] = []
     n_rules = 0
-    closing = np.zeros(first_rule, dtype=bool)  # symbols whose expansion ends a document never stand left
-    closing[end] = True
+    closing = terminal == end  # symbols whose expansion ends a document never stand left
+    wide = base >= 1 << 16
+    seq = number.astype(np.uint32 if wide else np.uint16)[symbols]
     live = ~closing[seq]  # places at which a pair that may occur again begins
     live[-1:] = False
+    table = np.empty(1 << _SLOTS, dtype=np.int32)
     while True:
         place = np.flatnonzero(live)
-        left, right = seq[place], seq[place + 1]
+        left, right = seq.take(place), seq.take(place + 1)
         same = np.flatnonzero(left == right)
         if len(same):  # aaa is one pair, not two
             fine = np.ones(len(place), dtype=bool)
             fine[same[~_every_other(place[same])]] = False
             place, left, right = place[fine], left[fine], right[fine]
-        pair = (left.astype(_U) << _U(32)) | right
+        pair = left.astype(_U if wide else np.uint32)
+        pair <<= pair.dtype.type(32 if wide else 16)
+        pair |= right
         ordered = np.sort(pair)
         if not len(ordered):
             break
@@ -100,46 +110,52 @@ def compress(symbols: np.ndarray, first_rule: int, end: int, least: int = LEAST,
         if best < least:
             break
         many = np.flatnonzero(n >= least)
-        slot = _slot(pair)
-        again = np.zeros(1 << _SLOTS, dtype=bool)
-        again[_slot(ordered[last[many]])] = True
-        live[place] = again[slot]  # the others occur once from now on
         often = many[n[many] >= best // drop]
         often = often[np.argsort(-n[often], kind="stable")]
         chosen = ordered[last[often]]
-        # One pair per slot of a hashed table; a pair that finds its slot taken waits for the next round.
+        # Per slot of a hashed table: one pair's number; -2 if another pair there occurs again, -1 if none does.
+        # A pair that finds its slot taken waits for the next round.
         wanted = _slot(chosen)
-        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        table.fill(-1)
+        table[_slot(ordered[last[many]])] = -2
         table[wanted[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
         chosen = chosen[table[wanted] == np.arange(len(chosen))]
         table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-        at = table[slot]
+        at = table.take(_slot(pair))
+        live[place] = at != -1  # the others occur once from now on
         hit = np.flatnonzero(at >= 0)
-        hit = hit[chosen[at[hit]] == pair[hit]]
-        place, at = place[hit], at[hit]
+        at = at.take(hit)
+        mine = np.flatnonzero(chosen.take(at) == pair.take(hit))
+        place, at = place.take(hit.take(mine)), at.take(mine)
         # Of overlapping pairs the more frequent one is replaced; the other waits.
         touch = np.diff(place) == 1
         take = np.ones(len(place), dtype=bool)
         take[1:] &= ~touch | (at[1:] < at[:-1])
         take[:-1] &= ~touch | (at[:-1] < at[1:])
-        place, at = place[take], at[take]
+        take = np.flatnonzero(take)
+        place, at = place.take(take), at.take(take)
         good = np.bincount(at, minlength=len(chosen)) >= least  # always so for the most frequent one
-        mine = good[at]
-        place, at, chosen = place[mine], (np.cumsum(good) - 1)[at[mine]], chosen[good]
-        seq[place] = first_rule + n_rules + at
-        closing = np.append(closing, closing[(chosen & _LOW).astype(np.int64)])
+        if not good.all():
+            mine = good[at]
+            place, at, chosen = place[mine], (np.cumsum(good) - 1)[at[mine]], chosen[good]
+        half = chosen.dtype.type(32 if wide else 16)
+        own = np.stack([chosen >> half, chosen & chosen.dtype.type((1 << int(half)) - 1)], axis=1).astype(np.int64)
+        if not wide and base + n_rules + len(chosen) > 1 << 16:
+            wide, seq = True, seq.astype(np.uint32)
+        seq[place] = base + n_rules + at
+        closing = np.append(closing, closing[own[:, 1]])
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
         now = place - np.arange(len(place))
-        seq, live = seq[keep], live[keep]
-        live[now] = True
-        live[np.maximum(now - 1, 0)] = True
-        near = np.concatenate([now, np.maximum(now - 1, 0)])
-        live[near[closing[seq[near]]]] = False
+        keep = np.flatnonzero(keep)
+        seq, live = seq.take(keep), live.take(keep)
+        for near in (now, np.maximum(now - 1, 0)):
+            live[near] = ~closing.take(seq.take(near))
         live[-1:] = False
-        rules.append(np.stack([(chosen >> _U(32)).astype(np.int64), (chosen & _LOW).astype(np.int64)], axis=1))
-        n_rules += len(chosen)
-    return np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64), seq
+        rules.append(own)
+        n_rules += len(own)
+    renumbered = np.concatenate([terminal, np.arange(first_rule, first_rule + n_rules)])
+    return renumbered[np.concatenate(rules)] if rules else np.zeros((0, 2), dtype=np.int64), renumbered[seq]
 
 
 def _rounds(rules: np.ndarray, first_rule: int):
@@ -156,7 +172,7 @@ def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """Expansion length of each nonterminal; rules only use earlier ones."""
     size = np.ones(first_rule + len(rules), dtype=np.int64)
     for lo, hi in _rounds(rules, first_rule):
-        size[first_rule + lo : first_rule + hi] = size[rules[lo:hi]].sum(axis=1)
+        size[first_rule + lo : first_rule + hi] = size.take(rules[lo:hi, 0]) + size.take(rules[lo:hi, 1])
     return size[first_rule:]
 
 
@@ -217,18 +233,14 @@ def record(shard: int, doc_ids: list, ids: list[np.ndarray], vocabulary: int) ->
     """One row of the file: documents in order, without their end ids."""
     end, first_rule = vocabulary, vocabulary + 1
     lens = np.array([len(x) + 1 for x in ids], dtype=np.int64)
-    seq = np.empty(int(lens.sum()), dtype=np.int64)
-    ends = np.cumsum(lens)
-    seq[ends - 1] = end
-    body = np.ones(len(seq), dtype=bool)
-    body[ends - 1] = False
-    seq[body] = np.concatenate(ids) if ids else []
+    ends, close = np.cumsum(lens), np.array([end], dtype=np.uint32)
+    seq = np.concatenate([close[:0], *(x for own in ids for x in (own, close))], dtype=np.uint32, casting="unsafe")
     rules, symbols = compress(seq, first_rule, end)
     lengths = rule_lengths(rules, first_rule)
     size = np.concatenate([np.ones(first_rule, dtype=np.int64), lengths])
     starts = np.concatenate([[0], ends])
     # No rule reaches over an end, so every document begins with a symbol of its own.
-    doc_symbols = np.searchsorted(np.concatenate([[0], np.cumsum(size[symbols])]), starts)
+    doc_symbols = np.concatenate([[0], np.searchsorted(np.cumsum(size.take(symbols)), ends) + 1])
     return {
         "shard": shard,
         "n_docs": len(ids),

@@ -28,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from .common import chunks, kept
+from .common import chunks, kept, mixed, power
 
-#: Pieces, and bytes of them, kept per worker; beyond, only those of the last slice stay (a bound of memory, not of what is encoded).
+#: Pieces, and bytes of them, kept per worker; beyond, the table starts anew (a bound of memory, not of what is encoded).
 KEEP, KEEP_BYTES = 1_200_000, 48_000_000
 #: Bytes of text that are cut at once.
 SLICE = 8 << 20
@@ -76,6 +75,79 @@ def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[index]
 
 
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _parts(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values and where each begins (one more than values)."""
+    _, where, data = pieces.buffers()
+    offsets = np.frombuffer(where, dtype=np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class Places:
+    """Pieces to places 0, 1, ... in the order in which they are added: an open-addressed table of 64-bit hashes; what it
+    finds is compared byte by byte, so a piece is never taken for another one."""
+
+    def __init__(self, most: int):
+        self.mask = np.uint64((1 << max(8, (2 * most).bit_length())) - 1)
+        self.hash = np.zeros(int(self.mask) + 1, dtype=np.uint64)
+        self.place = np.zeros(int(self.mask) + 1, dtype=np.int32)
+        self.data, self.offsets = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    @staticmethod
+    def hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * power(_ODD, len(data)), out=sums[1:])
+        own = (sums[offsets[1:]] - sums[offsets[:-1]]) * power(pow(_ODD, -1, 1 << 64), len(data) + 1)[offsets[:-1]]
+        return mixed(own + np.diff(offsets).astype(np.uint64)) | np.uint64(1)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The place of each piece, -1 if it has none."""
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        open_, slot = np.arange(len(hashes)), hashes & self.mask
+        while len(open_):
+            there = self.hash[slot]
+            hit = there == hashes[open_]
+            out[open_[hit]] = self.place[slot[hit]]
+            more = ~hit & (there != 0)
+            open_, slot = open_[more], slot[more] + np.uint64(1) & self.mask
+        found = np.flatnonzero(out >= 0)
+        size, place = np.diff(offsets)[found], out[found]
+        same = self.offsets[place + 1] - self.offsets[place] == size
+        differ = np.flatnonzero(~same)
+        if len(differ):
+            out[found[differ]] = -1
+            found, place, size = found[same], place[same], size[same]
+        ends = np.cumsum(size)
+        inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        unlike = self.data[inside + np.repeat(self.offsets[place], size)] != data[inside + np.repeat(offsets[found], size)]
+        if unlike.any():
+            out[found[np.unique(np.repeat(np.arange(len(found)), size)[unlike])]] = -1
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Adds pieces that have no place; returns their places."""
+        place = np.arange(len(self), len(self) + len(hashes), dtype=np.int32)
+        self.offsets = np.append(self.offsets, offsets[1:] + self.offsets[-1])
+        self.data = np.append(self.data, data)
+        open_, slot = np.arange(len(hashes)), hashes & self.mask
+        while len(open_):
+            there = self.hash[slot]
+            free = there == 0
+            self.hash[slot[free]] = hashes[open_[free]]
+            self.place[slot[free]] = place[open_[free]]
+            # Of several pieces that want one slot the last has it; one with another's very hash is found by nobody.
+            more = (self.place[slot] != place[open_]) & (self.hash[slot] != hashes[open_])
+            open_, slot = open_[more], slot[more] + np.uint64(1) & self.mask
+        return place
+
+
 class Encoder:
     def __init__(self, path: str, keep: int | None = None, slice_bytes: int = SLICE):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -102,6 +174,11 @@ class Encoder:
         for name, at in names.items():
             self.letters_of[at] = len(name) - len(suffix) * (suffix != "" and name.endswith(suffix))
         self.classes = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
+        self.byte_classes = np.zeros(256, dtype=np.uint8)
+        if self.kind:
+            self.byte_classes[:128] = self._known_classes(np.arange(128))
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[0x41:0x5B] += 0x20
         self._forget()
 
     # ---------------------------------------------------------------- classes of characters
@@ -126,7 +203,7 @@ class Encoder:
 
     def _classes(self, data: np.ndarray) -> np.ndarray:
         """The class of each byte's character."""
-        cls = self._known_classes(np.arange(128))[data & 0x7F]
+        cls = self.byte_classes[data]
         lead = np.flatnonzero(data >= 0xC0)
         if len(lead):
             first = data[lead].astype(np.int64)
@@ -168,7 +245,8 @@ class Encoder:
         begin = edge.copy()
         begin[1:n] |= cls[1:] != cls[:-1]
         if self.words:
-            begin[:n] |= (cls == _NUMBER) & (data & 0xC0 != 0x80)
+            digit = np.flatnonzero(cls == _NUMBER)
+            begin[digit[data[digit] & 0xC0 != 0x80]] = True
         else:
             after = np.flatnonzero(begin[1:n] & white[:-1] & ~white[1:]) + 1
             after = after[~edge[after]]
@@ -178,7 +256,7 @@ class Encoder:
             begin[last] = True
             begin[after[data[last] == 0x20]] = False  # a blank belongs to the run
         joined = np.flatnonzero(cls == _JOINED)
-        upper = (data >= 0x41) & (data <= 0x5A) if self.words else None  # lower-cased here already, so The and the are one piece
+        low = self.lower[data] if self.words else data  # The and the are one piece
         if len(joined):
             change = np.append(white, True)
             run = np.flatnonzero(~change[:-1] & np.append(True, change[:-2] | edge[1:-1])) if n > 1 else np.flatnonzero(~white)
@@ -188,16 +266,14 @@ class Encoder:
             depth[run[held] + 1] += 1
             depth[end[held] + 1] -= 1
             begin &= np.cumsum(depth, dtype=np.int8) == 0
-            if self.words:
-                depth[run[held] + 1] -= 1
-                depth[run[held]] += 1
-                upper &= np.cumsum(depth[:n], dtype=np.int8) == 0
+            for lo, hi in zip(run[held].tolist(), (end[held] + 1).tolist()) if self.words else ():
+                low[lo:hi] = data[lo:hi]
         starts = np.flatnonzero(begin[:n])
         if self.words:
             starts = starts[~white[starts]]
-            kept_bytes = ~white
-            data = np.where(upper, data | 0x20, data)[kept_bytes]
-            offsets = np.flatnonzero(begin[:n][kept_bytes])
+            kept_bytes = np.flatnonzero(~white)
+            data = low.take(kept_bytes)
+            offsets = np.flatnonzero(begin.take(kept_bytes))
         else:
             offsets = starts
         pieces = pa.Array.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(np.append(offsets, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -226,7 +302,7 @@ class Encoder:
     # ---------------------------------------------------------------- ids
 
     def _forget(self) -> None:
-        self.known = pa.array([], type=pa.binary())
+        self.known = Places(self.keep)
         self.flat = np.zeros(0, dtype=self.width)
         self.at, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
@@ -245,8 +321,9 @@ class Encoder:
             data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
             ends = offsets[1:] - offsets[0]
             if self.words:
-                normal = self.tokenizer.normalizer.normalize_str(np.insert(data, ends, 0x0A).tobytes().decode())
-                line = np.frombuffer(normal.encode(), dtype=np.uint8)
+                line = np.insert(data, ends, 0x20)
+                if (data >= 0x80).any():  # the rest is lower case already
+                    line = np.frombuffer(self.tokenizer.normalizer.normalize_str(line.tobytes().decode()).encode(), dtype=np.uint8)
                 ends = np.flatnonzero(line == 0x20)
                 units = self.letters[line]
                 units[ends] = 0x0A
@@ -264,18 +341,21 @@ class Encoder:
             sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, pieces: pa.Array, joined: np.ndarray) -> np.ndarray:
+    def _learn(self, pieces: pa.Array, hashes: np.ndarray, joined: np.ndarray) -> np.ndarray:
         """Adds pieces that aren't known and returns their places; joined: those for the whole tokenizer."""
-        order = np.concatenate([np.flatnonzero(~joined), np.flatnonzero(joined)])
-        single, single_n = self._modelled(pieces.take(pa.array(np.flatnonzero(~joined))))
+        data, offsets = _parts(pieces)
+        kind = np.where(joined, 2, 0)
+        kind[np.searchsorted(offsets, np.flatnonzero(data >= 0x80), side="right") - 1] |= 1
+        plain = np.concatenate([np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)])  # ASCII ones apart: they need no normalisation
+        order = np.concatenate([plain, np.flatnonzero(joined)])
+        single, single_n = self._modelled(pieces.take(pa.array(plain)))
         other, other_n = self._whole([x.decode() for x in pieces.take(pa.array(np.flatnonzero(joined))).to_pylist()])
         size = np.concatenate([single_n, other_n])
         at = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
-        self.known = pa.concat_arrays([self.known, pieces.take(pa.array(order))])
         self.flat = np.concatenate([self.flat, single, other])
         self.at, self.size = np.append(self.at, at.astype(np.int32)), np.append(self.size, size)
         place = np.empty(len(order), dtype=np.int32)
-        place[order] = np.arange(len(self.known) - len(order), len(self.known))
+        place[order] = self.known.add(hashes[order], *_parts(pieces.take(pa.array(order))))
         return place
 
     def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,20 +380,19 @@ class Encoder:
         distinct, index = coded.dictionary, coded.indices.to_numpy()
         by_whole = np.zeros(len(distinct), dtype=bool)
         by_whole[index[joined]] = True
-        place = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().copy()
+        raw_pieces = _parts(distinct)
+        hashes = Places.hashes(*raw_pieces)
+        if len(self.known) + len(distinct) > self.keep or len(self.known.data) > KEEP_BYTES:
+            self._forget()
+            self.known = Places(max(self.keep, len(distinct)))
+        place = self.known.find(hashes, *raw_pieces)
         new = np.flatnonzero(place < 0)
         if len(new):
-            place[new] = self._learn(distinct.take(pa.array(new)), by_whole[new])
+            place[new] = self._learn(distinct.take(pa.array(new)), hashes[new], by_whole[new])
         at, size = self.at[place], self.size[place]
         n = size[index]
         begins = np.append(0, np.cumsum(n, dtype=np.int64))[first]
         ids = _gather(self.flat, at[index], n)
-        if len(self.known) > self.keep or self.known.nbytes > KEEP_BYTES:
-            if len(distinct) <= self.keep // 2 and distinct.nbytes <= KEEP_BYTES // 2:
-                self.known, self.flat = distinct, _gather(self.flat, at, size)
-                self.size, self.at = size, np.cumsum(size, dtype=np.int32) - size
-            else:
-                self._forget()
         return ids, begins
 
     def _added(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
