@@ -197,9 +197,12 @@ def _superstep(spark: SparkSession, state: DataFrame, rows: int, capacity: int,
 
     pieces = swept.where(waits).select("range", "number", "size", "rank").mapInArrow(task("packing", lambda bs: _claims(bs, runs.value)), "number long, size int, to_range int, to_rank long, turn long")
     gaps = swept.where(free).select("range", "rank", "sequence", F.col("size").alias("room"))
-    met = pieces.join(gaps, (F.col("to_range") == F.col("range")) & (F.col("to_rank") == F.col("rank")), "full_outer")
-    so_far = Window.partitionBy("range", "rank", F.when(F.col("range").isNull(), F.col("number"))).orderBy("turn")
-    claimed = written(met.withColumn("used", F.sum("size").over(so_far)).withColumn("last", F.lead("turn").over(so_far).isNull()), "claimed")
+    own = pieces.where("to_range IS NOT NULL")
+    met = gaps.join(own, (F.col("to_range") == F.col("range")) & (F.col("to_rank") == F.col("rank")), "left")
+    so_far = Window.partitionBy("range", "rank").orderBy("turn")
+    met = met.withColumn("used", F.sum("size").over(so_far)).withColumn("last", F.lead("turn").over(so_far).isNull())
+    # Pieces that are dealt to no gap meet nothing and would all have one key.
+    claimed = written(met.unionByName(pieces.where("to_range IS NULL"), allowMissingColumns=True), "claimed")
 
     to = F.col("sequence")
     offset = (F.lit(capacity) - F.col("room") + F.col("used") - F.col("size")).cast("int").alias("offset")
