@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -588,10 +589,52 @@ def test_toxicity(spark, odd, empty):
 # 9 mixing
 
 
-def test_targets_by_hand():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75, 37.5]
-    assert mixing.targets([10, 100, 100], [5, 2, 1]) == [30, 120, 60]
-    assert mixing.targets([0, 10], [5, 2]) == [0, 10]
+def water_level(sizes, weights, most=3.0):
+    """Targets by bisection: the level at which min(most * size, level * weight) adds up to all words."""
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * s, mid * w) for s, w in zip(sizes, weights)) < sum(sizes) else (lo, mid)
+    return [min(most * s, lo * w) for s, w in zip(sizes, weights)]
+
+
+def test_targets(spark):
+    def targets(sizes):
+        df = spark.createDataFrame([(f"s{k:04d}", s, 1) for k, s in enumerate(sizes)], "source string, source_size long, rows long")
+        return [r["target"] for r in mixing.with_targets(df).orderBy("source").collect()]
+
+    assert targets([100, 100, 100]) == [187.5, 75, 37.5]
+    assert targets([10, 100, 100]) == [30, 120, 60]
+    assert targets([0, 10]) == [0, 10] and targets([0]) == [0] and targets([]) == []
+    sizes = np.random.default_rng(1).integers(0, 5_000, 300).tolist() + [200_000]
+    assert np.allclose(targets(sizes), water_level(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))]))
+
+
+def test_mixing_with_many_sources_and_no_broadcast(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k % 23), None if k % 50 == 0 else f"http://s{k % 700}", "x") for k in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    plan = {r["doc_id"]: tuple(r) for r in mixing.mix(df, out_shards=7, block_rows=3).collect()}
+    monkeypatch.setattr(mixing, "SENT", 10)
+    assert {r["doc_id"]: tuple(r) for r in mixing.mix(df, out_shards=7, block_rows=3).collect()} == plan
+    by = collections.defaultdict(list)
+    for k, text, source, _ in rows:
+        by[source].append(k)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, water_level([sum(1 + k % 23 for k in by[s]) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    for s in names:
+        taken = sum(plan[k][4] for k in by[s])
+        assert abs(plan[by[s][0]][3] - want[s]) < 1e-3 and abs(taken - want[s]) <= 23
+        assert all(plan[k][4] == plan[k][1] * plan[k][5] == plan[k][1] * len(plan[k][6] or []) for k in by[s])
+    load = collections.Counter(x for p in plan.values() for x in p[6] or [])
+    assert set(load) <= set(range(7)) and max(load.values()) < 2 * min(load.values())
+
+
+def test_group_draws_add_up():
+    frame = pd.DataFrame({"source": ["a", None, "c"], "quota": [10, 0, 90], "place": [0, 2, 1], "bunch": 3, "drawn": [[40, 0, 60]] * 3})
+    got = mixing._deal(frame, 1)
+    ends = np.stack(got["ends"])
+    assert dict(zip(got["source"], ends[:, -1])) == {"a": 10, None: 0, "c": 90}
+    assert np.diff(ends.sum(axis=0), prepend=0).tolist() == [40, 0, 60] and (np.diff(ends, axis=1) >= 0).all()
 
 
 def test_split_is_exact():
@@ -610,7 +653,7 @@ def test_mixing(docs, plain, odd, empty):
         assert r["taken"] == r["size"] * r["copies"] and r["copies"] <= 3
         by[plain[r["doc_id"]]["source"]].append(r)
     names = sorted(by)
-    want = mixing.targets([sum(r["size"] for r in by[s]) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    want = water_level([sum(r["size"] for r in by[s]) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
     for s, t in zip(names, want):
         assert abs(by[s][0]["target"] - t) < 1e-6
         assert abs(sum(r["taken"] for r in by[s]) - t) <= max(0.05 * t, max(r["size"] for r in by[s]) / 2)
