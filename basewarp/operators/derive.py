@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,13 +34,13 @@ def pattern_summary(sites: DataFrame) -> DataFrame:
     return sites.groupBy("pat").agg(F.count_distinct("seq_id").alias("n_seqs"), F.count(F.lit(1)).alias("n_hits"), F.sum("site").alias("site_sum"))
 
 
-def pattern_names(sites: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    return sites.sparkSession.createDataFrame([(p.name,) for p in patterns], "pat string")
+def pattern_names(sites: DataFrame, names: list[str]) -> DataFrame:
+    return sites.sparkSession.createDataFrame([(n,) for n in names], "pat string")
 
 
 def zero_cutters(sites: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Patterns without a site in any sequence."""
-    return pattern_names(sites, patterns).join(sites.select("pat").distinct(), "pat", "left_anti")
+    return pattern_names(sites, [p.name for p in patterns]).join(sites.select("pat").distinct(), "pat", "left_anti")
 
 
 def between_hits(sites: DataFrame, least: int = 1, most: int = 32000) -> DataFrame:
@@ -46,6 +48,15 @@ def between_hits(sites: DataFrame, least: int = 1, most: int = 32000) -> DataFra
     return hit_counts(sites).where(F.col("n_hits").between(least, most))
 
 
+def between_own_hits(sites: DataFrame, patterns: list[Pattern], least: int = 1, most: int = 32000) -> DataFrame:
+    """The same with each pattern's own bounds, if it has any, in place of least and most."""
+    plain = Pattern("", "")
+    own = [(p.name, p.min_hits, p.max_hits) for p in patterns if (p.min_hits, p.max_hits) != (plain.min_hits, plain.max_hits)]
+    bounds = sites.sparkSession.createDataFrame(own, "pat string, own_least int, own_most int")
+    counted = hit_counts(sites).join(F.broadcast(bounds) if len(own) <= 100_000 else bounds, "pat", "left")
+    return counted.where(F.col("n_hits").between(F.coalesce("own_least", F.lit(least)), F.coalesce("own_most", F.lit(most)))).select("seq_id", "pat", "n_hits")
+
+
 def strider_order(sites: DataFrame) -> DataFrame:
     """Patterns of each sequence by number of sites and then name, numbered."""
     w = Window.partitionBy("seq_id").orderBy("n_hits", "pat")
@@ -137,6 +148,17 @@ def clone_ranges(sites: DataFrame, ranges: list[tuple[int, int, bool]]) -> DataF
     return out.withColumn("n_met", n).withColumn("all_met", F.col("n_met") == len(ranges))
 
 
+def clone_ladder(sites: DataFrame, ranges: list[tuple[int, int, bool]], width: int) -> DataFrame:
+    """Ladder cells per section: section 0 the patterns that meet all ranges, section k those that meet range k and have no
+    site in a forbidden one."""
+    met = clone_ranges(sites, ranges)
+    forbidden = [F.col(f"rule_{k}") == 1 for k, (_, _, must) in enumerate(ranges, 1) if not must]
+    clean = functools.reduce(lambda a, b: a & b, forbidden, F.lit(True))
+    sections = [F.when(F.col("all_met"), F.lit(0))] + [F.when(clean & (F.col(f"rule_{k}") == 1), F.lit(k)) for k in range(1, len(ranges) + 1)]
+    shown = met.select("seq_id", "pat", F.explode(F.array(*sections)).alias("section")).where("section IS NOT NULL")
+    return ladder_cells(sites, width).join(shown, ["seq_id", "pat"]).select("seq_id", "section", "pat", "cell", "n", "mark")
+
+
 def extract(seqs: DataFrame, hits: DataFrame, before: int, after: int, turn: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Bases from site - before to site + after (clamped) around each hit; turn: bottom-strand hits reverse-complemented.
 

@@ -1,9 +1,10 @@
 """Matching: sequences against sites, regular expressions and weight matrices, both strands.
 
-A pattern is scanned by splitting the sequence before every match (a zero-width lookahead),
-so overlapping matches count, only hits become rows, and the work stays inside the JVM.
-Long sequences are first cut into chunks that overlap by the longest pattern less one base;
-a hit belongs to the chunk in which it starts, so none is lost or doubled.
+Sites are found in Arrow batches with array look-ups (scan.py), expressions inside the JVM by
+splitting the sequence before every match (a zero-width lookahead); either way overlapping
+matches count, and only hits become rows, never bases.  Long sequences are first cut into
+chunks that overlap by the longest pattern less one base; a hit belongs to the chunk in which
+it starts, so none is lost or doubled.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import iupac_regex
-from ..plans.patterns import Pattern, seed_keys, site_regex
+from ..plans.patterns import Pattern, seed_keys
 
 #: Bases of a chunk.
 CHUNK = 8192
+MODES = ("plain", "key", "subset", "overlap")
 #: Patterns from which find_sites looks up seeds instead of scanning for each pattern.
 MANY = 64
 
@@ -79,36 +81,80 @@ def in_sequence(hits: DataFrame, circular: bool = False) -> DataFrame:
     return hits.where("site BETWEEN 1 AND seq_len")
 
 
+def _located(seqs: DataFrame, jobs: list[tuple[str, int, int]], longest: int, circular: bool, find) -> DataFrame:
+    """jobs: (name, strand, shift).  find(column, own) yields (jobs, rows, starts) of an Arrow batch's pieces."""
+    pieces = chunked(seqs, longest - 1, circular).select("seq_id", "seq_len", "base", "own", "piece")
+    kind = pieces.schema["seq_id"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = pa.array([j[0] for j in jobs], type=pa.string())
+        strands, shifts = np.array([j[1] for j in jobs], dtype=np.int32), np.array([j[2] for j in jobs], dtype=np.int64)
+        for b in batches:
+            own, base = b.column("own").to_numpy(), b.column("base").to_numpy().astype(np.int64)
+            for job, row, start in find(b.column("piece"), own):
+                job = np.broadcast_to(job, row.shape)
+                start, at = base[row] + start, pa.array(row)
+                columns = [b.column("seq_id").take(at), b.column("seq_len").take(at), names.take(pa.array(job)), pa.array(strands[job]), pa.array(start), pa.array(start + shifts[job])]
+                yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "seq_len", "pat", "strand", "start", "site"])
+
+    return pieces.mapInArrow(run, f"seq_id {kind}, seq_len long, pat string, strand int, start long, site long")
+
+
 def find_sites(seqs: DataFrame, patterns: list[Pattern], mode: str = "plain", circular: bool = False, seeds: bool | None = None) -> DataFrame:
     """All hits: seq_id, seq_len, pat, strand (1, -1), start (from 1), site (the coordinate of the cut).
 
-    mode: plain (acgt targets), subset or overlap for degenerate targets.
+    mode: for degenerate targets.  plain: they match nothing; key: as subset, but nothing in a site's most telling six
+    places; subset: a letter matches if all its bases do (a sequence of acgt has the hits of plain); overlap: if one
+    does.  No patterns give no hits.
     """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
     if seeds is None:
         seeds = len(patterns) > MANY and mode == "plain"
     if seeds:
         return in_sequence(find_by_seeds(seqs, patterns, circular), circular)
-    jobs = [(p.name, strand, site_regex(site, p.errors, mode), p.length, shift) for p in patterns for strand, site, shift in p.strands()]
-    return in_sequence(_scan(seqs, jobs, max(p.length for p in patterns), circular), circular)
+    jobs = [(p.name, strand, site, p.errors, shift) for p in patterns for strand, site, shift in p.strands()]
+
+    def find(column, own):
+        from .scan import Site, find
+
+        return find(column, [Site(site, errors, mode) for _, _, site, errors, _ in jobs], own)
+
+    longest = max((p.length for p in patterns), default=1)
+    return in_sequence(_located(seqs, [(name, strand, shift) for name, strand, _, _, shift in jobs], longest, circular, find), circular)
 
 
 def find_by_seeds(seqs: DataFrame, patterns: list[Pattern], circular: bool = False, width: int = 6) -> DataFrame:
-    """The same hits for many patterns: every word of the sequence probes the patterns' most informative words.
+    """The same hits for many patterns: each place's word is looked up once in an index of the patterns' most informative
+    words, at most 4 ** width words per pattern variant, and only the sites found there are compared."""
+    jobs: dict[tuple, int] = {}
+    keys: dict[int, list[tuple[str, int, int]]] = {}  # by the word's width: sites shorter than a seed have their own
+    for p in patterns:
+        for word, strand, site, at, shift in seed_keys(p, width):
+            keys.setdefault(len(word), []).append((word, jobs.setdefault((p.name, strand, site, shift), len(jobs)), at))
+    open_ = any(p.errors for p in patterns)
+
+    def find(column, own):
+        import numpy as np
 
-    The key table has at most 4 ** width words per pattern variant and is broadcast only while small.
-    """
-    spark = seqs.sparkSession
-    rows = [(word, p.name, strand, iupac_regex(site), at, len(site), shift) for p in patterns for word, strand, site, at, shift in seed_keys(p, width)]
-    keys = spark.createDataFrame(rows, "word string, pat string, strand int, regex string, at int, len int, shift int")
-    keys = F.broadcast(keys) if len(rows) <= 500_000 else keys
-    pieces = chunked(seqs, max(p.length for p in patterns) - 1, circular)
-    # Sites shorter than a seed are looked up by words of their own length.
-    widths = sorted({len(r[0]) for r in rows})
-    at = pieces.select("*", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("i"))
-    words = at.select("*", F.explode(F.array(*[F.substring("piece", F.col("i"), F.lit(w)) for w in widths])).alias("word"))
-    hits = words.join(keys, "word").withColumn("s", F.col("i") - F.col("at")).where("s >= 1 AND s <= own").where(F.expr("substring(piece, s, len) RLIKE concat('^', regex, '$')"))
-    start = (F.col("base") + F.col("s")).cast("long")
-    return hits.select("seq_id", "seq_len", "pat", "strand", start.alias("start"), (start + F.col("shift")).cast("long").alias("site")).distinct()
+        from .scan import SeedIndex, Site, find_by_index
+
+        sites = [Site(site, 0, "plain") for _, _, site, _ in jobs]
+        if not sites:
+            return []
+        if not open_:
+            return find_by_index(column, sites, [SeedIndex(some, w) for w, some in keys.items()], own)
+        # Several variants of a pattern may fit at one place.
+        same = {}
+        first = np.array([same.setdefault((name, strand), k) for k, (name, strand, _, _) in enumerate(jobs)])
+        found = [np.stack([first[job], row, start]) for job, row, start in find_by_index(column, sites, [SeedIndex(some, w) for w, some in keys.items()], own)]
+        return [np.unique(np.concatenate(found, axis=1), axis=1)] if found else []
+
+    longest = max((p.length for p in patterns), default=1)
+    return _located(seqs, [(name, strand, shift) for name, strand, _, shift in jobs], longest, circular, find)
 
 
 def greatest_length(regex: str) -> int | None:
@@ -202,11 +248,43 @@ def consensus(counts: list[tuple[float, float, float, float]], cutoff_percent: i
 
 
 def nmers(seqs: DataFrame, n: int) -> DataFrame:
-    """seq_id, start, nmer of every clean n-mer (2 to 20 bases)."""
-    if not 2 <= n <= 20:
-        raise ValueError("n-mers have 2 to 20 bases")
-    pieces = chunked(seqs, n - 1)
+    """seq_id, start, nmer of every clean n-mer (2 to 20 bases): a row per base, for those who want the rows themselves."""
+    pieces = chunked(seqs, _checked(n) - 1)
     rows = pieces.select("seq_id", "base", "piece", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("s")).select("seq_id", (F.col("base") + F.col("s")).cast("long").alias("start"), F.substring("piece", F.col("s"), F.lit(n)).alias("nmer"))
     return rows.where(F.length("nmer") == n).where(~F.regexp_like("nmer", F.lit("[^acgt]")))
 
 
+def _checked(n: int) -> int:
+    if not 2 <= n <= 20:
+        raise ValueError("n-mers have 2 to 20 bases")
+    return n
+
+
+def nmer_counts(seqs: DataFrame, n: int) -> DataFrame:
+    """nmer, n: counted in arrays, per task where there are at most 4 ** 10 words and per batch beyond; only counts are shuffled."""
+    pieces = chunked(seqs, _checked(n) - 1).select("own", "piece")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .scan import count_words, plain_words
+
+        for words, counts in count_words(batches, n):
+            yield pa.RecordBatch.from_arrays([plain_words(words, n), pa.array(counts)], names=["nmer", "n"])
+
+    return pieces.mapInArrow(run, "nmer string, n long").groupBy("nmer").agg(F.sum("n").alias("n"))
+
+
+def distinct_nmers(seqs: DataFrame, n: int) -> DataFrame:
+    """nmer: the distinct words of n IUPAC letters (at most five)."""
+    if not 1 <= n <= 5:
+        raise ValueError("distinct words have 1 to 5 letters")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .scan import distinct_words
+
+        yield pa.RecordBatch.from_arrays([pa.array(distinct_words(batches, n), type=pa.string())], names=["nmer"])
+
+    return chunked(seqs, n - 1).select("own", "piece").mapInArrow(run, "nmer string").distinct()

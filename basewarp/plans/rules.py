@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import Column
 
+from .patterns import Pattern
+
 MOST = 32000
 
 
@@ -112,3 +114,10 @@ def parse_rules_file(text: str) -> list[Rule]:
     return [parse_rule(x) for x in lines]
 
 
+def bounded(patterns: list[Pattern], rules: list[Rule]) -> list[Pattern]:
+    """Patterns with the least and most hits of the first rule term that names them (whatever its case)."""
+    first: dict[str, Term] = {}
+    for r in rules:
+        for t in r.terms:
+            first.setdefault(t.name.lower(), t)
+    return [dataclasses.replace(p, min_hits=first[p.name.lower()].least, max_hits=first[p.name.lower()].most) if p.name.lower() in first else p for p in patterns]

@@ -15,8 +15,9 @@ from .functions import codons as cod
 from .functions import sequence as sq
 from .operators import derive, match, orfs, proximity, windows
 from .plans import patterns as pt
-from .plans.rules import parse_rule
-from .sources.sequences import from_text
+from .plans.rules import bounded, parse_rule
+from .sources import files
+from .sources.sequences import from_text, read_sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,27 +45,62 @@ def query(name: str, sql: str | None = None):
 # ------------------------------------------------------------------ SQL parts
 
 SEQ = "seqs AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, 'ACGTUu', 'acgttt'), '[^acgt]', '', 'g') AS seq FROM documents)"
-_UPPER = "".join(x.upper() for x in sq.LETTERS) + "Uu"
-IUPAC_SEQ = f"seqs AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, '{_UPPER}', '{sq.LETTERS}tt'), '[^{sq.LETTERS}]', '', 'g') AS seq FROM documents)"
-COMPLEMENT = f"translate({{}}, '{sq.COMPLEMENT_FROM}', '{sq.COMPLEMENT_TO}')"
+IUPAC_SEQ = "seqs AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, 'ACGTRYWSKMBDHVNUu', 'acgtrywskmbdhvntt'), '[^acgtrywskmbdhvn]', '', 'g') AS seq FROM documents)"
+COMPLEMENT = "translate({}, 'acgtrymkbdhvwsn', 'tgcayrkmvhdbwsn')"
 REVCOMP = f"reverse({COMPLEMENT})"
 
+# Written out by hand, not made by the pattern compiler: strand, expression on the top strand, its length, and
+# the coordinate less the match's start.
+FIXED = {
+    "HinfI": [(1, "ga[acgt]tc", 5, 1)],
+    "TaqI": [(1, "tcga", 4, 1)],
+    "RsaI": [(1, "gtac", 4, 2)],
+    "MseI": [(1, "ttaa", 4, 1)],
+    "EcoRI": [(1, "gaattc", 6, 1)],
+    "AluI": [(1, "agct", 4, 2)],
+    "HaeIII": [(1, "ggcc", 4, 2)],
+    "MboI": [(1, "gatc", 4, 0)],
+    "NlaIII": [(1, "catg", 4, 4)],
+    "BsmAI": [(1, "gtctc", 5, 6), (-1, "gagac", 5, -5)],
+    "BsmAI2": [(1, "gtctc", 5, 6), (-1, "gagac", 5, -5)],
+    "HindIII": [(1, "aagctt", 6, 1)],
+    "ccg": [(1, "ccg", 3, 1), (-1, "cgg", 3, 2)],
+    "dam": [(1, "gatc", 4, 0)],
+    "dcm": [(1, "cc[at]gg", 5, 0)],
+    "rgcy": [(1, "[ag]gc[ct]", 4, 0)],
+    "gantc": [(1, "ga[acgt]tc", 5, 0)],
+    "ccwgg": [(1, "cc[at]gg", 5, 0)],
+}
+# The same for degenerate targets: letters whose bases are all allowed, letters that share a base, and plain
+# letters in the six most telling places.
+FIXED_SUBSET = {
+    "HinfI": [(1, "ga[acgtrywskmbdhvn]tc", 5, 1)],
+    "BsmAI": [(1, "gtctc", 5, 6), (-1, "gagac", 5, -5)],
+    "rgcy": [(1, "[agr]gc[cty]", 4, 0)],
+}
+FIXED_OVERLAP = {
+    "HinfI": [(1, "[grskbdvn][arwmdhvn][acgtrywskmbdhvn][tywkbdhn][cysmbhvn]", 5, 1)],
+    "BsmAI": [(1, "[grskbdvn][tywkbdhn][cysmbhvn][tywkbdhn][cysmbhvn]", 5, 6), (-1, "[grskbdvn][arwmdhvn][grskbdvn][arwmdhvn][cysmbhvn]", 5, -5)],
+    "rgcy": [(1, "[agrwskmbdhvn][grskbdvn][cysmbhvn][ctywskmbdhvn]", 4, 0)],
+}
+FIXED_KEY = {"rgcnnnnya": [(1, "[ag]gc[acgt][acgt][acgt][acgtrywskmbdhvn][cty]a", 9, 0), (-1, "t[agr][acgtrywskmbdhvn][acgt][acgt][acgt]gc[ct]", 9, 9)]}
+_FIXED = {"plain": FIXED, "subset": FIXED_SUBSET, "overlap": FIXED_OVERLAP, "key": FIXED_KEY}
 
-def hits_sql(patterns: list[pt.Pattern], mode: str = "plain", circular: bool = False) -> str:
-    """CTE hits: seq_id, seq_len, pat, strand, start, site; every position is tried."""
+
+def hits_sql(patterns: list, mode: str = "plain", circular: bool = False) -> str:
+    """CTE hits: seq_id, seq_len, pat, strand, start, site; every position is tried.  patterns: names, or patterns by their names."""
     parts = []
-    for p in patterns:
-        for strand, site, shift in p.strands():
-            n, rx = p.length, pt.site_regex(site, p.errors, mode)
+    for name in (p if isinstance(p, str) else p.name for p in patterns):
+        for strand, rx, n, shift in _FIXED[mode][name]:
             text = f"seq || substr(seq, 1, {n - 1})" if circular else "seq"
             count = "length(seq)" if circular else f"length(seq) - {n} + 1"
             at = f"((p + {shift} - 1) % length(seq) + length(seq)) % length(seq) + 1" if circular else f"p + {shift}"
             ok = "true" if circular else f"p + {shift} BETWEEN 1 AND length(seq)"
-            parts.append(f"SELECT seq_id, length(seq) AS seq_len, '{p.name}' AS pat, {strand} AS strand, p AS start, {at} AS site FROM seqs, unnest(range(1, {count} + 1)) AS t(p) WHERE length(seq) > 0 AND {ok} AND regexp_full_match(substr({text}, p, {n}), '{rx}')")
+            parts.append(f"SELECT seq_id, length(seq) AS seq_len, '{name}' AS pat, {strand} AS strand, p AS start, {at} AS site FROM seqs, unnest(range(1, {count} + 1)) AS t(p) WHERE length(seq) > 0 AND {ok} AND regexp_full_match(substr({text}, p, {n}), '{rx}')")
     return "hits AS (" + " UNION ALL ".join(parts) + "), sites AS (SELECT seq_id, seq_len, pat, site, max(strand) AS strand FROM hits GROUP BY ALL)"
 
 
-def with_hits(patterns: list[pt.Pattern], body: str, mode: str = "plain", seq: str = SEQ, circular: bool = False) -> str:
+def with_hits(patterns: list, body: str, mode: str = "plain", seq: str = SEQ, circular: bool = False) -> str:
     return f"WITH {seq}, {hits_sql(patterns, mode, circular)} {body}"
 
 
@@ -123,8 +159,7 @@ _count = lambda letters: f"length(regexp_replace(w, '[^{letters}]', '', 'g'))"
     + " ELSE 0 END AS key FROM w",
 )
 def nmer_properties(spark, sf_dir):
-    s = sequences(spark, sf_dir, True)
-    w = s.where(F.length("seq") >= 4).select(F.explode(F.sequence(F.lit(1), F.length("seq") - 3)).alias("p"), "seq").select(F.substring("seq", F.col("p"), F.lit(4)).alias("w")).distinct()
+    w = match.distinct_nmers(sequences(spark, sf_dir, True), 4).withColumnRenamed("nmer", "w")
     return w.select(F.col("w").alias("nmer"), sq.is_palindrome("w").alias("palindrome"), sq.magnitude("w").alias("magnitude"), sq.degeneracy("w").alias("degeneracy"), sq.nmer_key("w").alias("key"))
 
 
@@ -145,11 +180,12 @@ def subsequence(spark, sf_dir):
 
 @query("kmer_counts", f"WITH {SEQ} SELECT substr(seq, p, 5) AS nmer, count(*) AS n FROM seqs, unnest(range(1, length(seq) - 3)) AS t(p) GROUP BY 1")
 def kmer_counts(spark, sf_dir):
-    return match.nmers(sequences(spark, sf_dir), 5).groupBy("nmer").agg(F.count(F.lit(1)).alias("n"))
+    return match.nmer_counts(sequences(spark, sf_dir), 5)
 
 
-def _chance_sql(p: str) -> str:
-    return " * ".join("(" + " + ".join(f"f_{b}" for b in sq.IUPAC[x]) + ")" for x in p)
+_ANY = "(f_a + f_c + f_g + f_t)"
+# FEW's sites are their own twins, so each counts twice.
+_CHANCE = {"HinfI": f"f_g * f_a * {_ANY} * f_t * f_c", "TaqI": "f_t * f_c * f_g * f_a", "RsaI": "f_g * f_t * f_a * f_c"}
 
 
 @query(
@@ -157,7 +193,7 @@ def _chance_sql(p: str) -> str:
     f"WITH {SEQ}, f AS (SELECT seq_id, length(seq) AS n, "
     + ", ".join(f"(length(seq) - length(replace(seq, '{b}', ''))) / CAST(length(seq) AS DOUBLE) AS f_{b}" for b in "acgt")
     + " FROM seqs WHERE length(seq) > 0) "
-    + " UNION ALL ".join(f"SELECT seq_id, '{p.name}' AS pat, round(({_chance_sql(p.site)} + {_chance_sql(p.twin)}) * n, 6) AS expected FROM f" for p in FEW),
+    + " UNION ALL ".join(f"SELECT seq_id, '{pat}' AS pat, round(({chance} + {chance}) * n, 6) AS expected FROM f" for pat, chance in _CHANCE.items()),
 )
 def expected_hits(spark, sf_dir):
     s = sequences(spark, sf_dir).where("seq <> ''").select("seq_id", F.length("seq").alias("n"), *[(sq.count_of("seq", b) / F.length("seq")).alias(f"f_{b}") for b in "acgt"])
@@ -170,9 +206,13 @@ def expected_hits(spark, sf_dir):
 _KEYS = [p for p in DEMO]
 
 
+_DEMO_ROWS = """('HinfI', 'gantc', 1, 3, 10000, 100), ('TaqI', 'tcga', 1, 2, 4000, 50), ('RsaI', 'gtac', 2, 0, 1000, 40), ('MseI', 'ttaa', 1, 2, 500, 60), ('EcoRI', 'gaattc', 1, 4, 10000, 50),
+('AluI', 'agct', 2, 0, 500, 50), ('HaeIII', 'ggcc', 2, 0, 3000, 45), ('MboI', 'gatc', 0, 4, 500, 50), ('NlaIII', 'catg', 4, -4, 500, 55), ('BsmAI', 'gtctc', 6, 4, 1000, 50), ('HindIII', 'aagctt', 1, 4, 10000, 50)"""
+
+
 @query(
     "pattern_table",
-    " UNION ALL ".join(f"SELECT '{p.name}' AS pat, '{p.site}' AS site, '{p.twin}' AS twin, {p.length} AS length, {p.top_cut} AS top_cut, {p.overhang} AS overhang, {str(p.is_palindrome).lower()} AS palindrome, {p.magnitude} + 0.0 AS magnitude, {p.cost} AS cost, '{pt.best_seed(p.site)[1]}' AS seed" for p in DEMO).replace("+ 0.0", "::DOUBLE"),
+    f"SELECT pat, site, {REVCOMP.format('site')} AS twin, CAST(length(site) AS INT) AS length, top_cut, overhang, site = {REVCOMP.format('site')} AS palindrome, CAST(length(replace(site, 'n', '')) AS DOUBLE) AS magnitude, CAST(units // price AS INT) AS cost, rpad(site, 6, 'n') AS seed FROM (VALUES {_DEMO_ROWS}) v(pat, site, top_cut, overhang, units, price)",
 )
 def pattern_table(spark, sf_dir):
     rows = [(p.name, p.site, p.length, p.top_cut, p.overhang, p.units, p.price, pt.best_seed(p.site)[1]) for p in DEMO]
@@ -181,22 +221,22 @@ def pattern_table(spark, sf_dir):
     return df.select("pat", "site", sq.reverse_complement("site").alias("twin"), "length", "top_cut", "overhang", sq.is_palindrome("site").alias("palindrome"), sq.magnitude("site").alias("magnitude"), cost.alias("cost"), "seed")
 
 
-def _filtered(name: str, **how):
-    chosen = [p for p in DEMO if pt.passes(p, **how)]
+def _filtered(name: str, left: list[str], **how):
+    """left: the patterns that pass, worked out by hand."""
 
     def run(spark, sf_dir):
-        return derive.pattern_summary(sites(spark, sf_dir, chosen)).select("pat", "n_hits")
+        return derive.pattern_summary(sites(spark, sf_dir, [p for p in DEMO if pt.passes(p, **how)])).select("pat", "n_hits")
 
-    query(name, with_hits(chosen, "SELECT pat, count(*) AS n_hits FROM sites GROUP BY pat"))(run)
+    query(name, with_hits(left, "SELECT pat, count(*) AS n_hits FROM sites GROUP BY pat"))(run)
 
 
-_filtered("magnitude_filter", magnitude=5)
-_filtered("overhang_filter", overhang="5", overhang_length=4)
-_filtered("blunt_filter", overhang="0")
-_filtered("cost_filter", cost=40)
+_filtered("magnitude_filter", ["EcoRI", "BsmAI", "HindIII"], magnitude=5)
+_filtered("overhang_filter", ["EcoRI", "MboI", "BsmAI", "HindIII"], overhang="5", overhang_length=4)
+_filtered("blunt_filter", ["RsaI", "AluI", "HaeIII"], overhang="0")
+_filtered("cost_filter", ["HinfI", "TaqI", "EcoRI", "HaeIII", "HindIII"], cost=40)
 
 
-@query("name_selection", with_hits(pt.select(DEMO, ["taqi", "RSAI"]), "SELECT pat, count(*) AS n_hits FROM sites GROUP BY pat"))
+@query("name_selection", with_hits(["TaqI", "RsaI"], "SELECT pat, count(*) AS n_hits FROM sites GROUP BY pat"))
 def name_selection(spark, sf_dir):
     return derive.pattern_summary(sites(spark, sf_dir, pt.select(DEMO, ["taqi", "RSAI"]))).select("pat", "n_hits")
 
@@ -227,10 +267,9 @@ for _n in (1, 2):
 
     # Counted differing positions, not variants.
     _parts = []
-    for _x in _p:
-        for _strand, _site, _ in _x.strands():
-            _differ = " + ".join(f"CAST(substr(seq, p + {i}, 1) <> '{b}' AS INT)" for i, b in enumerate(_site))
-            _parts.append(f"SELECT seq_id, '{_x.name}' AS pat, {_strand} AS strand, p AS start FROM seqs, unnest(range(1, length(seq) - {_x.length} + 2)) AS t(p) WHERE {_differ} <= {_n} AND p + {dict((s, k) for s, _, k in _x.strands())[_strand]} <= length(seq)")
+    for _name, _strand, _site, _shift in (("test", 1, "gaattc", 0), ("odd", 1, "gtctcga", 0), ("odd", -1, "tcgagac", 7)):
+        _differ = " + ".join(f"CAST(substr(seq, p + {i}, 1) <> '{b}' AS INT)" for i, b in enumerate(_site))
+        _parts.append(f"SELECT seq_id, '{_name}' AS pat, {_strand} AS strand, p AS start FROM seqs, unnest(range(1, length(seq) - {len(_site)} + 2)) AS t(p) WHERE {_differ} <= {_n} AND p + {_shift} <= length(seq)")
     query(f"mismatch_sites_{_n}", f"WITH {SEQ} " + " UNION ALL ".join(_parts))(_errors)
 
 
@@ -242,25 +281,46 @@ for _mode in ("subset", "overlap"):
     query(f"degenerate_{_mode}", with_hits([NAMED["HinfI"], NAMED["BsmAI"], pt.Pattern("rgcy", "rgcy")], "SELECT seq_id, pat, strand, start, site FROM hits", _mode, IUPAC_SEQ))(_degenerate)
 
 
+@query("degenerate_key", with_hits(["rgcnnnnya"], "SELECT seq_id, pat, strand, start, site FROM hits", "key", IUPAC_SEQ))
+def degenerate_key(spark, sf_dir):
+    return match.find_sites(sequences(spark, sf_dir, True), [pt.Pattern("rgcnnnnya", "rgcnnnnya")], mode="key").select("seq_id", "pat", "strand", "start", "site")
+
+
 EXPRESSIONS = [("rx1", "ga(tt|ac)n{1,3}y"), ("rx2", "wt{2,4}ar")]
+LONG = [("long", "gaga(n{300,500})ttct")]
+_FIXED_EXPRESSIONS = [("rx1", "ga(tt|ac)[acgt]{1,3}[ct]", 64, "ga"), ("rx2", "[at]t{2,4}a[ag]", 64, "")]
+_FIXED_LONG = [("long", "gaga[acgt]{300,500}ttct", 508, "gaga")]
 
 
-def _regex_sql(strand: int) -> str:
+def _regex_sql(strand: int, expressions: list[tuple[str, str, int, str]]) -> str:
+    """expressions: name, expression, letters that a match takes at most, letters that it begins with."""
     text = "seq" if strand == 1 else REVCOMP.format("seq")
     at = "p" if strand == 1 else "length(seq) - p + 1"
-    return " UNION ALL ".join(f"SELECT seq_id, '{n}' AS pat, {strand} AS strand, {at} AS site FROM (SELECT seq_id, seq, {text} AS t FROM seqs), unnest(range(1, length(seq) + 1)) AS u(p) WHERE regexp_matches(substr(t, p, 64), '^(?:{sq.iupac_regex(rx)})')" for n, rx in EXPRESSIONS)
+    return " UNION ALL ".join(f"SELECT seq_id, '{n}' AS pat, {strand} AS strand, {at} AS site FROM (SELECT seq_id, seq, {text} AS t FROM seqs), unnest(range(1, length(seq) + 1)) AS u(p) WHERE substr(t, p, {len(first)}) = '{first}' AND regexp_matches(substr(t, p, {most}), '^(?:{rx})')" for n, rx, most, first in expressions)
 
 
-@query("regex_sites", f"WITH {SEQ} {_regex_sql(1)} UNION ALL {_regex_sql(-1)}")
+@query("regex_sites", f"WITH {SEQ} {_regex_sql(1, _FIXED_EXPRESSIONS)} UNION ALL {_regex_sql(-1, _FIXED_EXPRESSIONS)}")
 def regex_sites(spark, sf_dir):
     return match.find_regex(sequences(spark, sf_dir), EXPRESSIONS, 64).select("seq_id", "pat", "strand", "site")
 
 
+_JOINED = f"{SEQ.replace('seqs AS', 'single AS')}, seqs AS (SELECT seq_id // 50 AS seq_id, string_agg(seq, '' ORDER BY seq_id) AS seq FROM single GROUP BY 1)"
+
+
+@query("regex_long_sites", f"WITH {_JOINED} {_regex_sql(1, _FIXED_LONG)} UNION ALL {_regex_sql(-1, _FIXED_LONG)}")
+def regex_long_sites(spark, sf_dir):
+    """Long matches in long sequences (fifty documents each), over the edges of chunks."""
+    each = sequences(spark, sf_dir).groupBy(F.floor(F.col("seq_id") / 50).cast("long").alias("joined")).agg(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))).alias("parts"))
+    long = each.select(F.col("joined").alias("seq_id"), F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("seq"))
+    return match.find_regex(long, LONG).select("seq_id", "pat", "strand", "site")
+
+
 MATRIX = [(12, 1, 1, 2), (1, 1, 13, 1), (2, 2, 2, 10), (1, 12, 2, 1), (8, 2, 2, 4), (1, 1, 1, 13)]
 
 
 def _matrix_sql(strand: int) -> str:
-    rows, need = match.matrix_scores(MATRIX, 80)
+    # By hand: cells times 1000 / 16 without fractions, and 80 percent of the greatest cells' sum of 4249.
+    rows, need = [[750, 62, 62, 125], [62, 62, 812, 62], [125, 125, 125, 625], [62, 750, 125, 62], [500, 125, 125, 250], [62, 62, 62, 812]], 3399
     rows = rows if strand == 1 else [r[::-1] for r in rows[::-1]]
     score = " + ".join("CASE substr(seq, p + {}, 1) {} END".format(i, " ".join(f"WHEN '{b}' THEN {r[j]}" for j, b in enumerate("acgt"))) for i, r in enumerate(rows))
     return f"SELECT * FROM (SELECT seq_id, {strand} AS strand, p AS start, p + {len(rows) // 2} AS site, CAST({score} AS BIGINT) AS score FROM seqs, unnest(range(1, length(seq) - {len(rows)} + 2)) AS t(p)) WHERE score >= {need}"
@@ -294,6 +354,11 @@ def min_max_hits(spark, sf_dir):
     return derive.between_hits(sites(spark, sf_dir, SOME), 2, 5)
 
 
+@query("pattern_min_max", with_hits(SOME, "SELECT seq_id, pat, count(*) AS n_hits FROM sites GROUP BY ALL HAVING CASE pat WHEN 'HinfI' THEN count(*) BETWEEN 3 AND 4 WHEN 'TaqI' THEN count(*) = 1 ELSE count(*) <= 6 END"))
+def pattern_min_max(spark, sf_dir):
+    return derive.between_own_hits(sites(spark, sf_dir, SOME), bounded(SOME, [parse_rule("R,(HinfI:3:4&taqi:1:1),100")]), 1, 6)
+
+
 @query("strider_order", with_hits(SOME, "SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY n_hits, pat) AS place FROM (SELECT seq_id, pat, count(*) AS n_hits FROM sites GROUP BY ALL)"))
 def strider_order(spark, sf_dir):
     return derive.strider_order(sites(spark, sf_dir, SOME))
@@ -370,7 +435,11 @@ for _kind, (_ps, _m, _back) in SENSITIVE.items():
     def _masked(spark, sf_dir, kind=_kind, ps=_ps, m=_m):
         return derive.masked(hits(spark, sf_dir, ps), hits(spark, sf_dir, [m]), ps, kind).select("seq_id", "pat", "strand", "site")
 
-    _off = "CASE pat " + " ".join(f"WHEN '{p.name}' THEN CASE strand WHEN 1 THEN site + {getattr(p, _kind)} ELSE site - {getattr(p, _kind)} + {p.overhang} - {_back} END" for p in _ps if getattr(p, _kind) != 100) + " END"
+    # On the top strand the site and the pattern's offset, on the bottom site - offset + overhang - the methylase's length.
+    _off = {
+        "dam": "CASE pat WHEN 'TaqI' THEN site + 3 WHEN 'MboI' THEN site WHEN 'BsmAI2' THEN CASE strand WHEN 1 THEN site + 1 ELSE site - 1 + 4 - 4 END END",
+        "dcm": "CASE pat WHEN 'HaeIII' THEN site + 2 WHEN 'ccg' THEN CASE strand WHEN 1 THEN site ELSE site - 5 END END",
+    }[_kind]
     query(
         f"{_kind}_masked",
         with_hits([*_ps, _m], f", k AS (SELECT *, {_off} AS blocked FROM hits WHERE pat <> '{_kind}') SELECT seq_id, pat, strand, site FROM k WHERE NOT EXISTS (SELECT 1 FROM hits m WHERE m.pat = '{_kind}' AND m.seq_id = k.seq_id AND m.site = k.blocked)"),
@@ -406,25 +475,46 @@ def clone_ranges(spark, sf_dir):
     return derive.clone_ranges(sites(spark, sf_dir, SOME), RANGES)
 
 
+@query(
+    "clone_ladder",
+    with_hits(
+        SOME,
+        """, m AS (SELECT seq_id, pat, max(CAST(site BETWEEN 100 AND 400 AS BIGINT)) AS r1, max(CAST(site > 401 AND site < 600 AS BIGINT)) AS bad, max(CAST(site BETWEEN 900 AND 1500 AS BIGINT)) AS r3 FROM sites GROUP BY ALL),
+shown AS (SELECT seq_id, pat, 0 AS section FROM m WHERE r1 = 1 AND r3 = 1 AND bad = 0 UNION ALL SELECT seq_id, pat, 1 FROM m WHERE r1 = 1 AND bad = 0 UNION ALL SELECT seq_id, pat, 2 FROM m WHERE bad = 0 UNION ALL SELECT seq_id, pat, 3 FROM m WHERE r3 = 1 AND bad = 0),
+cells AS (SELECT seq_id, pat, greatest(0, CAST(floor(0.5 + site * 60.0::DOUBLE / seq_len) AS BIGINT) - 1) AS cell, count(*) AS n FROM sites GROUP BY 1, 2, 3)
+SELECT seq_id, section, pat, cell, n, CASE WHEN n = 1 THEN '|' WHEN n <= 9 THEN CAST(n AS VARCHAR) ELSE '*' END AS mark FROM cells JOIN shown USING (seq_id, pat)""",
+    ),
+)
+def clone_ladder(spark, sf_dir):
+    return derive.clone_ladder(sites(spark, sf_dir, SOME), RANGES, 60)
+
+
 RULES = {
     "rule_and": "R1,(MboI:1:8&TaqI:1:2),200",
     "rule_or": "R2,(HinfI:2|RsaI:2:9),400",
     "rule_xor": "R3,((HinfI:1:3^RsaI:1)&TaqI:1:20),600",
     "rule_nested": "R4,(TaqI:1|(RsaI:1&(HinfI:0:0^MboI:2))),300",
 }
+# Name, window, patterns and condition of each, worked out by hand.
+FIXED_RULES = {
+    "rule_and": ("R1", 200, ["MboI", "TaqI"], "n_MboI BETWEEN 1 AND 8 AND n_TaqI BETWEEN 1 AND 2"),
+    "rule_or": ("R2", 400, ["HinfI", "RsaI"], "n_HinfI >= 2 OR n_RsaI BETWEEN 2 AND 9"),
+    "rule_xor": ("R3", 600, ["HinfI", "RsaI", "TaqI"], "(n_HinfI BETWEEN 1 AND 3) <> (n_RsaI >= 1) AND n_TaqI BETWEEN 1 AND 20"),
+    "rule_nested": ("R4", 300, ["TaqI", "RsaI", "HinfI", "MboI"], "n_TaqI >= 1 OR (n_RsaI >= 1 AND (n_HinfI = 0) <> (n_MboI >= 2))"),
+}
 for _name, _text in RULES.items():
     _rule = parse_rule(_text)
-    _names = [t.name for t in _rule.terms]
 
-    def _windows(spark, sf_dir, rule=_rule, names=_names):
-        return windows.rule_windows(sites(spark, sf_dir, pt.select(DEMO, names)), rule)
+    def _windows(spark, sf_dir, rule=_rule):
+        return windows.rule_windows(sites(spark, sf_dir, pt.select(DEMO, [t.name for t in rule.terms])), rule)
 
+    _said, _width, _names, _holds = FIXED_RULES[_name]
     _counts = ", ".join(f"CAST(sum(CAST(pat = '{n}' AS INT)) OVER w AS BIGINT) AS n_{n}" for n in _names)
     query(
         _name,
         with_hits(
-            pt.select(DEMO, _names),
-            f", w AS (SELECT DISTINCT seq_id, site AS lo, max(site) OVER w AS hi, {_counts} FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY site RANGE BETWEEN CURRENT ROW AND {_rule.window} FOLLOWING)) SELECT '{_rule.name}' AS rule_name, seq_id, lo, hi, hi - lo AS width, {', '.join(f'n_{n}' for n in _names)} FROM w WHERE {_rule.sql()}",
+            _names,
+            f", w AS (SELECT DISTINCT seq_id, site AS lo, max(site) OVER w AS hi, {_counts} FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY site RANGE BETWEEN CURRENT ROW AND {_width} FOLLOWING)) SELECT '{_said}' AS rule_name, seq_id, lo, hi, hi - lo AS width, {', '.join(f'n_{n}' for n in _names)} FROM w WHERE {_holds}",
         ),
     )(_windows)
 
@@ -465,14 +555,28 @@ def linear_map_rows(spark, sf_dir):
 # ------------------------------------------------------- translation, frames
 
 
-def _codon_map_sql(table: int = 0) -> str:
-    t = cod.codon_table(table)
-    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(t.items())) + "}"
+# The published codes by number, codons in the order ttt ttc tta ttg tct ... ggg.
+CODES = [
+    "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG",
+    "FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCCWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CC*WLLLSPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSGGVVVVAAAADDEEGGGG",
+    "FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    "FFLLSSSSYY*QCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+]
 
 
 def _protein_sql(frame: int, table: int = 0, seq: str = "seq") -> str:
     s = f"substr({seq}, {(frame - 1) % 3 + 1})" if frame <= 3 else f"substr({REVCOMP.format(seq)}, {(frame - 1) % 3 + 1})"
-    return f"coalesce(array_to_string(list_transform(regexp_extract_all({s}, '(...)', 1), lambda c: coalesce({_codon_map_sql(table)}[c], 'X')), ''), '')"
+    place = " + ".join(f"{w} * (strpos('tcag', c[{k}]) - 1)" for k, w in ((1, 16), (2, 4), (3, 1)))
+    return f"coalesce(array_to_string(list_transform(regexp_extract_all({s}, '(...)', 1), lambda c: substr('{CODES[table]}', {place} + 1, 1)), ''), '')"
 
 
 for _f in orfs.FRAMES:
@@ -488,12 +592,18 @@ def translate_mito(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", cod.translate("seq", 1, 1).alias("protein"))
 
 
+@query("translate_all_tables", f"WITH {SEQ} " + " UNION ALL ".join(f"SELECT seq_id, {k} AS code, {_protein_sql(1, k)} AS protein FROM seqs" for k in range(len(CODES))))
+def translate_all_tables(spark, sf_dir):
+    each = F.array(*[F.struct(F.lit(k).alias("code"), cod.translate("seq", 1, k).alias("protein")) for k in cod.DIFFERENCES])
+    return sequences(spark, sf_dir).select("seq_id", F.explode(each).alias("x")).select("seq_id", "x.code", "x.protein")
+
+
 @query("translate_three", f"WITH {SEQ} SELECT seq_id, coalesce(array_to_string(list_transform(regexp_extract_all({_protein_sql(1)}, '(.)', 1), lambda a: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in cod.THREE.items())}}}[a]), ''), '') AS protein FROM seqs")
 def translate_three(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", cod.translate("seq", 1, 0, 3).alias("protein"))
 
 
-_BACK = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(cod.reverse_codons().items())) + "}"
+_BACK = "MAP {'A': 'gcn', 'R': 'mgn', 'N': 'aay', 'D': 'gay', 'C': 'tgy', 'Q': 'car', 'E': 'gar', 'G': 'ggn', 'H': 'cay', 'I': 'ath', 'L': 'ytn', 'K': 'aar', 'M': 'atg', 'F': 'tty', 'P': 'ccn', 'S': 'wsn', 'T': 'acn', 'W': 'tgg', 'Y': 'tay', 'V': 'gtn', '*': 'trr'}"
 _SILENT = f"coalesce(array_to_string(list_transform(regexp_extract_all({_protein_sql(1)}, '(.)', 1), lambda a: {_BACK}[a]), ''), '')"
 
 
@@ -502,9 +612,14 @@ def reverse_translate(spark, sf_dir):
     return orfs.silent(sequences(spark, sf_dir))
 
 
-@query("silent_sites", with_hits([NAMED["HinfI"], NAMED["BsmAI"]], "SELECT seq_id, pat, strand, start FROM hits", "overlap", f"base AS (SELECT * FROM ({SEQ.removeprefix('seqs AS (').removesuffix(')')})), seqs AS (SELECT seq_id, {_SILENT} AS seq FROM base)"))
-def silent_sites(spark, sf_dir):
-    return match.find_sites(orfs.silent(sequences(spark, sf_dir)), [NAMED["HinfI"], NAMED["BsmAI"]], mode="overlap").select("seq_id", "pat", "strand", "start")
+_BACK_SEQ = f"base AS (SELECT * FROM ({SEQ.removeprefix('seqs AS (').removesuffix(')')})), seqs AS (SELECT seq_id, {_SILENT} AS seq FROM base)"
+
+for _mode, _name in (("subset", "silent_sites"), ("overlap", "silent_sites_any")):
+
+    def _silent_sites(spark, sf_dir, mode=_mode):
+        return match.find_sites(orfs.silent(sequences(spark, sf_dir)), [NAMED["HinfI"], NAMED["BsmAI"]], mode=mode).select("seq_id", "pat", "strand", "start")
+
+    query(_name, with_hits(["HinfI", "BsmAI"], "SELECT seq_id, pat, strand, start FROM hits", _mode, _BACK_SEQ))(_silent_sites)
 
 
 @query("codon_usage", f"WITH {SEQ} SELECT codon, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '(...)', 1)) AS codon FROM seqs) GROUP BY 1")
@@ -538,7 +653,23 @@ def orf_weights(spark, sf_dir):
     return orfs.orfs(sequences(spark, sf_dir), 20).select("seq_id", "frame", "orf_no", F.round(cod.molecular_weight("peptide"), 4).alias("mol_wt_kd"))
 
 
-@query("orf_isoelectric")
+_ENDS = {"K": 10.5, "R": 12.5, "H": 6.0}, {"D": 3.65, "E": 4.25, "C": 8.18, "Y": 10.07}
+_CHARGE = (
+    "0.0 "
+    + " ".join(f"+ n_{aa} / (1 + pow(10.0::DOUBLE, mid - {pk}))" for aa, pk in _ENDS[0].items())
+    + " + 1.0 / (1 + pow(10.0::DOUBLE, mid - 9.69)) "
+    + " ".join(f"- n_{aa} / (1 + pow(10.0::DOUBLE, {pk} - mid))" for aa, pk in _ENDS[1].items())
+    + " - 1.0 / (1 + pow(10.0::DOUBLE, 2.34 - mid))"
+)
+
+
+@query(
+    "orf_isoelectric",
+    f"""WITH RECURSIVE {_ORFS}, c AS (SELECT seq_id, frame, orf_no, {', '.join(f"CAST(length(peptide) - length(replace(peptide, '{aa}', '')) AS DOUBLE) AS n_{aa}" for aa in 'KRHDECY')} FROM orfs),
+half AS (SELECT *, 0.0::DOUBLE AS lo, 14.0::DOUBLE AS hi, 0 AS k FROM c UNION ALL
+SELECT seq_id, frame, orf_no, n_K, n_R, n_H, n_D, n_E, n_C, n_Y, CASE WHEN {_CHARGE} > 0 THEN mid ELSE lo END, CASE WHEN {_CHARGE} > 0 THEN hi ELSE mid END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS mid FROM half WHERE k < 24))
+SELECT seq_id, frame, orf_no, round((lo + hi) / 2, 3) AS pi FROM half WHERE k = 24""",
+)
 def orf_isoelectric(spark, sf_dir):
     return orfs.orfs(sequences(spark, sf_dir), 20).select("seq_id", "frame", "orf_no", F.round(cod.isoelectric_point("peptide"), 3).alias("pi"))
 
@@ -570,3 +701,46 @@ def orf_map_cells(spark, sf_dir):
 )
 def cotranslation(spark, sf_dir):
     return orfs.cotranslation(sequences(spark, sf_dir))
+
+
+# --------------------------------------------------------------------- readers
+
+#: A record of each format as text, in SQL of seq_id and seq.
+_SIXTY = "regexp_replace(seq, '(.{60})', '$1\n')"
+_RECORDS = {
+    "fasta": f"concat('>d', seq_id, ' a title\n', {_SIXTY})",
+    "genbank": f"concat('LOCUS       d', seq_id, ' x\nDEFINITION  a title\nORIGIN\n        1 ', {_SIXTY}, '\n//')",
+    "embl": f"concat('ID   d', seq_id, ' x\nDE   a title\nSQ   Sequence\n     ', {_SIXTY}, '\n//')",
+    "nbrf": f"concat('>DL;d', seq_id, '\na title\n', {_SIXTY}, '*')",
+    "pir": f"concat('ENTRY           d', seq_id, '\nTITLE           a title\nSEQUENCE\n                5        10\n      1 ', {_SIXTY}, '\n///')",
+    "ig": f"concat('; a title\nd', seq_id, '\n', {_SIXTY}, '1')",
+}
+_READ_SQL = f"WITH {IUPAC_SEQ} SELECT 'd' || seq_id AS name, '{{}}' AS format, seq, length(seq) AS seq_len FROM seqs WHERE seq <> ''"
+for _kind, _record in _RECORDS.items():
+
+    def _read(spark, sf_dir, kind=_kind, record=_record):
+        path = files.scratch(spark, f"{kind}-files")
+        sequences(spark, sf_dir, True).where("seq <> ''").select(F.expr(record).alias("value")).write.text(path)
+        return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
+
+    query(f"read_{_kind}", _READ_SQL.format(_kind))(_read)
+
+
+#: Files of many sequences, each in two parts: their text in SQL of the lines "named", "one" and "two".
+_ALIGNED = {
+    "msf": "concat(' x  MSF: 9  Type: N  Check: 1 ..\n\n', named, '\n\n//\n\n', one, '\n\n', two, '\n')",
+    "paup": "concat('#NEXUS\nbegin data;\n matrix\n\n', one, '\n\n', two, '\n;\nend;\n')",
+}
+for _kind, _text in _ALIGNED.items():
+
+    def _read_many(spark, sf_dir, kind=_kind, text=_text):
+        """A file per group of a hundred documents."""
+        path = files.scratch(spark, f"{kind}-files")
+        s = sequences(spark, sf_dir, True).where("seq <> ''").select(F.floor(F.col("seq_id") / 100).alias("file"), F.expr("concat('d', seq_id)").alias("name"), "seq", F.expr("cast(ceil(length(seq) / 2) as int)").alias("half"))
+        lines = s.select("file", F.expr("concat(' Name: ', name, '   Len: 9')").alias("named"), F.expr("concat(name, ' ', substring(seq, 1, half))").alias("one"), F.expr("concat(name, ' ', substring(seq, half + 1))").alias("two"))
+        each = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("named", "one", "two"))).alias("p"))
+        blocks = each.select("file", *[F.array_join(F.col(f"p.{c}"), "\n").alias(c) for c in ("named", "one", "two")])
+        blocks.select("file", F.expr(text).alias("value")).write.partitionBy("file").text(path)
+        return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
+
+    query(f"read_{_kind}", _READ_SQL.format(_kind))(_read_many)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,21 @@ from ..plans.patterns import Pattern, pattern
 from ..plans.rules import Rule, parse_rules_file
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines see (in spark.checkpoint.dir, deleted when the application ends); a temporary one
+    only where driver and executors are one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="basewarp-")
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def search(name: str, variable: str = "BASEWARP_DATA") -> str:
     """The first of: the path itself, the working folder, the home folder, the folder named by the variable."""
     for folder in ("", os.getcwd(), os.path.expanduser("~"), os.environ.get(variable, "")):
@@ -103,6 +120,12 @@ def read_codons(spark: SparkSession, path: str) -> list[tuple[str, dict[str, str
     return parse_codons(load_text(spark, path))
 
 
+def regex_option(spark: SparkSession, text: str) -> list[tuple[str, str]]:
+    """``Label:expression``, or ``FILE:path`` for all expressions of a file."""
+    label, _, path = text.partition(":")
+    return read_regexes(spark, path) if label == "FILE" else [command_line_regex(text)]
+
+
 def command_line_regex(text: str) -> tuple[str, str]:
     """``Label:expression``."""
     label, _, rx = text.partition(":")

@@ -136,6 +136,10 @@ def records(text: str, kind: str | None = None) -> list[tuple[str, str, str, str
     return [(n, d, kind, s) for n, d, s in out]
 
 
+#: What Spark's line reader may part records at.
+SEPARATORS = {"genbank": "\n//\n", "embl": "\n//\n", "pir": "\n///\n", "nbrf": "\n>"}
+
+
 def with_sequences(raw: DataFrame, degenerate: bool = True, topology: int = 1) -> DataFrame:
     """name, descr, format, raw to the columns of a sequence table."""
     seq: Column = normalise("raw", degenerate)
@@ -146,8 +150,8 @@ def with_sequences(raw: DataFrame, degenerate: bool = True, topology: int = 1) -
 def read_sequences(spark: SparkSession, path: str, kind: str | None = None, degenerate: bool = True, topology: int = 1) -> DataFrame:
     """All records of files in any of the formats, told by their text unless named.
 
-    Multi-record FASTA files are split by Spark's own line reader, so one huge file is read in
-    parallel; the other formats go file by file.
+    Multi-record files of the formats in SEPARATORS, if the format is named, are split by Spark's own line reader, so
+    one huge file is read in parallel; the others, and files whose format is to be told, go file by file.
     """
     if kind == "fasta":
         return with_sequences(_fasta(spark, path), degenerate, topology)
@@ -161,7 +165,13 @@ def read_sequences(spark: SparkSession, path: str, kind: str | None = None, dege
         for f in frames:
             yield pd.DataFrame([r for text in f["value"] for r in records(text, kind)], columns=["name", "descr", "format", "raw"])
 
-    return with_sequences(spark.read.text(path, wholetext=True).mapInPandas(run, COLUMNS), degenerate, topology)
+    if kind in SEPARATORS:
+        parts = spark.read.text(path, lineSep=SEPARATORS[kind]).select("value")
+        if kind == "nbrf":  # the separator takes a record's first character
+            parts = parts.select(F.when(F.col("value").startswith(">"), F.col("value")).otherwise(F.concat(F.lit(">"), "value")).alias("value"))
+    else:
+        parts = spark.read.text(path, wholetext=True).select("value")
+    return with_sequences(parts.mapInPandas(run, COLUMNS), degenerate, topology)
 
 
 def _fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import itertools
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 from basewarp import options, render
 from basewarp.functions import codons as cod
 from basewarp.functions import sequence as sq
-from basewarp.operators import derive, match, orfs, proximity, windows
+from basewarp.operators import derive, match, orfs, proximity, scan, windows
 from basewarp.plans import patterns as pt
-from basewarp.plans.rules import parse_expression, parse_rule, parse_rules_file
+from basewarp.plans.rules import bounded, parse_expression, parse_rule, parse_rules_file
 from basewarp.sources import files
 from basewarp.sources import sequences as src
 from basewarp.streaming import sequences as streams
@@ -120,6 +122,45 @@ def test_matching(seqs, circular):
         assert found(match.find_sites(seqs, SITES)) == brute_hits(SEQS, SITES)
 
 
+def test_no_patterns_no_hits(seqs):
+    assert match.find_sites(seqs, []).count() == match.find_sites(seqs, [], seeds=True).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="acgtacgtacgtrynwk", max_size=40), min_size=1, max_size=5), st.text(alphabet="acgtacgtrynwbk", min_size=1, max_size=9), st.sampled_from(match.MODES), st.integers(0, 2), st.integers(1, 12))
+def test_scan_against_letters(texts, site, mode, errors, size):
+    """Places of a site in arrays against the letters' base sets, over the edges of slices."""
+    at, word = pt.best_seed(site, min(6, len(site)))
+    modes = ["plain" if mode == "plain" or mode == "key" and at <= j < at + len(word) else "subset" if mode == "key" else mode for j in range(len(site))]
+
+    def may(letter, t, m):
+        own, other = set(sq.IUPAC[letter]), set(sq.IUPAC[t])
+        return other <= own and (m == "subset" or len(other) == 1) if m != "overlap" else bool(own & other)
+
+    want = set()
+    for row, t in enumerate(texts):
+        for k in range(len(t) - len(site) + 1):
+            wrong = sum(not may(x, y, m) for x, y, m in zip(site, t[k:], modes))
+            open_ = all(may("n", y, "plain" if mode == "plain" else "subset" if mode == "key" else mode) for y in t[k : k + len(site)])
+            if wrong <= errors and (open_ or not errors):
+                want.add((row, k + 1))
+    old, scan.SLICE = scan.SLICE, size
+    try:
+        column = pa.array(texts, type=pa.string())
+        got = [(int(r), int(k)) for _, rows, starts in scan.find(column, [scan.Site(site, errors, mode)], np.array([len(t) for t in texts])) for r, k in zip(rows, starts)]
+    finally:
+        scan.SLICE = old
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_degenerate_modes_by_number(spark):
+    df = spark.createDataFrame([(1, "ttrgcacgnya"), (2, "gaattcgantc")], "seq_id long, seq string")
+    o = lambda k: options.Options((pt.Pattern("p", "rgcnnnnya"), pt.Pattern("h", "gantc")), degeneracy=k)
+    got = {k: {(r["seq_id"], r["pat"], r["start"]) for r in options.search(df, o(k))["hits"].where("strand = 1").collect()} for k in options.DEGENERACY}
+    assert got[0] == set() and got[1] == got[3] == {(1, "p", 3), (2, "h", 7)}
+    assert got[2] == set() and got[4] >= got[3]
+
+
 def test_matching_over_chunks(seqs, monkeypatch):
     monkeypatch.setattr(match, "CHUNK", 7)
     use = seqs.where("length(seq) < 500")
@@ -170,6 +211,22 @@ def test_nmers(spark):
         match.nmers(df, 21)
 
 
+@pytest.mark.parametrize("n", [2, 5, 12])
+def test_nmer_counts(seqs, n):
+    want = {}
+    for _, s in SEQS:
+        for k in range(len(s or "") - n + 1):
+            if set(s[k : k + n]) <= set("acgt"):
+                want[s[k : k + n]] = want.get(s[k : k + n], 0) + 1
+    assert {r["nmer"]: r["n"] for r in match.nmer_counts(seqs, n).collect()} == want
+
+
+def test_distinct_nmers(seqs):
+    want = {s[k : k + 4] for _, s in SEQS if s for k in range(len(s) - 3)}
+    got = [r["nmer"] for r in match.distinct_nmers(seqs, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_fragments_add_up(seqs):
     s = derive.distinct_sites(match.find_sites(seqs, SITES))
     lengths = {i: len(x or "") for i, x in SEQS}
@@ -358,6 +415,46 @@ def test_search_with_options(seqs):
     assert options.chosen(options.Options(tuple(SITES), names=("aa",), magnitude=4))[0].name == "aa"
 
 
+def test_search_covers_the_command_line(seqs):
+    counts = ((0, 0, 10, 0), (10, 0, 0, 0), (0, 0, 0, 10))
+    o = options.Options(tuple(SITES), regexes=(("rx", "gat+c"),), matrices=(("m", counts, 100),), extract=(3, 3, True), begin=2, end=60, turn="revcomp", clone=((1, 20, True), (30, 40, False)), codon_table=1)
+    out = options.search(seqs, o)
+    assert {r["pat"] for r in out["hits"].select("pat").distinct().collect()} >= {"rx", "TaqI", "m"}
+    assert out["extract"].count() and out["linear map"].count() and out["starts and stops"].count() and out["expected"].count() and out["gel"].count()
+    assert {r["section"] for r in out["clone ladder"].select("section").distinct().collect()} <= {0, 1, 2}
+    assert {r["seq_len"] for r in out["sites"].collect()} <= set(range(60))
+    assert all(df.schema for df in out.values())
+    with pytest.raises(ValueError):
+        options.search(seqs, options.Options(turn="around"))
+    silent = options.search(seqs, options.Options((pt.Pattern("r", "gaytt"),), silent=True))
+    assert silent["hits"].schema == out["hits"].schema
+
+
+def test_own_bounds(seqs):
+    s = derive.distinct_sites(match.find_sites(seqs, SITES))
+    n = {(r["seq_id"], r["pat"]): r["n_hits"] for r in derive.hit_counts(s).collect()}
+    own = bounded(SITES, [parse_rule("R,(ecori:1:1&MboI:2:50),10"), parse_rule("S,(MboI:7:7),10")])
+    assert [(p.min_hits, p.max_hits) for p in own if p.name in ("EcoRI", "MboI", "TaqI")] == [(1, 1), (1, 32000), (2, 50)]
+    got = {(r["seq_id"], r["pat"]) for r in derive.between_own_hits(s, own, 1, 40).collect()}
+    most = {"EcoRI": (1, 1), "MboI": (2, 50)}
+    assert got == {k for k, v in n.items() if most.get(k[1], (1, 40))[0] <= v <= most.get(k[1], (1, 40))[1]}
+
+
+def test_regex_option_reads_a_file(spark, tmp_path):
+    (tmp_path / "rx").write_text("head\n..\none ga+t ! text\n;no\ntwo cc\n")
+    assert files.regex_option(spark, f"FILE:{tmp_path}/rx") == [("one", "ga+t"), ("two", "cc")]
+    assert files.regex_option(spark, "x:ga") == [("x", "ga")]
+
+
+def test_readers_split_large_files(spark, tmp_path):
+    text = "".join(f"LOCUS       d{i} x\nDEFINITION  t\nORIGIN\n        1 acgtn{'ac' * i}\n//\n" for i in range(300))
+    (tmp_path / "a.gb").write_text(text)
+    (tmp_path / "crlf.gb").write_text(text.replace("\n", "\r\n"))
+    for name in ("a.gb", "crlf.gb"):
+        got = {r["name"]: r["seq"] for r in src.read_sequences(spark, str(tmp_path / name), "genbank").collect()}
+        assert got == {f"d{i}": "acgtn" + "ac" * i for i in range(300)}
+
+
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     path = "/root/testdata/sf0.001/documents.parquet"
     (tmp_path / "in").mkdir()

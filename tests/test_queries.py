@@ -42,7 +42,9 @@ def test_entry_and_registry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_the_rest_works_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_the_rest_works_without_the_llm_folders(tmp_path, pipeline):
+    import os
     import shutil
     import subprocess
     import sys
@@ -50,6 +52,11 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
 
     repo = Path(q.__file__).parents[1]
     shutil.copytree(repo / "basewarp", tmp_path / "basewarp", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    shutil.copytree(repo / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py", *(["corpus_pipeline.py"] if pipeline and (repo / "corpus_pipeline.py").exists() else [])):
+        shutil.copy(repo / name, tmp_path)
     code = "import __spark_entry__ as e; assert e.llm is None and 'hit_summary' in e.queries() and not any(k.startswith('op1') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    if not pipeline and "BASEWARP_INNER" not in os.environ:  # the engine's own tests, too
+        env = os.environ | {"BASEWARP_INNER": "1", "PYTHONPATH": str(tmp_path)}
+        subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "tests/test_engine.py", "tests/test_queries.py", "-k", "not test_query and not without_the_llm"], cwd=tmp_path, check=True, timeout=900, env=env, stdout=subprocess.DEVNULL)
