@@ -29,11 +29,10 @@ def _c(x: Text) -> Column:
 
 
 def normalise(text: Text, degenerate: bool = False) -> Column:
-    """Any text as a sequence: u as t, upper case as lower, everything but the letters dropped."""
-    if degenerate:
-        upper = "".join(x.upper() for x in LETTERS)
-        return F.regexp_replace(F.translate(_c(text), upper + "Uu", LETTERS + "tt"), f"[^{LETTERS}]", "")
-    return F.regexp_replace(F.translate(_c(text), "ACGTUu", "acgttt"), "[^acgt]", "")
+    """Any text as a sequence: u as t, upper case as lower, everything but the letters dropped (first, as most of a text goes)."""
+    letters = LETTERS if degenerate else "acgt"
+    kept = F.regexp_replace(_c(text), f"[^{letters}u{letters.upper()}U]+", "")
+    return F.replace(F.lower(kept), F.lit("u"), F.lit("t"))
 
 
 def subsequence(text: Text, begin: int, end: int = 0) -> Column:

@@ -9,9 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.codons import isoelectric_point, molecular_weight, reverse_translate, translate
+from ..functions.codons import codon_table, isoelectric_point, molecular_weight, reverse_translate, translate
 from ..functions.sequence import reverse_complement
 from .match import chunked
 
@@ -25,21 +24,31 @@ def frames(seqs: DataFrame, which: Sequence[int] = FRAMES, table: int = 0, lette
 
 
 def orfs(seqs: DataFrame, least: int = 30, which: Sequence[int] = FRAMES, table: int = 0, require_met: bool = True) -> DataFrame:
-    """Stretches between stops of at least ``least`` residues: orf_no, aa_begin, aa_end, aa_len, bp_begin, bp_end, peptide.
+    """Stretches between stops of at least ``least`` (1 or more) residues, found in arrays per Arrow batch: orf_no, aa_begin, aa_end, aa_len, bp_begin, bp_end, peptide.
 
     With require_met they begin at the first M; the stretch at the sequence's start counts as already inside.
     Base positions are on the frame's own strand.
     """
-    rows = frames(seqs, which, table).select("seq_id", "frame", F.posexplode(F.split("protein", "[*]")).alias("k", "piece"))
-    after = F.sum(F.length("piece") + 1).over(Window.partitionBy("seq_id", "frame").orderBy("k"))
-    rows = rows.withColumn("before", after - F.length("piece") - 1)
-    skip = F.when((F.col("k") == 0) | F.lit(not require_met), F.lit(0)).otherwise(F.instr("piece", F.lit("M")) - 1) if require_met else F.lit(0)
-    rows = rows.withColumn("skip", skip).where("skip >= 0").withColumn("peptide", F.expr("substring(piece, skip + 1)")).where(F.length("peptide") >= least)
-    begin = (F.col("before") + F.col("skip") + 1).cast("long")
-    offset = (F.col("frame") - 1) % 3
-    n = F.length("peptide").cast("long")
-    rows = rows.select("seq_id", "frame", begin.alias("aa_begin"), (begin + n - 1).alias("aa_end"), n.alias("aa_len"), (offset + (begin - 1) * 3 + 1).cast("long").alias("bp_begin"), (offset + (begin + n - 1) * 3).cast("long").alias("bp_end"), "peptide")
-    return rows.withColumn("orf_no", F.row_number().over(Window.partitionBy("seq_id", "frame").orderBy("aa_begin")).cast("long"))
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    residues = codon_table(table)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .scan import find_orfs
+
+        code = np.frombuffer("".join([*(residues[a + b + c] for a in "acgt" for b in "acgt" for c in "acgt"), "X"]).encode(), dtype=np.uint8)
+        for b in batches:
+            for frame, row, begin, peptide in find_orfs(b.column("seq"), code, tuple(which), least, require_met):
+                n = np.diff(np.frombuffer(peptide.buffers()[1], dtype=np.int64))
+                first = np.append(0, np.flatnonzero(row[1:] != row[:-1]) + 1)[: len(row)]
+                number = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + 1 if len(row) else row
+                start = (frame - 1) % 3 + (begin - 1) * 3
+                columns = [b.column("seq_id").take(pa.array(row)), pa.array(np.full(len(row), frame, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in (begin, begin + n - 1, n, start + 1, start + 3 * n)), peptide.cast(pa.string()), pa.array(number.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "frame", "aa_begin", "aa_end", "aa_len", "bp_begin", "bp_end", "peptide", "orf_no"])
+
+    return seqs.select("seq_id", "seq").where("seq IS NOT NULL").mapInArrow(run, f"seq_id {kind}, frame int, aa_begin long, aa_end long, aa_len long, bp_begin long, bp_end long, peptide string, orf_no long")
 
 
 def orf_properties(found: DataFrame) -> DataFrame:

@@ -219,3 +219,46 @@ def distinct_words(batches, width: int):
     text = np.frombuffer(LETTERS.encode(), dtype=np.uint8)[(number[:, None] >> 4 * np.arange(width - 1, -1, -1)) & 15]
     return [x.tobytes().decode() for x in np.ascontiguousarray(text)]
 
+
+def find_orfs(column: pa.Array, code: np.ndarray, which: tuple[int, ...], least: int, require_met: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """(frame, row, first residue from 1, peptide) of the stretches between stops, by row and place.
+
+    code: the residue (a byte) of each of the 64 codons, aaa aac aag aat aca ...; last, that of a codon with other letters.
+    """
+    data, offsets = letters(column)
+    size = np.diff(offsets)
+    base = _BASE[MASKS[data]]
+    for down in (False, True):
+        frames = [f for f in which if (f > 3) == down]
+        if not frames or not len(data):
+            continue
+        if down:  # each row turned round; letters are taken for their complements
+            place = np.arange(len(data))
+            row = np.repeat(np.arange(len(size)), size)
+            base = np.where(base < 4, 3 - base, base)[offsets[row] + offsets[row + 1] - 1 - place]
+        number = np.full(len(base), 64, dtype=np.uint8)
+        plain = (base[:-2] < 4) & (base[1:-1] < 4) & (base[2:] < 4)
+        number[: max(0, len(base) - 2)] = np.where(plain, (base[:-2] & 3) << 4 | (base[1:-1] & 3) << 2 | base[2:] & 3, 64)
+        residue = code[number]
+        for frame in frames:
+            n = np.maximum(0, (size - (frame - 1) % 3) // 3)  # whole codons of each row
+            ends = np.cumsum(n)
+            row = np.repeat(np.arange(len(n)), n)
+            protein = residue[offsets[row] + (frame - 1) % 3 + 3 * (np.arange(len(row)) - (ends - n)[row])]
+            stop = np.flatnonzero(protein == ord("*"))
+            # A stretch begins at each row's start and after each stop; it ends at the next stop or the row's end.
+            begin, kind = np.concatenate([ends - n, stop + 1]), np.concatenate([np.zeros(len(n), dtype=bool), np.ones(len(stop), dtype=bool)])
+            own = np.concatenate([np.arange(len(n)), row[stop]])
+            order = np.lexsort((begin, own))
+            begin, kind, own = begin[order], kind[order], own[order]
+            end = np.where(np.append(own[1:] == own[:-1], False), np.append(begin[1:], 0) - 1, ends[own])
+            if require_met:
+                met = np.append(np.flatnonzero(protein == ord("M")), len(protein))
+                begin = np.where(kind, met[np.searchsorted(met, begin)], begin)
+            good = np.flatnonzero(end - begin >= max(least, 1))
+            begin, end, own = begin[good], end[good], own[good]
+            length = end - begin
+            edge = np.append(0, np.cumsum(length))
+            text = protein[np.repeat(begin - edge[:-1], length) + np.arange(int(edge[-1]))]
+            peptides = pa.Array.from_buffers(pa.large_string(), len(own), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
+            yield frame, own, begin - (ends - n)[own] + 1, peptides
