@@ -66,21 +66,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("a") % 1_000_003)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node is a leaf twice, or both a leaf and a centre: then nothing changes any more."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("x"), F.lit(1).alias("leaf")))
+    wrong = ends.groupBy("x").agg(F.sum("leaf").alias("as_leaf"), F.min("leaf").alias("least")).where("as_leaf > 1 OR as_leaf = 1 AND least = 0")
+    return wrong.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the component's least node.  edges: a, b (longs, a <> b)."""
     ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     now = written(ordered.mapInPandas(_contract, "a long, b long").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         new = written(_small(_large(now).distinct()).distinct(), "edges")
-        after = _mark(new)
         dropped(now)
         now = new
-        if after == mark:
-            break
-        mark = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), split for Spark.
 
 Sets are the distinct word shingles of a text as 64-bit hashes.  Texts with equal sets form
-a class (digest of the sorted set); the join is over classes.
+a class (64 bits of the sorted set's 128-bit digest; should two sets share them, all are made
+anew with another salt); the join is over classes.
 
 1. Global order: shingles frequent within any batch are summed over all tasks; the
    ``FREQUENT`` most frequent come last, by frequency, all others in hash order.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, id_and_text, mixed, row_keys, task, word_hashes, word_spans, written
+from .common import batch_of, chunks, dropped, id_and_text, mixed, row_keys, task, word_hashes, word_spans, written
 from .components import Forest, components
 
 WORDS, PERCENT = 4, 85
@@ -87,8 +88,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
-def class_of(u: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(u: np.ndarray, salt: int = 0) -> int:
+    return digest_of(u, salt)[0]
+
+
+def digest_of(u: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """A set's 128-bit digest: the class, and what tells whether another set has the same class."""
+    raw = hashlib.blake2b(u.tobytes(), digest_size=16, salt=salt.to_bytes(4, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 class Order:
@@ -120,13 +127,13 @@ class Order:
         return np.concatenate([plain, u[at[late]]]), n - int((self.rank[where[late]] < self.hot).sum())
 
 
-_SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32())])
 _ARRAYS = pa.schema([("class", pa.int64()), ("items", pa.binary())])
 
 
-def _sets(batches, k: int):
+def _sets(batches, k: int, salt: int):
     """Rows of kind 0: a document's class and set size; kind 1: a shingle frequent in the batch and its count."""
     for b in batches:
         ids, row_keys_ = b.column("doc_id"), b.column("_bw_key")
@@ -134,8 +141,9 @@ def _sets(batches, k: int):
         for at, data, offsets in chunks(b.column("text")):
             sets = shingle_sets(data, offsets, k)
             n = np.array([len(u) for u in sets], dtype=np.int64)
-            keys = np.array([class_of(u) if len(u) else 0 for u in sets], dtype=np.int64)
-            yield batch_of(_SETS, kind=np.zeros(len(sets), dtype=np.int8), doc_id=ids.slice(at, len(sets)), row_key=row_keys_.slice(at, len(sets)), key=pa.array(keys, mask=n == 0), n=n)
+            both = np.array([digest_of(u, salt) if len(u) else (0, 0) for u in sets], dtype=np.int64).reshape(-1, 2)
+            keys = both[:, 0]
+            yield batch_of(_SETS, kind=np.zeros(len(sets), dtype=np.int8), doc_id=ids.slice(at, len(sets)), row_key=row_keys_.slice(at, len(sets)), key=pa.array(keys, mask=n == 0), check=both[:, 1], n=n)
             once.update(zip(keys.tolist(), sets))
         every = np.concatenate(list(once.values())) if once else np.zeros(0, dtype=np.uint64)
         once.clear()
@@ -145,7 +153,7 @@ def _sets(batches, k: int):
         often = np.unique(ahead[every[: len(ahead)] == ahead])
         count = np.searchsorted(every, often, side="right") - np.searchsorted(every, often, side="left")
         m = len(often)
-        yield batch_of(_SETS, kind=np.ones(m, dtype=np.int8), doc_id=pa.nulls(m, pa.int64()), row_key=pa.nulls(m, pa.int64()), key=often.view(np.int64), n=count)
+        yield batch_of(_SETS, kind=np.ones(m, dtype=np.int8), doc_id=pa.nulls(m, pa.int64()), row_key=pa.nulls(m, pa.int64()), key=often.view(np.int64), check=pa.nulls(m, pa.int64()), n=count)
 
 
 def _crowded(crowds: dict[int, int], key: int, doc) -> bool:
@@ -153,7 +161,7 @@ def _crowded(crowds: dict[int, int], key: int, doc) -> bool:
     return crowds.get(key, doc) != doc
 
 
-def _postings(batches, k: int, percent: int, order: Order, crowds: dict[int, int]):
+def _postings(batches, k: int, percent: int, order: Order, crowds: dict[int, int], salt: int):
     for b in batches:
         ids = b.column("doc_id").to_pylist()
         for at, data, offsets in chunks(b.column("text")):
@@ -163,7 +171,7 @@ def _postings(batches, k: int, percent: int, order: Order, crowds: dict[int, int
                 n = len(u)
                 if not n:
                     continue
-                key = class_of(u)
+                key = class_of(u, salt)
                 if key in done or _crowded(crowds, key, doc):
                     continue
                 done.add(key)
@@ -242,7 +250,7 @@ def _list_pairs(batches, percent: int, short: int = SHORT):
         yield from rows(parts)
 
 
-def _arrays(batches, k: int, bits: np.ndarray, crowds: dict[int, int]):
+def _arrays(batches, k: int, bits: np.ndarray, crowds: dict[int, int], salt: int):
     """Whole sets of the classes that some block has (the bitmap lets a few others through)."""
     for b in batches:
         ids = b.column("doc_id").to_pylist()
@@ -250,7 +258,7 @@ def _arrays(batches, k: int, bits: np.ndarray, crowds: dict[int, int]):
             keys, items = [], []
             for doc, u in zip(ids[at:], shingle_sets(data, offsets, k)):
                 if len(u):
-                    key = class_of(u)
+                    key = class_of(u, salt)
                     bit = key & (1 << _BITMAP) - 1
                     if int(bits[bit >> 6]) >> (bit & 63) & 1 and not _crowded(crowds, key, doc):
                         keys.append(key)
@@ -348,14 +356,18 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     spark = docs.sparkSession
     slim = id_and_text(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_keys("text")[1])
-    both = written(keyed.mapInArrow(task("ngram-join", lambda bs: _sets(bs, words)), "kind tinyint, doc_id long, row_key long, key long, n long"), "sets")
-    sets = both.where("kind = 0").select("doc_id", "row_key", F.col("key").alias("class"), "n")
+    for salt in itertools.count():
+        both = written(keyed.mapInArrow(task("ngram-join", lambda bs, salt=salt: _sets(bs, words, salt)), "kind tinyint, doc_id long, row_key long, key long, check long, n long"), "sets")
+        sets = both.where("kind = 0").select("doc_id", "row_key", F.col("key").alias("class"), "n")
+        if both.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg((F.min("check") < F.max("check")).alias("clash")).where("clash").isEmpty():
+            break
+        dropped(both)  # two sets with one class: all classes anew
     top = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     crowd = sets.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where("c >= 8").orderBy(F.desc("c"), "class").limit(CROWDS).toArrow()
     crowds = spark.sparkContext.broadcast(dict(zip(crowd.column("class").to_pylist(), crowd.column("d").to_pylist())))
 
-    postings = slim.mapInArrow(task("ngram-join", lambda bs: _postings(bs, words, percent, order.value, crowds.value)), "token long, class long, n int, hot boolean")
+    postings = slim.mapInArrow(task("ngram-join", lambda bs: _postings(bs, words, percent, order.value, crowds.value, salt)), "token long, class long, n int, hot boolean")
     # A frequent shingle's postings need not meet, so they are dealt by class.
     lists = postings.repartition("token", F.when(F.col("hot"), F.col("class"))).sortWithinPartitions("token", "class")
     pairs = lists.mapInArrow(task("ngram-join", lambda bs: _list_pairs(bs, percent)), "a long, b long, n int, need int")
@@ -369,7 +381,7 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     within = within.join(parts, "root").select(F.col("class").alias("node"), "root", "parts")
 
     bits = spark.sparkContext.broadcast(_bitmap(blocks))
-    arrays = slim.mapInArrow(task("ngram-join", lambda bs: _arrays(bs, words, bits.value, crowds.value)), "class long, items binary")
+    arrays = slim.mapInArrow(task("ngram-join", lambda bs: _arrays(bs, words, bits.value, crowds.value, salt)), "class long, items binary")
     dealt = arrays.join(within, F.col("class") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "items")
     found = dealt.groupBy("root", "i", "j").applyInPandas(lambda f: _link_block(f, percent, every_link), "a long, b long")
