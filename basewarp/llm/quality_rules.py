@@ -50,7 +50,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(r"\p{L}")).cast("double").alias("letters"),
     )
     # 3-word windows sorted by hash and then place; equal neighbours are repeats.  The two
-    # hashes together are 128 bits, so different windows do not meet.
+    # hashes, of 64 and 32 bits, stand for the window.
     window = lambda i: F.struct(
         F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"),
         F.hash(F.get("words", i + 2), F.get("words", i + 1), F.get("words", i)).alias("g"),
@@ -70,8 +70,9 @@ def measures(docs: DataFrame) -> DataFrame:
         "repeats", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
     )["n"]
     dup = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
-    trimmed = lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", "")
-    stops = F.size(F.filter("words", lambda w: (F.length(w) <= 12) & trimmed(w).isin(*stop)))
+    trimmed = lambda w: F.rtrim(w, F.lit(".,;:!?"))
+    longest = max(map(len, stop))  # lower-casing never makes a word shorter, so no longer one is a stop word
+    stops = F.size(F.filter("words", lambda w: (F.length(trimmed(w)) <= longest) & F.lower(trimmed(w)).isin(*stop)))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return step.select(
         "doc_id",

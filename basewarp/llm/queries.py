@@ -103,14 +103,16 @@ def _quality_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM t),
 win AS (SELECT doc_id, i, w[i : i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words,
-    len(lines) AS n_lines, len(list_filter(w, lambda x: length(x) <= 12 AND regexp_replace(lower(x), '[.,;:!?]+$', '') IN ({stop}))) AS stops,
+    len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_replace(lower(x), '[.,;:!?]+$', '') IN ({stop}))) AS stops,
     length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS upper_n, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS letters
   FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id
 ),
