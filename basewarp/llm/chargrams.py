@@ -20,10 +20,11 @@ class Grams:
     """Lower-cased texts one after another, each between blanks, everything but letters as a blank.
 
     codes: code points; offsets: where each text begins (one more than texts); lettered: which texts have a letter.
+    bare: the texts are windows of such a text already.
     """
 
-    def __init__(self, texts: list[str]):
-        texts = [f" {t.lower()} " for t in texts]
+    def __init__(self, texts: list[str], bare: bool = False):
+        texts = texts if bare else [f" {t.lower()} " for t in texts]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _alpha()[codes]
@@ -60,13 +61,41 @@ def split_texts(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, l
         yield at, texts[at:]
 
 
-def segment_sums(grams: Grams, order: int, bits: int, rows: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """Per text the sum of rows[bucket] over all positions, in steps so that a very long text needs no more memory."""
-    out = np.zeros((len(grams.offsets) - 1, rows.shape[1]))
+def gram_runs(texts: list[str], orders: tuple[int, ...], limit: int = 1 << 20) -> Iterator[tuple[int, int, Grams, list[int]]]:
+    """First text, number of texts, their n-grams, and which of the orders count there.  A long text comes in windows, for
+    each order with the overlap that its n-grams need, so that a text of any length needs memory for a window only."""
+    for at, part in split_texts(texts, limit):
+        if len(part) > 1 or len(part[0]) <= 2 * limit:
+            yield at, len(part), Grams(part), list(range(len(orders)))
+            continue
+        whole = f" {part[0].lower()} "
+        for k, order in enumerate(orders):
+            for lo in range(0, len(whole), limit):
+                yield at, 1, Grams([whole[lo : lo + limit + order - 1]], bare=True), [k]
+
+
+def sparse_counts(grams: Grams, order: int, bits: int, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, bucket, n) of the buckets that each text has, sorted; in steps, so that a very long text needs no more memory
+    (a text over a step's edge has its counts in both)."""
     for lo in range(0, len(grams.codes), step):
         hi = min(lo + step, len(grams.codes))
-        first = int(np.searchsorted(grams.offsets, lo, side="right")) - 1
-        last = int(np.searchsorted(grams.offsets, hi, side="left"))
-        cuts = np.maximum(grams.offsets[first:last], lo) - lo
-        out[first:last] += np.add.reduceat(rows[grams.hashed(order, bits, lo, hi)], cuts, axis=0)
+        bucket = grams.hashed(order, bits, lo, hi)
+        key = np.searchsorted(grams.offsets, np.arange(lo, hi), side="right") - 1 if len(grams.offsets) > 2 else np.zeros(hi - lo, dtype=np.int64)
+        key = key[bucket < 1 << bits] << bits | bucket[bucket < 1 << bits]
+        key.sort()
+        if len(key):
+            last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
+            yield key[last] >> bits, key[last] & (1 << bits) - 1, np.diff(last, prepend=-1)
+
+
+def segment_sums(grams: Grams, order: int, bits: int, rows: np.ndarray) -> np.ndarray:
+    """Per text the sum of count times rows[bucket] over its buckets: the sparse matrix of counts times the matrix of rows."""
+    width = max(1, rows.shape[1])
+    out = np.zeros((len(grams.offsets) - 1, rows.shape[1]))
+    for text, bucket, n in sparse_counts(grams, order, bits):
+        for lo in range(0, len(text), max(1 << 12, (1 << 22) // width)):  # a bound of memory at many columns
+            part = slice(lo, lo + max(1 << 12, (1 << 22) // width))
+            own = text[part]
+            first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+            out[own[first]] += np.add.reduceat(rows[bucket[part]] * n[part, None], first, axis=0)
     return out

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and driver and
+    executors are one process (elsewhere executors would not see each other's files)."""
     set_there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("basewarp.shared.dir", None)
     if not set_there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_there = "file://" + tempfile.mkdtemp(prefix="basewarp-")
         spark.conf.set("basewarp.shared.dir", set_there)
     return set_there
@@ -165,26 +169,51 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.nda
         at = to
 
 
+#: Bytes that word_spans and word_hashes look at at once: what they hold beside words does not grow with a text.
+WINDOW = 4 << 20
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and per text the index of its first word (one more than texts)."""
-    inside = table[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    starts, ends = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for lo in range(0, len(data), WINDOW):
+        hi = min(lo + WINDOW, len(data))
+        inside = table[data[max(lo - 1, 0) : hi + 1]]  # with the neighbours
+        if lo == 0:
+            inside = np.append(False, inside)
+        if hi == len(data):
+            inside = np.append(inside, False)
+        edge = np.zeros(hi - lo + 1, dtype=bool)
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo] = True
+        own = inside[1:-1]
+        starts.append(np.flatnonzero(own & (~inside[:-2] | edge[:-1])) + lo)
+        ends.append(np.flatnonzero(own & (~inside[2:] | edge[1:])) + lo + 1)
+    first, last = np.concatenate(starts), np.concatenate(ends)
+    return first, last, np.searchsorted(first, offsets)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, A-Z as a-z: differences of a prefix sum of byte values times powers of an odd base."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LETTERS[data] * power(_BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * power(_INVERSE, len(data))[starts])
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        to = int(np.searchsorted(ends, lo + WINDOW, side="right"))
+        if to > at:
+            part = data[lo : int(ends[to - 1])]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_LETTERS[part] * power(_BASE, len(part)), out=sums[1:])
+            out[at:to] = (sums[ends[at:to] - lo] - sums[starts[at:to] - lo]) * power(_INVERSE, len(part))[starts[at:to] - lo]
+            at = to
+        else:  # a word longer than the window, part by part
+            total, scale = 0, 1
+            for k in range(lo, int(ends[at]), WINDOW):
+                part = data[k : min(k + WINDOW, int(ends[at]))]
+                total += scale * int((_LETTERS[part] * power(_BASE, len(part))).sum(dtype=np.uint64))
+                scale = scale * pow(_BASE, len(part), 1 << 64) & (1 << 64) - 1
+            out[at] = total & (1 << 64) - 1
+            at += 1
+    return mixed(out)
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -1,30 +1,34 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts every n-gram of every training row; tasks emit one row per language and
-bucket they met, Spark adds them, and the driver holds the table of at most ``MAX_LANGS``
-languages times the buckets, from which the log-probability matrix is made and broadcast.
-Scoring gathers the matrix rows of a batch's n-grams and adds them per text in numpy.
+bucket they met, and Spark adds them.  The log-probability matrix of at most ``MAX_LANGS``
+languages is made on the driver and broadcast; more languages are scored in several passes over the
+texts, whose best languages and masses are joined by row.  Scoring multiplies the sparse matrix of a
+batch's bucket counts with it in numpy.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; rows with
 null lang or null doc_id never train (a null doc_id is scored as not held out); without
 any training row everything is ``und``; equal scores go to the first language in
 code-point order; repeated rows are predicted alike; columns besides doc_id, text and
-lang are not read, and lang is read for training only.
+lang are not read, and lang is read for training only.  A text goes in steps of a fixed number
+of characters, so a very long one needs memory for its characters only.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chargrams import Grams, segment_sums, split_texts
-from .common import batch_of, task
+from .chargrams import gram_runs, segment_sums
+from .common import batch_of, task, written
 
 ORDERS, BITS, SMOOTHING = (2, 3), 15, 0.5
-#: The matrix is refused beyond this many languages (it would be broadcast: 16 MB for each 32).
-MAX_LANGS = 512
+#: Languages of one pass: bounds what comes to the driver (65,537 rows a language) and the matrix sent (0.5 MB a language).
+MAX_LANGS = 64
 UNDETERMINED = "und"
 
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -51,62 +55,87 @@ def _count(batches):
             held = counts.setdefault(lang, np.zeros(len(ORDERS) * width + 1, dtype=np.int64))
             own = [t or "" for t, x in zip(texts, langs) if x == lang]
             held[-1] += len(own)
-            for _, part in split_texts(own):
-                grams = Grams(part)
-                for k, order in enumerate(ORDERS):
-                    held[k * width : (k + 1) * width] += np.bincount(grams.hashed(order, BITS), minlength=width)
+            for _, _, grams, which in gram_runs(own, ORDERS):
+                for k in which:
+                    held[k * width : (k + 1) * width] += np.bincount(grams.hashed(ORDERS[k], BITS), minlength=width)
     for lang, held in counts.items():
         at = np.flatnonzero(held)
         yield batch_of(_COUNTS, lang=[lang] * len(at), bucket=at.astype(np.int32), n=held[at])
 
 
-def train(docs: DataFrame, is_training: Column) -> Model:
-    """Learns from the rows of docs for which is_training holds and lang is not null."""
+def train(docs: DataFrame, is_training: Column) -> list[Model]:
+    """Learns from the rows of docs for which is_training holds and lang is not null: a model for each run of MAX_LANGS languages."""
     rows = docs.where(is_training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = rows.mapInArrow(task("language-id", _count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    total = written(rows.mapInArrow(task("language-id", _count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
     width = (1 << BITS) + 1
-    got = total.limit(MAX_LANGS * (len(ORDERS) * width + 1) + 1).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = np.zeros((len(langs), len(ORDERS) * width + 1))
-    counts[np.searchsorted(np.array(langs, dtype=object), np.array(got.column("lang").to_pylist(), dtype=object)) if langs else [], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    tables = []
-    for k in range(len(ORDERS)):
-        n = counts[:, k * width : (k + 1) * width - 1] + SMOOTHING
-        logs = np.log(n) - np.log(n.sum(axis=1, keepdims=True))
-        tables.append(np.ascontiguousarray(np.vstack([logs.T, np.zeros((1, len(langs)))])))
-    prior = np.log(np.maximum(counts[:, -1], 1)) - np.log(max(counts[:, -1].sum(), 1)) if langs else np.zeros(0)
-    return Model(langs, tables, prior)
-
-
-def scores(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Predicted language and its posterior probability."""
-    if not model.langs:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    langs, best = [], []
-    for _, part in split_texts(texts):
-        grams = Grams(part)
-        total = np.tile(model.prior, (len(part), 1))
-        for k, order in enumerate(ORDERS):
-            total += segment_sums(grams, order, BITS, model.rows[k])
-        top = total.argmax(axis=1)
-        odds = np.exp(total - total.max(axis=1, keepdims=True))
-        best.append(np.where(grams.lettered, 1 / odds.sum(axis=1), 0.0))
-        langs += [model.langs[i] if ok else UNDETERMINED for i, ok in zip(top, grams.lettered)]
-    return langs, np.concatenate(best) if best else np.zeros(0)
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+    known = total.where(F.col("bucket") == len(ORDERS) * width).select("lang", "n").toArrow()
+    rows_of = dict(zip(known.column("lang").to_pylist(), known.column("n").to_pylist()))
+    langs, models = sorted(rows_of), []
+    for lo in range(0, len(langs), MAX_LANGS):
+        own = langs[lo : lo + MAX_LANGS]
+        got = total.where(F.col("lang").between(own[0], own[-1])).toArrow()
+        counts = np.zeros((len(own), len(ORDERS) * width + 1))
+        counts[np.searchsorted(np.array(own, dtype=object), np.array(got.column("lang").to_pylist(), dtype=object)), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+        tables = []
+        for k in range(len(ORDERS)):
+            n = counts[:, k * width : (k + 1) * width - 1] + SMOOTHING
+            logs = np.log(n) - np.log(n.sum(axis=1, keepdims=True))
+            tables.append(np.ascontiguousarray(np.vstack([logs.T, np.zeros((1, len(own)))])))
+        models.append(Model(own, tables, np.log([max(rows_of[x], 1) for x in own]) - np.log(max(sum(rows_of.values()), 1))))
+    return models
+
+
+def scores(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: the best language, its posterior probability, its score, and the mass of all languages against it."""
+    total = np.tile(model.prior, (len(texts), 1))
+    lettered = np.zeros(len(texts), dtype=bool)
+    for at, n, grams, which in gram_runs(texts, ORDERS):
+        lettered[at : at + n] |= grams.lettered
+        for k in which:
+            total[at : at + n] += segment_sums(grams, ORDERS[k], BITS, model.rows[k])
+    top, best = total.max(axis=1), total.argmax(axis=1)
+    mass = np.exp(total - top[:, None]).sum(axis=1)
+    return [model.langs[i] if ok else UNDETERMINED for i, ok in zip(best, lettered)], np.where(lettered, 1 / mass, 0.0), top, mass
+
+
+_SCORED = pa.schema([("row", pa.int64()), ("lang", pa.string()), ("top", pa.float64()), ("mass", pa.float64())])
+
+
+def _by_passes(numbered: DataFrame, models: list[Model]) -> DataFrame:
+    """row, lang_pred, score: a pass over the texts for each model, of which tasks hold one at a time.  numbered: row, text."""
+    passes = []
+    for model in models:
+        sent = numbered.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches, sent=sent):
+            for b in batches:
+                langs, _, top, mass = scores(sent.value, [t or "" for t in b.column("text").to_pylist()])
+                yield batch_of(_SCORED, row=b.column("row"), lang=langs, top=top, mass=mass)
+
+        passes.append(written(numbered.mapInArrow(task("language-id", run), "row long, lang string, top double, mass double"), "language-pass"))
+        sent.destroy()
+    every = functools.reduce(DataFrame.unionByName, passes).groupBy("row")
+    best = every.agg(F.min(F.struct((-F.col("top")).alias("cost"), "lang")).alias("best"), F.collect_list(F.struct("top", "mass")).alias("all"))  # a struct for each model
+    mass = F.aggregate("all", F.lit(0.0), lambda sum_, x: sum_ + x["mass"] * F.exp(x["top"] + F.col("best.cost")))
+    lang = F.col("best.lang")
+    return best.select("row", lang.alias("lang_pred"), F.when(lang == UNDETERMINED, 0.0).otherwise(1 / mass).alias("score"))
+
+
+def identify(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+    if not models:
+        return slim.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if len(models) > 1:
+        numbered = written(slim.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        return numbered.select("row", "doc_id", "held_out").join(_by_passes(numbered.select("row", "text"), models), "row").drop("row")
+    sent = docs.sparkSession.sparkContext.broadcast(models[0])
 
     def run(batches):
         for b in batches:
-            langs, best = scores(sent.value, [t or "" for t in b.column("text").to_pylist()])
+            langs, best, _, _ = scores(sent.value, [t or "" for t in b.column("text").to_pylist()])
             yield batch_of(_PREDICTED, doc_id=b.column("doc_id"), held_out=b.column("held_out"), lang_pred=langs, score=best)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     return slim.mapInArrow(task("language-id", run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -116,14 +145,19 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def accepted_rows(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose language is determined with at least this posterior."""
-    model = train(docs, ~held_out())
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index("text")
+    models = train(docs, ~held_out())
+    if not models:
+        return docs.where("false")
+    if len(models) > 1:
+        numbered = written(docs.withColumn("_bw_row", F.monotonically_increasing_id()), "numbered")
+        good = _by_passes(numbered.select(F.col("_bw_row").alias("row"), F.col("text").cast("string").alias("text")), models).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+        return numbered.join(good.select(F.col("row").alias("_bw_row")), "_bw_row", "left_semi").drop("_bw_row")
+    sent = docs.sparkSession.sparkContext.broadcast(models[0])
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            langs, best = scores(sent.value, [t or "" for t in b.column(at).cast(pa.string()).to_pylist()])
+            langs, best, _, _ = scores(sent.value, [t or "" for t in b.column(at).cast(pa.string()).to_pylist()])
             yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, best)], type=pa.bool_()))
 
     return docs.mapInArrow(task("language-id", run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chargrams import Grams, split_texts
+from .chargrams import gram_runs
 from .common import batch_of, id_and_text, task, written
 
 ORDERS, BITS = (3, 4, 5), 18
@@ -41,13 +41,18 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def text_features(texts: list[str], step: int = 1 << 20):
+def text_features(texts: list[str]):
     """Per text its distinct features.  A scratch table of last places finds the first of equals without sorting."""
     scratch = np.zeros(_WIDTH, dtype=np.int32)
-    for _, part in split_texts(texts):
-        grams = Grams(part)
+    long: dict[int, np.ndarray] = {}  # of a text in windows, which features it has
+    for at, n, grams, which in gram_runs(texts, ORDERS):
+        if len(which) < len(ORDERS):
+            seen = long.setdefault(at, np.zeros(_FEATURES, dtype=bool))
+            seen[which[0] * _WIDTH + grams.hashed(ORDERS[which[0]], BITS)] = True
+            continue
+        yield from _finished(long)
         hashed = [grams.hashed(order, BITS) for order in ORDERS]
-        for i in range(len(part)):
+        for i in range(n):
             lo, hi = grams.offsets[i], grams.offsets[i + 1]
             found = []
             for k, h in enumerate(hashed):
@@ -57,6 +62,14 @@ def text_features(texts: list[str], step: int = 1 << 20):
                 own = own[scratch[own] == place]
                 found.append(own[own < _WIDTH - 1] + np.int32(k * _WIDTH))
             yield np.concatenate(found)
+    yield from _finished(long)
+
+
+def _finished(long: dict[int, np.ndarray]):
+    for at in sorted(long):
+        seen = long.pop(at)
+        seen[_WIDTH - 1 :: _WIDTH] = False  # no n-gram
+        yield np.flatnonzero(seen).astype(np.int32)
 
 
 class Model:

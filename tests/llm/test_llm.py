@@ -87,12 +87,91 @@ def test_language_id(docs, plain, odd, empty, spark):
 def test_language_scores_do_not_depend_on_batches(docs):
     model = language_id.train(docs, ~language_id.held_out())
     texts = [r["text"] for r in docs.limit(20).collect()] + [LONG]
-    one = [language_id.scores(model, [t]) for t in texts]
-    langs, best = language_id.scores(model, texts)
+    one = [language_id.scores(model[0], [t]) for t in texts]
+    langs, best, _, _ = language_id.scores(model[0], texts)
     assert langs == [x[0][0] for x in one]
     assert np.allclose(best, [x[1][0] for x in one])
 
 
+def hashed_gram(gram, bits):
+    """chargrams' hash of one n-gram, in whole numbers."""
+    h = ord(gram[0]) * 0x9E3779B1 & 0xFFFFFFFF
+    for c in gram[1:]:
+        h = (h ^ h >> 15 ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h >> 32 - bits
+
+
+def gram_counts(text, orders, bits):
+    s = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    return [collections.Counter(hashed_gram(s[i : i + k], bits) for i in range(len(s) - k + 1)) for k in orders]
+
+
+def brute_language(rows):
+    """Naive Bayes in dictionaries: (doc_id, text, lang) to doc_id -> (language, posterior)."""
+    import math
+
+    orders, bits = language_id.ORDERS, language_id.BITS
+    learned, docs_of = {}, collections.Counter()
+    for d, t, lang in rows:
+        if d is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            docs_of[lang] += 1
+            for mine, new in zip(learned.setdefault(lang, [collections.Counter() for _ in orders]), gram_counts(t, orders, bits)):
+                mine.update(new)
+    out = {}
+    for d, t, _ in rows:
+        if not docs_of or not any(c.isalpha() for c in t or ""):
+            out[d] = ("und", 0.0)
+            continue
+        logs = {}
+        for lang in sorted(docs_of):
+            logs[lang] = math.log(docs_of[lang] / sum(docs_of.values()))
+            for own, mine in zip(gram_counts(t, orders, bits), learned[lang]):
+                total = sum(mine.values()) + language_id.SMOOTHING * 2**bits
+                logs[lang] += sum(n * math.log((mine[b] + language_id.SMOOTHING) / total) for b, n in own.items())
+        top = max(sorted(logs), key=logs.get)
+        out[d] = (top, 1 / sum(math.exp(x - logs[top]) for x in logs.values()))
+    return out
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_language_id_against_brute_force(spark, docs, monkeypatch, most):
+    rows = [(r["doc_id"], (r["text"] or "")[:300], r["lang"]) for r in docs.orderBy("doc_id").limit(50).collect()]
+    rows += [(1000, None, "en"), (1001, "...", None), (1002, "the of and", None), (1003, "mixed der des les", "x-y")]
+    df = spark.createDataFrame([(d, t, lang, "a", 1) for d, t, lang in rows], SCHEMA)
+    monkeypatch.setattr(language_id, "MAX_LANGS", most)  # 2: several passes
+    want = brute_language(rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(df).collect()}
+    assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+    assert all(abs(got[d][1] - want[d][1]) < 1e-6 for d in want)
+    kept = {r["doc_id"] for r in language_id.accepted_rows(df).collect()}
+    assert kept == {d for d, (lang, p) in want.items() if lang != "und" and p >= 0.5}
+
+
+def test_long_texts_in_windows(monkeypatch):
+    """Words, hashes and n-grams of long texts come in windows; what comes out is the same."""
+    from basewarp.llm import chargrams, common
+
+    text = "One two  thrée " * 400 + "x" * 3000 + " " * 700 + "end. " * 100
+    data, offsets = np.frombuffer((text + "a b").encode(), dtype=np.uint8), np.array([0, len(text.encode()), len(text.encode()) + 3])
+    whole = common.word_spans(data, offsets)
+    hashes = common.word_hashes(data, *whole[:2])
+    monkeypatch.setattr(common, "WINDOW", 64)
+    parts = common.word_spans(data, offsets)
+    assert all((x == y).all() for x, y in zip(whole, parts)) and len(whole[0]) == len(text.split()) + 2
+    assert (common.word_hashes(data, *parts[:2]) == hashes).all() and len(set(hashes.tolist())) == 7
+    total = [np.zeros(1 << 15, dtype=int) for _ in range(2)]
+    for _, _, grams, which in chargrams.gram_runs([text], (2, 3), 100):
+        for k in which:
+            total[k] += np.bincount(grams.hashed((2, 3)[k], 15), minlength=(1 << 15) + 1)[: 1 << 15]
+    for k, want in enumerate(gram_counts(text, (2, 3), 15)):
+        assert {b: int(total[k][b]) for b in np.flatnonzero(total[k])} == dict(want)
+    monkeypatch.setattr(chargrams.gram_runs, "__defaults__", (100,))
+    short = [f.tolist() for f in toxicity.text_features(["ab cd", text, "é", text[:50], text])]
+    monkeypatch.undo()
+    assert [sorted(x) for x in short] == [sorted(f.tolist()) for f in toxicity.text_features(["ab cd", text, "é", text[:50], text])]
+
+
 # 2 n-gram join
 
 
@@ -194,6 +273,25 @@ def test_components(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_classes_are_made_anew_when_two_sets_share_one(spark, monkeypatch):
+    texts = [f"alpha beta gamma delta {k}" for k in range(6)] + ["alpha beta gamma delta 0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.ngram_join(df).collect()))
+    clash = ngram_join._sets
+
+    def clashing(batches, k, salt):
+        import pyarrow as pa
+
+        for b in clash(batches, k, salt):
+            if salt == 0:
+                key = pa.array([1 if x is not None and kind == 0 else x for x, kind in zip(b.column("key").to_pylist(), b.column("kind").to_pylist())], type=pa.int64())
+                b = b.set_column(b.schema.get_field_index("key"), "key", key)
+            yield b
+
+    monkeypatch.setattr(ngram_join, "_sets", clashing)
+    assert sorted(map(tuple, ngram_join.ngram_join(df).collect())) == want
+
+
 # 3 exact dedup
 
 
@@ -255,7 +353,8 @@ def test_quality_rules(docs, plain, odd, empty):
 
 def test_quality_rules_follow_labels(spark):
     sf = "/root/testdata/sf0.01"
-    got = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [{"kept": r["kept"], "quality": quality[r["doc_id"]]} for r in quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r["doc_id"] in quality and not r["base_failed"]]
     assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.99
     assert np.mean([r["kept"] for r in got if r["quality"] == 0]) < 0.1
 
@@ -586,6 +685,42 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_toxicity_against_brute_force(spark, docs):
+    """Log-count ratios, the classifier's fit and every score with dictionaries and dense tables."""
+    import math
+
+    rows = [(r["doc_id"], (r["text"] or "")[:200]) for r in docs.orderBy("doc_id").limit(50).collect()]
+    rows = [(d, t + (" you awful stupid clown" if k % 3 == 0 else " a fine day")) for k, (d, t) in enumerate(rows)] + [(5000, None), (5001, "")]
+    marks = {d: int(k % 3 == 0) for k, (d, _) in enumerate(rows[:50])}
+    df = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA)
+    labels = spark.createDataFrame([(d, x) for d, x in marks.items()], "doc_id long, toxic int")
+    has = {d: {(k, b) for k, c in enumerate(gram_counts(t, toxicity.ORDERS, toxicity.BITS)) for b in c} for d, t in rows}
+    train = [d for d in marks if zlib.crc32(str(d).encode()) % 5 != 0]
+    n = [sum(marks[d] == x for d in train) for x in (0, 1)]
+    ratio = {}
+    for f in set().union(*(has[d] for d in train)):
+        c = [toxicity.SMOOTHING + sum(f in has[d] for d in train if marks[d] == x) for x in (0, 1)]
+        r = math.log(c[1] / (n[1] + 2 * toxicity.SMOOTHING)) - math.log(c[0] / (n[0] + 2 * toxicity.SMOOTHING))
+        if abs(r) >= toxicity.LEAST_RATIO and abs(r) >= toxicity.LEAST_SIGMAS * math.sqrt(1 / c[0] + 1 / c[1]):
+            ratio[f] = r
+    used = sorted(ratio)
+    assert used
+    x = np.array([[ratio[f] if f in has[d] else 0.0 for f in used] for d in train])
+    y = np.array([marks[d] for d in train], dtype=float)
+    weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    w, b, m, v = np.full(len(used), 0.1), 0.0, 0.0, 0.0
+    for t in range(1, toxicity.STEPS + 1):
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = np.append(x.T @ error + toxicity.DECAY * w / len(used) * 10, error.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, b = w - move[:-1], b - move[-1]
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, labels).collect()}
+    for d, _ in rows:
+        want = 1 / (1 + math.exp(-(sum(w[used.index(f)] * ratio[f] for f in has[d] if f in ratio) + b)))
+        assert abs(got[d] - want) < 1e-4
+
+
 # 9 mixing
 
 
