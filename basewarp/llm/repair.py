@@ -35,8 +35,8 @@ END_ID = 1
 LEAST = 2
 #: Pairs as frequent as the most frequent one divided by this are replaced in one round.
 DROP = 256
-#: Runs that a worker keeps here: little else needs memory beside them.
-KEEP = 1_200_000
+#: Pieces that a worker keeps here, and bytes of text that it cuts at once: little else needs memory beside them.
+KEEP, SLICE = 1_200_000, 8 << 20
 #: A record is full at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2_000, 8_000_000
 _U = np.uint64
@@ -271,7 +271,7 @@ def write_file(docs: DataFrame, tokenizer: str | None = None, shard_docs: int =
     ranges = slots_for(docs.select("doc_id").count(), 4 * shard_docs)
 
     def build(batches):
-        enc, part, number = encoder(tokenizer, KEEP), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(tokenizer, KEEP, SLICE), TaskContext.get().partitionId(), 0
         ids: list = []
         found: list[np.ndarray] = []
         size = 0

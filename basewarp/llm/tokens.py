@@ -32,9 +32,9 @@ import pyarrow as pa
 from .common import chunks, kept, mixed, power
 
 #: Pieces, and bytes of them, kept per worker; beyond, the table starts anew (a bound of memory, not of what is encoded).
-KEEP, KEEP_BYTES = 1_200_000, 48_000_000
+KEEP, KEEP_BYTES = 700_000, 48_000_000
 #: Bytes of text that are cut at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 _WHITE, _LETTER, _NUMBER, _OTHER, _JOINED, _UNKNOWN = range(6)
 
 #: Fixed pattern of the word kind.
@@ -433,13 +433,13 @@ class Encoder:
         return [ids[a:z] for _, ids, begins in self.encoded(pa.array(texts, type=pa.string())) for a, z in zip(begins.tolist(), begins[1:].tolist())]
 
 
-def encoder(path: str, keep: int | None = None) -> Encoder:
-    """One encoder per worker and file."""
-    held = kept("tokens")
-    if path not in held:
+def encoder(path: str, keep: int = KEEP, slice_bytes: int = SLICE) -> Encoder:
+    """One encoder per worker, file and bounds."""
+    held, own = kept("tokens"), (path, keep, slice_bytes)
+    if own not in held:
         held.clear()
-        held[path] = Encoder(path, keep)
-    return held[path]
+        held[own] = Encoder(path, keep, slice_bytes)
+    return held[own]
 
 
 def tokenizer_path(name: str) -> str:

@@ -1013,6 +1013,20 @@ def test_pipeline(spark, docs, plain):
     assert cp.run(spark, SF).count() == by_stage["packing"].count()
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline as cp
+
+    for df in (odd, empty):
+        now = df
+        for name, stage in cp.STAGES:
+            columns = now.columns
+            now = stage(spark, now, SF)
+            now = spark.createDataFrame(now.collect(), now.schema)
+            assert name == "packing" or now.columns == columns
+        assert now.count() >= 0 and {"doc_id", "piece", "sequence_id"} <= set(now.columns)
+    assert now.count() == 0
+
+
 def test_registered_queries():
     from basewarp.llm import queries
 
