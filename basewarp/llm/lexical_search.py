@@ -204,10 +204,13 @@ class Best:
                 self.least = max(self.least, int(self.score[-1]))
 
 
-def _scored(index: Index, queries: Queries, weight: np.ndarray, chosen: DataFrame, k: int, least: np.ndarray) -> DataFrame:
-    """query, doc_id, score, task: the k best documents of each query in the chosen blocks (query, block, bound), from each task."""
+def _scored(index: Index, queries: Queries, weight: np.ndarray, chosen: DataFrame, k: int, least: np.ndarray, few: bool = False) -> DataFrame:
+    """query, doc_id, score, task: the k best documents of each query in the chosen blocks (query, block, bound), from each task.
+
+    few: the chosen ones are a bounded number for each query, so they are sent to the blocks and not these to them.
+    """
     asked = chosen.groupBy("block").agg(F.collect_list(F.struct("query", "bound")).alias("asked"), F.max("bound").alias("best"))  # at most the queries of a group
-    rows = asked.join(index.blocks, "block").sortWithinPartitions(F.desc("best")).drop("best", "block")
+    rows = (F.broadcast(asked) if few else asked).join(index.blocks, "block").sortWithinPartitions(F.desc("best")).drop("best", "block")
     N, L = index.N, index.L
 
     def run(batches):
@@ -263,7 +266,7 @@ def _searched(index: Index, queries: Queries, k: int) -> DataFrame:
     highest = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
     first = bounds.withColumn("_n", F.row_number().over(highest)).where(F.col("_n") <= FIRST).drop("_n")
     n = len(queries.first) - 1
-    start = written(_scored(index, queries, weight, first, k, np.zeros(n, dtype=np.int64)), "first")
+    start = written(_scored(index, queries, weight, first, k, np.zeros(n, dtype=np.int64), few=True), "first")
     least = np.zeros(n, dtype=np.int64)
     for q, score in _top(start, k).where(F.col("rank") == k).select("query", "score").collect():  # a row a query
         least[q] = score
