@@ -12,6 +12,9 @@ from ..functions.sequence import complement
 from ..plans.patterns import Pattern
 from .match import CHUNK, chunked
 
+#: Bases of a stretch whose sites one window holds.
+STRETCH = 1 << 20
+
 
 def distinct_sites(hits: DataFrame) -> DataFrame:
     """One row per sequence, pattern and coordinate."""
@@ -68,23 +71,33 @@ def with_hits(seqs: DataFrame, hits: DataFrame) -> DataFrame:
     return seqs.join(hits.select("seq_id").distinct(), "seq_id", "left_semi")
 
 
+def _neighbours(sites: DataFrame) -> DataFrame:
+    """Sites with before (the site before, null at the first), place (from 1) and final (the last site) of their sequence and pattern.
+
+    In two levels, so no window has all sites of a long sequence: within stretches of STRETCH bases, and over a row per stretch
+    that carries its last site and its count to those behind.
+    """
+    rows = sites.select("seq_id", "pat", "seq_len", "site", F.floor(F.col("site") / F.lit(STRETCH)).alias("_k"))
+    by, all_ = Window.partitionBy("seq_id", "pat").orderBy("_k"), Window.partitionBy("seq_id", "pat")
+    edges = rows.groupBy("seq_id", "pat", "_k").agg(F.max("site").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    edges = edges.select("seq_id", "pat", "_k", F.lag("_last").over(by).alias("_carried"), (F.sum("_n").over(by) - F.col("_n")).alias("_skip"), F.max("_last").over(all_).alias("final"))
+    inside = Window.partitionBy("seq_id", "pat", "_k").orderBy("site")
+    rows = rows.withColumn("_before", F.lag("site").over(inside)).withColumn("_place", F.row_number().over(inside))
+    return rows.join(edges, ["seq_id", "pat", "_k"]).select("seq_id", "pat", "seq_len", "site", F.coalesce("_before", "_carried").alias("before"), (F.col("_skip") + F.col("_place")).alias("place"), "final")
+
+
 def fragments(sites: DataFrame, circular: bool = False) -> DataFrame:
     """Fragments of each sequence and pattern: frag_no, begin_site, end_site, frag_len.
 
     Linear: from the start, between sites, to the end (sites + 1 fragments).  Circular: as many as sites;
     the first goes round the origin.
     """
-    by = Window.partitionBy("seq_id", "pat").orderBy("site")
-    last = F.lead("site").over(by).isNull()
-    before = F.lag("site").over(by)
+    rows = _neighbours(sites)
     if circular:
-        final = F.max("site").over(Window.partitionBy("seq_id", "pat"))
-        rows = sites.withColumn("before", before).withColumn("final", final).withColumn("frag_no", F.row_number().over(by).cast("long"))
         first = F.col("before").isNull()
-        return rows.select("seq_id", "pat", "frag_no", F.when(first, F.col("final")).otherwise(F.col("before")).alias("begin_site"), F.col("site").alias("end_site"), F.when(first, F.col("site") + F.col("seq_len") - F.col("final")).otherwise(F.col("site") - F.col("before")).alias("frag_len"))
-    rows = sites.select("seq_id", "pat", "seq_len", "site", F.coalesce(before, F.lit(0)).alias("before"), last.alias("last"), F.row_number().over(by).cast("long").alias("n"))
-    both = F.array(F.struct(F.col("n").alias("frag_no"), F.col("before").alias("begin_site"), F.col("site").alias("end_site")), F.struct((F.col("n") + 1).alias("frag_no"), F.col("site").alias("begin_site"), F.col("seq_len").alias("end_site")))
-    rows = rows.select("seq_id", "pat", F.explode(F.slice(both, F.lit(1), F.when(F.col("last"), 2).otherwise(1))).alias("f"))
+        return rows.select("seq_id", "pat", F.col("place").alias("frag_no"), F.when(first, F.col("final")).otherwise(F.col("before")).alias("begin_site"), F.col("site").alias("end_site"), F.when(first, F.col("site") + F.col("seq_len") - F.col("final")).otherwise(F.col("site") - F.col("before")).alias("frag_len"))
+    both = F.array(F.struct(F.col("place").alias("frag_no"), F.coalesce("before", F.lit(0).cast("long")).alias("begin_site"), F.col("site").alias("end_site")), F.struct((F.col("place") + 1).alias("frag_no"), F.col("site").alias("begin_site"), F.col("seq_len").alias("end_site")))
+    rows = rows.select("seq_id", "pat", F.explode(F.slice(both, F.lit(1), F.when(F.col("site") == F.col("final"), 2).otherwise(1))).alias("f"))
     return rows.select("seq_id", "pat", "f.frag_no", "f.begin_site", "f.end_site", (F.col("f.end_site") - F.col("f.begin_site")).alias("frag_len"))
 
 
@@ -123,7 +136,7 @@ def masked(hits: DataFrame, methyl: DataFrame, patterns: list[Pattern], kind: st
     """
     back = {"dam": 4, "dcm": 5}[kind]
     offsets = hits.sparkSession.createDataFrame([(p.name, getattr(p, kind), p.overhang) for p in patterns if getattr(p, kind) != 100] or [], "pat string, off int, olap int")
-    keyed = hits.join(F.broadcast(offsets), "pat", "left")
+    keyed = hits.join(F.broadcast(offsets) if len(patterns) <= 100_000 else offsets, "pat", "left")
     where = F.when(F.col("strand") == 1, F.col("site") + F.col("off")).otherwise(F.col("site") - F.col("off") + F.col("olap") - back)
     taken = methyl.select("seq_id", F.col("site").alias("blocked")).distinct()
     return keyed.withColumn("blocked", where).join(taken, ["seq_id", "blocked"], "left_anti").select(*hits.columns)
@@ -208,12 +221,19 @@ def linear_map(seqs: DataFrame, sites: DataFrame, width: int = 60) -> DataFrame:
     return lines.join(labels, ["seq_id", "block_no"], "left").select("seq_id", "block_no", "begin", "bases", complement("bases").alias("other"), F.coalesce("labels", F.lit("")).alias("labels"))
 
 
-def degenerate_runs(seqs: DataFrame) -> DataFrame:
-    """Start and end of every run of letters other than acgt."""
-    parts = F.split(F.concat(F.lit("a"), F.col("seq")), "(?<=[acgt])(?=[^acgt])")
-    rows = seqs.select("seq_id", F.posexplode(parts).alias("k", "part"))
-    end = F.sum(F.length("part")).over(Window.partitionBy("seq_id").orderBy("k"))
-    rows = rows.withColumn("start", (end - F.length("part")).cast("long")).where("k > 0")
-    return rows.select("seq_id", "start", (F.col("start") + F.length(F.regexp_extract("part", "^[^acgt]+", 0)) - 1).alias("end"))
-
+def degenerate_runs(seqs: DataFrame, chunk: int = 1 << 17) -> DataFrame:
+    """Start and end of every run of letters other than acgt.
 
+    Runs are found in chunks; those that touch a chunk's edge (at most two of a chunk) are joined where one ends just
+    before the next.
+    """
+    pieces = chunked(seqs, 0, chunk=chunk).select("seq_id", F.col("base").cast("long").alias("base"), F.col("own").cast("long").alias("own"), F.split(F.concat(F.lit("a"), F.col("piece")), "(?<=[acgt])(?=[^acgt])").alias("parts"))
+    rows = pieces.select("seq_id", "base", "own", F.posexplode("parts").alias("k", "part"))
+    end = F.sum(F.length("part")).over(Window.partitionBy("seq_id", "base").orderBy("k"))
+    rows = rows.withColumn("start", (end - F.length("part")).cast("long")).where("k > 0")  # from 1 in the chunk, for the letter put in front
+    stop = F.col("start") + F.length(F.regexp_extract("part", "^[^acgt]+", 0)) - 1
+    runs = rows.select("seq_id", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + stop).alias("end"), ((F.col("start") == 1) | (stop == F.col("own"))).alias("_edge"))
+    by = Window.partitionBy("seq_id").orderBy("start")
+    edge = runs.where("_edge").withColumn("_new", F.coalesce(F.lag("end").over(by) + 1 != F.col("start"), F.lit(True)).cast("int"))
+    edge = edge.withColumn("_run", F.sum("_new").over(by)).groupBy("seq_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.where("NOT _edge").select("seq_id", "start", "end").unionByName(edge.select("seq_id", "start", "end"))

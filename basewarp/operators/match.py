@@ -1,10 +1,11 @@
 """Matching: sequences against sites, regular expressions and weight matrices, both strands.
 
-Sites are found in Arrow batches with array look-ups (scan.py), expressions inside the JVM by
-splitting the sequence before every match (a zero-width lookahead); either way overlapping
+Sites are found in Arrow batches with array look-ups (scan.py), expressions by automata
+(automaton.py) or, where one would be too large, inside the JVM by splitting the sequence before every match
+(a zero-width lookahead); either way overlapping
 matches count, and only hits become rows, never bases.  Long sequences are first cut into
 chunks that overlap by the longest pattern less one base; a hit belongs to the chunk in which
-it starts, so none is lost or doubled.
+it starts, so none is lost or doubled.  Sequences are rows (seq_id, seq) or come in parts (parts.py).
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import iupac_regex
-from ..plans.patterns import Pattern, seed_keys
+from ..plans.patterns import Pattern
+from .automaton import CODE, TWIN, Automaton, automaton
+from .parts import cut, is_parts, twin
 
 #: Bases of a chunk.
 CHUNK = 8192
@@ -28,9 +31,11 @@ MANY = 64
 def chunked(seqs: DataFrame, overlap: int, circular: bool = False, chunk: int = CHUNK) -> DataFrame:
     """seq_id, seq_len, base (bases before the chunk), own (starts that belong to it), piece.
 
-    Pieces are sliced from bytes: a slice of a string would count characters from its start each time,
+    seqs has a row per sequence (seq_id, seq) or parts of sequences (parts.py).  Pieces are sliced from bytes: a slice of a string would count characters from its start each time,
     which grows with the square of a chromosome's length.
     """
+    if is_parts(seqs):
+        return cut(seqs, overlap, chunk, circular)
     s = F.col("seq")
     text = F.concat(s, F.substring(s, 1, overlap)) if circular else s
     df = seqs.select("seq_id", F.length("seq").cast("long").alias("seq_len"), text.cast("binary").alias("_bytes")).where("seq_len > 0")
@@ -128,33 +133,44 @@ def find_sites(seqs: DataFrame, patterns: list[Pattern], mode: str = "plain", ci
 
 
 def find_by_seeds(seqs: DataFrame, patterns: list[Pattern], circular: bool = False, width: int = 6) -> DataFrame:
-    """The same hits for many patterns: each place's word is looked up once in an index of the patterns' most informative
-    words, at most 4 ** width words per pattern variant, and only the sites found there are compared."""
-    jobs: dict[tuple, int] = {}
-    keys: dict[int, list[tuple[str, int, int]]] = {}  # by the word's width: sites shorter than a seed have their own
-    for p in patterns:
-        for word, strand, site, at, shift in seed_keys(p, width):
-            keys.setdefault(len(word), []).append((word, jobs.setdefault((p.name, strand, site, shift), len(jobs)), at))
-    open_ = any(p.errors for p in patterns)
+    """The same hits for many patterns: each place's word is looked up once in an index of the patterns' words, and only the
+    sites found there are compared.
 
-    def find(column, own):
+    A pattern without errors is in the index by its most telling word.  One with e errors is cut into e + 1 stretches, of
+    which a hit has one without error, and is in it by a word of each; patterns too short for that are counted at every place.
+    """
+    jobs = [(p.name, strand, site, p.errors, shift) for p in patterns for strand, site, shift in p.strands()]
+    ready: list = []  # a task's indexes
+
+    def prepared():
         import numpy as np
 
-        from .scan import SeedIndex, Site, find_by_index
+        from ..functions.sequence import expand
+        from ..plans.patterns import best_seed
+        from .scan import SeedIndex, Site, error_seeds, find, find_by_index, find_by_pieces
+
+        for way in (find_by_index, find_by_pieces, find):
+            some, keys = [], {}
+            for k, (_, _, site, errors, _) in enumerate(jobs):
+                seeds = [best_seed(site, min(width, len(site)))] if not errors else error_seeds(site, errors, width)
+                if way is (find_by_index if not errors else find_by_pieces if seeds else find):
+                    for at, word in seeds:
+                        for plain in expand(word):
+                            keys.setdefault(len(word), []).append((plain, len(some), at))  # by the word's width: sites shorter than a seed have their own
+                    some.append(k)
+            if some:
+                sites, number = [Site(jobs[k][2], jobs[k][3], "plain") for k in some], np.array(some)
+                yield way, number, (sites,) if way is find else (sites, [SeedIndex(words, w) for w, words in keys.items()])
 
-        sites = [Site(site, 0, "plain") for _, _, site, _ in jobs]
-        if not sites:
-            return []
-        if not open_:
-            return find_by_index(column, sites, [SeedIndex(some, w) for w, some in keys.items()], own)
-        # Several variants of a pattern may fit at one place.
-        same = {}
-        first = np.array([same.setdefault((name, strand), k) for k, (name, strand, _, _) in enumerate(jobs)])
-        found = [np.stack([first[job], row, start]) for job, row, start in find_by_index(column, sites, [SeedIndex(some, w) for w, some in keys.items()], own)]
-        return [np.unique(np.concatenate(found, axis=1), axis=1)] if found else []
+    def find(column, own):
+        if not ready:
+            ready.extend(prepared())
+        for way, number, having in ready:
+            for job, row, start in way(column, *having, own):
+                yield number[job], row, start
 
     longest = max((p.length for p in patterns), default=1)
-    return _located(seqs, [(name, strand, shift) for name, strand, _, shift in jobs], longest, circular, find)
+    return _located(seqs, [(name, strand, shift) for name, strand, _, _, shift in jobs], longest, circular, find)
 
 
 def greatest_length(regex: str) -> int | None:
@@ -168,25 +184,105 @@ def greatest_length(regex: str) -> int | None:
     return width if width <= CHUNK else None
 
 
+def _entries(pieces: DataFrame, machines: list[Automaton]) -> DataFrame:
+    """_seq, _base, entry: the states of all machines right of every chunk, then of their twins left of it.
+
+    A chunk's summary has a number for each state; a sequence's summaries (not its bases) meet in one group, where they are
+    composed from right to left and, for the other strand, from left to right.
+    """
+    kind = pieces.schema["seq_id"].dataType.simpleString()
+    sizes = [len(m.table) for m in machines]
+
+    def summaries(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .scan import letters
+
+        for b in batches:
+            data, offsets = letters(b.column("piece"))
+            codes = CODE[data]
+            out = []
+            for a, z in zip(offsets.tolist(), offsets[1:].tolist()):
+                ways = codes[a:z], TWIN[codes[a:z]][::-1]
+                out.append(np.concatenate([m.leaves(way) for way in ways for m in machines]).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("seq_id"), b.column("base"), pa.array(out, type=pa.binary())], names=["seq_id", "base", "leaves"])
+
+    def composed(group):
+        import numpy as np
+
+        group = group.sort_values("base", ignore_index=True)
+        begin, k = np.cumsum([0, *sizes[:-1]]), len(sizes)
+        out = np.zeros((len(group), 2 * k), dtype=np.int16)
+        leaves = [np.frombuffer(x, dtype=np.int16) for x in group["leaves"]]
+        for at in range(len(group) - 1, 0, -1):
+            out[at - 1, :k] = leaves[at][begin + out[at, :k]]
+        for at in range(len(group) - 1):
+            out[at + 1, k:] = leaves[at][sum(sizes) + begin + out[at, k:]]
+        return group[["seq_id", "base"]].rename(columns={"seq_id": "_seq", "base": "_base"}).assign(entry=[x.tobytes() for x in out])
+
+    return pieces.select("seq_id", "base", "piece").mapInArrow(summaries, f"seq_id {kind}, base long, leaves binary").groupBy("seq_id").applyInPandas(composed, f"_seq {kind}, _base long, entry binary")
+
+
+def _by_automata(seqs: DataFrame, jobs: list[tuple[str, Automaton]]) -> DataFrame:
+    """seq_id, seq_len, pat, strand, start, site of all matches of (name, automaton) on both strands."""
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    pieces = chunked(seqs, 0).select("seq_id", "seq_len", F.col("base").cast("long").alias("base"), "piece")
+    long = pieces if is_parts(seqs) else pieces.where(F.col("seq_len") > CHUNK)
+    met = long.join(_entries(long, [m for _, m in jobs]), F.col("seq_id").eqNullSafe(F.col("_seq")) & (F.col("base") == F.col("_base"))).drop("_seq", "_base")
+    # A sequence of one chunk has nothing on either side.
+    rows = met if is_parts(seqs) else pieces.where(F.col("seq_len") <= CHUNK).withColumn("entry", F.lit(None).cast("binary")).unionByName(met)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .scan import letters
+
+        names = pa.array([n for n, _ in jobs], type=pa.string())
+        for b in batches:
+            data, offsets = letters(b.column("piece"))
+            codes, base, n = CODE[data], b.column("base").to_numpy(), b.num_rows
+            entry = np.array([np.frombuffer(x, dtype=np.int16) if x is not None else np.zeros(2 * len(jobs), dtype=np.int16) for x in b.column("entry").to_pylist()]).reshape(n, 2 * len(jobs))
+            below, turned = TWIN[codes][::-1], offsets[-1] - offsets[::-1]
+            for k, (_, machine) in enumerate(jobs):
+                for strand in (1, -1):
+                    if strand == 1:
+                        row, place = machine.starts(codes, offsets, entry[:, k])
+                        start = base[row] + place + 1
+                    else:
+                        row, place = machine.starts(below, turned, entry[::-1, len(jobs) + k])
+                        row = n - 1 - row
+                        start = base[row] + offsets[row + 1] - offsets[row] - place
+                    at, start = pa.array(row), pa.array(start)
+                    columns = [b.column("seq_id").take(at), b.column("seq_len").take(at), names.take(pa.array(np.full(len(row), k))), pa.array(np.full(len(row), strand, dtype=np.int32)), start, start]
+                    yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "seq_len", "pat", "strand", "start", "site"])
+
+    return rows.mapInArrow(run, f"seq_id {kind}, seq_len long, pat string, strand int, start long, site long")
+
+
 def find_regex(seqs: DataFrame, expressions: list[tuple[str, str]], longest: int = 256) -> DataFrame:
     """Starts of all matches of (name, regular expression with IUPAC letters) on both strands.
 
-    Bottom-strand coordinates are the top-strand place of the match's 5' end.  Chunks overlap by longest or,
-    if that is more, by the greatest length of an expression; expressions without one, or with one beyond
-    a chunk, see the whole sequence at once.
+    Bottom-strand coordinates are the top-strand place of the match's 5' end.  An expression of letters, classes, groups,
+    alternatives and repeats is read as an automaton, in time linear in the bases and over any number of chunks.  One whose
+    automaton would be too large (see automaton.py: long counted gaps), or that looks around, is searched for in the JVM: in chunks
+    that overlap by longest or, if that is more, by the greatest length of an expression; without one, or with one
+    beyond a chunk, in whole sequences.
     """
-    jobs = [(name, 1, iupac_regex(rx), greatest_length(iupac_regex(rx)), 0) for name, rx in expressions]
+    known = [(name, iupac_regex(rx)) for name, rx in expressions]
+    machines = [(name, m) for name, rx in known if (m := automaton(rx)) is not None]
+    jobs = [(name, 1, rx, greatest_length(rx), 0) for name, rx in known if automaton(rx) is None]
     bounded, whole = [j for j in jobs if j[3] is not None], [j for j in jobs if j[3] is None]
+    if whole and is_parts(seqs):
+        raise ValueError(f"{whole[0][0]}: an expression without bound or automaton needs whole sequences, not parts")
 
-    def scanned(df: DataFrame, strand: int) -> DataFrame:
+    def scanned(df: DataFrame, strand: int) -> list[DataFrame]:
         ways = [(bounded, max([longest, *(j[3] for j in bounded)]), CHUNK), (whole, 1, 2**31 - 1)]
-        parts = [_scan(df, [(n, strand, rx, m, k) for n, _, rx, m, k in some], most, False, chunk) for some, most, chunk in ways if some]
-        return functools.reduce(DataFrame.unionByName, parts)
+        return [_scan(df, [(n, strand, rx, m, k) for n, _, rx, m, k in some], most, False, chunk) for some, most, chunk in ways if some]
 
-    top = scanned(seqs, 1)
-    twin = seqs.select("seq_id", F.reverse(F.translate("seq", "acgt", "tgca")).alias("seq"))
-    below = scanned(twin, -1)
-    return top.unionByName(below.withColumn("site", F.col("seq_len") - F.col("start") + 1).withColumn("start", F.col("site")))
+    below = [x.withColumn("site", F.col("seq_len") - F.col("start") + 1).withColumn("start", F.col("site")) for x in scanned(twin(seqs), -1)]
+    return functools.reduce(DataFrame.unionByName, [*([_by_automata(seqs, machines)] if machines else []), *scanned(seqs, 1), *below])
 
 
 def matrix_scores(counts: list[tuple[float, float, float, float]], cutoff_percent: int) -> tuple[list[list[int]], int]:
@@ -196,36 +292,39 @@ def matrix_scores(counts: list[tuple[float, float, float, float]], cutoff_percen
     return scaled, sum(max(r) for r in scaled) * cutoff_percent // 100
 
 
-def find_matrix(seqs: DataFrame, name: str, counts: list[tuple[float, float, float, float]], cutoff_percent: int = 85) -> DataFrame:
-    """Windows whose summed cell scores reach cutoff_percent of the best possible score: seq_id, pat, strand, start, site, score.
-
-    Scoring every window as rows would make a row per base and strand; chunks go to numpy in Arrow
-    batches instead and only hits come back.
+def find_matrices(seqs: DataFrame, matrices: list[tuple[str, list[tuple[float, float, float, float]]]], cutoff_percent: int = 85) -> DataFrame:
+    """Windows whose summed cell scores reach cutoff_percent of the best possible score, for all (name, counts) in one pass over the
+    sequences: seq_id, seq_len, pat, strand, start, site (the window's middle), score.
     """
-    scaled, need = matrix_scores(counts, cutoff_percent)
-    n = len(scaled)
-    strands = [(1, scaled), (-1, [r[::-1] for r in scaled[::-1]])]  # turned by half a circle
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    jobs = []
+    for name, counts in matrices:
+        scaled, need = matrix_scores(counts, cutoff_percent)
+        jobs += [(name, 1, scaled, need), (name, -1, [r[::-1] for r in scaled[::-1]], need)]  # turned by half a circle
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        place = np.full(256, 4, dtype=np.int64)
-        place[np.frombuffer(b"acgt", dtype=np.uint8)] = np.arange(4)
-        tables = [(strand, np.array([[*r, -(10**6)] for r in m], dtype=np.int64)) for strand, m in strands]
+        from .scan import Matrix, find_matrices
+
+        tables = [Matrix(rows, need) for _, _, rows, need in jobs]  # half a megabyte each
+        names = pa.array([j[0] for j in jobs], type=pa.string())
         for b in batches:
-            out = []
-            for seq_id, seq_len, base, own, piece in zip(*(b.column(k).to_pylist() for k in range(5))):
-                at = place[np.frombuffer(piece.encode(), dtype=np.uint8)]
-                m = min(own, len(at) - n + 1)
-                for strand, table in tables if m > 0 else ():
-                    score = sum(table[i][at[i : i + m]] for i in range(n))
-                    out += [(seq_id, seq_len, name, strand, base + k + 1, base + k + 1 + n // 2, score[k]) for k in np.flatnonzero(score >= need)]
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["seq_id", "seq_len", "pat", "strand", "start", "site", "score"])
-
-    pieces = chunked(seqs, n - 1).select(F.col("seq_id").cast("long"), "seq_len", "base", "own", "piece")
-    return pieces.mapInArrow(run, "seq_id long, seq_len long, pat string, strand int, start long, site long, score long")
+            base = b.column("base").to_numpy().astype(np.int64)
+            for job, row, start, score in find_matrices(b.column("piece"), tables, b.column("own").to_numpy()):
+                start, at, n = base[row] + start, pa.array(row), len(row)
+                columns = [b.column("seq_id").take(at), b.column("seq_len").take(at), names.take(pa.array(np.full(n, job))), pa.array(np.full(n, jobs[job][1], dtype=np.int32)), pa.array(start), pa.array(start + tables[job].length // 2), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "seq_len", "pat", "strand", "start", "site", "score"])
+
+    longest = max((len(counts) for _, counts in matrices), default=1)
+    pieces = chunked(seqs, longest - 1).select("seq_id", "seq_len", "base", "own", "piece")
+    return pieces.mapInArrow(run, f"seq_id {kind}, seq_len long, pat string, strand int, start long, site long, score long")
+
+
+def find_matrix(seqs: DataFrame, name: str, counts: list[tuple[float, float, float, float]], cutoff_percent: int = 85) -> DataFrame:
+    """The same of one matrix."""
+    return find_matrices(seqs, [(name, counts)], cutoff_percent)
 
 
 def consensus(counts: list[tuple[float, float, float, float]], cutoff_percent: int = 75) -> str:

@@ -1,6 +1,11 @@
 """Translation in six frames and open reading frames.
 
 Frames 1 to 3 begin at bases 1 to 3, frames 4 to 6 at the first three of the reverse complement.
+
+Sequences that come in parts (parts.py) are read in chunks of whole codons.  What lies between two stops of a chunk is
+found there; before its first stop and after its last the stretch is open, and each chunk gives those two ends (or one, if it has no
+stop).  An end after a stop opens a new stretch, so a running count of such ends numbers the stretches, and an aggregate joins
+the ends of each; no row or group holds a sequence.
 """
 
 from __future__ import annotations
@@ -9,12 +14,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.codons import codon_table, isoelectric_point, molecular_weight, reverse_translate, translate
 from ..functions.sequence import reverse_complement
 from .match import chunked
+from .parts import is_parts, twin
 
 FRAMES = (1, 2, 3, 4, 5, 6)
+#: Bases of a chunk of a sequence in parts: whole codons in every frame.
+CODON_CHUNK = 3 << 15
 
 
 def frames(seqs: DataFrame, which: Sequence[int] = FRAMES, table: int = 0, letters: int = 1) -> DataFrame:
@@ -23,12 +32,14 @@ def frames(seqs: DataFrame, which: Sequence[int] = FRAMES, table: int = 0, lette
     return seqs.select("seq_id", F.length("seq").cast("long").alias("seq_len"), F.explode(F.array(*parts)).alias("f")).select("seq_id", "seq_len", F.col("f.frame").alias("frame"), F.col("f.protein").alias("protein"))
 
 
-def orfs(seqs: DataFrame, least: int = 30, which: Sequence[int] = FRAMES, table: int = 0, require_met: bool = True) -> DataFrame:
+def orfs(seqs: DataFrame, least: int = 30, which: Sequence[int] = FRAMES, table: int = 0, require_met: bool = True, chunk: int = CODON_CHUNK) -> DataFrame:
     """Stretches between stops of at least ``least`` (1 or more) residues, found in arrays per Arrow batch: orf_no, aa_begin, aa_end, aa_len, bp_begin, bp_end, peptide.
 
     With require_met they begin at the first M; the stretch at the sequence's start counts as already inside.
-    Base positions are on the frame's own strand.
+    Base positions are on the frame's own strand.  Sequences are rows, or come in parts; parts are read in chunks of ``chunk`` bases.
     """
+    if is_parts(seqs):
+        return _orfs_of_parts(seqs, least, which, table, require_met, chunk)
     kind = seqs.schema["seq_id"].dataType.simpleString()
     residues = codon_table(table)
 
@@ -51,6 +62,73 @@ def orfs(seqs: DataFrame, least: int = 30, which: Sequence[int] = FRAMES, table:
     return seqs.select("seq_id", "seq").where("seq IS NOT NULL").mapInArrow(run, f"seq_id {kind}, frame int, aa_begin long, aa_end long, aa_len long, bp_begin long, bp_end long, peptide string, orf_no long")
 
 
+def frame_parts(parts: DataFrame, which: Sequence[int] = FRAMES, table: int = 0, letters: int = 1, chunk: int = CODON_CHUNK) -> DataFrame:
+    """Frames of sequences in parts, a row for each chunk: seq_id, seq_len, frame, aa_begin (the first residue's number), protein."""
+    out = None
+    for down, own in ((False, [f for f in which if f <= 3]), (True, [f for f in which if f > 3])):
+        if own:
+            pieces = chunked(twin(parts) if down else parts, 2, chunk=chunk)
+            each = [F.struct(F.lit(f).alias("frame"), translate(F.substring("piece", (f - 1) % 3 + 1, chunk), 1, table, letters).alias("protein")) for f in own]
+            rows = pieces.select("seq_id", "seq_len", (F.floor(F.col("base") / 3) + 1).alias("aa_begin"), F.explode(F.array(*each)).alias("f")).select("seq_id", "seq_len", "f.frame", "aa_begin", "f.protein").where("protein <> ''")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_INSIDE, _HEAD, _TAIL = 0, 1, 2
+
+
+def _orfs_of_parts(parts: DataFrame, least: int, which: Sequence[int], table: int, require_met: bool, chunk: int) -> DataFrame:
+    if chunk % 3:
+        raise ValueError("chunks are whole codons")
+    kind = parts.schema["seq_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        for b in batches:
+            for k in range(b.num_rows):
+                rows = list(_open_and_closed(b.column("protein")[k].as_py(), b.column("aa_begin")[k].as_py(), least, require_met))
+                n, frame, at = len(rows), b.column("frame")[k].as_py(), b.column("aa_begin")[k].as_py()
+                columns = [[frame] * n, [at] * n, *zip(*rows)] if n else [[]] * 7
+                where = pa.array([k] * n, type=pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("seq_id").take(where), *(pa.array(list(c), type=t) for c, t in zip(columns, types))], names=["seq_id", "frame", "chunk", "kind", "begin", "end", "met", "residues"])
+
+    proteins = frame_parts(parts, which, table, chunk=chunk).select("seq_id", "frame", "aa_begin", "protein")
+    rows = proteins.mapInArrow(run, f"seq_id {kind}, frame int, chunk long, kind int, begin long, end long, met long, residues string")
+    closed = rows.where(F.col("kind") == _INSIDE).select("seq_id", "frame", "begin", "end", "residues")
+    # Ends of chunks: two rows at most for each chunk and frame.
+    by = Window.partitionBy("seq_id", "frame").orderBy("chunk", "kind")
+    ends = rows.where(F.col("kind") != _INSIDE).withColumn("stretch", F.sum((F.col("kind") == _TAIL).cast("int")).over(by))
+    joined = ends.groupBy("seq_id", "frame", "stretch").agg(F.min("begin").alias("first"), F.max("end").alias("end"), F.min("met").alias("met"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "residues"))), lambda x: x["residues"]), "").alias("all"))
+    begin = F.when((F.col("stretch") > 0) & F.lit(require_met), F.col("met")).otherwise(F.col("first"))
+    joined = joined.withColumn("begin", begin).where(F.col("begin").isNotNull() & (F.col("end") - F.col("begin") + 1 >= max(least, 1)))
+    joined = joined.select("seq_id", "frame", "begin", "end", F.substring("all", (F.col("begin") - F.col("first") + 1).cast("int"), (F.col("end") - F.col("begin") + 1).cast("int")).alias("residues"))
+    found = closed.unionByName(joined).withColumn("_k", F.floor(F.col("begin") / F.lit(chunk)))
+    # Numbers in two levels: within a stretch of residues, and over the stretches' counts.
+    count = found.groupBy("seq_id", "frame", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    count = count.select("seq_id", "frame", "_k", (F.sum("_n").over(Window.partitionBy("seq_id", "frame").orderBy("_k")) - F.col("_n")).alias("_skip"))
+    found = found.withColumn("_place", F.row_number().over(Window.partitionBy("seq_id", "frame", "_k").orderBy("begin"))).join(count, ["seq_id", "frame", "_k"])
+    start = (F.col("frame") - 1) % 3 + (F.col("begin") - 1) * 3
+    n = F.col("end") - F.col("begin") + 1
+    return found.select("seq_id", "frame", F.col("begin").alias("aa_begin"), F.col("end").alias("aa_end"), n.alias("aa_len"), (start + 1).alias("bp_begin"), (start + 3 * n).alias("bp_end"), F.col("residues").alias("peptide"), (F.col("_skip") + F.col("_place")).alias("orf_no"))
+
+
+def _open_and_closed(protein: str, first: int, least: int, require_met: bool):
+    """kind, begin, end, met (first M), residues of a chunk's stretches; first: the number of its first residue."""
+    stop = protein.find("*")
+    met = lambda lo, hi: first + at if (at := protein.find("M", lo, hi)) >= 0 else None
+    yield _HEAD, first, first + (len(protein) if stop < 0 else stop) - 1, met(0, len(protein) if stop < 0 else stop), protein if stop < 0 else protein[:stop]
+    while stop >= 0:
+        begin, stop = stop + 1, protein.find("*", stop + 1)
+        if stop < 0:
+            yield _TAIL, first + begin, first + len(protein) - 1, met(begin, len(protein)), protein[begin:]
+            return
+        lo = protein.find("M", begin, stop) if require_met else begin
+        if lo >= 0 and stop - lo >= max(least, 1):
+            yield _INSIDE, first + lo, first + stop - 1, None, protein[lo:stop]
+
+
 def orf_properties(found: DataFrame) -> DataFrame:
     """With molecular weight (kD) and isoelectric point."""
     return found.select("*", molecular_weight("peptide").alias("mol_wt_kd"), isoelectric_point("peptide").alias("pi"))

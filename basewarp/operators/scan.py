@@ -62,6 +62,18 @@ class Site:
         self.at = min(range(len(padded) - _WORD + 1), key=lambda i: int(np.prod([f.sum() for f in padded[i : i + _WORD]])))
         a, b, c, d = padded[self.at : self.at + _WORD]
         self.table = (a[:, None, None, None] & b[:, None, None] & c[:, None] & d).reshape(-1)
+        self._wrong: list[np.ndarray] = []
+
+    @property
+    def wrong(self) -> list[np.ndarray]:
+        """For each four letters of the site: how many of a word's letters differ; over 60 where one may not stand in a target at all."""
+        if not self._wrong:
+            own = [np.where(self.anything, 1 - f.astype(np.uint16), 64) for f in self.fits]
+            own += [np.zeros(16, dtype=np.uint16)] * (-self.length % _WORD)
+            for k in range(0, self.length, _WORD):
+                a, b, c, d = own[k : k + _WORD]
+                self._wrong.append((a[:, None, None, None] + b[:, None, None] + c[:, None] + d).reshape(-1).astype(np.uint16))
+        return self._wrong
 
     def starts(self, masks: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
         """Places below n where the site fits; masks has _WORD more than the letters, none of which fits."""
@@ -69,13 +81,10 @@ class Site:
         if n <= 0:
             return np.zeros(0, dtype=np.int64)
         if self.errors:
-            wrong = np.zeros(n, dtype=np.uint8)
-            for j, fits in enumerate(self.fits):
-                wrong += ~fits[masks[j : j + n]]
-            place = np.flatnonzero(wrong <= self.errors)
-            for j in range(self.length):
-                place = place[self.anything[masks[place + j]]]
-            return place
+            wrong = self.wrong[0][words[:n]]
+            for k, table in enumerate(self.wrong[1:], 1):
+                wrong += table[words[_WORD * k : _WORD * k + n]]
+            return np.flatnonzero(wrong <= self.errors)
         place = np.flatnonzero(self.table[words[self.at : self.at + n]])
         for j, fits in enumerate(self.fits):
             if not self.at <= j < self.at + _WORD:
@@ -116,6 +125,124 @@ class SeedIndex:
         self.at = np.array([at for _, _, at in keys], dtype=np.int64)[by]
 
 
+def error_seeds(site: str, errors: int, width: int = 6, least: int = 4) -> list[tuple[int, str]]:
+    """(offset, word) of errors + 1 stretches of a site that don't overlap: with at most that many errors one has none.
+
+    Empty if a stretch would have fewer than ``least`` telling letters: such words are at most places.
+    """
+    telling = [i for i, x in enumerate(site) if x != "n"]
+    n = errors + 1
+    if len(telling) < n * least:
+        return []
+    cuts = [0, *(telling[len(telling) * k // n] for k in range(1, n)), len(site)]
+    out = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        at, word = best_seed(site[lo:hi], min(width, hi - lo))
+        if np.prod([float(MASK[x].bit_count()) for x in word]) > 4 ** (len(word) - least + 1):
+            return []
+        out.append((lo + at, word))
+    return out
+
+
+def find_by_pieces(column: pa.Array, sites: list[Site], indexes: list[SeedIndex], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(site number, row, start from 1) of all hits of sites with errors whose error_seeds are in the indexes.
+
+    A start that several of a site's seeds point to is compared once; comparing ends at the first error too many.
+    """
+    data, offsets = letters(column)
+    reach = max(s.length for s in sites)
+    length, errors = np.array([s.length for s in sites]), np.array([s.errors for s in sites], dtype=np.uint8)
+    wrong_at = np.zeros((len(sites), reach, 16), dtype=np.uint8)
+    for k, s in enumerate(sites):
+        wrong_at[k, : s.length] = np.where(s.anything, 1 - np.array(s.fits, dtype=np.uint8), 100)
+    for lo in range(0, len(data), SLICE):
+        front = max(0, lo - reach)  # a seed may lie before the slice's first start's own
+        masks = MASKS[data[front : lo + SLICE + reach]]
+        keys = []
+        for index in indexes:
+            number, clean = numbers_of(masks, index.width)
+            place = np.flatnonzero(clean)
+            first, last = index.first[number[place]], index.first[number[place] + 1]
+            n = last - first
+            place, first, n = place[n > 0], first[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            entry = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+            start = np.repeat(place, n) - index.at[entry] + front
+            ok = (start >= lo) & (start < lo + SLICE)
+            keys.append(index.site[entry][ok] * SLICE + (start[ok] - lo))
+        key = np.unique(np.concatenate(keys))
+        site, start = key // SLICE, key % SLICE + lo
+        row = np.searchsorted(offsets, start, side="right") - 1
+        ok = (start + length[site] <= offsets[row + 1]) & (start - offsets[row] < own[row])
+        site, start, row = site[ok], start[ok], row[ok]
+        wrong = np.zeros(len(site), dtype=np.uint8)
+        done = []
+        for j in range(reach):
+            over = length[site] == j
+            if over.any():
+                done.append((site[over], row[over], start[over]))
+                go = ~over
+                site, start, row, wrong = site[go], start[go], row[go], wrong[go]
+            wrong = wrong + wrong_at[site, j, masks[start - front + j]]
+            go = wrong <= errors[site]
+            site, start, row, wrong = site[go], start[go], row[go], wrong[go]
+        done.append((site, row, start))
+        site, row, start = (np.concatenate(x) for x in zip(*done))
+        yield site, row, start - offsets[row] + 1
+
+
+class Matrix:
+    """A weight matrix of integer cells (a, c, g, t for each place) and the score that a window needs.
+
+    Windows are tried by the four neighbouring places that rule out most: the best that a window can still
+    reach is their sum and the greatest cells of all other places.  Those that pass are summed over the other places, the most telling
+    first, and leave as soon as the greatest cells of the places to come can't make up for what they lack.
+    """
+
+    def __init__(self, rows: list[list[int]], need: int):
+        self.rows, self.need, self.length = np.array(rows, dtype=np.int64), need, len(rows)
+        self.cell = np.full((self.length, 16), -(1 << 40), dtype=np.int64)  # by letter mask: letters but acgt have no score
+        self.cell[:, [1, 2, 4, 8]] = self.rows
+        top, telling = self.rows.max(axis=1), self.rows.max(axis=1) - self.rows.mean(axis=1)
+        self.at = max(range(max(1, self.length - _WORD + 1)), key=lambda i: telling[i : i + _WORD].sum())
+        four = [self.cell[k] if k < self.length else np.zeros(16, dtype=np.int64) for k in range(self.at, self.at + _WORD)]
+        a, b, c, d = four
+        self.sums = np.maximum((a[:, None, None, None] + b[:, None, None] + c[:, None] + d).reshape(-1), -(1 << 40))
+        others = [k for k in range(self.length) if not self.at <= k < self.at + _WORD]
+        self.order = sorted(others, key=lambda k: -telling[k])
+        self.rest = np.append(np.cumsum(top[self.order][::-1])[::-1], 0)  # the most that places from here on can add
+        self.able = self.sums + self.rest[0] >= need
+
+    def hits(self, masks: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places below n whose window reaches the score, and their scores; masks as in Site.starts."""
+        n = min(n, len(masks) - _WORD - self.length + 1)
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        place = np.flatnonzero(self.able[words[self.at : self.at + n]])
+        score = self.sums[words[self.at + place]]
+        for j, rest in zip(self.order, self.rest[1:]):
+            score = score + self.cell[j][masks[place + j]]
+            go = score + rest >= self.need
+            place, score = place[go], score[go]
+        return place, score
+
+
+def find_matrices(column: pa.Array, matrices: list[Matrix], own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(matrix number, row, start from 1, score) of the windows that begin in the first ``own`` letters of a row and lie in it."""
+    data, offsets = letters(column)
+    reach = max((m.length for m in matrices), default=1) + _WORD
+    for lo, part in slices(data, reach):
+        masks = np.append(MASKS[part], np.zeros(_WORD, dtype=np.uint8))
+        words = words_of(masks)
+        for k, matrix in enumerate(matrices):
+            place, score = matrix.hits(masks, words, min(SLICE, len(data) - lo))
+            place = place + lo
+            row = np.searchsorted(offsets, place, side="right") - 1
+            inside = (place + matrix.length <= offsets[row + 1]) & (place - offsets[row] < own[row])
+            if inside.any():
+                yield k, row[inside], place[inside] - offsets[row[inside]] + 1, score[inside]
+
+
 _BASE = np.full(16, 255, dtype=np.uint8)
 _BASE[[1, 2, 4, 8]] = range(4)
 

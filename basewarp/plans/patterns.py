@@ -5,9 +5,8 @@ from __future__ import annotations
 import dataclasses
 import itertools
 import re
-from collections.abc import Iterable
 
-from ..functions.sequence import IUPAC, MASK, expand, iupac_regex, plain_reverse_complement
+from ..functions.sequence import IUPAC, MASK, iupac_regex, plain_reverse_complement
 
 MAX_ERRORS = 4
 
@@ -115,15 +114,6 @@ def best_seed(site: str, width: int = 6) -> tuple[int, str]:
     return at, site[at : at + width]
 
 
-def seed_keys(p: Pattern, width: int = 6) -> Iterable[tuple[str, int, str, int, int]]:
-    """(plain word, strand, site as read on top, offset of the word, offset of the coordinate) of every variant and strand."""
-    for strand, site, shift in p.strands():
-        for v in variants(site, p.errors):
-            at, word = best_seed(v, min(width, len(v)))
-            for plain in expand(word):
-                yield plain, strand, v, at, shift
-
-
 def passes(p: Pattern, magnitude: float | None = None, overhang: str | None = None, overhang_length: int | None = None, cost: int | None = None) -> bool:
     """One predicate for all filters.  overhang: "5", "3", "1" (any) or "0" (blunt)."""
     if p.kind == "regex":

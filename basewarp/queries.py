@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import codons as cod
 from .functions import sequence as sq
 from .operators import derive, match, orfs, proximity, windows
+from .operators.parts import join_parts
 from .plans import patterns as pt
 from .plans.rules import bounded, parse_rule
 from .sources import files
@@ -315,6 +316,79 @@ def regex_long_sites(spark, sf_dir):
     return match.find_regex(long, LONG).select("seq_id", "pat", "strand", "site")
 
 
+_GROWING = [("run", "ga+c"), ("mixed", "gg(ac|t)+ta*g{2,}"), ("far", "gaattc.*ggcc")]
+
+
+def _growing_sql(strand: int) -> str:
+    # Where an expression's first letters are is looked for in stretches, as a substring of a long text is counted from its start.
+    text = "seq" if strand == 1 else REVCOMP.format("seq")
+    at = "p" if strand == 1 else "length(seq) - p + 1"
+    parts = []
+    for n, rx, first in (("run", "ga+c", "ga"), ("mixed", "gg(ac|t)+ta*g{2,}", "gg"), ("far", "gaattc.*ggcc", "gaattc")):
+        near = f"SELECT seq_id, seq, t, 256 * k AS k, substr(t, 256 * k + 1, 264) AS s FROM (SELECT seq_id, seq, {text} AS t FROM seqs), unnest(range(0, length(seq) // 256 + 1)) AS v(k)"
+        place = f"SELECT seq_id, seq, t, k + i AS p FROM ({near}), unnest(range(1, 257)) AS u(i) WHERE substr(s, i, {len(first)}) = '{first}'"
+        parts.append(f"SELECT seq_id, '{n}' AS pat, {strand} AS strand, {at} AS site FROM ({place}) WHERE regexp_matches(substr(t, p), '^(?:{rx})')")
+    return " UNION ALL ".join(parts)
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents each as one sequence in parts."""
+    return join_parts(sequences(spark, sf_dir).select(F.floor(F.col("seq_id") / 50).cast("long").alias("seq_id"), F.col("seq_id").alias("part_no"), "seq"))
+
+
+@query("regex_unbounded", f"WITH {_JOINED} {_growing_sql(1)} UNION ALL {_growing_sql(-1)}")
+def regex_unbounded(spark, sf_dir):
+    """Expressions whose matches have no greatest length, over sequences that no row holds whole."""
+    return match.find_regex(joined(spark, sf_dir), _GROWING).select("seq_id", "pat", "strand", "site")
+
+
+def _sites_by_rule(n: int) -> list[tuple[str, str]]:
+    return [(f"m{k}", "".join("acgt"[(k * k * 7 + i * i * 3 + k * i * 5 + (k + i) // 3) % 4] for i in range(12 + k % 5))) for k in range(n)]
+
+
+_MANY = [p for k, s in _sites_by_rule(200) for p in [pt.Pattern(k, s, errors=2)]]
+# Both strands of each site; of its twelve or more letters three fours are looked for, and one of them has no error.
+_MANY_SQL = "many(pat, strand, site) AS (SELECT pat, 1, site FROM (VALUES {0}) v(pat, site) UNION ALL SELECT pat, -1, {1} FROM (VALUES {0}) v(pat, site) WHERE site <> {1})".format(", ".join(f"('{k}', '{s}')" for k, s in _sites_by_rule(200)), REVCOMP.format("site"))
+
+
+@query(
+    "mismatch_many",
+    f"""WITH {SEQ}, {_MANY_SQL},
+fours AS (SELECT seq_id, seq, p, substr(seq, p, 4) AS w FROM seqs, unnest(range(1, length(seq) - 2)) AS t(p)),
+keys AS (SELECT pat, strand, site, o, substr(site, o + 1, 4) AS w FROM many, (VALUES (0), (4), (8)) v(o)),
+near AS (SELECT DISTINCT seq_id, pat, strand, site, seq, p - o AS start FROM fours JOIN keys USING (w) WHERE p - o >= 1 AND p - o + length(site) - 1 <= length(seq) AND hamming(substr(seq, p - o, length(site)), site) <= 2)
+SELECT pat, strand, count(*) AS n_hits, CAST(sum(start) AS BIGINT) AS start_sum, count(DISTINCT seq_id) AS n_seqs FROM near GROUP BY ALL""",
+)
+def mismatch_many(spark, sf_dir):
+    """200 patterns with two errors each.  Patterns without a cut have coordinate start or, below, start + length, which may lie behind the end."""
+    found = match.find_by_seeds(sequences(spark, sf_dir), _MANY)
+    return found.groupBy("pat", "strand").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("start").alias("start_sum"), F.count_distinct("seq_id").alias("n_seqs"))
+
+
+_MATRICES = [(f"x{k}", [tuple(1 + (7 * k + 5 * i + 3 * j * (k + i)) % 13 for j in range(4)) for i in range(6)]) for k in range(50)]
+
+
+@query(
+    "matrix_many",
+    f"""WITH {SEQ},
+cell AS (SELECT k, i, j, 1 + (7 * k + 5 * i + 3 * j * (k + i)) % 13 AS x FROM range(50) a(k), range(6) b(i), range(4) c(j)),
+top AS (SELECT k, max(s) AS top FROM (SELECT k, i, 100 * sum(x) AS s FROM cell GROUP BY k, i) GROUP BY k),
+scaled AS (SELECT k, i, substr('acgt', j + 1, 1) AS b, CAST(100 * x * 1000 // top AS BIGINT) AS v FROM cell JOIN top USING (k)),
+need AS (SELECT k, CAST(sum(m) AS BIGINT) * 90 // 100 AS need FROM (SELECT k, i, max(v) AS m FROM scaled GROUP BY k, i) GROUP BY k),
+l AS (SELECT unnest(['a', 'c', 'g', 't']) AS b),
+word AS (SELECT a.b || b.b || c.b || d.b || e.b || f.b AS w FROM l a, l b, l c, l d, l e, l f),
+score AS (SELECT k, w, CAST(sum(v) AS BIGINT) AS score FROM word, range(6) r(i), scaled s WHERE s.i = r.i AND s.b = substr(w, r.i + 1, 1) GROUP BY k, w),
+good AS (SELECT k, w, score FROM score JOIN need USING (k) WHERE score >= need),
+top_hits AS (SELECT seq_id, p, substr(seq, p, 6) AS w FROM seqs, unnest(range(1, length(seq) - 4)) AS t(p)),
+hit AS (SELECT seq_id, k, 1 AS strand, p, score FROM top_hits JOIN good USING (w) UNION ALL SELECT seq_id, k, -1, p, score FROM top_hits t JOIN good g ON g.w = {REVCOMP.format('t.w')})
+SELECT 'x' || k AS pat, CAST(strand AS INTEGER) AS strand, count(*) AS n_hits, CAST(sum(p + 3) AS BIGINT) AS site_sum, CAST(sum(score) AS BIGINT) AS score_sum FROM hit GROUP BY ALL""",
+)
+def matrix_many(spark, sf_dir):
+    """Fifty matrices in one pass."""
+    found = match.find_matrices(sequences(spark, sf_dir), _MATRICES, 90)
+    return found.groupBy("pat", "strand").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("site").alias("site_sum"), F.sum("score").alias("score_sum"))
+
+
 MATRIX = [(12, 1, 1, 2), (1, 1, 13, 1), (2, 2, 2, 10), (1, 12, 2, 1), (8, 2, 2, 4), (1, 1, 1, 13)]
 
 
@@ -464,6 +538,17 @@ def prox_same(spark, sf_dir):
     return proximity.near(sites(spark, sf_dir, [NAMED["TaqI"]]), "TaqI,200,taqi")
 
 
+@query(
+    "prox_far_counts",
+    f"WITH {_JOINED}, {hits_sql([NAMED['MboI'], NAMED['TaqI']])}, a AS (SELECT seq_id, site AS a FROM sites WHERE pat = 'MboI'), b AS (SELECT seq_id, site AS b FROM sites WHERE pat = 'TaqI') "
+    + " UNION ALL ".join(f"SELECT {k} AS search, seq_id, a AS site_a, count(*) AS n FROM a JOIN b USING (seq_id) WHERE {w} GROUP BY ALL" for k, w in ((1, "abs(b - a) > 5000"), (4, "b - a > 5000"), (7, "a - b > 5000"))),
+)
+def prox_far_counts(spark, sf_dir):
+    found = derive.distinct_sites(match.find_sites(joined(spark, sf_dir), [NAMED["MboI"], NAMED["TaqI"]]))
+    parts = [proximity.far_counts(found, spec).select(F.lit(k).alias("search"), "seq_id", "site_a", "n") for k, spec in ((1, "MboI,g5000,TaqI"), (4, "MboI,-g5000,TaqI"), (7, "MboI,+g5000,TaqI"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 RANGES = [(100, 400, True), (401, 600, False), (900, 1500, True)]
 
 
@@ -640,6 +725,12 @@ def orf_table(spark, sf_dir):
     return orfs.orfs(sequences(spark, sf_dir), 20)
 
 
+@query("orf_long", f"WITH {_ORFS.replace(SEQ, _JOINED)} SELECT * FROM orfs")
+def orf_long(spark, sf_dir):
+    """Reading frames of sequences that no row holds whole, over the edges of many chunks."""
+    return orfs.orfs(joined(spark, sf_dir), 20, chunk=3 << 10)
+
+
 @query("orf_composition", f"WITH {_ORFS} SELECT seq_id, frame, orf_no, aa, count(*) AS n, round(100.0::DOUBLE * count(*) / aa_len, 4) AS percent FROM (SELECT seq_id, frame, orf_no, aa_len, unnest(string_split(peptide, '')) AS aa FROM orfs) GROUP BY seq_id, frame, orf_no, aa_len, aa")
 def orf_composition(spark, sf_dir):
     return orfs.composition(orfs.orfs(sequences(spark, sf_dir), 20))
