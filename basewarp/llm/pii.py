@@ -17,9 +17,11 @@
 3. Candidates whose best score reaches ``LEAST_SCORE`` become spans of that kind; of a
    number and its parts the longest of these stay that don't overlap.
 
-Besides the four base kinds there is a fifth, secret (keys, tokens), whose seeds are values of
-24 characters or more after ``=`` or ``:`` that change between letters and digits six times
-or more, and keys with a published prefix.  Its contexts then find values that look otherwise.
+Besides the four base kinds there is a fifth, secret (keys, tokens).  Values of 24 characters or more after ``=`` or ``:``
+are likely ones if they change between letters and digits ``LEAST_SWITCHES`` times or more.  Of these only the surest,
+with ``SEED_SWITCHES`` or more, and keys with a published prefix are seeds; the others are candidates like any number, for
+contexts to find, as are values that look otherwise.  n_learned counts the spans that came out of the graph.  A likely
+value that no context vouches for is still reported, as the rule alone says so.
 
 Texts are read once; the graph has only identifiers and their contexts, grouped by
 pattern and by instance with map-side sums.  Defined results: null text is empty; equal
@@ -42,7 +44,7 @@ from .common import batch_of, id_and_text, task, written
 #: The kinds of the contract, and the method's own after them.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-SUPPORT, ROUNDS, LEAST_SCORE = 3, 2, 0.75
+SUPPORT, ROUNDS, LEAST_SCORE = 3, 3, 0.75
 
 #: Fixed patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -55,7 +57,7 @@ _VALUE = re.compile(r"[=:]\x20?[\"']?([A-Za-z0-9_+-]{24,}={0,2})")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20}|xox[abps]-[0-9A-Za-z-]{20,}|[rs]k_live_[0-9A-Za-z]{20,})(?![A-Za-z0-9])")
 _KEY_SIGN = re.compile(r"A[KS]IA|gh[opsu]_|github_pat_|glpat-|xox[abps]-|[rs]k_live_")
 _SWITCH = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
-LEAST_SWITCHES = 6
+LEAST_SWITCHES, SEED_SWITCHES = 6, 18
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SIGN = re.compile(r"[0-9@]")
@@ -113,15 +115,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def secrets(text: str) -> list[tuple[int, int, int]]:
-    """Seeds of the method's own kind, as base_spans has them."""
-    out = set()
+def secrets(text: str, seed_switches: int = SEED_SWITCHES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Seeds of the method's own kind, and likely values that are none, both as base_spans has them."""
+    sure, likely = set(), set()
     if "=" in text or ":" in text:
-        out = {(m.start(1), 4, m.end(1)) for m in _VALUE.finditer(text) if len(_SWITCH.findall(m.group(1))) >= LEAST_SWITCHES}
+        for m in _VALUE.finditer(text):
+            switches = len(_SWITCH.findall(m.group(1)))
+            if switches >= LEAST_SWITCHES:
+                (sure if switches >= seed_switches else likely).add((m.start(1), 4, m.end(1)))
     if _KEY_SIGN.search(text):
-        held = [(a, z) for a, _, z in out]
-        out |= {(m.start(), 4, m.end()) for m in _KEY.finditer(text) if not any(a < m.end() and m.start() < z for a, z in held)}
-    return sorted(out)
+        keys = {(m.start(), 4, m.end()) for m in _KEY.finditer(text)}
+        held = [(a, z) for a, _, z in sure | likely]
+        sure |= {k for k in keys if not any(a < k[2] and k[0] < z for a, z in held)}
+    return sorted(sure), sorted(likely)
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -220,32 +226,42 @@ _FOUND = pa.schema(
         *((f"n_{k}", pa.int64()) for k in BASE),
         ("base_sha256", pa.string()),
         ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
+        ("likely", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
         ("seen", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("number", pa.int64()), ("part", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
     ]
 )
-_FOUND_SQL = "uid long, doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,kind:int,end:long,number:long,part:boolean,instance:string,patterns:array<string>>>"
-
-
-def _find(batches):
-    uid = TaskContext.get().partitionId() << 36
-    for b in batches:
-        rows = []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            text = text or ""
-            base = base_spans(text)
-            spans = sorted(base + secrets(text))
-            seen = [{"start": a, "kind": k, "end": z, "number": a, "part": False, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, k, z in spans]
-            if _SIGN.search(text):
-                seen += [{"start": a, "kind": -1, "end": z, "number": at, "part": part, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, z, at, part in candidates(text, spans)]
-            said = ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in base)
-            rows.append((uid, doc, *(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), [{"start": a, "kind": k, "end": z} for a, k, z in spans], [s for s in seen if s["patterns"]]))
-            uid += 1
-        columns = zip(*rows) if rows else [[]] * len(_FOUND)
-        yield batch_of(_FOUND, **{f.name: list(c) for f, c in zip(_FOUND, columns)})
+_FOUND_SQL = "uid long, doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, likely array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,kind:int,end:long,number:long,part:boolean,instance:string,patterns:array<string>>>"
+
+
+def _finder(seed_switches: int):
+    def find(batches):
+        uid = TaskContext.get().partitionId() << 36
+        as_rows = lambda spans: [{"start": a, "kind": k, "end": z} for a, k, z in spans]
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                text = text or ""
+                base = base_spans(text)
+                sure, likely = secrets(text, seed_switches)
+                seeds = sorted(base + sure)
+                seen = [(a, k, z, a, False) for a, k, z in seeds] + [(a, -1, z, a, False) for a, _, z in likely]
+                if _SIGN.search(text):
+                    seen += [(a, -1, z, at, part) for a, z, at, part in candidates(text, sorted(seeds + likely))]
+                seen = [{"start": a, "kind": k, "end": z, "number": at, "part": part, "instance": text[a:z], "patterns": _patterns(text, a, z)} for a, k, z, at, part in seen]
+                said = ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in base)
+                rows.append((uid, doc, *(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), as_rows(seeds), as_rows(likely), [s for s in seen if s["patterns"]]))
+                uid += 1
+            columns = zip(*rows) if rows else [[]] * len(_FOUND)
+            yield batch_of(_FOUND, **{f.name: list(c) for f, c in zip(_FOUND, columns)})
+
+    return find
 
 
 def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = LEAST_SCORE) -> DataFrame:
-    """(instance, kind, score) of the candidates that the scored graph accepts."""
+    """(instance, kind, score) of the candidates that the scored graph accepts.
+
+    Both sides of its joins grow with the corpus, so none is broadcast; AQE splits the partitions of frequent patterns.
+    """
     occ = found.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", "s.part", F.explode("s.patterns").alias("pattern"))
     edges = written(occ.groupBy("pattern", "instance", "kind").agg(F.min("part").alias("part")), "contexts")
     seeds = edges.where("kind >= 0").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
@@ -255,24 +271,29 @@ def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, leas
     for _ in range(rounds):
         n = whole.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         # A kind counts with SUPPORT seeds or found instances; unknown instances count as 0.
-        got = whole.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum((F.col("score") >= least).cast("int")).alias("found")).where(F.col("found") >= support)
-        confidence = got.join(n, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("s") / F.col("n")).alias("confidence"))
-        scored = links.join(confidence, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        known = seeds.unionByName(scored.join(seeds.select("instance").distinct(), "instance", "left_anti"))
-    best = known.join(seeds.select("instance").distinct(), "instance", "left_anti").where(F.col("score") >= least)
+        got = whole.join(known.hint("merge"), "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum((F.col("score") >= least).cast("int")).alias("found")).where(F.col("found") >= support)
+        confidence = got.join(n.hint("merge"), "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("s") / F.col("n")).alias("confidence"))
+        scored = links.join(confidence.hint("merge"), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        known = seeds.unionByName(scored.join(seeds.select("instance").distinct().hint("merge"), "instance", "left_anti"))
+    best = known.join(seeds.select("instance").distinct().hint("merge"), "instance", "left_anti").where(F.col("score") >= least)
     return best.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"), F.col("b.score").alias("score"))
 
 
-def pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans (base, secrets and learned), n_spans."""
-    found = written(id_and_text(docs).mapInArrow(task("pii", _find), _FOUND_SQL), "spans")
+def pii(docs: DataFrame, seed_switches: int = SEED_SWITCHES, by_rule: bool = True) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256, spans (base, secrets and learned), n_spans, n_learned.
+
+    by_rule: also report likely secrets that no context vouches for.
+    """
+    found = written(id_and_text(docs).mapInArrow(task("pii", _finder(seed_switches)), _FOUND_SQL), "spans")
     good = written(learned(found), "learned")
     more = found.select("uid", F.explode("seen").alias("s")).where("s.kind < 0").select("uid", "s.start", "s.end", "s.number", F.col("s.instance").alias("instance"))
     # Of a number and its parts: the longest first, then those that don't overlap it.
-    more = more.join(good, "instance").groupBy("uid", "number").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("size"), "start", F.col("kind").cast("int").alias("kind"), "end"))).alias("accepted"))
-    apart = F.aggregate("accepted", F.slice("accepted", 1, 0), lambda had, x: F.when(F.exists(had, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), had).otherwise(F.array_append(had, x)))
+    more = more.join(good.hint("merge"), "instance").groupBy("uid", "number").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("size"), "start", F.col("kind").cast("int").alias("kind"), "end"))).alias("accepted"))
+    overlap = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    apart = F.aggregate("accepted", F.slice("accepted", 1, 0), lambda had, x: F.when(F.exists(had, lambda y: overlap(x, y)), had).otherwise(F.array_append(had, x)))
     more = more.select("uid", F.explode(apart).alias("x")).groupBy("uid").agg(F.collect_list(F.struct("x.start", "x.kind", "x.end")).alias("more"))
-    joined = found.drop("seen").join(more, "uid", "left")
-    all_spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
+    joined = found.drop("seen").join(more, "uid", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
+    rest = F.filter("likely", lambda x: ~F.exists("more", lambda y: overlap(x, y))) if by_rule else F.slice("likely", 1, 0)
+    all_spans = F.array_sort(F.concat("base", "more", rest))
     said = F.concat_ws(",", F.transform(all_spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))))
-    return joined.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", said.alias("spans"), F.size(all_spans).cast("long").alias("n_spans"))
+    return joined.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", said.alias("spans"), F.size(all_spans).cast("long").alias("n_spans"), F.size("more").cast("long").alias("n_learned"))

@@ -483,8 +483,9 @@ def brute_learned(texts, rounds=pii.ROUNDS, support=pii.SUPPORT, least=pii.LEAST
     """The pattern-instance graph in dictionaries: instance -> (kind, score) of what is accepted."""
     edges, seeds = collections.defaultdict(lambda: True), {}
     for t in texts:
-        sure = sorted(pii.base_spans(t) + pii.secrets(t))
-        seen = [(a, z, False, k) for a, k, z in sure] + [(a, z, part, -1) for a, z, _, part in pii.candidates(t, sure)]
+        sure, likely = pii.secrets(t)
+        sure = sorted(pii.base_spans(t) + sure)
+        seen = [(a, z, False, k) for a, k, z in sure] + [(a, z, False, -1) for a, _, z in likely] + [(a, z, part, -1) for a, z, _, part in pii.candidates(t, sorted(sure + likely))]
         for a, z, part, k in seen:
             for p in pii._patterns(t, a, z):
                 edges[p, t[a:z]] &= part
@@ -525,7 +526,7 @@ def test_pii_graph_against_brute_force(spark):
     for _ in range(250):
         parts = [contexts[rng.integers(5)].format(things[rng.integers(7)].format(*rng.integers(0, 40, 2))) for _ in range(rng.integers(1, 4))]
         texts.append("so " + " and ".join(parts))
-    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(pii._find, pii._FOUND_SQL)
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(pii._finder(pii.SEED_SWITCHES), pii._FOUND_SQL)
     got = {r["instance"]: (r["kind"], r["score"]) for r in pii.learned(found).collect()}
     want = brute_learned(texts)
     assert want and got.keys() == want.keys()
@@ -545,6 +546,22 @@ def test_pii_finds_planted_secrets(spark):
     assert hit == sum(map(len, planted.values())) > 100 and false == 0
 
 
+def test_pii_contexts_find_what_no_seed_rule_names(spark):
+    """Half of the planted tokens as seeds, and no rule for the others: the graph has to find them, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    planted = {(d, *m.span(1)) for d, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "", re.I)}
+    seeds = {(d, a, z) for d, t in texts.items() for a, _, z in pii.secrets(t or "", 20)[0]}
+    assert seeds < planted and 0.3 < len(seeds) / len(planted) < 0.6
+    base = {(d, a, z) for d, t in texts.items() for a, _, z in pii.base_spans(t or "")}
+    rows = pii.pii(docs, 20, by_rule=False).collect()
+    spans = {(r["doc_id"], int(a), int(z)) for r in rows for _, a, z in (x.split(":") for x in r["spans"].split(",") if x)}
+    found = spans - base - seeds
+    assert sum(r["n_learned"] for r in rows) == len(found)
+    assert len(found & planted) >= 0.9 * len(planted - seeds) and len(found - planted) <= 0.02 * len(found)
+    assert sum(r["n_learned"] for r in pii.pii(docs).collect()) > 30  # with the seeds that the query has
+
+
 def test_pii_secret_contexts_and_shapes(spark):
     rng = np.random.default_rng(1)
     seeds = [(i, f"w{i} my token = \"{rng.bytes(16).hex()}\" here") for i in range(20)]
