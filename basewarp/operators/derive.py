@@ -221,6 +221,35 @@ def linear_map(seqs: DataFrame, sites: DataFrame, width: int = 60) -> DataFrame:
     return lines.join(labels, ["seq_id", "block_no"], "left").select("seq_id", "block_no", "begin", "bases", complement("bases").alias("other"), F.coalesce("labels", F.lit("")).alias("labels"))
 
 
+def label_layout(sites: DataFrame, width: int = 60) -> DataFrame:
+    """Where each label of a map's lines stands: seq_id, block_no, label_row (from 1, nearest the bases), col (from 0), pat, site.
+
+    A label begins at its site's column, or further left if it would stick out of the line.  From left to right each takes the
+    lowest row whose last label ends a blank before it, which needs as few rows as labels ever lie over one column; none is lost.
+    A line's labels are folded as one array, so what one row holds is bounded by the width and the patterns.
+    """
+    col = F.least(F.pmod(F.col("site") - 1, F.lit(width)), F.greatest(F.lit(width).cast("long") - F.length("pat"), F.lit(0).cast("long"))).cast("long")
+    labels = sites.select("seq_id", F.floor((F.col("site") - 1) / width).cast("long").alias("block_no"), F.struct(col.alias("col"), "site", "pat").alias("x"))
+    lines = labels.groupBy("seq_id", "block_no").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    # held: the column behind each row's last label; the fold keeps them and each label's row.
+    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<int>").alias("at"))
+
+    def placed(state, x):
+        free = F.array_position(F.transform(state["held"], lambda end: end < x["col"]), True).cast("int")
+        end = x["col"] + F.length(x["pat"])
+        held = F.when(free == 0, F.array_append(state["held"], end)).otherwise(F.transform(state["held"], lambda old, k: F.when(k + 1 == free, end).otherwise(old)))
+        return F.struct(held.alias("held"), F.array_append(state["at"], F.when(free == 0, F.size(state["held"]) + 1).otherwise(free)).alias("at"))
+
+    rows = lines.select("seq_id", "block_no", F.explode(F.arrays_zip("xs", F.aggregate("xs", start, placed)["at"].alias("at"))).alias("z"))
+    return rows.select("seq_id", "block_no", F.col("z.at").cast("long").alias("label_row"), "z.xs.col", "z.xs.pat", "z.xs.site")
+
+
+def label_lines(layout: DataFrame) -> DataFrame:
+    """The layout as text: seq_id, block_no, label_row, text."""
+    rows = layout.groupBy("seq_id", "block_no", "label_row").agg(F.array_sort(F.collect_list(F.struct("col", "pat"))).alias("xs"))
+    return rows.select("seq_id", "block_no", "label_row", F.aggregate("xs", F.lit(""), lambda text, x: F.concat(F.rpad(text, x["col"].cast("int"), " "), x["pat"])).alias("text"))
+
+
 def degenerate_runs(seqs: DataFrame, chunk: int = 1 << 17) -> DataFrame:
     """Start and end of every run of letters other than acgt.
 

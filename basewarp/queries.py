@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import render
 from .functions import codons as cod
 from .functions import sequence as sq
 from .operators import derive, match, orfs, proximity, windows
@@ -213,13 +214,16 @@ _DEMO_ROWS = """('HinfI', 'gantc', 1, 3, 10000, 100), ('TaqI', 'tcga', 1, 2, 400
 
 @query(
     "pattern_table",
-    f"SELECT pat, site, {REVCOMP.format('site')} AS twin, CAST(length(site) AS INT) AS length, top_cut, overhang, site = {REVCOMP.format('site')} AS palindrome, CAST(length(replace(site, 'n', '')) AS DOUBLE) AS magnitude, CAST(units // price AS INT) AS cost, rpad(site, 6, 'n') AS seed FROM (VALUES {_DEMO_ROWS}) v(pat, site, top_cut, overhang, units, price)",
+    with_hits(DEMO, f"SELECT pat, site, {REVCOMP.format('site')} AS twin, CAST(length(site) AS INT) AS length, top_cut, overhang, site = {REVCOMP.format('site')} AS palindrome, CAST(length(replace(site, 'n', '')) AS DOUBLE) AS magnitude, CAST(units // price AS INT) AS cost, rpad(site, 6, 'n') AS seed, (SELECT count(*) FROM sites s WHERE s.pat = v.pat) AS n_hits FROM (VALUES {_DEMO_ROWS}) v(pat, site, top_cut, overhang, units, price)"),
 )
 def pattern_table(spark, sf_dir):
+    """The patterns with what the compiler makes of them, and their sites in the documents."""
     rows = [(p.name, p.site, p.length, p.top_cut, p.overhang, p.units, p.price, pt.best_seed(p.site)[1]) for p in DEMO]
     df = spark.createDataFrame(rows, "pat string, site string, length int, top_cut int, overhang int, units int, price int, seed string")
     cost = F.when(F.col("price") > 0, F.floor(F.col("units") / F.col("price"))).otherwise(0).cast("int")
-    return df.select("pat", "site", sq.reverse_complement("site").alias("twin"), "length", "top_cut", "overhang", sq.is_palindrome("site").alias("palindrome"), sq.magnitude("site").alias("magnitude"), cost.alias("cost"), "seed")
+    found = derive.pattern_summary(sites(spark, sf_dir, DEMO)).select("pat", "n_hits")
+    df = df.join(found, "pat", "left")
+    return df.select("pat", "site", sq.reverse_complement("site").alias("twin"), "length", "top_cut", "overhang", sq.is_palindrome("site").alias("palindrome"), sq.magnitude("site").alias("magnitude"), cost.alias("cost"), "seed", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
 def _filtered(name: str, left: list[str], **how):
@@ -835,3 +839,145 @@ for _kind, _text in _ALIGNED.items():
         return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
 
     query(f"read_{_kind}", _READ_SQL.format(_kind))(_read_many)
+
+
+#: Formats of one record: files of a hundred documents each, as text in SQL of name and seq.
+_SINGLE = {
+    "gcg": f"concat('a title\n\n', name, '  Length: 9  Check: 1  ..\n\n       1  ', {_SIXTY}, '\n')",
+    "strider": f"concat('; ### from DNA Strider ###\n; DNA sequence ', name, ', 9 bp\n;\n', {_SIXTY}, '\n//\n')",
+    "fitch": f"concat(name, ', 9 bases\n ', regexp_replace(seq, '(.{{3}})', '$1 '), '\n')",
+}
+_HUNDRED = f"{IUPAC_SEQ.replace('seqs AS', 'single AS')}, seqs AS (SELECT 'd' || seq_id // 100 AS name, string_agg(seq, '' ORDER BY seq_id) AS seq FROM single GROUP BY 1)"
+
+
+def _hundreds(spark, sf_dir) -> DataFrame:
+    rows = sequences(spark, sf_dir, True).groupBy(F.floor(F.col("seq_id") / 100).alias("file")).agg(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))).alias("x"))
+    return rows.select("file", F.concat(F.lit("d"), F.col("file").cast("string")).alias("name"), F.array_join("x.seq", "").alias("seq"))
+
+
+for _kind, _text in _SINGLE.items():
+
+    def _read_single(spark, sf_dir, kind=_kind, text=_text):
+        path = files.scratch(spark, f"{kind}-files")
+        _hundreds(spark, sf_dir).select("file", F.expr(text).alias("value")).write.partitionBy("file").text(path)
+        return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
+
+    query(f"read_{_kind}", f"WITH {_HUNDRED} SELECT name, '{_kind}' AS format, seq, length(seq) AS seq_len FROM seqs")(_read_single)
+
+_MIXED = {**_SINGLE, "genbank": _RECORDS["genbank"].replace("seq_id, ' x", "substring(name, 2), ' 9 bp DNA circular"), "fasta": _RECORDS["fasta"].replace("seq_id", "substring(name, 2)")}
+
+
+@query(
+    "read_auto",
+    f"WITH {_HUNDRED}, k AS (SELECT *, [{', '.join(repr(x) for x in _MIXED)}][CAST(substr(name, 2) AS BIGINT) % {len(_MIXED)} + 1] AS format FROM seqs) SELECT name, format, seq, length(seq) AS seq_len, CAST(CASE format WHEN 'genbank' THEN 0 ELSE 1 END AS TINYINT) AS topology FROM k",
+)
+def read_auto(spark, sf_dir):
+    """Files of five formats in one folder, each told by its text; a record's own topology."""
+    path = files.scratch(spark, "mixed-files")
+    k = F.pmod(F.col("file"), F.lit(len(_MIXED)))
+    text = F.coalesce(*(F.when(k == i, F.expr(x)) for i, x in enumerate(_MIXED.values())))
+    _hundreds(spark, sf_dir).select("file", text.alias("value")).write.partitionBy("file").text(path)
+    return read_sequences(spark, path).select("name", "format", "seq", "seq_len", "topology")
+
+
+# ------------------------------------------------------- files of patterns, expressions, matrices, rules, codons
+
+
+def _text_file(spark: SparkSession, name: str, text: str) -> str:
+    path = files.scratch(spark, name)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("pattern_file_hits", with_hits(SOME, "SELECT seq_id, pat, strand, start, site FROM hits"))
+def pattern_file_hits(spark, sf_dir):
+    """Patterns logged to a file and read back."""
+    path = files.scratch(spark, "patterns")
+    files.log_patterns(spark, SOME, path)
+    return hits(spark, sf_dir, [p for text in spark.read.text(path).collect() for p in files.parse_patterns(text["value"])]).select("seq_id", "pat", "strand", "start", "site")
+
+
+@query("command_line_hits", with_hits(["rgcy", "gantc"], "SELECT seq_id, pat, strand, start FROM hits"))
+def command_line_hits(spark, sf_dir):
+    return hits(spark, sf_dir, [pt.command_line_pattern("rgcy,RGCY"), pt.command_line_pattern("gantc,nGANTCn,0")]).select("seq_id", "pat", "strand", "start")
+
+
+@query("regex_file_sites", f"WITH {SEQ} {_regex_sql(1, _FIXED_EXPRESSIONS)} UNION ALL {_regex_sql(-1, _FIXED_EXPRESSIONS)}")
+def regex_file_sites(spark, sf_dir):
+    path = _text_file(spark, "expressions", "; two expressions\n..\nrx1 ga(tt|ac)n{1,3}y ! first\nrx2   wt{2,4}ar\n")
+    return match.find_regex(sequences(spark, sf_dir), files.regex_option(spark, f"FILE:{path}")).select("seq_id", "pat", "strand", "site")
+
+
+@query("matrix_file_hits", f"WITH {SEQ} {_matrix_sql(1)} UNION ALL {_matrix_sql(-1)}")
+def matrix_file_hits(spark, sf_dir):
+    rows = "\n".join(f"{i:02d} " + " ".join(map(str, r)) + " n" for i, r in enumerate(MATRIX, 1))
+    found = files.read_matrices(spark, _text_file(spark, "matrices", f"AC  M1\nNA  demo\nDE  a matrix\nP0  A C G T\n{rows}\n//\n"))
+    return match.find_matrices(sequences(spark, sf_dir), [(m["name"], m["counts"]) for m in found], 80).select("seq_id", "strand", "start", "site", "score")
+
+
+@query("consensus_sites", f"WITH {SEQ} SELECT seq_id, 1 AS strand, p AS start FROM seqs, unnest(range(1, length(seq) - 4)) AS t(p) WHERE regexp_full_match(substr(seq, p, 6), 'ag[at]c[at]t') UNION ALL SELECT seq_id, -1, p FROM seqs, unnest(range(1, length(seq) - 4)) AS t(p) WHERE p + 6 <= length(seq) AND regexp_full_match(substr(seq, p, 6), 'a[at]g[at]ct')")
+def consensus_sites(spark, sf_dir):
+    """A matrix's consensus as a pattern."""
+    return hits(spark, sf_dir, [pt.Pattern("consensus", match.consensus(MATRIX, 75))]).select("seq_id", "strand", "start")
+
+
+def _rule_file_sql(rules: list[str]) -> str:
+    parts = []
+    for name, width, names, holds in (FIXED_RULES[r] for r in rules):
+        counts = ", ".join(f"CAST(sum(CAST(pat = '{n}' AS INT)) OVER w AS BIGINT) AS n_{n}" for n in names)
+        inside = f"SELECT DISTINCT seq_id, site AS lo, max(site) OVER w AS hi, {counts} FROM sites WHERE pat IN ({', '.join(repr(n) for n in names)}) WINDOW w AS (PARTITION BY seq_id ORDER BY site RANGE BETWEEN CURRENT ROW AND {width} FOLLOWING)"
+        parts.append(f"SELECT '{name}' AS rule_name, seq_id, lo, hi, hi - lo AS width FROM ({inside}) WHERE {holds}")
+    return " UNION ALL ".join(parts)
+
+
+@query("rules_file_windows", with_hits(["MboI", "TaqI", "HinfI", "RsaI"], _rule_file_sql(["rule_and", "rule_or", "rule_nested"])))
+def rules_file_windows(spark, sf_dir):
+    """Every rule of a file."""
+    text = "; rules\n..\n" + RULES["rule_and"] + "\n" + RULES["rule_or"].replace("|", "|\\\n") + "\n" + RULES["rule_nested"] + "\n"
+    rules = files.read_rules(spark, _text_file(spark, "rules", text))
+    own = sorted({t.name for r in rules for t in r.terms})
+    return windows.rule_tables(sites(spark, sf_dir, pt.select(DEMO, own)), rules).select("rule_name", "seq_id", "lo", "hi", "width")
+
+
+@query("codon_file_residues", f"WITH {SEQ}, c AS (SELECT unnest(regexp_extract_all(seq, '(...)', 1)) AS codon FROM seqs) SELECT substr('{CODES[1]}', 16 * (strpos('tcag', substr(codon, 1, 1)) - 1) + 4 * (strpos('tcag', substr(codon, 2, 1)) - 1) + strpos('tcag', substr(codon, 3, 1)), 1) AS aa, count(*) AS n FROM c GROUP BY 1")
+def codon_file_residues(spark, sf_dir):
+    """Residues by a codon table read from a file."""
+    table = cod.codon_table(1)
+    cells = "\n".join(f"{c.upper()} {aa}{cod.THREE.get(aa, 'Ter')}" for c, aa in table.items())
+    ((_, read),) = files.read_codons(spark, _text_file(spark, "codons", f"# codons\nLabel one\n{cells}\n"))
+    residue = spark.createDataFrame(list(read.items()), "codon string, aa string")
+    return orfs.codon_usage(sequences(spark, sf_dir)).join(F.broadcast(residue), "codon").groupBy("aa").agg(F.sum("n").alias("n"))
+
+
+_CELL = "greatest(0, CAST(floor(0.5 + site * 60.0::DOUBLE / seq_len) AS BIGINT) - 1) AS cell, count(*) AS n, CASE WHEN count(*) = 1 THEN '|' WHEN count(*) <= 9 THEN CAST(count(*) AS VARCHAR) ELSE '*' END AS mark"
+
+
+@query(
+    "proximity_ladder",
+    with_hits(
+        [NAMED["MboI"], NAMED["TaqI"]],
+        f""", p AS (SELECT a.seq_id, a.seq_len, a.site AS a, b.site AS b FROM sites a JOIN sites b ON a.seq_id = b.seq_id AND a.pat = 'MboI' AND b.pat = 'TaqI' AND abs(b.site - a.site) < 300),
+lanes AS (SELECT seq_id, seq_len, CASE pat WHEN 'MboI' THEN '1 MboI' ELSE '4 TaqI' END AS pat, site FROM sites UNION ALL SELECT DISTINCT seq_id, seq_len, '2 MboI near', a FROM p UNION ALL SELECT DISTINCT seq_id, seq_len, '3 TaqI near', b FROM p)
+SELECT seq_id, pat, {_CELL} FROM lanes GROUP BY 1, 2, 3""",
+    ),
+)
+def proximity_ladder(spark, sf_dir):
+    own = sites(spark, sf_dir, [NAMED["MboI"], NAMED["TaqI"]])
+    return render.proximity_ladder(own, proximity.near(own, "MboI,300,TaqI"), "MboI", "TaqI", 60)
+
+
+@query(
+    "linear_map_layout",
+    f"WITH RECURSIVE {SEQ}, {hits_sql(SOME)}, "
+    + """lab AS (SELECT seq_id, (site - 1) // 60 AS block_no, site, pat, least((site - 1) % 60, 60 - length(pat)) AS col FROM sites),
+o AS (SELECT *, row_number() OVER (PARTITION BY seq_id, block_no ORDER BY col, site, pat) AS i FROM lab),
+walk(seq_id, block_no, i, held, r) AS (
+  SELECT DISTINCT seq_id, block_no, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM o
+  UNION ALL
+  SELECT seq_id, block_no, i, CASE WHEN p = 0 THEN list_append(held, fin) ELSE list_transform(range(1, len(held) + 1), lambda k: CASE WHEN k = p THEN fin ELSE held[k] END) END, CASE WHEN p = 0 THEN len(held) + 1 ELSE p END
+  FROM (SELECT w.seq_id, w.block_no, o.i, w.held, CAST(o.col + length(o.pat) AS BIGINT) AS fin, CAST(coalesce(list_position(list_transform(w.held, lambda e: e < o.col), true), 0) AS BIGINT) AS p FROM walk w JOIN o ON o.seq_id = w.seq_id AND o.block_no = w.block_no AND o.i = w.i + 1)
+)
+SELECT o.seq_id, o.block_no, w.r AS label_row, o.col, o.pat, o.site FROM o JOIN walk w ON w.seq_id = o.seq_id AND w.block_no = o.block_no AND w.i = o.i""",
+)
+def linear_map_layout(spark, sf_dir):
+    return derive.label_layout(sites(spark, sf_dir, SOME), 60)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import normalise
 
-COLUMNS = "name string, descr string, format string, raw string"
+COLUMNS = "name string, descr string, format string, raw string, topology int"
 
 
 def _clean(lines: list[str]) -> str:
@@ -63,9 +63,15 @@ def _interleaved(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def records(text: str, kind: str | None = None) -> list[tuple[str, str, str, str]]:
     """(name, description, format, raw letters) of every record in a file's text."""
+    return [x[:4] for x in typed_records(text, kind)]
+
+
+def typed_records(text: str, kind: str | None = None) -> list[tuple[str, str, str, str, int | None]]:
+    """The same with the topology that the record itself states (0 circular, 1 linear), None where its format says nothing."""
     kind = kind or detect(text)
     text = text.replace("\r\n", "\n")
     out: list[tuple[str, str, str]] = []
+    stated: list[int | None] = []
     if kind == "raw":
         out = [("", "", text)]
     elif kind == "fasta":
@@ -86,6 +92,8 @@ def records(text: str, kind: str | None = None) -> list[tuple[str, str, str, str
                 continue
             name = next((x[len(tag) :].split()[0] for x in lines if x.startswith(tag) and x[len(tag) :].split()), "")
             descr = next((x[len(title) :].strip() for x in lines if x.startswith(title)), "")
+            first = next((x for x in lines if x.startswith(tag)), "")
+            stated.append(0 if re.search(r"\bcircular\b", first, flags=re.I) else 1)
             body = [re.sub(r"\s\d+\s*$", "", x) for x in lines[at + 1 :]] if kind == "embl" else lines[at + 1 :]
             out.append((name.rstrip(","), descr, _numbered(body)))
     elif kind == "gcg":
@@ -133,21 +141,25 @@ def records(text: str, kind: str | None = None) -> list[tuple[str, str, str, str
         out.append((name, " ".join(comments), "".join(x.strip() for x in lines if not x.startswith(";") and x.strip() != "//")))
     else:
         raise ValueError(f"unknown format {kind!r}")
-    return [(n, d, kind, s) for n, d, s in out]
+    return [(n, d, kind, s, t) for (n, d, s), t in zip(out, stated or [None] * len(out))]
 
 
 #: What Spark's line reader may part records at.
 SEPARATORS = {"genbank": "\n//\n", "embl": "\n//\n", "pir": "\n///\n", "nbrf": "\n>"}
 
 
-def with_sequences(raw: DataFrame, degenerate: bool = True, topology: int = 1) -> DataFrame:
-    """name, descr, format, raw to the columns of a sequence table."""
+def with_sequences(raw: DataFrame, degenerate: bool = True, topology: int | None = None) -> DataFrame:
+    """name, descr, format, raw to the columns of a sequence table.
+
+    topology: for all sequences; None: what each record states, linear where it states nothing.
+    """
     seq: Column = normalise("raw", degenerate)
+    stated = F.coalesce("topology", F.lit(1)) if topology is None and "topology" in raw.columns else F.lit(1 if topology is None else topology)
     out = raw.withColumn("seq", seq)
-    return out.select(F.xxhash64("name", "descr", "seq").alias("seq_id"), "name", "descr", "format", "seq", F.length("seq").cast("long").alias("seq_len"), F.lit(topology).cast("tinyint").alias("topology"))
+    return out.select(F.xxhash64("name", "descr", "seq").alias("seq_id"), "name", "descr", "format", "seq", F.length("seq").cast("long").alias("seq_len"), stated.cast("tinyint").alias("topology"))
 
 
-def read_sequences(spark: SparkSession, path: str, kind: str | None = None, degenerate: bool = True, topology: int = 1) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, kind: str | None = None, degenerate: bool = True, topology: int | None = None) -> DataFrame:
     """All records of files in any of the formats, told by their text unless named.
 
     Multi-record files of the formats in SEPARATORS, if the format is named, are split by Spark's own line reader, so
@@ -163,7 +175,8 @@ def read_sequences(spark: SparkSession, path: str, kind: str | None = None, dege
         import pandas as pd
 
         for f in frames:
-            yield pd.DataFrame([r for text in f["value"] for r in records(text, kind)], columns=["name", "descr", "format", "raw"])
+            rows = [r for text in f["value"] for r in typed_records(text, kind)]
+            yield pd.DataFrame(rows, columns=["name", "descr", "format", "raw", "topology"]).astype({"topology": "Int32"})
 
     if kind in SEPARATORS:
         parts = spark.read.text(path, lineSep=SEPARATORS[kind]).select("value")
