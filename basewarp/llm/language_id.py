@@ -47,20 +47,30 @@ class Model:
 
 
 def _count(batches):
+    """Counts of a task.  At most MAX_LANGS languages are held at a time; beyond, what is held goes out and counting starts anew,
+    so memory doesn't follow the number of languages."""
     width = (1 << BITS) + 1
     counts: dict[str, np.ndarray] = {}
+
+    def held_ones():
+        for lang, held in counts.items():
+            at = np.flatnonzero(held)
+            yield batch_of(_COUNTS, lang=[lang] * len(at), bucket=at.astype(np.int32), n=held[at])
+        counts.clear()
+
     for b in batches:
-        texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-        for lang in dict.fromkeys(langs):
+        by: dict[str, list[str]] = {}
+        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+            by.setdefault(lang, []).append(text or "")
+        for lang, own in by.items():
+            if lang not in counts and len(counts) >= MAX_LANGS:
+                yield from held_ones()
             held = counts.setdefault(lang, np.zeros(len(ORDERS) * width + 1, dtype=np.int64))
-            own = [t or "" for t, x in zip(texts, langs) if x == lang]
             held[-1] += len(own)
             for _, _, grams, which in gram_runs(own, ORDERS):
                 for k in which:
                     held[k * width : (k + 1) * width] += np.bincount(grams.hashed(ORDERS[k], BITS), minlength=width)
-    for lang, held in counts.items():
-        at = np.flatnonzero(held)
-        yield batch_of(_COUNTS, lang=[lang] * len(at), bucket=at.astype(np.int32), n=held[at])
+    yield from held_ones()
 
 
 def train(docs: DataFrame, is_training: Column) -> list[Model]:
