@@ -182,20 +182,23 @@ class Automaton:
     def leaves(self, codes: np.ndarray) -> np.ndarray:
         """The state left of a chunk for each state right of it.  States soon run together, so few are followed for long."""
         follow, of = np.arange(len(self.table), dtype=np.int32), None
-        flat, at, step = self.table.ravel(), len(codes), 1
+        flat, rows, at, step = self.table.ravel(), self.lists, len(codes), 1
         while at > 0:
-            for c in codes[max(0, at - step) : at][::-1].tolist():
-                follow = flat[follow * _SYMBOLS + c]
+            part = codes[max(0, at - step) : at][::-1].tolist()
             at -= step
+            if len(follow) > 16:
+                for c in part:
+                    follow = flat[follow * _SYMBOLS + c]
+            else:  # few are faster one by one
+                ends = []
+                for state in follow.tolist():
+                    for c in part:
+                        state = rows[state][c]
+                    ends.append(state)
+                follow = np.array(ends, dtype=np.int32)
             follow, back = np.unique(follow, return_inverse=True)
             of = back if of is None else back[of]
-            if len(follow) == 1:  # whatever it was entered with
-                state = int(follow[0])
-                rows = self.lists
-                for c in codes[: max(0, at)][::-1].tolist():
-                    state = rows[state][c]
-                return np.full(len(self.table), state, dtype=np.int32)
-            step = min(2 * step, 256)
+            step = min(2 * step, 1024)
         return follow if of is None else follow[of].astype(np.int32)
 
     @property
