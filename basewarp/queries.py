@@ -15,10 +15,10 @@ from . import render
 from .functions import codons as cod
 from .functions import sequence as sq
 from .operators import derive, match, orfs, proximity, windows
-from .operators.parts import join_parts
+from .operators.parts import cut, join_parts
 from .plans import patterns as pt
 from .plans.rules import bounded, parse_rule
-from .sources import files
+from .sources import files, split
 from .sources.sequences import from_text, read_sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -811,6 +811,15 @@ _RECORDS = {
     "ig": f"concat('; a title\nd', seq_id, '\n', {_SIXTY}, '1')",
 }
 _READ_SQL = f"WITH {IUPAC_SEQ} SELECT 'd' || seq_id AS name, '{{}}' AS format, seq, length(seq) AS seq_len FROM seqs WHERE seq <> ''"
+_SPLIT_SQL = "WITH {}, cuts AS (SELECT name, seq, unnest(range(0, length(seq), 1000)) AS base FROM named) SELECT name, base, substring(seq, base + 1, 1000) AS bases FROM cuts"
+
+
+def _thousands(spark, path: str, kind: str) -> DataFrame:
+    """Records read by byte ranges, cut anew at every thousand letters."""
+    pieces = cut(split.read_parts(spark, path, kind), 0, 1000)
+    return pieces.join(split.read_headers(spark, path, kind), "seq_id").select("name", "base", F.col("piece").alias("bases"))
+
+
 for _kind, _record in _RECORDS.items():
 
     def _read(spark, sf_dir, kind=_kind, record=_record):
@@ -818,7 +827,13 @@ for _kind, _record in _RECORDS.items():
         sequences(spark, sf_dir, True).where("seq <> ''").select(F.expr(record).alias("value")).write.text(path)
         return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
 
+    def _split(spark, sf_dir, kind=_kind, record=_record):
+        path = files.scratch(spark, f"{kind}-ranges")
+        sequences(spark, sf_dir, True).where("seq <> ''").select(F.expr(record).alias("value")).write.text(path)
+        return _thousands(spark, path, kind)
+
     query(f"read_{_kind}", _READ_SQL.format(_kind))(_read)
+    query(f"split_{_kind}", _SPLIT_SQL.format(f"{IUPAC_SEQ}, named AS (SELECT 'd' || seq_id AS name, seq FROM seqs WHERE seq <> '')"))(_split)
 
 
 #: Files of many sequences, each in two parts: their text in SQL of the lines "named", "one" and "two".
@@ -828,17 +843,26 @@ _ALIGNED = {
 }
 for _kind, _text in _ALIGNED.items():
 
-    def _read_many(spark, sf_dir, kind=_kind, text=_text):
+    def _write_many(spark, sf_dir, path, text):
         """A file per group of a hundred documents."""
-        path = files.scratch(spark, f"{kind}-files")
         s = sequences(spark, sf_dir, True).where("seq <> ''").select(F.floor(F.col("seq_id") / 100).alias("file"), F.expr("concat('d', seq_id)").alias("name"), "seq", F.expr("cast(ceil(length(seq) / 2) as int)").alias("half"))
         lines = s.select("file", F.expr("concat(' Name: ', name, '   Len: 9')").alias("named"), F.expr("concat(name, ' ', substring(seq, 1, half))").alias("one"), F.expr("concat(name, ' ', substring(seq, half + 1))").alias("two"))
         each = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("named", "one", "two"))).alias("p"))
         blocks = each.select("file", *[F.array_join(F.col(f"p.{c}"), "\n").alias(c) for c in ("named", "one", "two")])
         blocks.select("file", F.expr(text).alias("value")).write.partitionBy("file").text(path)
+
+    def _read_many(spark, sf_dir, kind=_kind, text=_text):
+        path = files.scratch(spark, f"{kind}-files")
+        _write_many(spark, sf_dir, path, text)
         return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
 
+    def _split_many(spark, sf_dir, kind=_kind, text=_text):
+        path = files.scratch(spark, f"{kind}-ranges")
+        _write_many(spark, sf_dir, path, text)
+        return _thousands(spark, path, kind)
+
     query(f"read_{_kind}", _READ_SQL.format(_kind))(_read_many)
+    query(f"split_{_kind}", _SPLIT_SQL.format(f"{IUPAC_SEQ}, named AS (SELECT 'd' || seq_id AS name, seq FROM seqs WHERE seq <> '')"))(_split_many)
 
 
 #: Formats of one record: files of a hundred documents each, as text in SQL of name and seq.
@@ -862,6 +886,12 @@ for _kind, _text in _SINGLE.items():
         _hundreds(spark, sf_dir).select("file", F.expr(text).alias("value")).write.partitionBy("file").text(path)
         return read_sequences(spark, path, kind).select("name", "format", "seq", "seq_len")
 
+    def _split_single(spark, sf_dir, kind=_kind, text=_text):
+        path = files.scratch(spark, f"{kind}-ranges")
+        _hundreds(spark, sf_dir).select("file", F.expr(text).alias("value")).write.partitionBy("file").text(path)
+        return _thousands(spark, path, kind)
+
+    query(f"split_{_kind}", _SPLIT_SQL.format(f"{_HUNDRED}, named AS (SELECT name, seq FROM seqs WHERE seq <> '')"))(_split_single)
     query(f"read_{_kind}", f"WITH {_HUNDRED} SELECT name, '{_kind}' AS format, seq, length(seq) AS seq_len FROM seqs")(_read_single)
 
 _MIXED = {**_SINGLE, "genbank": _RECORDS["genbank"].replace("seq_id, ' x", "substring(name, 2), ' 9 bp DNA circular"), "fasta": _RECORDS["fasta"].replace("seq_id", "substring(name, 2)")}
