@@ -74,7 +74,7 @@ def measures(docs: DataFrame) -> DataFrame:
     longest = max(map(len, stop))  # lower-casing never makes a word shorter, so no longer one is a stop word
     stops = F.size(F.filter("words", lambda w: (F.length(trimmed(w)) <= longest) & F.lower(trimmed(w)).isin(*stop)))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return step.select(
+    made = F.struct(
         "doc_id",
         "n_words",
         "word_chars",
@@ -87,6 +87,8 @@ def measures(docs: DataFrame) -> DataFrame:
         per(dup, F.size("lines")).alias("dup_line_ratio"),
         per(F.col("upper"), F.col("letters")).alias("upper_ratio"),
     )
+    # One element to unpack: a filter or join on the measures stays above, where copies of their expressions would be planned.
+    return step.select(F.inline(F.array(made)))
 
 
 def compiled(thresholds=THRESHOLDS) -> Column:
