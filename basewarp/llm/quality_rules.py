@@ -47,7 +47,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("double").alias("upper"),
-        F.regexp_count(text, F.lit(r"\p{L}")).cast("double").alias("letters"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))).cast("double").alias("letters"),
     )
     # 3-word windows sorted by hash and then place; equal neighbours are repeats.  The two
     # hashes, of 64 and 32 bits, stand for the window.
