@@ -60,7 +60,7 @@ FORMATS: dict[str, list[list[tuple[re.Pattern, int, int]]]] = {
     "embl": _sections(_SLASHES, r"(?P<locus>ID\s+(?P<name>\S+).*)", r"SQ", r"DE(?P<descr>.*)"),
     "pir": _sections(r"///[ \t]*$", r"ENTRY\s+(?P<name>\S+)", r"SEQUENCE", r"TITLE\s+(?P<descr>.*)"),
     "ig": [_rules((r";(?P<descr>.*)", 0, STAY), (r"(?P<name>.*\S.*)", 1, STAY)), _rules((r"(?P<body>.*)[12]\s*$", 0, END), (_BODY, 1, STAY))],
-    "gcg": [_rules((r"(?P<head>.*?)\.\.[ \t]*$", 1, STAY), (r"(?P<head>.*\S.*)", 0, STAY)), _rules((_BODY, 1, STAY))],
+    "gcg": [_rules((r"(?P<head>.*)\.\.[ \t]*$", 1, STAY), (r"(?P<head>.*\S.*)", 0, STAY)), _rules((_BODY, 1, STAY))],
     "fitch": [_rules((r"(?P<descr>(?P<name>[^,]*).*)", 1, STAY)), _rules((_BODY, 1, STAY))],
     "strider": [_rules((r";(?P<descr>\s*DNA sequence\s+(?P<name>[^,]*).*)", 0, STAY), (r";(?P<descr>.*)", 0, STAY), (_BODY, 0, STAY))],
     "msf": [_rules((_SLASHES, 1, STAY), (r".*?Name:\s*(?P<listed>\S+)", 0, STAY)), _rules((r"\s*(?P<key>\S+)\s+(?P<body>.+)", 1, STAY))],
@@ -106,6 +106,8 @@ class _Range:
     def __init__(self, kind: str, file: str, block: int):
         self.kind, self.file, self.block, self.no = kind, file, block, 0
         self.rules, self.n = FORMATS[kind], states(kind)
+        #: States whose every line is letters and leads nowhere else.
+        self.free = [kind not in BRACKETS and [(p.pattern, what) for p, _, what in self.rules[s % len(self.rules)]] == [(_BODY, STAY)] for s in range(self.n)]
         self.courses = [_Course(s, {s: 0}) for s in (range(self.n) if block else (0,))]
         self.rows: list[tuple] = []
 
@@ -124,6 +126,9 @@ class _Range:
 
     def line(self, text: str) -> None:
         for c in self.courses:
+            if self.free[c.state]:
+                self.add(c, "", text)
+                continue
             state, said = c.state, text
             half = len(self.rules)
             if self.kind in BRACKETS:
@@ -146,12 +151,15 @@ class _Range:
         if len(self.courses) > 1:
             self.meet()
 
+    def add(self, c: _Course, key: str, letters: str) -> None:
+        c.letters.setdefault(key, []).append(letters)
+        c.size += len(letters)
+        if c.size >= PIECE:
+            self.flush(c)
+
     def facts(self, c: _Course, said: dict[str, str | None]) -> None:
         if said.get("body"):
-            c.letters.setdefault((said.get("key") or "").strip(",'"), []).append(said["body"])
-            c.size += len(said["body"])
-            if c.size >= PIECE:
-                self.flush(c)
+            self.add(c, (said.get("key") or "").strip(",'"), said["body"])
         if (said.get("head") or "").strip():
             c.head = c.head[:1] + [said["head"].strip()]
         if said.get("listed"):
