@@ -1,6 +1,8 @@
 """Best-fit packing in bulk-synchronous supersteps: documents and gaps sorted together, matched by successor sweeps.
 
-Sequences begin as gaps of the whole capacity, as many as all tokens need at least.  A superstep:
+Pieces are packed by classes of size, the largest first (``CLASSES``), so small pieces are still there for what
+the large ones leave.  Of each class, supersteps place all pieces; one that places none opens as many new sequences as the
+waiting pieces need at least.  A superstep:
 
 1. Range sort: unplaced pieces and gaps are dealt to ranges of (size, kind, number) and sorted; a piece
    stands before the gaps of its own size.
@@ -10,10 +12,10 @@ Sequences begin as gaps of the whole capacity, as many as all tokens need at lea
    by rank.  From one row of counts per range the driver deals ranks of waiting pieces to ranks of gaps in
    later ranges, the same stack rule on ranges: a gap gets as many pieces as fit by the range's greatest
    piece and the other range's least gap.  Ranks differ, so no gap is claimed twice; a join brings both together.
-4. Gaps are reduced, those that are full or below every piece go, and the next superstep
-   begins.  If none was placed, new sequences are opened for what is left.
+4. Gaps are reduced, those that are full go, those below every piece of the class wait for the next class, and the
+   next superstep begins.
 
-Once pieces and gaps are no more than one range holds, one task repeats the supersteps on them.
+Once a class and its gaps, or all that is left, are no more than one range holds, one task repeats the supersteps on them.
 Pieces as long as the capacity are sequences of their own.  Every superstep's results are a written
 table; the driver holds one row per range, of which there are at most ``RANGES``.
 
@@ -40,6 +42,10 @@ from .tokens import encoder, tokenizer_path
 CAPACITY = 2048
 #: Rows of a range, and the most ranges (at more rows than their product ranges grow).
 RANGE_ROWS, RANGES = 16_384, 65_536
+#: Classes of pieces: above a half, a third, a sixth, a sixteenth of the capacity, and the rest.
+CLASSES = (2, 3, 6, 16)
+#: Pieces above 1/2, 1/3, ... of the capacity are counted: at most one, two, ... of them share a sequence.
+SHARES = 7
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("number", pa.int64())])
 
 
@@ -120,23 +126,41 @@ def _sweep(batches, capacity: int):
     yield _swept(sweep.rest(), part)
 
 
+def least_sizes(capacity: int) -> list[int]:
+    """The least piece of each class, from the largest class down."""
+    return [*sorted({capacity // k + 1 for k in CLASSES} - {1}, reverse=True), 1]
+
+
+def needed(tokens: int, above: list[int], capacity: int) -> int:
+    """Sequences that waiting pieces need at least; above: how many are larger than 1/2, 1/3, ... of the capacity."""
+    return max(-(-tokens // capacity), *(-(-n // k) for k, n in enumerate(above, 1)))
+
+
 def _finish(batches, capacity: int, opened: int):
-    """All supersteps on the rows of one task."""
-    state: list[tuple[int, bool, int]] = []
+    """All supersteps on the rows of one task, class by class; the gaps that remain are said to be free."""
+    pieces: list[tuple[int, int]] = []
+    gaps: list[tuple[int, int]] = []
     for b in batches:
-        state += zip(b.column("size").to_pylist(), b.column("gap").to_pylist(), b.column("number").to_pylist())
-    while any(not gap for _, gap, _ in state):
-        state.sort()
-        sweep = Sweep(capacity)
-        out = list(sweep.rows([x[2] for x in state], [x[0] for x in state], [x[1] for x in state]))
-        placed = [x for x in out if x[0] == _PLACED]
-        yield _swept(placed, 0)
-        left = list(sweep.rest())
-        state = [(x[2], False, x[1]) for x in left] + [(x[2], True, x[3]) for x in out if x[0] in (_FREE, _REDUCED)]
-        if left and not placed:
-            more = -(-sum(x[2] for x in left) // capacity)
-            state += [(capacity, True, opened + k) for k in range(more)]
-            opened += more
+        for size, gap, number in zip(*(b.column(c).to_pylist() for c in ("size", "gap", "number"))):
+            (gaps if gap else pieces).append((size, number))
+    for least in least_sizes(capacity):
+        own, pieces = [x for x in pieces if x[0] >= least], [x for x in pieces if x[0] < least]
+        while own:
+            floor = min(own)[0]
+            state = sorted([(s, False, n) for s, n in own] + [(s, True, n) for s, n in gaps if s >= floor])
+            gaps = [x for x in gaps if x[0] < floor]
+            sweep = Sweep(capacity)
+            out = list(sweep.rows([x[2] for x in state], [x[0] for x in state], [x[1] for x in state]))
+            placed = [x for x in out if x[0] == _PLACED]
+            yield _swept(placed, 0)
+            own = [(x[2], x[1]) for x in sweep.rest()]
+            gaps += [(x[2], x[3]) for x in out if x[0] in (_FREE, _REDUCED)]
+            if own and not placed:
+                sizes = np.array([s for s, _ in own])
+                more = needed(int(sizes.sum()), [int((sizes > capacity // (k + 1)).sum()) for k in range(1, SHARES + 1)], capacity)
+                gaps += [(capacity, opened + k) for k in range(more)]
+                opened += more
+    yield _swept([(_FREE, 0, room, number, 0, 0) for room, number in gaps], 0)
 
 
 def deal(counts: np.ndarray) -> np.ndarray:
@@ -227,22 +251,40 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 def place(spark: SparkSession, sizes: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """number, sequence, offset of every piece.  sizes: number, size (below the capacity)."""
-    state, opened, before = sizes.select("number", "size", F.lit(False).alias("gap")), 0, None
+    pieces, size = sizes.select("number", "size", F.lit(False).alias("gap")), F.col("size")
+    gaps, opened, upper = spark.createDataFrame([], _STATE), 0, capacity
     placed = [spark.createDataFrame([], "number long, sequence long, offset int")]
-    while True:
-        left = state.where("NOT gap").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.min("size").alias("least")).first()
-        if not left["n"]:
-            break
-        state = state.where(~F.col("gap") | (F.col("size") >= left["least"]))
-        if left["n"] == before or before is None:  # none was placed
-            more = -(-left["tokens"] // capacity)
-            state = state.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("number"), F.lit(capacity).cast("int").alias("size"), F.lit(True).alias("gap")))
-            opened += more
-        before, rows = left["n"], state.count()
-        if rows <= range_rows:
-            done = state.coalesce(1).mapInArrow(task("packing", lambda bs, opened=opened: _finish(bs, capacity, opened)), _SWEPT_SQL)
-            placed.append(written(done, "swept").select("number", "sequence", "offset"))
+    above = [F.count_if(size > capacity // (k + 1)).alias(f"above{k}") for k in range(1, SHARES + 1)]
+
+    def finished(state: DataFrame) -> DataFrame:
+        swept = written(state.coalesce(1).mapInArrow(task("packing", lambda bs, opened=opened: _finish(bs, capacity, opened)), _SWEPT_SQL), "swept")
+        placed.append(swept.where(F.col("said") == _PLACED).select("number", "sequence", "offset"))
+        return swept.where(F.col("said") == _FREE).select(F.col("sequence").alias("number"), "size", F.lit(True).alias("gap"))
+
+    for least in least_sizes(capacity):
+        rest = pieces.where(size < upper).unionByName(gaps)
+        if rest.count() <= range_rows:
+            finished(rest)
             break
-        some, state = _superstep(spark, state, rows, capacity, range_rows)
-        placed.append(some)
+        state, kept_gaps, before = rest.where(F.col("gap") | (size >= least)), [], None
+        while True:
+            left = state.where("NOT gap").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.min("size").alias("least"), *above).first()
+            if not left["n"]:
+                kept_gaps.append(state)
+                break
+            kept_gaps.append(state.where(F.col("gap") & (size < left["least"])))
+            state = state.where(~F.col("gap") | (size >= left["least"]))
+            if left["n"] == before or not opened:  # none was placed
+                more = needed(left["tokens"], [left[f"above{k}"] for k in range(1, SHARES + 1)], capacity)
+                state = state.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("number"), F.lit(capacity).cast("int").alias("size"), F.lit(True).alias("gap")))
+                opened += more
+            before, rows = left["n"], state.count()
+            if rows <= range_rows:
+                kept_gaps.append(finished(state))
+                opened += before  # at most as many new ones as pieces
+                break
+            some, state = _superstep(spark, state, rows, capacity, range_rows)
+            placed.append(some)
+        upper = least
+        gaps = written(functools.reduce(DataFrame.unionByName, kept_gaps), "gaps")
     return functools.reduce(DataFrame.unionByName, placed)
