@@ -4,8 +4,10 @@ Sets are the distinct word shingles of a text as 64-bit hashes.  Texts with equa
 a class (64 bits of the sorted set's 128-bit digest; should two sets share them, all are made
 anew with another salt); the join is over classes.
 
-1. Global order: shingles frequent within any batch are summed over all tasks; the
-   ``FREQUENT`` most frequent come last, by frequency, all others in hash order.
+1. Global order: all but frequent shingles come in hash order, then the frequent ones, the most frequent last.
+   Shingles frequent within any batch are summed over all tasks (the ``FREQUENT`` most frequent count);
+   by the order that these give, the shingles that step 2 may take are counted over all classes, so
+   what is rare in every batch and yet in more than ``SHORT`` classes is frequent, too (``COUNTED`` at most).
 2. Short lists: with T = the overlap that any partner needs and K = min(``EXTRA``, T), a
    class puts its first ``n - T + K`` shingles into the inverted index; two linked classes
    share at least the lesser K of these.  A list of at most ``SHORT`` classes gives its pairs
@@ -47,6 +49,8 @@ from .components import Forest, components
 WORDS, PERCENT = 4, 85
 #: Shingles kept as frequent (a bound of what is broadcast; it only shapes the order) and how often one is in a batch to be reported.
 FREQUENT, REPORTED = 1 << 17, 4
+#: Shingles kept as frequent once they are counted over all classes (broadcast, and it only shapes the order, too).
+COUNTED = 1 << 20
 #: Lists up to this length give pairs, longer ones (and those of shingles counted more often than HOT) stars.
 SHORT, HOT = 64, 256
 #: K, the shared short lists that make a candidate.
@@ -127,7 +131,16 @@ class Order:
         return np.concatenate([plain, u[at[late]]]), n - int((self.rank[where[late]] < self.hot).sum())
 
 
+def _ordered(reported: pa.Table, common: pa.Table) -> Order:
+    """Of both tables' shingles (those reported by batches, those counted over all classes), each with its greater count."""
+    token, place = np.unique(np.concatenate([reported.column("key").to_numpy(), common.column("token").to_numpy()]), return_inverse=True)
+    count = np.zeros(len(token), dtype=np.int64)
+    np.maximum.at(count, place, np.concatenate([reported.column("n").to_numpy(), common.column("n").to_numpy()]))
+    return Order(token.view(np.uint64), count)
+
+
 _SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32())])
 _ARRAYS = pa.schema([("class", pa.int64()), ("items", pa.binary())])
@@ -161,6 +174,32 @@ def _crowded(crowds: dict[int, int], key: int, doc) -> bool:
     return crowds.get(key, doc) != doc
 
 
+def _reach(batches, k: int, percent: int, order: Order, crowds: dict[int, int], salt: int):
+    """The shingles that classes may put into the inverted index, and how many classes of the batch: those that they put
+    there in this order, and half as many again for what another order moves back."""
+    for b in batches:
+        ids = b.column("doc_id").to_pylist()
+        some: list[np.ndarray] = []
+        done: set[int] = set()
+        for at, data, offsets in chunks(b.column("text")):
+            own = []
+            for doc, u in zip(ids[at:], shingle_sets(data, offsets, k)):
+                n = len(u)
+                if not n:
+                    continue
+                key = class_of(u, salt)
+                if key in done or _crowded(crowds, key, doc):
+                    continue
+                done.add(key)
+                t = least_overlap(n, percent)
+                own.append(order.first(u, min(n, 3 * (n - t + min(EXTRA, t)) // 2))[0])
+            if own:
+                some.append(np.concatenate(own))
+        if some:
+            token, count = np.unique(np.concatenate(some), return_counts=True)
+            yield batch_of(_COUNTS, token=token.view(np.int64), n=count)
+
+
 def _postings(batches, k: int, percent: int, order: Order, crowds: dict[int, int], salt: int):
     for b in batches:
         ids = b.column("doc_id").to_pylist()
@@ -360,10 +399,14 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
             break
         dropped(both)  # two sets with one class: all classes anew
     top = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    order = spark.sparkContext.broadcast(Order(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()))
+    reported = spark.sparkContext.broadcast(Order(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     crowd = sets.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where("c >= 8").orderBy(F.desc("c"), "class").limit(CROWDS).toArrow()
     crowds = spark.sparkContext.broadcast(dict(zip(crowd.column("class").to_pylist(), crowd.column("d").to_pylist())))
 
+    reach = slim.mapInArrow(task("ngram-join", lambda bs: _reach(bs, words, percent, reported.value, crowds.value, salt)), "token long, n long")
+    common = reach.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).orderBy(F.desc("n"), "token").limit(COUNTED).toArrow()
+    order = spark.sparkContext.broadcast(_ordered(top, common))
+
     postings = slim.mapInArrow(task("ngram-join", lambda bs: _postings(bs, words, percent, order.value, crowds.value, salt)), "token long, class long, n int, hot boolean")
     # A frequent shingle's postings need not meet, so they are dealt by class.
     lists = postings.repartition("token", F.when(F.col("hot"), F.col("class"))).sortWithinPartitions("token", "class")

@@ -232,6 +232,26 @@ def test_ngram_join_large_group_and_split_blocks(spark):
     assert sorted((tuple(r) for r in ngram_join.ngram_join(df, block_sets=7).collect()), key=str) == want
 
 
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_shingles_common_over_many_batches_make_no_block(spark, monkeypatch, k, percent):
+    """Each phrase is in 100 of 1,000 unlike texts, but in 2 of a batch's 20: a frequent shingle that no batch reports."""
+    texts = []
+    for i in range(1000):
+        phrases = [" ".join(f"p{f}x{(i * (2 * f + 1) // 10 ** (f % 2) + f) % 10}y{j}" for j in range(5)) for f in range(6)]
+        texts.append(" ".join(f"u{i}z{f}v{j} " + (p if j == 4 else "") for f, p in enumerate(phrases) for j in range(8)))
+    blocks, kept = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (out := kept(df, name), blocks.append(out) if name == "blocks" else None)[0])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = ngram_join.ngram_join(df, k, percent).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 1000
+    assert blocks[0].count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=12), st.sampled_from([60, 80, 85, 100]))
 def test_divide_skip_spans_all_links(sets, percent):
