@@ -38,11 +38,14 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes when the application ends."""
+def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes when the application ends.
+
+    file_rows: rows of a file at most (0: any), for tables whose rows are large: a task that writes holds a row group, one that
+    reads a batch of rows, and neither is more than a file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     fs, p = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

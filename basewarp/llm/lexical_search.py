@@ -39,6 +39,8 @@ from .wordbags import bags
 
 #: Bytes of text in a block (a longer text is a block of its own), and at most so many documents.
 BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 512
+#: Blocks, and heads of blocks, in a file of the index: what a task holds at once doesn't grow with its share of the table.
+FILE_BLOCKS, FILE_HEADS = 16, 64
 #: Bytes of query text in a pass.
 QUERY_BYTES = 1 << 20
 #: Blocks of each query that give the first threshold.
@@ -102,7 +104,7 @@ def _arrays(b: pa.RecordBatch, k: int, *names: str) -> list[np.ndarray]:
 
 def build_index(docs: DataFrame) -> Index:
     """The index of all documents, written to the shared folder."""
-    blocks = written(forward(docs), "blocks")
+    blocks = written(forward(docs), "blocks", FILE_BLOCKS)
     N, L = blocks.select(F.size("doc_ids").cast("long").alias("d"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("t")).agg(F.coalesce(F.sum("d"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
 
     def run(batches):
@@ -114,7 +116,7 @@ def build_index(docs: DataFrame) -> Index:
                 np.maximum.at(most, term, _shares(n, first, tf, N, L))
                 yield _row(b.column("block")[k].as_py(), terms=terms, df=np.bincount(term, minlength=len(terms)), most=most)
 
-    heads = written(blocks.select("block", "terms", "n", "first", "term", "tf").mapInArrow(task("lexical-search", run), _HEAD), "heads")
+    heads = written(blocks.select("block", "terms", "n", "first", "term", "tf").mapInArrow(task("lexical-search", run), _HEAD), "heads", FILE_HEADS)
     return Index(blocks, heads, N, L)
 
 

@@ -274,3 +274,13 @@ def test_bounds_are_never_below_a_score(spark, monkeypatch):
     assert scored.count() > 50
     assert scored.join(blocks, "doc_id").join(bounds, "block").where("score > bound").count() == 0
     assert IN_TOKEN[ord("a")]
+
+
+def test_index_files_have_few_blocks(spark, monkeypatch):
+    """A task that reads or writes the index holds no more than a file's blocks, however many its partition has."""
+    monkeypatch.setattr(lexical_search, "BLOCK_DOCUMENTS", 2)
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(400)], "doc_id long, text string").coalesce(1)
+    index = lexical_search.build_index(docs)
+    for table, most in ((index.blocks, lexical_search.FILE_BLOCKS), (index.heads, lexical_search.FILE_HEADS)):
+        files = [r["n"] for r in table.groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(files) == 200 and max(files) <= most
