@@ -62,8 +62,10 @@ def is_palindrome(seq: Text) -> Column:
 
 
 def count_of(seq: Text, letters: str) -> Column:
-    """How many characters of seq are among letters."""
-    return F.length(F.regexp_replace(_c(seq), f"[^{letters}]", "")).cast("long")
+    """How many characters of seq are among letters (distinct ones)."""
+    s = _c(seq)
+    one = [F.length(s) - F.length(F.replace(s, F.lit(x), F.lit(""))) for x in letters]
+    return sum(one[1:], one[0]).cast("long")
 
 
 def magnitude(seq: Text) -> Column:
