@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.codons import codon_table, isoelectric_point, molecular_weight, reverse_translate, translate
 from ..functions.sequence import reverse_complement
+from ..sources.files import written
 from .match import chunked
 from .parts import is_parts, twin
 
@@ -95,7 +96,8 @@ def _orfs_of_parts(parts: DataFrame, least: int, which: Sequence[int], table: in
                 yield pa.RecordBatch.from_arrays([b.column("seq_id").take(where), *(pa.array(list(c), type=t) for c, t in zip(columns, types))], names=["seq_id", "frame", "chunk", "kind", "begin", "end", "met", "residues"])
 
     proteins = frame_parts(parts, which, table, chunk=chunk).select("seq_id", "frame", "aa_begin", "protein")
-    rows = proteins.mapInArrow(run, f"seq_id {kind}, frame int, chunk long, kind int, begin long, end long, met long, residues string")
+    # Written, as the numbering below reads them four times.
+    rows = written(proteins.mapInArrow(run, f"seq_id {kind}, frame int, chunk long, kind int, begin long, end long, met long, residues string"), "stretches")
     closed = rows.where(F.col("kind") == _INSIDE).select("seq_id", "frame", "begin", "end", "residues")
     # Ends of chunks: two rows at most for each chunk and frame.
     by = Window.partitionBy("seq_id", "frame").orderBy("chunk", "kind")

@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in a scratch folder, for what several parts of a plan read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search(name: str, variable: str = "BASEWARP_DATA") -> str:
     """The first of: the path itself, the working folder, the home folder, the folder named by the variable."""
     for folder in ("", os.getcwd(), os.path.expanduser("~"), os.environ.get(variable, "")):
