@@ -816,8 +816,8 @@ _SPLIT_SQL = "WITH {}, cuts AS (SELECT name, seq, unnest(range(0, length(seq), 1
 
 def _thousands(spark, path: str, kind: str) -> DataFrame:
     """Records read by byte ranges, cut anew at every thousand letters."""
-    pieces = cut(split.read_parts(spark, path, kind), 0, 1000)
-    return pieces.join(split.read_headers(spark, path, kind), "seq_id").select("name", "base", F.col("piece").alias("bases"))
+    headers, parts = split.read_both(spark, path, kind)
+    return cut(parts, 0, 1000).join(headers, "seq_id").select("name", "base", F.col("piece").alias("bases"))
 
 
 for _kind, _record in _RECORDS.items():

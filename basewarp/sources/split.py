@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import normalise
 from ..operators.parts import join_parts
+from .files import written
 
 #: Letters of a piece, and rows that leave a task together.
 PIECE, ROWS = 1 << 15, 256
@@ -234,7 +235,7 @@ def _resolved(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind!r}")
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    walked = lines.mapInArrow(lambda bs: _walk(bs, kind), _COLUMNS)
+    walked = written(lines.mapInArrow(lambda bs: _walk(bs, kind), _COLUMNS), "walked")
     ends = walked.where("what = 'end'").select("file", "block", "records", "text")
     entries = ends.groupBy("file").applyInPandas(_entries, "file string, block long, ordinal long, entry int, before long")
     said = walked.where("what <> 'end'").join(entries, ["file", "block"])
@@ -274,9 +275,18 @@ def read_headers(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def read_parts(spark: SparkSession, path: str, kind: str, degenerate: bool = True) -> DataFrame:
     """Parts (seq_id, seq_len, base, bases) of every record of the files, for all searches that work in chunks.
 
-    kind is one of FORMATS.  Each call reads the files twice, once for where ranges begin; write its result to search it often.
+    kind is one of FORMATS.  Each call reads the files once and writes what the lines say; write its result to search it often.
     """
+    return _parts(_resolved(spark, path, kind), kind, degenerate)
+
+
+def read_both(spark: SparkSession, path: str, kind: str, degenerate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """read_headers and read_parts of the same files, which are read once for both."""
     said = _resolved(spark, path, kind)
+    return _headers(said, kind).drop(*_ID), _parts(said, kind, degenerate)
+
+
+def _parts(said: DataFrame, kind: str, degenerate: bool) -> DataFrame:
     body = said.where("what = 'body'")
     if kind == "msf":  # rulers and other lines that name no sequence
         body = body.join(said.where("what = 'listed'").select("file", "key").distinct(), ["file", "key"], "left_semi")
