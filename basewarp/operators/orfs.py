@@ -33,6 +33,35 @@ def frames(seqs: DataFrame, which: Sequence[int] = FRAMES, table: int = 0, lette
     return seqs.select("seq_id", F.length("seq").cast("long").alias("seq_len"), F.explode(F.array(*parts)).alias("f")).select("seq_id", "seq_len", F.col("f.frame").alias("frame"), F.col("f.protein").alias("protein"))
 
 
+def translations(seqs: DataFrame, tables: Sequence[int], letters_at_once: int = 1 << 20) -> DataFrame:
+    """seq_id, code, protein: frame 1 by each of the codon tables; a sequence's codons are numbered once for all of them."""
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    residues = {k: codon_table(k) for k in tables}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from .scan import codon_numbers
+
+        codes = {k: np.frombuffer("".join([*(t[a + b + c] for a in "acgt" for b in "acgt" for c in "acgt"), "X"]).encode(), dtype=np.uint8) for k, t in residues.items()}
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("seq")), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + letters_at_once, side="right")))
+                some = b.slice(at, to - at)
+                at = to
+                number, edge = codon_numbers(some.column("seq"))
+                for k, code in codes.items():
+                    protein = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(edge), pa.py_buffer(code[number])]).cast(pa.string())
+                    protein = pc.if_else(pc.is_null(some.column("seq")), pa.scalar(None, pa.string()), protein)
+                    yield pa.RecordBatch.from_arrays([some.column("seq_id"), pa.array(np.full(len(some), k, dtype=np.int32)), protein], names=["seq_id", "code", "protein"])
+
+    return seqs.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, code int, protein string")
+
+
 def orfs(seqs: DataFrame, least: int = 30, which: Sequence[int] = FRAMES, table: int = 0, require_met: bool = True, chunk: int = CODON_CHUNK) -> DataFrame:
     """Stretches between stops of at least ``least`` (1 or more) residues, found in arrays per Arrow batch: orf_no, aa_begin, aa_end, aa_len, bp_begin, bp_end, peptide.
 

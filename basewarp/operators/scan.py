@@ -347,6 +347,18 @@ def distinct_words(batches, width: int):
     return [x.tobytes().decode() for x in np.ascontiguousarray(text)]
 
 
+def codon_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the whole codons of frame 1 (aaa 0, aac 1, ...; 64 with other letters), and where each row's begin (one more than rows)."""
+    data, offsets = letters(column)
+    size = np.diff(offsets)
+    n = size // 3
+    edge = np.append(0, np.cumsum(n)).astype(np.int64)
+    first = np.repeat(offsets[:-1] - 3 * edge[:-1], n) + 3 * np.arange(int(edge[-1]))
+    base = _BASE[MASKS[data]]
+    a, b, c = (base[first + j] for j in range(3))
+    return np.where((a < 4) & (b < 4) & (c < 4), (a & 3) << 4 | (b & 3) << 2 | c & 3, 64).astype(np.uint8), edge
+
+
 def find_orfs(column: pa.Array, code: np.ndarray, which: tuple[int, ...], least: int, require_met: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
     """(frame, row, first residue from 1, peptide) of the stretches between stops, by row and place.
 

@@ -683,8 +683,7 @@ def translate_mito(spark, sf_dir):
 
 @query("translate_all_tables", f"WITH {SEQ} " + " UNION ALL ".join(f"SELECT seq_id, {k} AS code, {_protein_sql(1, k)} AS protein FROM seqs" for k in range(len(CODES))))
 def translate_all_tables(spark, sf_dir):
-    each = F.array(*[F.struct(F.lit(k).alias("code"), cod.translate("seq", 1, k).alias("protein")) for k in cod.DIFFERENCES])
-    return sequences(spark, sf_dir).select("seq_id", F.explode(each).alias("x")).select("seq_id", "x.code", "x.protein")
+    return orfs.translations(sequences(spark, sf_dir), tuple(cod.DIFFERENCES))
 
 
 @query("translate_three", f"WITH {SEQ} SELECT seq_id, coalesce(array_to_string(list_transform(regexp_extract_all({_protein_sql(1)}, '(.)', 1), lambda a: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in cod.THREE.items())}}}[a]), ''), '') AS protein FROM seqs")
