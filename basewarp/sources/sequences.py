@@ -7,13 +7,17 @@ its first lines.  Columns: name, descr, format, seq (letters normalised), seq_le
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import normalise
 
+#: Records of an IG file that leave a task together.
+RECORDS = 256
 COLUMNS = "name string, descr string, format string, raw string, topology int"
 
 
@@ -61,6 +65,23 @@ def _interleaved(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(n, re.sub(r"[\s\d]", "", "".join(p))) for n, p in out.items()]
 
 
+def _ig(text: str) -> Iterator[tuple[str, str, str]]:
+    """(name, description, raw letters) of one record after another: the lines are never all held."""
+    comment: list[str] = []
+    lines = (m[0] for m in re.finditer(r"[^\n]+", text))
+    for line in lines:
+        if line.startswith(";"):
+            comment.append(line[1:].strip())
+        elif line.strip():
+            name, body = line.strip(), []
+            for more in lines:
+                body.append(re.sub(r"\s", "", more))
+                if re.search(r"[12]\s*$", more):
+                    break
+            yield name, " ".join(comment), "".join(body)[:-1] if body else ""
+            comment = []
+
+
 def records(text: str, kind: str | None = None) -> list[tuple[str, str, str, str]]:
     """(name, description, format, raw letters) of every record in a file's text."""
     return [x[:4] for x in typed_records(text, kind)]
@@ -110,19 +131,7 @@ def typed_records(text: str, kind: str | None = None) -> list[tuple[str, str, st
         rows = [x.split(None, 1) for x in (body[1] if body else "").split("\n") if len(x.split()) > 1]
         out = [(n.strip(",'"), "", s) for n, s in _interleaved([(r[0], r[1]) for r in rows])]
     elif kind == "ig":
-        comment: list[str] = []
-        lines = iter(text.split("\n"))
-        for line in lines:
-            if line.startswith(";"):
-                comment.append(line[1:].strip())
-            elif line.strip():
-                name, body = line.strip(), []
-                for more in lines:
-                    body.append(re.sub(r"\s", "", more))
-                    if re.search(r"[12]\s*$", more):
-                        break
-                out.append((name, " ".join(comment), "".join(body)[:-1] if body else ""))
-                comment = []
+        out = list(_ig(text))
     elif kind == "pir":
         for part in re.split(r"^///[ \t]*$", text, flags=re.M):
             m = re.search(r"^ENTRY\s+(\S+)", part, flags=re.M)
@@ -174,6 +183,13 @@ def read_sequences(spark: SparkSession, path: str, kind: str | None = None, dege
     def run(frames):
         import pandas as pd
 
+        if kind == "ig":  # a file may have any number of records
+            for f in frames:
+                for text in f["value"]:
+                    rows = ((n, d, kind, s, None) for n, d, s in _ig(text.replace("\r\n", "\n") if "\r" in text else text))
+                    while some := list(itertools.islice(rows, RECORDS)):
+                        yield pd.DataFrame(some, columns=["name", "descr", "format", "raw", "topology"]).astype({"topology": "Int32"})
+            return
         for f in frames:
             rows = [r for text in f["value"] for r in typed_records(text, kind)]
             yield pd.DataFrame(rows, columns=["name", "descr", "format", "raw", "topology"]).astype({"topology": "Int32"})
