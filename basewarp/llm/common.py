@@ -38,6 +38,24 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run within deletes its shuffle files as it ends (Spark 4.1).  Else they stay on the executors' disks
+    until the driver's JVM happens to collect its garbage, so the disk holds those of all steps together."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes when the application ends.
 
@@ -45,7 +63,8 @@ def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     reads a batch of rows, and neither is more than a file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     fs, p = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, dropped, id_and_text, mixed, row_keys, task, word_hashes, word_spans, written
+from .common import batch_of, chunks, dropped, id_and_text, mixed, row_keys, shuffles_dropped, task, word_hashes, word_spans, written
 from .components import Forest, components
 
 WORDS, PERCENT = 4, 85
@@ -380,7 +380,8 @@ def _link_block(frame: pd.DataFrame, percent: int, every_link: bool) -> pd.DataF
 def _bitmap(nodes: DataFrame) -> np.ndarray:
     """2**_BITMAP bits, those of all nodes set; at most 2**(_BITMAP - 6) words come to the driver."""
     bit = F.col("node").bitwiseAND(F.lit((1 << _BITMAP) - 1))
-    words = nodes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((node & {(1 << _BITMAP) - 1}) & 63 AS INT))")).alias("v")).collect()
+    with shuffles_dropped(nodes.sparkSession):
+        words = nodes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((node & {(1 << _BITMAP) - 1}) & 63 AS INT))")).alias("v")).collect()
     out = np.zeros(1 << (_BITMAP - 6), dtype=np.uint64)
     for r in words:
         out[r["w"]] = r["v"] & (1 << 64) - 1
@@ -395,16 +396,20 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     for salt in itertools.count():
         both = written(keyed.mapInArrow(task("ngram-join", lambda bs, salt=salt: _sets(bs, words, salt)), "kind tinyint, doc_id long, row_key long, key long, check long, n long"), "sets")
         sets = both.where("kind = 0").select("doc_id", "row_key", F.col("key").alias("class"), "n")
-        if both.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg((F.min("check") < F.max("check")).alias("clash")).where("clash").isEmpty():
+        with shuffles_dropped(spark):
+            unlike = both.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg((F.min("check") < F.max("check")).alias("clash")).where("clash").isEmpty()
+        if unlike:
             break
         dropped(both)  # two sets with one class: all classes anew
-    top = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    with shuffles_dropped(spark):
+        top = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+        crowd = sets.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where("c >= 8").orderBy(F.desc("c"), "class").limit(CROWDS).toArrow()
     reported = spark.sparkContext.broadcast(Order(top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()))
-    crowd = sets.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where("c >= 8").orderBy(F.desc("c"), "class").limit(CROWDS).toArrow()
     crowds = spark.sparkContext.broadcast(dict(zip(crowd.column("class").to_pylist(), crowd.column("d").to_pylist())))
 
     reach = slim.mapInArrow(task("ngram-join", lambda bs: _reach(bs, words, percent, reported.value, crowds.value, salt)), "token long, n long")
-    common = reach.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).orderBy(F.desc("n"), "token").limit(COUNTED).toArrow()
+    with shuffles_dropped(spark):  # as large as the postings' own
+        common = reach.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).orderBy(F.desc("n"), "token").limit(COUNTED).toArrow()
     order = spark.sparkContext.broadcast(_ordered(top, common))
 
     postings = slim.mapInArrow(task("ngram-join", lambda bs: _postings(bs, words, percent, order.value, crowds.value, salt)), "token long, class long, n int, hot boolean")

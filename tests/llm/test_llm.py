@@ -252,6 +252,38 @@ def test_shingles_common_over_many_batches_make_no_block(spark, monkeypatch, k,
     assert blocks[0].count() == 0
 
 
+def shuffle_files(spark):
+    """Shuffle files that lie on this executor's disk."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_steps_leave_no_shuffle_files(spark, docs, monkeypatch):
+    """Each step's shuffles go with the step: the disk never holds those of all steps together."""
+    left, ordered, kept = [], ngram_join._ordered, ngram_join.written
+    before = shuffle_files(spark)
+
+    def settled(name):
+        for _ in range(50):  # files are deleted in the background
+            if not shuffle_files(spark) - before:
+                break
+            time.sleep(0.1)
+        left.append((name, len(shuffle_files(spark) - before)))
+
+    def watched(df, name):
+        out = kept(df, name)
+        settled(name)
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", watched)
+    monkeypatch.setattr(ngram_join, "_ordered", lambda *tables: (settled("order"), ordered(*tables))[1])
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    rows = ngram_join.kept_rows(docs, 5, 80)
+    assert left == [(name, 0) for name in ("sets", "order", "blocks", "links")][: len(left)] and len(left) >= 3
+    assert rows.count() and spark.conf.get(key) == was
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=12), st.sampled_from([60, 80, 85, 100]))
 def test_divide_skip_spans_all_links(sets, percent):
