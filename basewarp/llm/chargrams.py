@@ -93,8 +93,8 @@ def segment_sums(grams: Grams, order: int, bits: int, rows: np.ndarray) -> np.nd
     width = max(1, rows.shape[1])
     out = np.zeros((len(grams.offsets) - 1, rows.shape[1]))
     for text, bucket, n in sparse_counts(grams, order, bits):
-        for lo in range(0, len(text), max(1 << 12, (1 << 22) // width)):  # a bound of memory at many columns
-            part = slice(lo, lo + max(1 << 12, (1 << 22) // width))
+        for lo in range(0, len(text), max(1 << 12, (1 << 19) // width)):  # a bound of memory at many columns
+            part = slice(lo, lo + max(1 << 12, (1 << 19) // width))
             own = text[part]
             first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
             out[own[first]] += np.add.reduceat(rows[bucket[part]] * n[part, None], first, axis=0)

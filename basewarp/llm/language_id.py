@@ -30,6 +30,8 @@ ORDERS, BITS, SMOOTHING = (2, 3), 15, 0.5
 #: Languages of one pass: bounds what comes to the driver (65,537 rows a language) and the matrix sent (0.5 MB a language).
 MAX_LANGS = 64
 UNDETERMINED = "und"
+#: Rows whose texts are Python strings at once, and characters whose n-grams are arrays at once: bounds of a worker's memory.
+SLICE_ROWS, RUN = 1_000, 1 << 18
 
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -46,6 +48,12 @@ class Model:
         self.langs, self.rows, self.prior = langs, rows, prior
 
 
+def _slices(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(lo, SLICE_ROWS)
+
+
 def _count(batches):
     """Counts of a task.  At most MAX_LANGS languages are held at a time; beyond, what is held goes out and counting starts anew,
     so memory doesn't follow the number of languages."""
@@ -58,7 +66,7 @@ def _count(batches):
             yield batch_of(_COUNTS, lang=[lang] * len(at), bucket=at.astype(np.int32), n=held[at])
         counts.clear()
 
-    for b in batches:
+    for b in _slices(batches):
         by: dict[str, list[str]] = {}
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
             by.setdefault(lang, []).append(text or "")
@@ -67,7 +75,7 @@ def _count(batches):
                 yield from held_ones()
             held = counts.setdefault(lang, np.zeros(len(ORDERS) * width + 1, dtype=np.int64))
             held[-1] += len(own)
-            for _, _, grams, which in gram_runs(own, ORDERS):
+            for _, _, grams, which in gram_runs(own, ORDERS, RUN):
                 for k in which:
                     held[k * width : (k + 1) * width] += np.bincount(grams.hashed(ORDERS[k], BITS), minlength=width)
     yield from held_ones()
@@ -99,7 +107,7 @@ def scores(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.nd
     """Per text: the best language, its posterior probability, its score, and the mass of all languages against it."""
     total = np.tile(model.prior, (len(texts), 1))
     lettered = np.zeros(len(texts), dtype=bool)
-    for at, n, grams, which in gram_runs(texts, ORDERS):
+    for at, n, grams, which in gram_runs(texts, ORDERS, RUN):
         lettered[at : at + n] |= grams.lettered
         for k in which:
             total[at : at + n] += segment_sums(grams, ORDERS[k], BITS, model.rows[k])
@@ -118,7 +126,7 @@ def _by_passes(numbered: DataFrame, models: list[Model]) -> DataFrame:
         sent = numbered.sparkSession.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
-            for b in batches:
+            for b in _slices(batches):
                 langs, _, top, mass = scores(sent.value, [t or "" for t in b.column("text").to_pylist()])
                 yield batch_of(_SCORED, row=b.column("row"), lang=langs, top=top, mass=mass)
 
@@ -142,7 +150,7 @@ def identify(docs: DataFrame, models: list[Model]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(models[0])
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             langs, best, _, _ = scores(sent.value, [t or "" for t in b.column("text").to_pylist()])
             yield batch_of(_PREDICTED, doc_id=b.column("doc_id"), held_out=b.column("held_out"), lang_pred=langs, score=best)
 
@@ -166,7 +174,7 @@ def accepted_rows(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             langs, best, _, _ = scores(sent.value, [t or "" for t in b.column(at).cast(pa.string()).to_pylist()])
             yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, best)], type=pa.bool_()))
 

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,7 +120,7 @@ def _numbered(sources: DataFrame, n: int) -> DataFrame:
     counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row per 50,000 sources
     before = dict(zip([r["part"] for r in counts], np.cumsum([0, *(r["n"] for r in counts)]).tolist()))
     spark = sources.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(list(before.items()), "part long, before long"))
+    offsets = F.broadcast(spark.createDataFrame(pa.table({"part": pa.array(list(before), pa.int64()), "before": pa.array(list(before.values()), pa.int64())})))
     return ordered.join(offsets, part == F.col("part")).withColumn("place", F.col("before") + F.col("in_order").bitwiseAND(F.lit(_LOW))).drop("part", "before", "in_order")
 
 
@@ -175,7 +176,9 @@ def _planned(docs: DataFrame, out_shards: int, block_rows: int, weights: tuple[f
     for r in quotas.groupBy("bunch").agg(F.sum("quota").alias("n")).collect():
         held[r["bunch"]] = r["n"]
     drawn = split(held, out_shards, seed)
-    parts = F.broadcast(spark.createDataFrame([(g, drawn[:, g].tolist()) for g in np.flatnonzero(held).tolist()], "bunch int, drawn array<long>"))
+    bunches = np.flatnonzero(held)
+    # From Arrow: rows of Python objects are an RDD that plain Python workers read, beside those for Arrow.
+    parts = F.broadcast(spark.createDataFrame(pa.table({"bunch": pa.array(bunches, pa.int32()), "drawn": pa.array([drawn[:, g] for g in bunches], pa.list_(pa.int64()))})))
     ends = quotas.join(parts, "bunch").groupBy("bunch").applyInPandas(lambda f: _deal(f, seed), "source string, ends array<long>")
     ends = written(ends, "ends")
 

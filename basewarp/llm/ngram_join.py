@@ -432,7 +432,8 @@ def links(docs: DataFrame, words: int, percent: int, block_sets: int, block_item
     found = dealt.groupBy("root", "i", "j").applyInPandas(lambda f: _link_block(f, percent, every_link), "a long, b long")
     if every_link:
         return sets, found
-    return sets, components(found).withColumnRenamed("node", "class")
+    # Written first: a task that both links blocks and contracts edges has two Python workers, which then stay with the executor.
+    return sets, components(written(found, "links")).withColumnRenamed("node", "class")
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, block_sets: int, block_items: int) -> DataFrame:

@@ -249,11 +249,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     return cut.join(placed, "number").select(*columns, F.col("sequence").alias("sequence_id"), F.col("offset").cast("long").alias("offset")).unionByName(whole)
 
 
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """createDataFrame([]) is an RDD of pickled rows and keeps plain Python workers on the executors, beside those for Arrow."""
+    return spark.range(0, 0, 1, 1).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in schema.split(", "))))
+
+
 def place(spark: SparkSession, sizes: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """number, sequence, offset of every piece.  sizes: number, size (below the capacity)."""
     pieces, size = sizes.select("number", "size", F.lit(False).alias("gap")), F.col("size")
-    gaps, opened, upper = spark.createDataFrame([], _STATE), 0, capacity
-    placed = [spark.createDataFrame([], "number long, sequence long, offset int")]
+    gaps, opened, upper = _no_rows(spark, _STATE), 0, capacity
+    placed = [_no_rows(spark, "number long, sequence long, offset int")]
     above = [F.count_if(size > capacity // (k + 1)).alias(f"above{k}") for k in range(1, SHARES + 1)]
 
     def finished(state: DataFrame) -> DataFrame:

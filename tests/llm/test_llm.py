@@ -284,6 +284,59 @@ def test_steps_leave_no_shuffle_files(spark, docs, monkeypatch):
     assert rows.count() and spark.conf.get(key) == was
 
 
+def chained(plan):
+    """Whether a Python node of the plan reads another one's rows without an exchange between them."""
+    above = []
+    for line in plan.splitlines():
+        depth = re.search(r"[A-Za-z]|$", line).start()
+        above = [x for x in above if x[0] < depth]
+        if re.match(r"MapIn|FlatMapGroupsIn", line[depth:]):
+            for _, node in reversed(above):
+                if "Exchange" in node:
+                    break
+                if re.match(r"MapIn|FlatMapGroupsIn", node):
+                    return True
+        above.append((depth, line[depth:]))
+    return False
+
+
+def test_pipeline_keeps_few_python_workers(spark, docs, monkeypatch):
+    """No task of the pipeline has two Python workers at once, and none has plain ones beside those for Arrow: they stay."""
+    import corpus_pipeline as cp
+    from basewarp.llm import common
+
+    plans, kept = [], common.written
+
+    def watched(df, *args, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, *args, **named)
+
+    for module in (language_id, exact_dedup, ngram_join, cc, mixing, packing, cp):
+        monkeypatch.setattr(module, "written", watched)
+    plans.append(cp.run(spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 20
+    assert not any("ExistingRDD" in plan for plan in plans)
+    assert not any(chained(plan) for plan in plans)
+
+
+def test_language_scores_need_little_memory_beside_the_texts():
+    import tracemalloc
+
+    langs = [f"l{i}" for i in range(16)]
+    rng = np.random.default_rng(3)
+    tables = [np.vstack([rng.random(((1 << 15), 16)), np.zeros((1, 16))]) for _ in range(2)]
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(1000)]
+    model = language_id.Model(langs, tables, np.zeros(16))
+    language_id.scores(model, texts[:2])
+    tracemalloc.start()
+    try:
+        language_id.scores(model, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32_000_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=12), st.sampled_from([60, 80, 85, 100]))
 def test_divide_skip_spans_all_links(sets, percent):
